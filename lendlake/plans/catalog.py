@@ -149,7 +149,7 @@ COLUMNS: dict[str, str] = {
                             "total_defaults i, loan_amount m, tenure i, interest_rate m",
     "rule_credit_score": "application_id b, score_value i",
     "rule_risk_level": "application_id b, score_value i, risk_level s",
-    "rule_default_score": "application_id b, overdue_days i, default_score r, will_default i",
+    "rule_default_score": "application_id b, overdue_days i, default_score f, will_default i",
     "decision_reasons": "application_id b, score_value i, default_probability q, reasons s",
     # streaming
     "stream_apply_payments": "repayment_id b, emi_id b, paid_amount m, payment_date d, "
@@ -195,6 +195,12 @@ def half_payments(t: Tables) -> DataFrame:
         lifecycle.day(AS_OF).alias("payment_date"), F.lit("UPI").alias("payment_mode"))
 
 
+def rule_probability() -> Column:
+    """The default score to 4 digits. Plain double arithmetic, so that other engines agree on
+    scores that lie halfway between two values."""
+    return F.floor(F.col("default_score") * 10_000 + 0.5) / 10_000
+
+
 def rule_decisions(t: Tables) -> DataFrame:
     """Every loan applied for once more, decided by the scorecards."""
     scored = scoring.scorecard(t, scoring.loans_as_applications(t))
@@ -206,7 +212,7 @@ def rule_decisions(t: Tables) -> DataFrame:
     return (scored.join(types, "application_id").join(backers, "application_id", "left")
             .withColumn("credit_score", F.col("score_value"))
             .withColumn("auto_approved", scoring.approved(
-                F.col("score_value"), F.round("default_score", 4)))
+                F.col("score_value"), rule_probability()))
             # Loan keys start at 0, request ids must be positive.
             .withColumn("application_id", F.col("application_id") + 1))
 
@@ -304,7 +310,7 @@ def _scored(t: Tables) -> DataFrame:
 
 
 def _reasons(t: Tables) -> DataFrame:
-    rows = _scored(t).withColumn("default_probability", F.round("default_score", 4))
+    rows = _scored(t).withColumn("default_probability", rule_probability())
     return rows.withColumn("reasons", scoring.decision_reasons(
         F.col("score_value"), F.col("default_probability")))
 
