@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def highest(df: DataFrame, key: str) -> Column:
-    """The highest key in the table, 0 if it is empty, as a scalar subquery.
+def first_free(df: DataFrame, key: str) -> Column:
+    """The key after the highest one in the table (1 for an empty table), as a scalar subquery.
 
-    ``highest(...) + request_id`` is unique when the request ids are; it needs no ordering, no
-    single-task numbering, and gives the same keys when a lost task is run again.
+    ``first_free(...) + number`` is new and unique when the numbers are unique and not negative;
+    it needs no ordering, no single-task numbering, and gives the same keys when a lost task is
+    run again. Like a sequence it may leave gaps.
     """
-    return F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint"))
+    return F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint")) + 1

@@ -9,14 +9,14 @@ from pyspark.sql.window import WindowSpec
 DIGIT_BITS = 20
 
 
-def rank_descending(rows: DataFrame, value: str, rank: str | None = None,
-                    dense_rank: str | None = None) -> DataFrame:
-    """Add RANK / DENSE_RANK over ``value`` descending (non-null, non-negative BIGINT).
+def ranks_descending(rows: DataFrame, value: str, rank: str | None = None,
+                     dense_rank: str | None = None) -> DataFrame:
+    """(value, RANK, DENSE_RANK) over ``value`` descending, to be joined back on ``value``.
 
     ``rank() over (order by ...)`` has no partition key and would sort every row in one task.
-    Here equal values collapse first. The distinct values then fall into buckets by their high
-    bits; a bucket spans 2**20 values, so no window below ever holds more than 2**20 rows,
-    whatever the distribution. Each level adds what all higher buckets hold.
+    Here equal values (a non-negative BIGINT) collapse first. The distinct values then fall into
+    buckets by their high bits; a bucket spans 2**20 values, so no window below ever holds more
+    than 2**20 rows, whatever the distribution. Each level adds what all higher buckets hold.
     """
     distinct = (rows.groupBy(value).agg(F.count("*").alias("_rows"))
                 .withColumn("_low", F.shiftright(value, DIGIT_BITS)))
@@ -51,15 +51,14 @@ def rank_descending(rows: DataFrame, value: str, rank: str | None = None,
         wanted.append((F.col("_rows_l") + F.col("_rows_b") + 1).alias(rank))
     if dense_rank:
         wanted.append((F.col("_values_l") + F.col("_dense_b")).alias(dense_rank))
-    return rows.join(ranks.select(value, *wanted), value)
+    return ranks.select(value, *wanted)
 
 
-def dense_rank_of_counts(rows: DataFrame, count: str, dense_rank: str) -> DataFrame:
-    """DENSE_RANK over a row count, descending.
+def dense_ranks_of_counts(rows: DataFrame, count: str, dense_rank: str) -> DataFrame:
+    """(count, DENSE_RANK) over a row count descending, to be joined back on ``count``.
 
     k distinct counts need at least k*(k+1)/2 counted rows, so 10**12 rows give at most 1.5
     million distinct counts: one window task over the distinct counts is enough.
     """
-    distinct = rows.select(count).distinct()
-    ranks = distinct.withColumn(dense_rank, F.row_number().over(Window.orderBy(F.desc(count))))
-    return rows.join(ranks, count)
+    return rows.select(count).distinct().withColumn(
+        dense_rank, F.row_number().over(Window.orderBy(F.desc(count))))

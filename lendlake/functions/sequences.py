@@ -31,7 +31,9 @@ def look_back(df: DataFrame, key: str, date: str, row_id: str,
     order = [F.col("_day"), F.col(row_id)]
 
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    large = sizes.where((F.col("_n") > block_rows) & F.col(key).isNotNull()).select(key)
+    # At most one key per ``block_rows`` rows of the table: a million for 10**12 rows.
+    large = F.broadcast(
+        sizes.where((F.col("_n") > block_rows) & F.col(key).isNotNull()).select(key))
 
     def with_outputs(frame: DataFrame, window: WindowSpec, *extra: Column) -> DataFrame:
         made = [make(window).alias(name) for name, make in outputs.items()]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
 from lendlake.functions.columns import blank_to_null, due_date, instalment, penalty_amount
-from lendlake.functions.keys import highest
+from lendlake.functions.keys import first_free
 from lendlake.schema import column_names
 from lendlake.sources.tables import Tables
 
@@ -50,11 +50,16 @@ def emi_schedule_generate(loans: DataFrame, eom: str = "day28", max_n: int | Non
     n = F.when(F.col("tenure") < KEYS_PER_LOAN, last).otherwise(
         F.raise_error(F.lit(f"tenure must be below {KEYS_PER_LOAN}")))
     # sequence(1, 0) counts down, so a tenure below 1 is excluded before it is expanded.
-    rows = loans.where(F.col("tenure") >= 1).select(
+    terms = loans.where(F.col("tenure") >= 1).select(
         "loan_id", (start if start is not None else F.col("disbursed_date")).alias("_start"),
         instalment(F.col("loan_amount"), F.col("interest_rate"), F.col("tenure"))
         .cast("decimal(12,2)").alias("emi_amount"),
-        F.explode(F.sequence(F.lit(1), n)).alias("n"))
+        n.alias("_last"))
+    # A loan becomes up to 360 rows: spreading the loans first costs little, evens out the tasks
+    # that expand them, and leaves the schedule partitioned by loan for what follows.
+    rows = terms.repartition("loan_id").select(
+        "loan_id", "_start", "emi_amount",
+        F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("n"))
     return rows.select(
         (F.col("loan_id") * KEYS_PER_LOAN + F.col("n")).alias("emi_id"), "loan_id",
         due_date(F.col("_start"), F.col("n"), eom).alias("due_date"), "emi_amount",
@@ -106,7 +111,7 @@ def assess_penalties(new_defaults: DataFrame) -> DataFrame:
 def apply_status_changes(t: Tables, changes: DataFrame, as_of: str) -> Tables:
     """Set loan statuses and log every change.
 
-    ``changes``: change_id (unique, positive; higher means later), loan_id, status.
+    ``changes``: change_id (unique, not negative; higher means later), loan_id, status.
     """
     final = changes.groupBy("loan_id").agg(F.max("change_id").alias("change_id"))
     final = changes.join(final.select("change_id"), "change_id", "left_semi").select(
@@ -115,7 +120,7 @@ def apply_status_changes(t: Tables, changes: DataFrame, as_of: str) -> Tables:
     loans = (t.loan.join(final, "loan_id", "left").withColumn("current_status", status)
              .select(*column_names("loan")))
     log = changes.join(t.loan.select("loan_id"), "loan_id", "left_semi").select(
-        (highest(t.loan_status_history, "status_history_id") + F.col("change_id"))
+        (first_free(t.loan_status_history, "status_history_id") + F.col("change_id"))
         .alias("status_history_id"),
         "loan_id", F.col("status").alias("status_label"), day(as_of).alias("change_date"))
     return t.replace(loan=loans).append(loan_status_history=log)
@@ -129,10 +134,10 @@ def default_sweep(t: Tables, as_of: str) -> Tables:
     """
     t = t.replace(emi_schedule=mark_overdue(t.emi_schedule, as_of))
     found = assess_penalties(detect_defaults(t, as_of))
-    default_id = (highest(t.default_record, "default_id") + F.col("loan_id")).alias("default_id")
+    default_id = (first_free(t.default_record, "default_id") + F.col("loan_id")).alias("default_id")
     defaults = found.select(default_id, "loan_id", "default_date", "overdue_days")
     penalties = found.select(
-        (highest(t.penalty, "penalty_id") + F.col("loan_id")).alias("penalty_id"), default_id,
+        (first_free(t.penalty, "penalty_id") + F.col("loan_id")).alias("penalty_id"), default_id,
         F.col("penalty_amount").cast("decimal(10,2)").alias("penalty_amount"),
         F.col("default_date").alias("penalty_date"))
     changes = found.select(F.col("loan_id").alias("change_id"), "loan_id",
@@ -152,10 +157,10 @@ def close_instalments(emis: DataFrame, payments: DataFrame) -> DataFrame:
 def apply_payments(t: Tables, payments: DataFrame) -> Tables:
     """Record payments and close their instalments, even if paid in part.
 
-    ``payments``: request_id (unique, positive), emi_id, paid_amount, payment_date, payment_mode.
+    ``payments``: request_id (unique, not negative), emi_id, paid_amount, payment_date, payment_mode.
     """
     rows = payments.select(
-        (highest(t.repayment, "repayment_id") + F.col("request_id")).alias("repayment_id"),
+        (first_free(t.repayment, "repayment_id") + F.col("request_id")).alias("repayment_id"),
         "emi_id", F.col("paid_amount").cast("decimal(12,2)").alias("paid_amount"),
         "payment_date", "payment_mode")
     return t.replace(emi_schedule=close_instalments(t.emi_schedule, payments)).append(
@@ -165,12 +170,12 @@ def apply_payments(t: Tables, payments: DataFrame) -> Tables:
 def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """The rows approved applications add to each table, except the counters.
 
-    ``decisions``: application_id (unique, positive), customer_id, loan_type_id, loan_amount,
+    ``decisions``: application_id (unique, not negative), customer_id, loan_type_id, loan_amount,
     interest_rate, tenure, credit_score, auto_approved, guarantor_name, guarantor_phone,
     relationship.
     """
     ok = decisions.where("auto_approved").withColumn(
-        "loan_id", highest(t.loan, "loan_id") + F.col("application_id"))
+        "loan_id", first_free(t.loan, "loan_id") + F.col("application_id"))
     today = day(as_of)
     loan = ok.select(
         "loan_id", "customer_id", "loan_type_id",
@@ -181,23 +186,23 @@ def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, Dat
     steps = F.inline(F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(label).alias("status_label"))
         for k, label in enumerate(("Approved", "Active"))]))
-    last_step = highest(t.loan_status_history, "status_history_id")
+    last_step = first_free(t.loan_status_history, "status_history_id")
     history = (ok.select("loan_id", "application_id", steps)
                .select((last_step + F.col("application_id") * 2 + F.col("k"))
                        .alias("status_history_id"),
                        "loan_id", "status_label", today.alias("change_date")))
     # Schedule keys are numbered per application, then moved past the existing ones.
     plan = emi_schedule_generate(loan, "day28", start=today)
-    first_new = highest(t.loan, "loan_id") * KEYS_PER_LOAN
+    first_new = first_free(t.loan, "loan_id") * KEYS_PER_LOAN
     schedule = plan.withColumn(
-        "emi_id", highest(t.emi_schedule, "emi_id") + F.col("emi_id") - first_new)
+        "emi_id", first_free(t.emi_schedule, "emi_id") + F.col("emi_id") - first_new)
     name = blank_to_null(F.col("guarantor_name"))
     guarantor = ok.where(name.isNotNull()).select(
-        (highest(t.guarantor, "guarantor_id") + F.col("application_id")).alias("guarantor_id"),
+        (first_free(t.guarantor, "guarantor_id") + F.col("application_id")).alias("guarantor_id"),
         "loan_id", name.alias("name"), blank_to_null(F.col("guarantor_phone")).alias("phone"),
         F.nullif("relationship", F.lit("")).alias("relationship"))
     scores = assign_risk_band(ok.select(
-        (highest(t.credit_score, "score_id") + F.col("application_id")).alias("score_id"),
+        (first_free(t.credit_score, "score_id") + F.col("application_id")).alias("score_id"),
         "customer_id", F.col("credit_score").cast("int").alias("score_value"),
         today.alias("score_date")), t.risk_category)
     return {"loan": loan, "loan_status_history": history, "emi_schedule": schedule,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import score_bands
 from lendlake.functions.columns import blank_to_null, count_if
-from lendlake.functions.keys import highest
+from lendlake.functions.keys import first_free
 from lendlake.functions.sequences import look_back
 from lendlake.functions.workspace import checkpointed
 from lendlake.operators.lifecycle import day
@@ -85,7 +85,7 @@ def register_customers(t: Tables, batch: DataFrame,
                        as_of: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """New rows for customer, income, address and counters, and the rejected requests.
 
-    ``batch``: request_id (unique, positive), name, dob, phone, email, monthly_income,
+    ``batch``: request_id (unique, not negative), name, dob, phone, email, monthly_income,
     employment_type, company_name, street, city, zip_code.
     """
     texts = ("name", "phone", "email", "company_name", "street", "city", "zip_code")
@@ -95,10 +95,10 @@ def register_customers(t: Tables, batch: DataFrame,
         if c in texts else F.col(c) for c in batch.columns])
     accepted = accepted_requests(t.customer, clean)
     good = clean.join(accepted, "request_id", "left_semi").withColumn(
-        "customer_id", highest(t.customer, "customer_id") + F.col("request_id"))
+        "customer_id", first_free(t.customer, "customer_id") + F.col("request_id"))
 
     def key(table: str) -> Column:
-        return (highest(t[table], KEY[table]) + F.col("request_id")).alias(KEY[table])
+        return (first_free(t[table], KEY[table]) + F.col("request_id")).alias(KEY[table])
 
     new = {
         "customer": good.select("customer_id", "name", "dob", "phone", "email",

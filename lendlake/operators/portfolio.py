@@ -22,7 +22,7 @@ from lendlake.functions.columns import (
     sum_if,
 )
 from lendlake.functions.latest import newest_scores
-from lendlake.functions.ranking import dense_rank_of_counts, rank_descending
+from lendlake.functions.ranking import dense_ranks_of_counts, ranks_descending
 from lendlake.functions.sequences import look_back
 from lendlake.sources.tables import Tables
 
@@ -247,9 +247,10 @@ def _cents(amount: str) -> Column:
 def penalty_leaderboard(t: Tables) -> DataFrame:
     """Customers ranked by penalty sum, densely ranked by penalised defaults."""
     totals = _penalised_customers(t).withColumn("_cents", _cents("total_penalty"))
-    ranked = rank_descending(totals, "_cents", rank="penalty_rank")
-    ranked = dense_rank_of_counts(ranked, "default_count", "default_rank")
-    return (ranked.join(t.customer.select("customer_id", "name"), "customer_id")
+    return (totals.join(ranks_descending(totals, "_cents", rank="penalty_rank"), "_cents")
+            .join(dense_ranks_of_counts(totals, "default_count", "default_rank"),
+                  "default_count")
+            .join(t.customer.select("customer_id", "name"), "customer_id")
             .select("customer_id", "name", "default_count", "total_penalty", "penalty_rank",
                     "default_rank")
             .orderBy("penalty_rank", "customer_id"))
@@ -261,7 +262,7 @@ def penalty_rank_by_name(t: Tables) -> DataFrame:
               .join(t.customer.select("customer_id", "name"), "customer_id")
               .groupBy("name").agg(F.sum("total_penalty").alias("total_penalty"))
               .withColumn("_cents", _cents("total_penalty")))
-    return (rank_descending(totals, "_cents", rank="rank")
+    return (totals.join(ranks_descending(totals, "_cents", rank="rank"), "_cents")
             .select("name", "total_penalty", "rank").orderBy("rank", "name"))
 
 
@@ -308,11 +309,11 @@ def income_capacity_exact(t: Tables) -> DataFrame:
     return _income_capacity(t, F.col("loan_amount"))
 
 
-def _paid_by_loan_and_month(t: Tables) -> DataFrame:
+def _paid_by_loan(t: Tables) -> DataFrame:
+    """Repayments as (loan_id, _month, paid_amount)."""
     paid = t.repayment.select("emi_id", month_start("payment_date").alias("_month"),
                               "paid_amount")
-    return (paid.join(t.emi_schedule.select("emi_id", "loan_id"), "emi_id")
-            .groupBy("loan_id", "_month").agg(F.sum("paid_amount").alias("paid")))
+    return paid.join(t.emi_schedule.select("emi_id", "loan_id"), "emi_id").drop("emi_id")
 
 
 def cumulative_repayment(t: Tables) -> DataFrame:
@@ -322,10 +323,10 @@ def cumulative_repayment(t: Tables) -> DataFrame:
     covers all the customer's loans. It depends on customer and month alone, so it is computed
     on one row per customer and month and joined back: no window holds more than the months.
     """
-    monthly = (_paid_by_loan_and_month(t)
+    monthly = (_paid_by_loan(t)
                .join(t.loan.select("loan_id", "customer_id", "loan_amount"), "loan_id")
                .groupBy("customer_id", "loan_amount", "_month")
-               .agg(F.sum("paid").alias("monthly_repayment")))
+               .agg(F.sum("paid_amount").alias("monthly_repayment")))
     running = Window.partitionBy("customer_id").orderBy(F.asc_nulls_last("_month"))
     totals = (monthly.groupBy("customer_id", "_month")
               .agg(F.sum("monthly_repayment").alias("_paid"))
@@ -345,7 +346,8 @@ def cumulative_repayment(t: Tables) -> DataFrame:
 def cumulative_repayment_by_loan(t: Tables) -> DataFrame:
     """Monthly repayments, running total and remainder of each single loan."""
     running = Window.partitionBy("loan_id").orderBy(F.asc_nulls_last("_month"))
-    rows = (_paid_by_loan_and_month(t)
+    rows = (_paid_by_loan(t).groupBy("loan_id", "_month")
+            .agg(F.sum("paid_amount").alias("paid"))
             .withColumn("cumulative_repaid", F.sum("paid").over(running))
             .join(t.loan.select("loan_id", "customer_id", "loan_amount"), "loan_id")
             .join(t.customer.select("customer_id", "name"), "customer_id"))

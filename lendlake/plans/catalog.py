@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
-from lendlake.functions.workspace import new_folder
+from lendlake.functions.workspace import checkpointed, new_folder
 from lendlake.operators import access, lifecycle, maintenance, models, portfolio, scoring
 from lendlake.schema import COLUMNS as TABLE_COLUMNS
 from lendlake.sources import exports, star
@@ -162,19 +162,19 @@ def parsed(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split(" ")) for part in spec.split(", ")]
 
 
-def _shown(name: str, kind: str) -> Column:
-    column = F.col(name)
-    if kind in ("m", "r", "q"):
-        digits = {"m": 2, "r": 6, "q": 4}[kind]
-        return column.cast(f"decimal(38,{digits})").cast("double").alias(name)
-    kinds = {"b": "bigint", "i": "int", "s": "string", "d": "string", "f": "double",
-             "t": "boolean"}
-    return column.cast(kinds[kind]).alias(name)
+KIND_SQL = {
+    "b": "CAST({0} AS BIGINT)", "i": "CAST({0} AS INT)", "s": "CAST({0} AS STRING)",
+    "d": "CAST({0} AS STRING)", "f": "CAST({0} AS DOUBLE)", "t": "CAST({0} AS BOOLEAN)",
+    "m": "CAST(CAST({0} AS DECIMAL(38,2)) AS DOUBLE)",
+    "r": "CAST(CAST({0} AS DECIMAL(38,6)) AS DOUBLE)",
+    "q": "CAST(CAST({0} AS DECIMAL(38,4)) AS DOUBLE)",
+}
 
 
 def shown(df: DataFrame, spec: str) -> DataFrame:
     """The result with exactly the columns and kinds of its entry in ``COLUMNS``."""
-    return df.select(*[_shown(name, kind) for name, kind in parsed(spec)])
+    return df.selectExpr(*[f"{KIND_SQL[kind].format(name)} AS {name}"
+                           for name, kind in parsed(spec)])
 
 
 # --- batches derived from the data -----------------------------------------------------------
@@ -212,9 +212,7 @@ def rule_decisions(t: Tables) -> DataFrame:
     return (scored.join(types, "application_id").join(backers, "application_id", "left")
             .withColumn("credit_score", F.col("score_value"))
             .withColumn("auto_approved", scoring.approved(
-                F.col("score_value"), rule_probability()))
-            # Loan keys start at 0, request ids must be positive.
-            .withColumn("application_id", F.col("application_id") + 1))
+                F.col("score_value"), rule_probability())))
 
 
 def supplier_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -270,14 +268,15 @@ def _default_sweep(t: Tables) -> DataFrame:
 
 
 def _disbursed(t: Tables) -> DataFrame:
-    rows = lifecycle.disbursed_rows(t, rule_decisions(t), AS_OF)
+    # Five tables come from the decisions, so they are computed once.
+    rows = lifecycle.disbursed_rows(t, checkpointed(rule_decisions(t)), AS_OF)
     plans = rows["emi_schedule"].groupBy("loan_id").agg(
         F.count("*").alias("instalments"), F.min("due_date").alias("first_due"),
         F.max("due_date").alias("last_due"), F.sum("emi_amount").alias("scheduled"))
     logs = rows["loan_status_history"].groupBy("loan_id").agg(F.count("*").alias("log_rows"))
     backers = rows["guarantor"].select("loan_id", F.col("name").alias("guarantor"), "phone")
     # Loan and score of one application carry keys at a fixed distance.
-    distance = lifecycle.highest(t.loan, "loan_id") - lifecycle.highest(
+    distance = lifecycle.first_free(t.loan, "loan_id") - lifecycle.first_free(
         t.credit_score, "score_id")
     scores = rows["credit_score"].select((F.col("score_id") + distance).alias("loan_id"),
                                          "score_value", "risk_id")
@@ -292,7 +291,7 @@ def _disbursal_counters(t: Tables) -> DataFrame:
 
 def _registered(spark: SparkSession, t: Tables, path: str) -> DataFrame:
     new, rejected = maintenance.register_customers(t, supplier_requests(spark, path), AS_OF)
-    start = lifecycle.highest(t.customer, "customer_id")
+    start = lifecycle.first_free(t.customer, "customer_id")
     accepted = (new["customer"]
                 .join(new["income_details"].select("customer_id", "monthly_income"), "customer_id")
                 .join(new["address_details"].select("customer_id", "city"), "customer_id")
@@ -338,7 +337,7 @@ def _payment_stream(spark: SparkSession, path: str) -> DataFrame:
     """The order lines as a stream of payments."""
     lines = (spark.readStream.schema(star.SOURCE_COLUMNS["lineitem"])
              .option("pathGlobFilter", "lineitem.parquet").parquet(path))
-    return star.payments(star.instalments(lines))
+    return star.payments(lines)
 
 
 def _streamed_payments(spark: SparkSession, t: Tables, path: str) -> DataFrame:

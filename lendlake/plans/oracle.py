@@ -286,7 +286,7 @@ HAVING count(*) = count(*) FILTER (WHERE status = 'Paid')"""
 DUE_AND_OPEN = f"status <> 'Paid' AND due_date < DATE '{AS_OF}'"
 
 APPROVED = """
-SELECT application_id + 1 + (SELECT max(loan_id) FROM loan) AS loan_id, s.*, g.name AS backer,
+SELECT application_id + (SELECT max(loan_id) + 1 FROM loan) AS loan_id, s.*, g.name AS backer,
        g.phone AS backer_phone
 FROM scored s LEFT JOIN guarantor g ON g.loan_id = s.application_id
 WHERE s.score_value > 600 AND floor(s.default_score * 10000 + 0.5) < 4000"""
@@ -618,9 +618,9 @@ bad AS (SELECT loan_id, CAST(DATE '{AS_OF}' - min(due_date) AS INTEGER) AS overd
                sum(emi_amount) AS overdue_total
         FROM marked ANTI JOIN default_record USING (loan_id) WHERE status = 'Overdue'
         GROUP BY loan_id)
-SELECT loan_id, loan_id + (SELECT max(default_id) FROM default_record) AS default_id,
+SELECT loan_id, loan_id + (SELECT max(default_id) + 1 FROM default_record) AS default_id,
        DATE '{AS_OF}' AS default_date, overdue_days,
-       loan_id + (SELECT max(penalty_id) FROM penalty) AS penalty_id, {PENALTY} AS penalty_amount,
+       loan_id + (SELECT max(penalty_id) + 1 FROM penalty) AS penalty_id, {PENALTY} AS penalty_amount,
        'Defaulted' AS current_status,
        1 + (SELECT count(*) FROM loan_status_history h WHERE h.loan_id = bad.loan_id) AS log_rows
 FROM bad""",
@@ -629,14 +629,14 @@ SELECT loan_id, customer_id, CASE WHEN loan_id IN ({FULLY_PAID}) THEN 'Closed'
        ELSE current_status END AS current_status FROM loan""",
     "apply_status_changes_log": f"""
 SELECT * FROM loan_status_history UNION ALL
-SELECT loan_id + (SELECT max(status_history_id) FROM loan_status_history), loan_id, 'Closed',
+SELECT loan_id + (SELECT max(status_history_id) + 1 FROM loan_status_history), loan_id, 'Closed',
        DATE '{AS_OF}' FROM ({FULLY_PAID})""",
     "apply_payments": f"""
-SELECT * REPLACE (CASE WHEN {DUE_AND_OPEN} THEN 'Paid' ELSE status END AS status)
-FROM emi_schedule""",
+SELECT * REPLACE (CASE WHEN emi_id IN (SELECT emi_id FROM emi_schedule WHERE {DUE_AND_OPEN})
+                       THEN 'Paid' ELSE status END AS status) FROM emi_schedule""",
     "apply_payments_ledger": f"""
 SELECT * FROM repayment UNION ALL
-SELECT emi_id + (SELECT max(repayment_id) FROM repayment), emi_id,
+SELECT emi_id + (SELECT max(repayment_id) + 1 FROM repayment), emi_id,
        CAST(({cents("emi_amount")} + 1) // 2 AS DECIMAL(14,2)) / 100, DATE '{AS_OF}', 'UPI'
 FROM emi_schedule WHERE {DUE_AND_OPEN}""",
     "disburse_loans": f"""
@@ -661,7 +661,7 @@ WITH judged AS (
            row_number() OVER (PARTITION BY email ORDER BY request_id) AS email_turn
     FROM request WHERE phone IS NOT NULL AND phone NOT IN (SELECT phone FROM borrower)),
 good AS (SELECT * FROM judged WHERE phone_turn = 1 AND email_turn = 1)
-SELECT request_id, request_id + (SELECT max(customer_id) FROM borrower) AS customer_id, name,
+SELECT request_id, request_id + (SELECT max(customer_id) + 1 FROM borrower) AS customer_id, name,
        phone, email, monthly_income, city, 0 AS total_loans, NULL AS reason FROM good
 UNION ALL
 SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL,

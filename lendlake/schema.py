@@ -37,10 +37,13 @@ COLUMNS: dict[str, str] = {
 TABLES: tuple[str, ...] = tuple(COLUMNS)
 
 
+def column_types(table: str) -> dict[str, str]:
+    """Column names and types; a comma followed by a space ends a column."""
+    return dict(part.split(" ", 1) for part in COLUMNS[table].split(", "))
+
+
 def column_names(table: str) -> list[str]:
-    # DECIMAL(p,s) holds the only commas that do not separate columns.
-    parts = COLUMNS[table].replace(",2)", ".2)").split(", ")
-    return [p.split(" ")[0] for p in parts]
+    return list(column_types(table))
 
 
 # The primary key is always the first column.

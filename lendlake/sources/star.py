@@ -7,10 +7,12 @@ no derived table needs a self-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlake.schema import COLUMNS, column_names
+from lendlake.schema import column_names, column_types
 from lendlake.sources.tables import Tables
 
 SOURCE_COLUMNS = {
@@ -36,51 +38,131 @@ LOAN_TYPES = [
     (6, "Unused", "10.00", "100000"),
 ]
 
+# Column expressions over the source named first.
+CUSTOMER = {
+    "customer_id": "c_custkey",
+    "name": "c_name",
+    "dob": "DATE '1970-01-01'",
+    "phone": "concat('98', lpad(CAST(c_custkey AS STRING), 8, '0'))",
+    "email": "concat('c', CAST(c_custkey AS STRING), '@example.com')",
+    "created_at": "TIMESTAMP_NTZ '2024-01-01 00:00:00'",
+}
+INCOME = {
+    "income_id": "c_custkey",
+    "customer_id": "c_custkey",
+    "monthly_income": "15000 + (CAST(c_acctbal AS DECIMAL(12,2)) + 1000) * 20",
+    "employment_type": "CASE c_mktsegment WHEN 'MACHINERY' THEN 'Self-Employed' "
+                       "WHEN 'FURNITURE' THEN 'Business' WHEN 'HOUSEHOLD' THEN 'Retired' "
+                       "ELSE 'Salaried' END",
+    "company_name": "concat('Firm ', CAST(c_custkey % 97 AS STRING))",
+}
+ADDRESS = {
+    "address_id": "c_custkey",
+    "customer_id": "c_custkey",
+    "street": "concat(CAST(c_custkey % 500 AS STRING), ' Main St')",
+    "city": "n_name",
+    "zip_code": "lpad(CAST(c_custkey % 100000 AS STRING), 6, '0')",
+}
+LOAN = {
+    "loan_id": "o_orderkey",
+    "customer_id": "o_custkey",
+    "loan_type_id": "substr(o_orderpriority, 1, 1)",
+    "loan_amount": "o_totalprice",
+    "interest_rate": "7.5 + (o_orderkey % 5) * 0.25",
+    "tenure": "CASE o_orderkey % 6 WHEN 0 THEN 12 WHEN 1 THEN 24 WHEN 2 THEN 36 WHEN 3 THEN 60 "
+              "WHEN 4 THEN 120 ELSE 240 END",
+    "current_status": "CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN 'Defaulted' "
+                      "WHEN o_orderstatus = 'F' THEN 'Closed' ELSE 'Active' END",
+    "disbursed_date": "o_orderdate",
+}
+HISTORY = {
+    "history_id": "customer_id",
+    "customer_id": "customer_id",
+    "total_loans": "loans",
+    "total_defaults": "defaults",
+    "last_updated": "latest",
+}
+SCORE = {
+    "score_id": "event_id",
+    "customer_id": "user_id",
+    "score_value": "v",
+    "score_date": "ts",
+    "risk_id": "CASE WHEN v >= 751 THEN 1 WHEN v >= 601 THEN 2 ELSE 3 END",
+}
+STATUS_LOG = {
+    "status_history_id": "loan_id * 10 + k",
+    "loan_id": "loan_id",
+    "status_label": "CASE k WHEN 1 THEN 'Approved' WHEN 2 THEN 'Active' ELSE current_status END",
+    "change_date": "CASE WHEN k < 3 THEN disbursed_date ELSE date_add(disbursed_date, 365) END",
+}
+GUARANTOR = {
+    "guarantor_id": "loan_id",
+    "loan_id": "loan_id",
+    "name": "concat('Guarantor ', CAST(loan_id AS STRING))",
+    "phone": "CASE WHEN loan_id % 2 = 0 "
+             "THEN concat('97', lpad(CAST(loan_id AS STRING), 8, '0')) END",
+    "relationship": "CASE loan_id % 4 WHEN 0 THEN 'Spouse' WHEN 1 THEN 'Parent' "
+                    "WHEN 2 THEN 'Sibling' ELSE 'Friend' END",
+}
+INSTALMENT = {
+    "emi_id": "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey",
+    "loan_id": "l_orderkey",
+    "due_date": "l_shipdate",
+    "emi_amount": "l_extendedprice",
+    "status": "CASE l_returnflag WHEN 'A' THEN 'Paid' WHEN 'R' THEN 'Overdue' "
+              "ELSE 'Pending' END",
+}
+PAYMENT = {
+    "repayment_id": "emi_id",
+    "emi_id": "emi_id",
+    "paid_amount": "emi_amount",
+    "payment_date": "date_add(due_date, 2)",
+    "payment_mode": "CASE emi_id % 4 WHEN 0 THEN 'Online' WHEN 1 THEN 'UPI' "
+                    "WHEN 2 THEN 'Cheque' ELSE 'Cash' END",
+}
+DEFAULT = {
+    "default_id": "loan_id",
+    "loan_id": "loan_id",
+    "default_date": "date_add(disbursed_date, 365)",
+    "overdue_days": "30 + loan_id % 170",
+}
+PENALTY = {
+    "penalty_id": "loan_id",
+    "default_id": "loan_id",
+    "penalty_amount": "round(loan_amount * CAST(0.02 AS DECIMAL(4,2)) "
+                      "* greatest(1, CAST(floor((30 + loan_id % 170) / 30) AS INT)), 2)",
+    "penalty_date": "date_add(disbursed_date, 365 + 15)",
+}
+
+
+def derive(df: DataFrame, table: str, expressions: Mapping[str, str]) -> DataFrame:
+    """The table's columns in declared order, cast to their declared types."""
+    types = column_types(table)
+    return df.selectExpr(*[f"CAST({expressions[c]} AS {types[c]}) AS {c}"
+                           for c in column_names(table)])
+
 
 def catalogue(spark: SparkSession, table: str, rows: list[tuple]) -> DataFrame:
     """A literal table as a local relation, so its true size is known to the planner."""
+    names = column_names(table)
     values = ", ".join(str(r) for r in rows)
-    names = ", ".join(column_names(table))
-    return _typed(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"), table)
+    frame = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return derive(frame, table, {n: n for n in names})
 
 
 def source(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_COLUMNS[name]).parquet(f"{path}/{name}.parquet")
 
 
-def _typed(df: DataFrame, table: str) -> DataFrame:
-    """Cast to the declared column types, in the declared order."""
-    types = COLUMNS[table].replace(",2)", ".2)").split(", ")
-    casts = [F.col(n).cast(d.split(" ", 1)[1].replace(".2)", ",2)")).alias(n)
-             for n, d in zip(column_names(table), types)]
-    return df.select(*casts)
-
-
 def instalments(lines: DataFrame) -> DataFrame:
     """Schedule rows from order lines; also applied to a stream of order lines."""
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    status = (F.when(F.col("l_returnflag") == "A", "Paid")
-              .when(F.col("l_returnflag") == "R", "Overdue").otherwise("Pending"))
-    return _typed(lines.select(
-        ((line * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("emi_id"),
-        F.col("l_orderkey").alias("loan_id"),
-        F.col("l_shipdate").cast("date").alias("due_date"),
-        F.col("l_extendedprice").alias("emi_amount"),
-        status.alias("status"),
-    ), "emi_schedule")
-
-
-def payments(emis: DataFrame) -> DataFrame:
-    """One repayment, two days late, for every paid instalment."""
-    rest = F.col("emi_id") % 4
-    mode = (F.when(rest == 0, "Online").when(rest == 1, "UPI")
-            .when(rest == 2, "Cheque").otherwise("Cash"))
-    return _typed(emis.where(F.col("status") == "Paid").select(
-        F.col("emi_id").alias("repayment_id"), "emi_id",
-        F.col("emi_amount").alias("paid_amount"),
-        F.date_add("due_date", 2).alias("payment_date"),
-        mode.alias("payment_mode"),
-    ), "repayment")
+    return derive(lines, "emi_schedule", INSTALMENT)
+
+
+def payments(lines: DataFrame) -> DataFrame:
+    """One repayment, two days late, for every paid instalment. The condition is stated on the
+    source column, so it reaches the Parquet scan."""
+    return derive(instalments(lines.where("l_returnflag = 'A'")), "repayment", PAYMENT)
 
 
 def tables_from_star(spark: SparkSession, path: str) -> Tables:
@@ -88,122 +170,46 @@ def tables_from_star(spark: SparkSession, path: str) -> Tables:
     def src(name: str) -> DataFrame:
         return source(spark, path, name)
 
-    def risk_category() -> DataFrame:
-        return catalogue(spark, "risk_category", RISK_BANDS)
-
-    def loan_type() -> DataFrame:
-        return catalogue(spark, "loan_type", LOAN_TYPES)
-
-    def customer() -> DataFrame:
-        key = F.col("c_custkey").cast("string")
-        return _typed(src("customer").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"),
-            F.lit("1970-01-01").alias("dob"),
-            F.concat(F.lit("98"), F.lpad(key, 8, "0")).alias("phone"),
-            F.concat(F.lit("c"), key, F.lit("@example.com")).alias("email"),
-            F.lit("2024-01-01 00:00:00").alias("created_at"),
-        ), "customer")
-
-    def income_details() -> DataFrame:
-        segment = F.col("c_mktsegment")
-        income = F.lit(15000) + (F.col("c_acctbal").cast("decimal(12,2)") + 1000) * 20
-        kind = (F.when(segment == "MACHINERY", "Self-Employed")
-                .when(segment == "FURNITURE", "Business")
-                .when(segment == "HOUSEHOLD", "Retired").otherwise("Salaried"))
-        firm = F.concat(F.lit("Firm "), (F.col("c_custkey") % 97).cast("string"))
-        return _typed(src("customer").select(
-            F.col("c_custkey").alias("income_id"), F.col("c_custkey").alias("customer_id"),
-            income.alias("monthly_income"), kind.alias("employment_type"),
-            firm.alias("company_name"),
-        ), "income_details")
+    def loan() -> DataFrame:
+        return derive(src("orders"), "loan", LOAN)
+
+    def defaulted() -> DataFrame:
+        possible = src("orders").where("o_orderstatus = 'P'")
+        return derive(possible, "loan", LOAN).where("current_status = 'Defaulted'")
 
     def address_details() -> DataFrame:
-        homes = src("customer").join(src("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        street = F.concat((F.col("c_custkey") % 500).cast("string"), F.lit(" Main St"))
-        return _typed(homes.select(
-            F.col("c_custkey").alias("address_id"), F.col("c_custkey").alias("customer_id"),
-            street.alias("street"), F.col("n_name").alias("city"),
-            F.lpad((F.col("c_custkey") % 100000).cast("string"), 6, "0").alias("zip_code"),
-        ), "address_details")
-
-    def loan() -> DataFrame:
-        key, state = F.col("o_orderkey"), F.col("o_orderstatus")
-        months = F.element_at(F.array(*[F.lit(m) for m in (12, 24, 36, 60, 120, 240)]),
-                              (key % 6 + 1).cast("int"))
-        status = (F.when((state == "P") & (key % 5 == 0), "Defaulted")
-                  .when(state == "F", "Closed").otherwise("Active"))
-        rate = F.lit(7.5).cast("decimal(5,2)") + (key % 5) * F.lit(0.25).cast("decimal(5,2)")
-        return _typed(src("orders").select(
-            key.alias("loan_id"), F.col("o_custkey").alias("customer_id"),
-            F.substring("o_orderpriority", 1, 1).alias("loan_type_id"),
-            F.col("o_totalprice").alias("loan_amount"), rate.alias("interest_rate"),
-            months.alias("tenure"), status.alias("current_status"),
-            F.col("o_orderdate").alias("disbursed_date"),
-        ), "loan")
+        homes = src("customer").join(src("nation"), F.expr("c_nationkey = n_nationkey"))
+        return derive(homes, "address_details", ADDRESS)
 
     def credit_history() -> DataFrame:
-        defaulted = F.when(F.col("current_status") == "Defaulted", 1).otherwise(0)
-        return _typed(loan().groupBy("customer_id").agg(
-            F.count("*").alias("total_loans"), F.sum(defaulted).alias("total_defaults"),
-            F.max("disbursed_date").alias("last_updated"),
-        ).withColumn("history_id", F.col("customer_id")), "credit_history")
+        counted = loan().groupBy("customer_id").agg(
+            F.expr("count(*) AS loans"),
+            F.expr("count_if(current_status = 'Defaulted') AS defaults"),
+            F.expr("max(disbursed_date) AS latest"))
+        return derive(counted, "credit_history", HISTORY)
 
     def credit_score() -> DataFrame:
-        value = F.lit(300) + (F.col("event_id") * 7919) % 601
-        band = F.when(value >= 751, 1).when(value >= 601, 2).otherwise(3)
-        return _typed(src("events").select(
-            F.col("event_id").alias("score_id"), F.col("user_id").alias("customer_id"),
-            value.alias("score_value"), F.col("ts").alias("score_date"), band.alias("risk_id"),
-        ), "credit_score")
+        valued = src("events").selectExpr("*", "300 + (event_id * 7919) % 601 AS v")
+        return derive(valued, "credit_score", SCORE)
 
     def loan_status_history() -> DataFrame:
-        def step(k: int, label, date) -> Column:
-            return F.struct(F.lit(k).alias("k"), label.alias("status_label"),
-                            date.alias("change_date"))
-        start, end = F.col("disbursed_date"), F.date_add("disbursed_date", 365)
-        opened = [step(1, F.lit("Approved"), start), step(2, F.lit("Active"), start)]
-        steps = (F.when(F.col("current_status") == "Active", F.array(*opened))
-                 .otherwise(F.array(*opened, step(3, F.col("current_status"), end))))
-        return _typed(loan().select("loan_id", F.inline(steps)).withColumn(
-            "status_history_id", F.col("loan_id") * 10 + F.col("k")), "loan_status_history")
-
-    def guarantor() -> DataFrame:
-        key = F.col("loan_id")
-        tie = (F.when(key % 4 == 0, "Spouse").when(key % 4 == 1, "Parent")
-               .when(key % 4 == 2, "Sibling").otherwise("Friend"))
-        phone = F.when(key % 2 == 0, F.concat(F.lit("97"), F.lpad(key.cast("string"), 8, "0")))
-        return _typed(loan().where(key % 3 == 0).select(
-            key.alias("guarantor_id"), key,
-            F.concat(F.lit("Guarantor "), key.cast("string")).alias("name"),
-            phone.alias("phone"), tie.alias("relationship"),
-        ), "guarantor")
-
-    def emi_schedule() -> DataFrame:
-        return instalments(src("lineitem"))
-
-    def defaulted_loans() -> DataFrame:
-        return loan().where(F.col("current_status") == "Defaulted").select(
-            F.col("loan_id").alias("default_id"), "loan_id", "loan_amount",
-            F.date_add("disbursed_date", 365).alias("default_date"),
-            (F.lit(30) + F.col("loan_id") % 170).cast("int").alias("overdue_days"))
-
-    def default_record() -> DataFrame:
-        return _typed(defaulted_loans(), "default_record")
-
-    def penalty() -> DataFrame:
-        periods = F.greatest(F.lit(1), F.floor(F.col("overdue_days") / 30).cast("int"))
-        charge = F.round(F.col("loan_amount") * F.lit("0.02").cast("decimal(4,2)") * periods, 2)
-        return _typed(defaulted_loans().where(F.col("default_id") % 4 != 0).select(
-            F.col("default_id").alias("penalty_id"), "default_id",
-            charge.alias("penalty_amount"),
-            F.date_add("default_date", 15).alias("penalty_date"),
-        ), "penalty")
+        last = "CASE WHEN current_status = 'Active' THEN 2 ELSE 3 END"
+        steps = loan().selectExpr("*", f"explode(sequence(1, {last})) AS k")
+        return derive(steps, "loan_status_history", STATUS_LOG)
 
     return Tables({
-        "risk_category": risk_category, "loan_type": loan_type, "customer": customer,
-        "income_details": income_details, "address_details": address_details,
-        "credit_history": credit_history, "credit_score": credit_score, "loan": loan,
-        "loan_status_history": loan_status_history, "guarantor": guarantor,
-        "emi_schedule": emi_schedule, "repayment": lambda: payments(emi_schedule()),
-        "default_record": default_record, "penalty": penalty,
+        "risk_category": lambda: catalogue(spark, "risk_category", RISK_BANDS),
+        "loan_type": lambda: catalogue(spark, "loan_type", LOAN_TYPES),
+        "customer": lambda: derive(src("customer"), "customer", CUSTOMER),
+        "income_details": lambda: derive(src("customer"), "income_details", INCOME),
+        "address_details": address_details,
+        "credit_history": credit_history,
+        "credit_score": credit_score,
+        "loan": loan,
+        "loan_status_history": loan_status_history,
+        "guarantor": lambda: derive(loan().where("loan_id % 3 = 0"), "guarantor", GUARANTOR),
+        "emi_schedule": lambda: instalments(src("lineitem")),
+        "repayment": lambda: payments(src("lineitem")),
+        "default_record": lambda: derive(defaulted(), "default_record", DEFAULT),
+        "penalty": lambda: derive(defaulted().where("loan_id % 4 <> 0"), "penalty", PENALTY),
     })
