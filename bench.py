@@ -14,9 +14,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import SparkSession  # noqa: E402
-
 from lendlake.plans import catalog  # noqa: E402
+from lendlake.session import session  # noqa: E402
 
 HEADLINE = [
     "top_defaulters", "monthly_collections_by_mode", "score_trend", "loan_type_performance",
@@ -33,12 +32,9 @@ def main() -> None:
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-             .config("spark.sql.shuffle.partitions", cpus)
-             .config("spark.driver.memory", "12g")
-             .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    spark = session("bench", f"local[{cpus}]", **{
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.run("loan_status_breakdown", spark, path).write.format("noop").mode("overwrite").save()
     seconds = {}

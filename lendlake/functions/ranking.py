@@ -58,7 +58,7 @@ def dense_ranks_of_counts(rows: DataFrame, count: str, dense_rank: str) -> DataF
     """(count, DENSE_RANK) over a row count descending, to be joined back on ``count``.
 
     k distinct counts need at least k*(k+1)/2 counted rows, so 10**12 rows give at most 1.5
-    million distinct counts: one window task over the distinct counts is enough.
+    million distinct counts: one window task over them is enough, and they may be broadcast.
     """
     return rows.select(count).distinct().withColumn(
         dense_rank, F.row_number().over(Window.orderBy(F.desc(count))))

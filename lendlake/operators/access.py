@@ -21,10 +21,14 @@ def _only(df: DataFrame, column: str, value: int | None) -> DataFrame:
     return df if value is None else df.where(F.col(column) == value)
 
 
-def table_row_counts(t: Tables) -> DataFrame:
-    """Rows of each of the 14 tables."""
+# The tables the administration page counts.
+MAIN_TABLES = ("customer", "loan", "emi_schedule", "repayment", "default_record", "penalty")
+
+
+def table_row_counts(t: Tables, names: tuple[str, ...] = TABLES) -> DataFrame:
+    """Rows of each table; ``MAIN_TABLES`` gives the short form."""
     counts = [t[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-              for name in TABLES]
+              for name in names]
     return reduce(DataFrame.unionByName, counts)
 
 

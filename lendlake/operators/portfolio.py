@@ -248,7 +248,7 @@ def penalty_leaderboard(t: Tables) -> DataFrame:
     """Customers ranked by penalty sum, densely ranked by penalised defaults."""
     totals = _penalised_customers(t).withColumn("_cents", _cents("total_penalty"))
     return (totals.join(ranks_descending(totals, "_cents", rank="penalty_rank"), "_cents")
-            .join(dense_ranks_of_counts(totals, "default_count", "default_rank"),
+            .join(F.broadcast(dense_ranks_of_counts(totals, "default_count", "default_rank")),
                   "default_count")
             .join(t.customer.select("customer_id", "name"), "customer_id")
             .select("customer_id", "name", "default_count", "total_penalty", "penalty_rank",

@@ -39,11 +39,10 @@ def loans_as_applications(t: Tables) -> DataFrame:
         "tenure", "interest_rate")
 
 
-def application_features(t: Tables, applications: DataFrame) -> DataFrame:
-    """Applications with income, employment and counters of the customer.
+def _customer_details(t: Tables) -> DataFrame:
+    """One row per customer: income, employment and counters, with the form's defaults.
 
-    A missing or zero income and a missing or empty employment take the form's defaults. Should
-    a customer have several detail rows, the one with the lowest key counts.
+    Should a customer have several detail rows, the one with the lowest key counts.
     """
     detail = F.struct("monthly_income", "employment_type")
     income = t.income_details.groupBy("customer_id").agg(
@@ -51,21 +50,34 @@ def application_features(t: Tables, applications: DataFrame) -> DataFrame:
     counters = t.credit_history.groupBy("customer_id").agg(
         F.min_by("total_loans", "history_id").alias("_loans"),
         F.min_by("total_defaults", "history_id").alias("_defaults"))
-    details = t.customer.select("customer_id").join(income, "customer_id", "left").join(
-        counters, "customer_id", "left")
     employment = F.coalesce(F.nullif("_i.employment_type", F.lit("")),
                             F.lit(FALLBACK_EMPLOYMENT))
     monthly = F.nullif(F.col("_i.monthly_income"), F.lit(0).cast("decimal(12,2)"))
-    return applications.join(details, "customer_id").select(
-        "application_id", "customer_id",
-        F.coalesce(monthly, F.lit(FALLBACK_INCOME)).cast("double").alias("monthly_income"),
-        employment.alias("employment_type"),
-        employment_code(employment).alias("employment_enc"),
-        F.coalesce("_loans", F.lit(0)).alias("total_loans"),
-        F.coalesce("_defaults", F.lit(0)).alias("total_defaults"),
-        F.col("loan_amount").cast("double").alias("loan_amount"),
+    return (t.customer.select("customer_id").join(income, "customer_id", "left")
+            .join(counters, "customer_id", "left").select(
+                "customer_id",
+                F.coalesce(monthly, F.lit(FALLBACK_INCOME)).cast("double")
+                .alias("monthly_income"),
+                employment.alias("employment_type"),
+                employment_code(employment).alias("employment_enc"),
+                F.coalesce("_loans", F.lit(0)).alias("total_loans"),
+                F.coalesce("_defaults", F.lit(0)).alias("total_defaults")))
+
+
+def _with_details(applications: DataFrame, details: DataFrame) -> DataFrame:
+    """The only join many applications of one customer take part in, so that adaptive execution
+    is free to split it."""
+    terms = applications.select(
+        "application_id", "customer_id", F.col("loan_amount").cast("double").alias("loan_amount"),
         F.col("tenure").cast("int").alias("tenure"),
         F.col("interest_rate").cast("double").alias("interest_rate"))
+    return terms.join(details, "customer_id")
+
+
+def application_features(t: Tables, applications: DataFrame) -> DataFrame:
+    """Applications with income, employment and counters of the customer. A missing or zero
+    income and a missing or empty employment take the form's defaults."""
+    return _with_details(applications, _customer_details(t))
 
 
 def whole_score(value: Column) -> Column:
@@ -121,10 +133,10 @@ def days_overdue_by_customer(t: Tables) -> DataFrame:
 
 def scorecard(t: Tables, applications: DataFrame) -> DataFrame:
     """Features with the rule-based score, level, default score and flag."""
-    rows = (application_features(t, applications)
-            .join(days_overdue_by_customer(t), "customer_id", "left")
-            .fillna(0, ["overdue_days"])
-            .withColumn("score_value", rule_credit_score()))
+    details = (_customer_details(t)
+               .join(days_overdue_by_customer(t), "customer_id", "left")
+               .fillna(0, ["overdue_days"]))
+    rows = _with_details(applications, details).withColumn("score_value", rule_credit_score())
     score = F.col("score_value")
     return (rows.withColumn("risk_level", rule_risk_level(score))
             .withColumn("default_score", rule_default_score(score, F.col("overdue_days")))

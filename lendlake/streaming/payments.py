@@ -12,6 +12,7 @@ from lendlake.schema import COLUMNS, column_names
 from lendlake.sources.tables import Tables
 
 REPEAT_HORIZON = "7 days"
+SPREAD = 256
 BATCH = "batch_id"
 
 
@@ -25,11 +26,15 @@ def without_repeats(payments: DataFrame, horizon: str = REPEAT_HORIZON) -> DataF
 
     The watermark runs on arrival time, which the stream itself assigns and which never goes
     back, so no payment is late and none is lost; state older than the horizon is discarded.
+    Copies are first dropped within the input partition they arrive in, then across: one payment
+    sent a million times reaches its final state partition once per input partition.
     Repeats beyond the horizon are caught by the ledger check in ``take_in``.
     """
-    arrived = payments.withColumn("_arrived", F.current_timestamp())
+    arrived = (payments.withColumn("_arrived", F.current_timestamp())
+               .withColumn("_part", F.spark_partition_id() % SPREAD))
     return (arrived.withWatermark("_arrived", horizon)
-            .dropDuplicatesWithinWatermark(["repayment_id"]).drop("_arrived"))
+            .dropDuplicatesWithinWatermark(["repayment_id", "_part"])
+            .dropDuplicatesWithinWatermark(["repayment_id"]).drop("_arrived", "_part"))
 
 
 def take_in(batch: DataFrame, ledger: DataFrame) -> DataFrame:

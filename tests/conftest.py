@@ -7,24 +7,20 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from pyspark.sql import SparkSession  # noqa: E402
+from lendlake.session import session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (SparkSession.builder.master("local[4]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "4")
-               .config("spark.driver.memory", "4g")
-               .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-               .getOrCreate())
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    opened = session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    opened.sparkContext.setLogLevel("ERROR")
+    yield opened
+    opened.stop()
 
 
 @pytest.fixture(scope="session")

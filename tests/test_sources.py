@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 
 from lendlake.functions import workspace
@@ -32,6 +33,14 @@ def test_parquet_round_trip(spark, star, tmp_path):
         save_tables(again, str(tmp_path / "lake"))
 
 
+def test_saved_rows_of_an_owner_lie_together(spark, star, tmp_path):
+    save_tables(star, str(tmp_path / "lake"))
+    files = (tmp_path / "lake" / "emi_schedule").glob("*.parquet")
+    for file in files:
+        found = pq.read_table(file, columns=["loan_id"])["loan_id"].to_pylist()
+        assert found == sorted(found)
+
+
 def test_csv_export_is_ordered_and_reads_back(spark, tmp_path):
     t = micro(spark, customer=[customer(3), customer(1, 'Quote "a", b'), customer(2)],
               loan=[loan(1, 1, "0.10")])
@@ -40,6 +49,7 @@ def test_csv_export_is_ordered_and_reads_back(spark, tmp_path):
     assert rows(again.customer, "customer_id") == [(1,), (2,), (3,)]
     assert rows(again.loan, "loan_amount") == [(D("0.10"),)]
     assert dict(rows(access.table_row_counts(again)))["risk_category"] == 3
+    assert dict(rows(access.table_row_counts(again, access.MAIN_TABLES)))["customer"] == 3
 
 
 def test_only_known_tables_are_exported(spark, tmp_path):
