@@ -65,13 +65,20 @@ def _customer_details(t: Tables) -> DataFrame:
 
 
 def _with_details(applications: DataFrame, details: DataFrame) -> DataFrame:
-    """The only join many applications of one customer take part in, so that adaptive execution
-    is free to split it."""
+    """Applications with one row of details each.
+
+    A customer may have very many applications. Adaptive execution splits an oversized partition
+    only where both sides of the join come straight from a shuffle, but the details are already
+    partitioned by customer from the joins that made them. The second key, a function of the
+    first, makes Spark shuffle them once more; they are the small side.
+    """
     terms = applications.select(
         "application_id", "customer_id", F.col("loan_amount").cast("double").alias("loan_amount"),
         F.col("tenure").cast("int").alias("tenure"),
         F.col("interest_rate").cast("double").alias("interest_rate"))
-    return terms.join(details, "customer_id")
+    part = F.pmod(F.col("customer_id"), F.lit(1024)).alias("_part")
+    return (terms.select("*", part).join(details.select("*", part), ["customer_id", "_part"])
+            .drop("_part"))
 
 
 def application_features(t: Tables, applications: DataFrame) -> DataFrame:
