@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlake.functions.columns import mean_of, month_start, month_text
 from lendlake.functions.latest import newest_scores
+from lendlake.functions.ordering import report
 from lendlake.schema import KEY, SCORE_RANGE, TABLES
 from lendlake.sources.tables import Tables
 
@@ -21,6 +22,12 @@ def _only(df: DataFrame, column: str, value: int | None) -> DataFrame:
     return df if value is None else df.where(F.col(column) == value)
 
 
+def _in_order(df: DataFrame, value: int | None, *columns: Column | str) -> DataFrame:
+    """Sorted for one id; the rows of all ids stay where they are, a sort of the whole table
+    would serve nobody."""
+    return df if value is None else df.orderBy(*columns)
+
+
 # The tables the administration page counts.
 MAIN_TABLES = ("customer", "loan", "emi_schedule", "repayment", "default_record", "penalty")
 
@@ -50,13 +57,13 @@ def _contacts(t: Tables, customer_id: int | None) -> DataFrame:
         t.income_details.drop("income_id"), "customer_id", "left")
 
 
+@report("customer_id")
 def customer_directory(t: Tables) -> DataFrame:
     """Every customer with income and address."""
     address = t.address_details.select("customer_id", "city", "zip_code")
     return (_contacts(t, None).join(address, "customer_id", "left")
             .select("customer_id", "name", "phone", "email", "dob", "monthly_income",
-                    "employment_type", "company_name", "city", "zip_code")
-            .orderBy("customer_id"))
+                    "employment_type", "company_name", "city", "zip_code"))
 
 
 def customer_profile(t: Tables, customer_id: int | None = None) -> DataFrame:
@@ -84,9 +91,9 @@ def _banded_scores(t: Tables, customer_id: int | None = None) -> DataFrame:
 
 def score_history(t: Tables, customer_id: int | None = None) -> DataFrame:
     """Banded scores by date."""
-    return (_banded_scores(t, customer_id)
-            .select("customer_id", "score_id", "score_date", "score_value", "risk_level")
-            .orderBy("customer_id", F.asc_nulls_last("score_date"), "score_id"))
+    scores = _banded_scores(t, customer_id).select(
+        "customer_id", "score_id", "score_date", "score_value", "risk_level")
+    return _in_order(scores, customer_id, F.asc_nulls_last("score_date"), "score_id")
 
 
 def latest_score(t: Tables, customer_id: int | None = None) -> DataFrame:
@@ -105,6 +112,7 @@ def latest_score_all_ties(t: Tables) -> DataFrame:
             .select("customer_id", "score_id", "score_value", "risk_level"))
 
 
+@report("bin_start", "risk_level")
 def score_histogram(t: Tables, bins: int = 20) -> DataFrame:
     """Newest scores counted in equal bins over the score range, by level."""
     low, high = SCORE_RANGE
@@ -112,7 +120,7 @@ def score_histogram(t: Tables, bins: int = 20) -> DataFrame:
     number = F.least(F.floor((F.col("score_value") - low) / width), F.lit(bins - 1))
     return (latest_score_all_ties(t)
             .groupBy((number * width + low).alias("bin_start"), "risk_level")
-            .agg(F.count("*").alias("n")).orderBy("bin_start", "risk_level"))
+            .agg(F.count("*").alias("n")))
 
 
 def _typed_loans(t: Tables, loans: DataFrame) -> DataFrame:
@@ -124,15 +132,17 @@ LOAN_TERMS = ("loan_amount", "interest_rate", "tenure", "current_status", "disbu
 
 def customer_loans(t: Tables, customer_id: int | None = None) -> DataFrame:
     """Loans with their type."""
-    return (_typed_loans(t, _only(t.loan, "customer_id", customer_id))
-            .select("customer_id", "loan_id", "type_name", *LOAN_TERMS).orderBy("loan_id"))
+    loans = _typed_loans(t, _only(t.loan, "customer_id", customer_id)).select(
+        "customer_id", "loan_id", "type_name", *LOAN_TERMS)
+    return _in_order(loans, customer_id, "loan_id")
 
 
+@report("loan_id")
 def all_loans(t: Tables) -> DataFrame:
     """Loans with customer name and type."""
     names = t.customer.select("customer_id", F.col("name").alias("customer_name"))
     return (_typed_loans(t, t.loan).join(names, "customer_id")
-            .select("loan_id", "customer_name", "type_name", *LOAN_TERMS).orderBy("loan_id"))
+            .select("loan_id", "customer_name", "type_name", *LOAN_TERMS))
 
 
 def recent_loans(t: Tables, n: int = 10) -> DataFrame:
@@ -150,19 +160,18 @@ def emi_ledger(t: Tables, loan_id: int | None = None) -> DataFrame:
     """Instalments with their payments; 0 where nothing was paid."""
     paid = t.repayment.select("repayment_id", "emi_id", "paid_amount", "payment_date",
                               "payment_mode")
-    return (_only(t.emi_schedule, "loan_id", loan_id).join(paid, "emi_id", "left")
-            .select("loan_id", "emi_id", "due_date", "emi_amount", "status",
-                    F.coalesce("paid_amount", F.lit(0)).cast("decimal(12,2)")
-                    .alias("paid_amount"),
-                    "payment_date", "payment_mode", "repayment_id")
-            .orderBy("loan_id", "due_date", "emi_id", "repayment_id").drop("repayment_id"))
+    rows = _only(t.emi_schedule, "loan_id", loan_id).join(paid, "emi_id", "left").select(
+        "loan_id", "emi_id", "due_date", "emi_amount", "status",
+        F.coalesce("paid_amount", F.lit(0)).cast("decimal(12,2)").alias("paid_amount"),
+        "payment_date", "payment_mode", "repayment_id")
+    return _in_order(rows, loan_id, "due_date", "emi_id", "repayment_id").drop("repayment_id")
 
 
 def overdue_emis(t: Tables, loan_id: int | None = None) -> DataFrame:
     """Overdue instalments by due date."""
-    return (_only(t.emi_schedule, "loan_id", loan_id).where(F.col("status") == "Overdue")
-            .select("loan_id", "emi_id", "due_date", "emi_amount")
-            .orderBy("loan_id", "due_date", "emi_id"))
+    late = (_only(t.emi_schedule, "loan_id", loan_id).where(F.col("status") == "Overdue")
+            .select("loan_id", "emi_id", "due_date", "emi_amount"))
+    return _in_order(late, loan_id, "due_date", "emi_id")
 
 
 def payable_emis(t: Tables, loan_id: int | None = None) -> DataFrame:
@@ -240,6 +249,7 @@ def portfolio_kpis(t: Tables) -> DataFrame:
         pick("penalties").cast("decimal(38,2)").alias("penalties_collected"))
 
 
+@report("loan_count desc", "risk_level")
 def loans_by_risk(t: Tables) -> DataFrame:
     """Loans and their sum by the level of the customer's newest score, 'Unknown' without one."""
     per_customer = t.loan.groupBy("customer_id").agg(
@@ -251,8 +261,7 @@ def loans_by_risk(t: Tables) -> DataFrame:
             .groupBy("risk_level").agg(
                 F.sum("loans").alias("loan_count"), F.sum("amount").alias("total_amount"))
             .select(F.coalesce("risk_level", F.lit("Unknown")).alias("risk_level"),
-                    "loan_count", "total_amount")
-            .orderBy(F.desc("loan_count"), "risk_level"))
+                    "loan_count", "total_amount"))
 
 
 def _repayment_months(t: Tables) -> DataFrame:
@@ -261,13 +270,15 @@ def _repayment_months(t: Tables) -> DataFrame:
         F.count("repayment_id").alias("payment_count"))
 
 
+@report("month")
 def monthly_repayments(t: Tables) -> DataFrame:
     """Collected sum and payments by month."""
     return _repayment_months(t).select(
         month_text("_month").alias("month"), "total_collected", "payment_count",
-    ).orderBy(F.asc_nulls_last("month"))
+    )
 
 
+@report("month")
 def monthly_repayments_rolling(t: Tables) -> DataFrame:
     """With the mean of up to three months. The window runs over one row per month."""
     last_three = Window.orderBy(F.asc_nulls_last("_month")).rowsBetween(-2, 0)
@@ -275,7 +286,7 @@ def monthly_repayments_rolling(t: Tables) -> DataFrame:
                    F.count("total_collected").over(last_three))
     return _repayment_months(t).select(
         month_text("_month").alias("month"), "total_collected", "payment_count",
-        mean.alias("rolling_avg")).orderBy(F.asc_nulls_last("month"))
+        mean.alias("rolling_avg"))
 
 
 DEFAULTER_SORTS = ("overdue_days", "penalty_amount", "loan_amount")

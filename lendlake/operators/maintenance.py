@@ -188,8 +188,7 @@ def status_timeline(t: Tables, block_rows: int | None = None) -> DataFrame:
         {"previous_status": lambda w: F.lag("status_label").over(w),
          "days_since_previous":
              lambda w: F.datediff("change_date", F.lag("change_date").over(w))},
-        reach=1, **size,
-    ).orderBy("loan_id", F.asc_nulls_last("change_date"), "status_history_id")
+        reach=1, **size)
 
 
 # --- validation ------------------------------------------------------------------------------
@@ -210,45 +209,65 @@ def _row_rules(table: str) -> dict[str, Column]:
     return rules
 
 
-def _violations(table: str, rule: str, bad: DataFrame) -> DataFrame:
-    return bad.agg(F.count("*").alias("n")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "n")
+def _as_rows(counted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """One row (table_name, rule, n) for each (table, rule), counted in columns r0, r1, ..."""
+    entries = ", ".join(f"struct('{owner}' AS table_name, '{rule}' AS rule, "
+                        f"coalesce(r{i}, 0L) AS n)" for i, (owner, rule) in enumerate(rules))
+    return counted.selectExpr(f"inline(array({entries}))")
 
 
-def validate_tables(t: Tables) -> DataFrame:
-    """Violations of every declared rule: (table_name, rule, n).
+def _row_violations(t: Tables, table: str) -> DataFrame:
+    """All row rules of a table, counted in one pass over it."""
+    rules = _row_rules(table)
+    counted = t[table].agg(*[count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])
+    return _as_rows(counted, [(table, rule) for rule in rules])
+
 
-    All row rules of a table are counted in one pass over it. Uniqueness and references are
-    aggregates and anti-joins, so nothing is held per group.
+def _key_violations(t: Tables, parent: str) -> DataFrame:
+    """Repeated keys of a table and orphans in every table that refers to it.
+
+    Parent keys and references are stacked and counted by key: one shuffle of combined counts
+    answers all rules about the key, and no key is ever a hot join key.
     """
-    parts: list[DataFrame] = []
-    for table in TABLES:
-        rules = _row_rules(table)
-        counted = t[table].agg(*[count_if(bad).alias(f"r{i}")
-                                 for i, bad in enumerate(rules.values())])
-        entries = F.array(*[
-            F.struct(F.lit(table).alias("table_name"), F.lit(name).alias("rule"),
-                     F.col(f"r{i}").alias("n")) for i, name in enumerate(rules)])
-        parts.append(counted.select(F.inline(entries)))
-        for column in (KEY[table], *UNIQUE.get(table, ())):
-            repeated = (t[table].where(F.col(column).isNotNull()).groupBy(column)
-                        .agg(F.count("*").alias("k")).where(F.col("k") > 1))
-            parts.append(_violations(table, f"{column} unique", repeated))
-    for ref in REFERENCES:
-        parents = t[ref.parent].select(F.col(KEY[ref.parent]).alias(ref.column))
-        # Counting children by key first leaves one row per key to compare.
-        children = (t[ref.child].where(F.col(ref.column).isNotNull())
-                    .groupBy(ref.column).agg(F.count("*").alias("k")))
-        orphans = children.join(parents, ref.column, "left_anti")
-        parts.append(orphans.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).select(
-            F.lit(ref.child).alias("table_name"),
-            F.lit(f"{ref.column} refers to {ref.parent}").alias("rule"), "n"))
+    key = KEY[parent]
+    references = [r for r in REFERENCES if r.parent == parent]
+    marked = [t[parent].select(F.col(key).alias("_key"), F.lit(0).alias("_from"))]
+    marked += [t[r.child].select(F.col(r.column).alias("_key"), F.lit(i).alias("_from"))
+               for i, r in enumerate(references, 1)]
+    per_key = (reduce(DataFrame.unionByName, marked).where(F.col("_key").isNotNull())
+               .groupBy("_key").agg(*[count_if(F.col("_from") == i).alias(f"k{i}")
+                                      for i in range(len(marked))]))
+    missing = F.col("k0") == 0
+    counted = per_key.agg(
+        count_if(F.col("k0") > 1).alias("r0"),
+        *[F.sum(F.when(missing, F.col(f"k{i}"))).alias(f"r{i}")
+          for i in range(1, len(marked))])
+    return _as_rows(counted, [
+        (parent, f"{key} unique"),
+        *[(r.child, f"{r.column} refers to {parent}") for r in references]])
+
+
+def _repeated_values(t: Tables, table: str, column: str) -> DataFrame:
+    repeated = (t[table].where(F.col(column).isNotNull()).groupBy(column)
+                .agg(F.count("*").alias("k")).agg(count_if(F.col("k") > 1).alias("r0")))
+    return _as_rows(repeated, [(table, f"{column} unique")])
+
+
+def _band_mismatches(t: Tables) -> DataFrame:
     expected = score_bands(t.risk_category).withColumnRenamed("risk_id", "_expected")
-    mismatched = (t.credit_score.select("score_value", "risk_id")
-                  .join(F.broadcast(expected), "score_value", "left")
-                  .where(~F.col("risk_id").eqNullSafe(F.col("_expected"))))
-    parts.append(_violations("credit_score", "risk_id fits score_value", mismatched))
-    return reduce(DataFrame.unionByName, parts)
+    counted = (t.credit_score.select("score_value", "risk_id")
+               .join(F.broadcast(expected), "score_value", "left")
+               .agg(count_if(~F.col("risk_id").eqNullSafe(F.col("_expected"))).alias("r0")))
+    return _as_rows(counted, [("credit_score", "risk_id fits score_value")])
+
+
+def validate_tables(t: Tables) -> DataFrame:
+    """Violations of every declared rule: (table_name, rule, n)."""
+    parts = [_row_violations(t, table) for table in TABLES]
+    parts += [_key_violations(t, table) for table in TABLES]
+    parts += [_repeated_values(t, table, column)
+              for table, columns in UNIQUE.items() for column in columns]
+    return reduce(DataFrame.unionByName, [*parts, _band_mismatches(t)])
 
 
 def _failed(rules: dict[str, Column]) -> Column:

@@ -22,6 +22,7 @@ from lendlake.functions.columns import (
     sum_if,
 )
 from lendlake.functions.latest import newest_scores
+from lendlake.functions.ordering import report
 from lendlake.functions.ranking import dense_ranks_of_counts, ranks_descending
 from lendlake.functions.sequences import look_back
 from lendlake.sources.tables import Tables
@@ -37,6 +38,7 @@ def _with_customer(t: Tables, loan_rows: DataFrame) -> DataFrame:
     return loan_rows.join(t.loan.select("loan_id", "customer_id"), "loan_id")
 
 
+@report("total_defaults desc", "total_overdue_days desc nulls first", "customer_id")
 def top_defaulters(t: Tables) -> DataFrame:
     """Customers with defaults: how many, days overdue, penalties, newest score.
 
@@ -54,11 +56,10 @@ def top_defaulters(t: Tables) -> DataFrame:
             .join(scores, "customer_id", "left")
             .select("customer_id", "name", "phone", "total_defaults", "total_overdue_days",
                     F.coalesce("penalty_sum", F.lit(0)).alias("total_penalty_paid"),
-                    "latest_credit_score")
-            .orderBy(F.desc("total_defaults"), F.desc_nulls_first("total_overdue_days"),
-                     "customer_id"))
+                    "latest_credit_score"))
 
 
+@report("collection_month")
 def monthly_collections_by_mode(t: Tables) -> DataFrame:
     """Payments by month: count, sum, mean, and the online and UPI parts (NULL if none)."""
     mode = F.col("payment_mode")
@@ -71,7 +72,7 @@ def monthly_collections_by_mode(t: Tables) -> DataFrame:
         month_text("_month").alias("collection_month"), "payments_count", "total_collected",
         mean_of(F.col("total_collected"), F.col("payments_count")).alias("avg_emi_paid"),
         "online_collected", "upi_collected",
-    ).orderBy(F.asc_nulls_last("collection_month"))
+    )
 
 
 def _scores_in_sequence(t: Tables, block_rows: int | None) -> DataFrame:
@@ -87,6 +88,7 @@ def _scores_in_sequence(t: Tables, block_rows: int | None) -> DataFrame:
         reach=2, **size)
 
 
+@report("customer_id", "score_date", "score_id")
 def score_trend(t: Tables, block_rows: int | None = None) -> DataFrame:
     """Each banded score with its 3-row moving average, change and level."""
     named = _scores_in_sequence(t, block_rows).join(
@@ -94,9 +96,10 @@ def score_trend(t: Tables, block_rows: int | None = None) -> DataFrame:
     return named.select(
         "customer_id", "score_id", "name", "score_date", "score_value",
         F.round("rolling_avg", 2).alias("rolling_avg_score"), "score_change", "risk_level",
-    ).orderBy("customer_id", F.asc_nulls_last("score_date"), "score_id")
+    )
 
 
+@report("customer_id", "score_date", "score_id")
 def score_trend_raw(t: Tables, block_rows: int | None = None) -> DataFrame:
     """The short form: unrounded average, no change or level; unbanded scores count too."""
     value = F.col("score_value")
@@ -107,7 +110,7 @@ def score_trend_raw(t: Tables, block_rows: int | None = None) -> DataFrame:
         {"rolling_avg": lambda w: F.avg(value).over(w.rowsBetween(-2, 0))}, reach=2, **size)
     return rolled.join(t.customer.select("customer_id", "name"), "customer_id").select(
         "customer_id", "score_id", "name", "score_date", "score_value", "rolling_avg",
-    ).orderBy("customer_id", F.asc_nulls_last("score_date"), "score_id")
+    )
 
 
 def _loans_by_type(t: Tables) -> DataFrame:
@@ -125,6 +128,7 @@ def _loans_by_type(t: Tables) -> DataFrame:
             .join(per_type, "loan_type_id", "left").fillna(0, counts))
 
 
+@report("total_disbursed desc nulls first", "type_name")
 def loan_type_performance(t: Tables) -> DataFrame:
     """Loans by type and status, share not defaulted, mean and total amount; no type is dropped."""
     return _loans_by_type(t).select(
@@ -133,9 +137,10 @@ def loan_type_performance(t: Tables) -> DataFrame:
         percentage(F.col("sound"), F.col("loans")).alias("success_rate_pct"),
         F.round(mean_of(F.col("amount"), F.col("loans")), 2).alias("avg_loan_amount"),
         F.col("amount").alias("total_disbursed"),
-    ).orderBy(F.desc_nulls_first("total_disbursed"), "type_name")
+    )
 
 
+@report("total_exposure desc", "type_name")
 def loan_type_exposure(t: Tables) -> DataFrame:
     """Loans, exposure (0 if none), mean rate and defaulted loans by type."""
     return _loans_by_type(t).select(
@@ -143,15 +148,16 @@ def loan_type_exposure(t: Tables) -> DataFrame:
         F.coalesce("amount", F.lit(0)).alias("total_exposure"),
         F.round(mean_of(F.col("rate_sum"), F.col("loans")), 2).alias("avg_rate"),
         F.col("defaulted").alias("defaults"),
-    ).orderBy(F.desc_nulls_last("total_exposure"), "type_name")
+    )
 
 
+@report("total_disbursed desc", "type_name")
 def portfolio_summary(t: Tables) -> DataFrame:
     """Loans, disbursed sum (NULL if none) and mean rate by type."""
     return _loans_by_type(t).select(
         "type_name", "loans", F.col("amount").alias("total_disbursed"),
         F.round(mean_of(F.col("rate_sum"), F.col("loans")), 2).alias("avg_rate"),
-    ).orderBy(F.desc_nulls_last("total_disbursed"), "type_name")
+    )
 
 
 def _eligible(t: Tables, min_score: int, min_income: int) -> DataFrame:
@@ -167,6 +173,7 @@ def _eligible(t: Tables, min_score: int, min_income: int) -> DataFrame:
             .join(t.customer.select("customer_id", "name"), "customer_id"))
 
 
+@report("credit_score desc", "customer_id")
 def eligible_customers(t: Tables, min_score: int = 600, min_income: int = 30000) -> DataFrame:
     """Who may borrow again, with level and number of active loans."""
     active = (t.loan.where(F.col("current_status") == "Active")
@@ -177,17 +184,18 @@ def eligible_customers(t: Tables, min_score: int = 600, min_income: int = 30000)
     shown = ["customer_id", "name", "monthly_income", "employment_type", "credit_score",
              "risk_level", "total_defaults"]
     return (rows.groupBy(*shown)
-            .agg(F.sum(F.coalesce("active_loans", F.lit(0))).alias("active_loans"))
-            .orderBy(F.desc("credit_score"), "customer_id"))
+            .agg(F.sum(F.coalesce("active_loans", F.lit(0))).alias("active_loans")))
 
 
+@report("score_value desc", "customer_id")
 def eligible_simple(t: Tables, min_score: int = 600, min_income: int = 30000) -> DataFrame:
     """The short form without level and loan counts."""
     return _eligible(t, min_score, min_income).select(
         "customer_id", "name", "monthly_income", F.col("credit_score").alias("score_value"),
-    ).orderBy(F.desc("score_value"), "customer_id")
+    )
 
 
+@report("risk_level")
 def risk_distribution(t: Tables) -> DataFrame:
     """Customers, loans, exposure and mean rate by the level of the newest score."""
     loans = t.loan.groupBy("customer_id").agg(
@@ -203,7 +211,7 @@ def risk_distribution(t: Tables) -> DataFrame:
     return levels.select(
         "risk_level", "customer_count", "loan_count", "total_exposure",
         F.round(mean_of(F.col("rate_sum"), F.col("loan_count")), 2).alias("avg_interest_rate"),
-    ).orderBy("risk_level")
+    )
 
 
 def instalment_counts(t: Tables) -> DataFrame:
@@ -220,6 +228,7 @@ def loans_with_instalment_counts(t: Tables) -> DataFrame:
     return t.loan.join(instalment_counts(t), "loan_id", "left").fillna(0, counts)
 
 
+@report("repayment_pct", "loan_id")
 def emi_status_summary(t: Tables) -> DataFrame:
     """Instalments of every loan by status and the paid share (NULL without instalments)."""
     rows = (loans_with_instalment_counts(t)
@@ -229,7 +238,7 @@ def emi_status_summary(t: Tables) -> DataFrame:
         "loan_id", F.col("name").alias("customer_name"), F.col("type_name").alias("loan_type"),
         "loan_amount", "total_emis", "paid_emis", "overdue_emis", "pending_emis",
         percentage(F.col("paid_emis"), F.col("total_emis")).alias("repayment_pct"),
-    ).orderBy(F.asc_nulls_last("repayment_pct"), "loan_id")
+    )
 
 
 def _penalised_customers(t: Tables) -> DataFrame:
@@ -244,6 +253,7 @@ def _cents(amount: str) -> Column:
     return (F.col(amount) * 100).cast("bigint")
 
 
+@report("penalty_rank", "customer_id")
 def penalty_leaderboard(t: Tables) -> DataFrame:
     """Customers ranked by penalty sum, densely ranked by penalised defaults."""
     totals = _penalised_customers(t).withColumn("_cents", _cents("total_penalty"))
@@ -252,10 +262,10 @@ def penalty_leaderboard(t: Tables) -> DataFrame:
                   "default_count")
             .join(t.customer.select("customer_id", "name"), "customer_id")
             .select("customer_id", "name", "default_count", "total_penalty", "penalty_rank",
-                    "default_rank")
-            .orderBy("penalty_rank", "customer_id"))
+                    "default_rank"))
 
 
+@report("rank", "name")
 def penalty_rank_by_name(t: Tables) -> DataFrame:
     """Penalty sum and rank by name alone: customers of the same name are one row."""
     totals = (_penalised_customers(t)
@@ -263,7 +273,7 @@ def penalty_rank_by_name(t: Tables) -> DataFrame:
               .groupBy("name").agg(F.sum("total_penalty").alias("total_penalty"))
               .withColumn("_cents", _cents("total_penalty")))
     return (totals.join(ranks_descending(totals, "_cents", rank="rank"), "_cents")
-            .select("name", "total_penalty", "rank").orderBy("rank", "name"))
+            .select("name", "total_penalty", "rank"))
 
 
 def _income_capacity(t: Tables, borrowed: Column) -> DataFrame:
@@ -294,9 +304,10 @@ def _income_capacity(t: Tables, borrowed: Column) -> DataFrame:
         F.round(average.cast("decimal(30,14)") * 100
                 / F.nullif(income, F.lit(0).cast("decimal(12,2)")), 2)
         .alias("emi_to_income_pct"),
-    ).orderBy(F.desc_nulls_last("loan_to_income_ratio"), "customer_id")
+    )
 
 
+@report("loan_to_income_ratio desc", "customer_id")
 def income_capacity(t: Tables) -> DataFrame:
     """Borrowing against income, as the reference computes it: the amount of an active loan
     counts once for each of its instalments. ``income_capacity_exact`` counts it once."""
@@ -304,6 +315,7 @@ def income_capacity(t: Tables) -> DataFrame:
     return _income_capacity(t, F.col("loan_amount") * times)
 
 
+@report("loan_to_income_ratio desc", "customer_id")
 def income_capacity_exact(t: Tables) -> DataFrame:
     """Borrowing against income with every active loan counted once."""
     return _income_capacity(t, F.col("loan_amount"))
@@ -316,6 +328,7 @@ def _paid_by_loan(t: Tables) -> DataFrame:
     return paid.join(t.emi_schedule.select("emi_id", "loan_id"), "emi_id").drop("emi_id")
 
 
+@report("name", "month", "customer_id", "loan_amount")
 def cumulative_repayment(t: Tables) -> DataFrame:
     """Monthly repayments and the customer's running total, set against one loan amount.
 
@@ -340,9 +353,10 @@ def cumulative_repayment(t: Tables) -> DataFrame:
         "customer_id", "name", month_text("_month").alias("month"), "loan_amount",
         "monthly_repayment", "cumulative_repaid",
         (F.col("loan_amount") - F.col("cumulative_repaid")).alias("estimated_outstanding"),
-    ).orderBy("name", F.asc_nulls_last("month"), "customer_id", "loan_amount")
+    )
 
 
+@report("name", "month", "customer_id", "loan_id")
 def cumulative_repayment_by_loan(t: Tables) -> DataFrame:
     """Monthly repayments, running total and remainder of each single loan."""
     running = Window.partitionBy("loan_id").orderBy(F.asc_nulls_last("_month"))
@@ -355,9 +369,10 @@ def cumulative_repayment_by_loan(t: Tables) -> DataFrame:
         "customer_id", "name", "loan_id", month_text("_month").alias("month"), "loan_amount",
         F.col("paid").alias("monthly_repayment"), "cumulative_repaid",
         (F.col("loan_amount") - F.col("cumulative_repaid")).alias("outstanding"),
-    ).orderBy("name", F.asc_nulls_last("month"), "customer_id", "loan_id")
+    )
 
 
+@report("defaults desc", "customer_id")
 def top_defaulters_simple(t: Tables) -> DataFrame:
     """The short form: defaults and days overdue only, each default counted once."""
     per_customer = _with_customer(
@@ -365,13 +380,12 @@ def top_defaulters_simple(t: Tables) -> DataFrame:
     ).groupBy("customer_id").agg(
         F.count("default_id").alias("defaults"), F.sum("overdue_days").alias("total_overdue"))
     return (per_customer.join(t.customer.select("customer_id", "name"), "customer_id")
-            .select("customer_id", "name", "defaults", "total_overdue")
-            .orderBy(F.desc("defaults"), "customer_id"))
+            .select("customer_id", "name", "defaults", "total_overdue"))
 
 
+@report("month")
 def collections_simple(t: Tables) -> DataFrame:
     """The short form: collected sum by month."""
     return (t.repayment.groupBy(month_start("payment_date").alias("_month"))
             .agg(F.sum("paid_amount").alias("total"))
-            .select(month_text("_month").alias("month"), "total")
-            .orderBy(F.asc_nulls_last("month")))
+            .select(month_text("_month").alias("month"), "total"))

@@ -147,7 +147,7 @@ def test_ledger_counts_part_payments_twice(spark):
               emi_schedule=[emi(1, 1, "2024-02-01", status="Paid"), emi(2, 1, "2024-03-01")],
               repayment=[(1, 1, D("60.00"), d("2024-02-01"), "UPI"),
                          (2, 1, D("40.00"), d("2024-02-02"), "UPI")])
-    assert rows(access.emi_ledger(t), "emi_id", "paid_amount") == [
+    assert rows(access.emi_ledger(t, 1), "emi_id", "paid_amount") == [
         (1, D("60.00")), (1, D("40.00")), (2, D("0.00"))]
     assert rows(access.repayment_progress(t), "paid", "total") == [(2, 3)]
     assert rows(access.payable_emis(t, 1), "emi_id") == [(2,)]
