@@ -157,7 +157,8 @@ def close_instalments(emis: DataFrame, payments: DataFrame) -> DataFrame:
 def apply_payments(t: Tables, payments: DataFrame) -> Tables:
     """Record payments and close their instalments, even if paid in part.
 
-    ``payments``: request_id (unique, not negative), emi_id, paid_amount, payment_date, payment_mode.
+    ``payments``: request_id (unique, not negative), emi_id, paid_amount, payment_date and
+    payment_mode.
     """
     rows = payments.select(
         (first_free(t.repayment, "repayment_id") + F.col("request_id")).alias("repayment_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import score_bands
-from lendlake.functions.columns import blank_to_null, count_if
+from lendlake.functions.columns import blank_to_null
 from lendlake.functions.keys import first_free
 from lendlake.functions.sequences import look_back
 from lendlake.functions.workspace import checkpointed
@@ -193,22 +193,26 @@ def status_timeline(t: Tables, block_rows: int | None = None) -> DataFrame:
 
 # --- validation ------------------------------------------------------------------------------
 
-def _row_rules(table: str) -> dict[str, Column]:
-    """Conditions a bad row of the table meets."""
-    rules: dict[str, Column] = {}
+def _row_rules(table: str) -> dict[str, str]:
+    """Conditions, as SQL, that a bad row of the table meets."""
+    rules: dict[str, str] = {}
     references = [r.column for r in REFERENCES if r.child == table and not r.nullable]
     for column in (KEY[table], *references, *REQUIRED.get(table, ())):
-        rules[f"{column} not null"] = F.col(column).isNull()
+        rules[f"{column} not null"] = f"{column} IS NULL"
     for name, condition in CHECKS.get(table, {}).items():
-        rules[name] = ~F.expr(condition)
+        rules[name] = f"NOT ({condition})"
     for (owner, column), words in DOMAINS.items():
         if owner == table:
-            rules[f"{column} in domain"] = ~F.col(column).isin(*words)
+            rules[f"{column} in domain"] = f"{column} NOT IN {words}"
     for column, longest in MAX_LENGTH.get(table, {}).items():
-        rules[f"{column} length"] = F.length(column) > longest
+        rules[f"{column} length"] = f"length({column}) > {longest}"
     return rules
 
 
+def _counts(*named: str) -> list[Column]:
+    return [F.expr(text) for text in named]
+
+
 def _as_rows(counted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """One row (table_name, rule, n) for each (table, rule), counted in columns r0, r1, ..."""
     entries = ", ".join(f"struct('{owner}' AS table_name, '{rule}' AS rule, "
@@ -219,7 +223,8 @@ def _as_rows(counted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 def _row_violations(t: Tables, table: str) -> DataFrame:
     """All row rules of a table, counted in one pass over it."""
     rules = _row_rules(table)
-    counted = t[table].agg(*[count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])
+    counted = t[table].agg(*_counts(*[f"count_if({bad}) AS r{i}"
+                                      for i, bad in enumerate(rules.values())]))
     return _as_rows(counted, [(table, rule) for rule in rules])
 
 
@@ -231,25 +236,24 @@ def _key_violations(t: Tables, parent: str) -> DataFrame:
     """
     key = KEY[parent]
     references = [r for r in REFERENCES if r.parent == parent]
-    marked = [t[parent].select(F.col(key).alias("_key"), F.lit(0).alias("_from"))]
-    marked += [t[r.child].select(F.col(r.column).alias("_key"), F.lit(i).alias("_from"))
+    marked = [t[parent].selectExpr(f"{key} AS _key", "0 AS _from")]
+    marked += [t[r.child].selectExpr(f"{r.column} AS _key", f"{i} AS _from")
                for i, r in enumerate(references, 1)]
-    per_key = (reduce(DataFrame.unionByName, marked).where(F.col("_key").isNotNull())
-               .groupBy("_key").agg(*[count_if(F.col("_from") == i).alias(f"k{i}")
-                                      for i in range(len(marked))]))
-    missing = F.col("k0") == 0
-    counted = per_key.agg(
-        count_if(F.col("k0") > 1).alias("r0"),
-        *[F.sum(F.when(missing, F.col(f"k{i}"))).alias(f"r{i}")
-          for i in range(1, len(marked))])
+    children = range(1, len(marked))
+    per_key = (reduce(DataFrame.unionByName, marked).where("_key IS NOT NULL").groupBy("_key")
+               .agg(*_counts("count_if(_from = 0) AS k0",
+                             *[f"count_if(_from = {i}) AS k{i}" for i in children])))
+    counted = per_key.agg(*_counts(
+        "count_if(k0 > 1) AS r0",
+        *[f"sum(CASE WHEN k0 = 0 THEN k{i} END) AS r{i}" for i in children]))
     return _as_rows(counted, [
         (parent, f"{key} unique"),
         *[(r.child, f"{r.column} refers to {parent}") for r in references]])
 
 
 def _repeated_values(t: Tables, table: str, column: str) -> DataFrame:
-    repeated = (t[table].where(F.col(column).isNotNull()).groupBy(column)
-                .agg(F.count("*").alias("k")).agg(count_if(F.col("k") > 1).alias("r0")))
+    repeated = (t[table].where(f"{column} IS NOT NULL").groupBy(column)
+                .agg(*_counts("count(*) AS k")).agg(*_counts("count_if(k > 1) AS r0")))
     return _as_rows(repeated, [(table, f"{column} unique")])
 
 
@@ -257,7 +261,7 @@ def _band_mismatches(t: Tables) -> DataFrame:
     expected = score_bands(t.risk_category).withColumnRenamed("risk_id", "_expected")
     counted = (t.credit_score.select("score_value", "risk_id")
                .join(F.broadcast(expected), "score_value", "left")
-               .agg(count_if(~F.col("risk_id").eqNullSafe(F.col("_expected"))).alias("r0")))
+               .agg(*_counts("count_if(NOT risk_id <=> _expected) AS r0")))
     return _as_rows(counted, [("credit_score", "risk_id fits score_value")])
 
 

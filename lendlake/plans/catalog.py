@@ -373,7 +373,10 @@ def fitted(spark: SparkSession, t: Tables, path: str,
     """Models and metrics trained once per session and data folder."""
     key = (spark.sparkContext.applicationId, path)
     if key not in _FITTED:
-        data = _scored(t)
+        # Trees read the rows once per level: they are computed once, in as many partitions as a
+        # shuffle has, which adaptive execution would otherwise merge for small data.
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        data = checkpointed(_scored(t).repartition(partitions, "application_id"))
         score, score_metrics = models.train_score_model(data)
         risk, risk_metrics = models.train_risk_model(data)
         default, default_metrics = models.train_default_model(data)
@@ -389,14 +392,19 @@ def _metrics(which: str):
 def _predicted(predict, *columns: str):
     def run(spark: SparkSession, t: Tables, path: str) -> DataFrame:
         made = predict(fitted(spark, t, path)[0], _scored(t))
-        return made.select("application_id", *columns)
+        return made.selectExpr("application_id", *columns)
     return run
 
 
+# The map of level probabilities leaves as text: a map cannot be compared or sorted.
+PROBABILITIES = "to_json(risk_probabilities) AS risk_probabilities"
+
+
 def _assessed(spark: SparkSession, t: Tables, path: str) -> DataFrame:
-    return models.assess_applications(
+    assessed = models.assess_applications(
         fitted(spark, t, path)[0],
         scoring.application_features(t, scoring.loans_as_applications(t)))
+    return assessed.withColumn("risk_probabilities", F.to_json("risk_probabilities"))
 
 
 def _model_store(spark: SparkSession, t: Tables, path: str) -> DataFrame:
@@ -495,7 +503,7 @@ RUNS: dict[str, Run] = {
     "train_risk_model": _metrics("risk"),
     "train_default_model": _metrics("default"),
     "predict_score": _predicted(models.predict_score, "credit_score"),
-    "predict_risk": _predicted(models.predict_risk, "predicted_level", "risk_probabilities"),
+    "predict_risk": _predicted(models.predict_risk, "predicted_level", PROBABILITIES),
     "predict_default": _predicted(
         models.predict_default, "default_probability", "no_default_probability",
         "default_expected", "default_confidence"),

@@ -620,7 +620,8 @@ bad AS (SELECT loan_id, CAST(DATE '{AS_OF}' - min(due_date) AS INTEGER) AS overd
         GROUP BY loan_id)
 SELECT loan_id, loan_id + (SELECT max(default_id) + 1 FROM default_record) AS default_id,
        DATE '{AS_OF}' AS default_date, overdue_days,
-       loan_id + (SELECT max(penalty_id) + 1 FROM penalty) AS penalty_id, {PENALTY} AS penalty_amount,
+       loan_id + (SELECT max(penalty_id) + 1 FROM penalty) AS penalty_id,
+       {PENALTY} AS penalty_amount,
        'Defaulted' AS current_status,
        1 + (SELECT count(*) FROM loan_status_history h WHERE h.loan_id = bad.loan_id) AS log_rows
 FROM bad""",

@@ -199,7 +199,8 @@ def test_timeline_in_small_blocks(spark, star):
 
 def test_validation_counts_violations(spark):
     t = micro(spark,
-              customer=[customer(1), customer(1), (2, None, d("1980-01-01"), "p1", "x" * 151, None)],
+              customer=[customer(1), customer(1),
+                        (2, None, d("1980-01-01"), "p1", "x" * 151, None)],
               income_details=[(1, 9, D("0.00"), "Farmer", None)],
               credit_score=[(1, 1, 755, None, 2), (2, 1, 200, None, None), (3, 1, 800, None, 7)],
               loan=[loan(1, 1, kind=44, status="Lost")])

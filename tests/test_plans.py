@@ -26,8 +26,8 @@ def test_no_cross_or_nested_loop_join_and_no_python(spark, name):
 
 
 # Single-task windows run over months, distinct counts or the top level of a rank only.
-SMALL_WINDOWS = {"monthly_repayments_rolling": "_month", "penalty_leaderboard": "_high|default_count",
-                 "penalty_rank_by_name": "_high"}
+SMALL_WINDOWS = {"monthly_repayments_rolling": "_month", "penalty_rank_by_name": "_high",
+                 "penalty_leaderboard": "_high|default_count"}
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -54,3 +54,17 @@ def test_instalments_are_combined_before_they_meet_loans(spark):
 def test_newest_score_is_a_hash_aggregate(spark):
     text = plan(spark, "latest_score")
     assert "SortAggregate" not in text and "max_by" in text
+
+
+def test_order_is_optional(spark, star):
+    from lendlake.operators.portfolio import emi_status_summary
+
+    def sorts(**arguments):
+        return emi_status_summary(star, **arguments)._jdf.queryExecution().executedPlan()\
+            .toString().count("rangepartitioning")
+    assert sorts() == 1 and sorts(ordered=False) == 0
+
+
+def test_many_changes_to_one_key_are_cut_down_before_the_shuffle(spark):
+    text = plan(spark, "apply_changes")
+    assert "WindowGroupLimit [customer_id" in text and "Partial" in text

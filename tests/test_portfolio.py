@@ -16,7 +16,8 @@ def test_only_undated_scores(spark):
 
 
 def test_dates_before_1970_order(spark):
-    t = micro(spark, credit_score=[(9, 1, 500, d("1969-12-30"), 3), (1, 1, 650, d("1969-12-31"), 2)])
+    t = micro(spark, credit_score=[(9, 1, 500, d("1969-12-30"), 3),
+                                   (1, 1, 650, d("1969-12-31"), 2)])
     assert rows(access.latest_score(t), "score_value") == [(650,)]
 
 
@@ -42,7 +43,8 @@ def test_fan_out_of_income_capacity(spark):
     t = micro(spark, customer=[customer(1), customer(2)],
               income_details=[(1, 1, D("1000.00"), "Salaried", None),
                               (2, 2, D("2000.00"), "Retired", None)],
-              loan=[loan(1, 1, "600.00"), loan(2, 1, "100.00"), loan(3, 1, "9.00", status="Closed")],
+              loan=[loan(1, 1, "600.00"), loan(2, 1, "100.00"),
+                    loan(3, 1, "9.00", status="Closed")],
               emi_schedule=[emi(1, 1, "2024-02-01", "10.00"), emi(2, 1, "2024-03-01", "20.00"),
                             emi(3, 1, "2024-04-01", "31.00")])
     written = rows(portfolio.income_capacity(t), "customer_id", "total_borrowed", "avg_emi",
