@@ -11,7 +11,6 @@ from lendlake.operators.lifecycle import close_instalments
 from lendlake.schema import COLUMNS, column_names
 from lendlake.sources.tables import Tables
 
-REPEAT_HORIZON = "7 days"
 SPREAD = 256
 BATCH = "batch_id"
 
@@ -21,14 +20,14 @@ def payment_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.readStream.format(fmt).schema(COLUMNS["repayment"]).load(path)
 
 
-def without_repeats(payments: DataFrame, horizon: str = REPEAT_HORIZON) -> DataFrame:
+def without_repeats(payments: DataFrame, horizon: str) -> DataFrame:
     """Drop payments delivered again within the horizon.
 
     The watermark runs on arrival time, which the stream itself assigns and which never goes
     back, so no payment is late and none is lost; state older than the horizon is discarded.
     Copies are first dropped within the input partition they arrive in, then across: one payment
     sent a million times reaches its final state partition once per input partition.
-    Repeats beyond the horizon are caught by the ledger check in ``take_in``.
+    Repeats beyond the horizon are caught by ``take_in``.
     """
     arrived = (payments.withColumn("_arrived", F.current_timestamp())
                .withColumn("_part", F.spark_partition_id() % SPREAD))
@@ -38,14 +37,19 @@ def without_repeats(payments: DataFrame, horizon: str = REPEAT_HORIZON) -> DataF
 
 
 def take_in(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The payments of a batch the ledger does not hold yet."""
-    return batch.join(ledger.select("repayment_id"), "repayment_id", "left_anti")
+    """The payments of a batch the ledger does not hold yet, each once. Copies within the batch
+    are combined before the shuffle, however many there are."""
+    return batch.dropDuplicates(["repayment_id"]).join(ledger.select("repayment_id"), "repayment_id", "left_anti")
 
 
-def stream_apply_payments(payments: DataFrame, t: Tables, out: str,
-                          checkpoint: str) -> StreamingQuery:
+def stream_apply_payments(payments: DataFrame, t: Tables, out: str, checkpoint: str,
+                          horizon: str | None = None) -> StreamingQuery:
     """Write each batch of new payments below ``out/repayment``; stop when input is exhausted.
 
+    Repeats are told by the ledger and the batches before, so none gets through and no state is
+    needed. Where senders repeat much, a ``horizon`` such as '7 days' also keeps a state of the
+    payments seen and drops their repeats before they reach a batch.
+
     A batch writes to a folder named by its id and replaces what a failed attempt left there, so
     a restart neither loses nor repeats payments. ``payments_taken_in`` reads the result.
     """
@@ -58,7 +62,8 @@ def stream_apply_payments(payments: DataFrame, t: Tables, out: str,
         (take_in(batch, known).write.mode("overwrite")
          .parquet(f"{out}/repayment/{BATCH}={batch_id}"))
 
-    return (without_repeats(payments).writeStream.foreachBatch(write)
+    new = payments if horizon is None else without_repeats(payments, horizon)
+    return (new.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

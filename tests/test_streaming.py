@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lendlake.operators import access, lifecycle
@@ -9,7 +10,8 @@ def deliver(spark, folder, number, payments):
     frame(spark, "repayment", payments).coalesce(1).write.parquet(f"{folder}/f{number}")
 
 
-def test_payments_are_taken_in_once_across_batches_and_restarts(spark, tmp_path):
+@pytest.mark.parametrize("horizon", [None, "7 days"])
+def test_payments_are_taken_in_once_across_batches_and_restarts(spark, tmp_path, horizon):
     inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
     t = micro(spark, emi_schedule=[emi(i, 1, "2024-01-01") for i in (1, 2, 3)],
               repayment=[(90, 9, D("1.00"), d("2023-12-01"), "Cash")])
@@ -17,12 +19,12 @@ def test_payments_are_taken_in_once_across_batches_and_restarts(spark, tmp_path)
     deliver(spark, inbox, 1, [(1, 1, D("5.00"), d("2024-01-02"), "UPI"),
                               (1, 1, D("5.00"), d("2024-01-02"), "UPI"),
                               (90, 9, D("1.00"), d("2023-12-01"), "Cash")])
-    streams.stream_apply_payments(stream, t, out, state).awaitTermination()
+    streams.stream_apply_payments(stream, t, out, state, horizon).awaitTermination()
     # An old payment date in a later file is not late: the horizon runs on arrival.
     deliver(spark, inbox, 2, [(1, 1, D("5.00"), d("2024-01-02"), "UPI"),
                               (2, 2, D("6.00"), d("1999-01-01"), "Cash")])
-    streams.stream_apply_payments(stream, t, out, state).awaitTermination()
-    streams.stream_apply_payments(stream, t, out, state).awaitTermination()
+    streams.stream_apply_payments(stream, t, out, state, horizon).awaitTermination()
+    streams.stream_apply_payments(stream, t, out, state, horizon).awaitTermination()
     paid = streams.taken_in(spark, out)
     assert sorted(rows(paid, "repayment_id", "payment_date")) == [
         (1, d("2024-01-02")), (2, d("1999-01-01"))]
