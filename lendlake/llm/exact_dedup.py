@@ -42,7 +42,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = prefix(docs)
     key, salt, text, tie = f"{p}key", f"{p}salt", f"{p}text", f"{p}tie"
     rows = (docs.withColumn(tie, row_hash(docs)).withColumn(text, text_of(text_col))
-            .withColumn(key, digest(F.col(text)))
+            .withColumn("text_sha256", sha256(F.col(text))).withColumn(key, digest(F.col(text)))
             .withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(salts or spread(docs)))))
     merged = rows.groupBy(key, salt, text).agg(
         F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -69,8 +69,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "keep_id": F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")),
         "group_size": F.coalesce("group_size", F.lit(1).cast("bigint"))})
     return marked.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (first == 1)) \
-        .withColumn("text_sha256", sha256(F.col(text))) \
-        .drop(key, salt, text, tie)
+        .select(*docs.columns, *ADDED)
 
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlake.functions.workspace import new_folder
-from lendlake.llm import exact_dedup, mixing, packing, pii, sharding, token_files
+from lendlake.llm import (
+    exact_dedup, language, mixing, nearest, ngram_join, packing, pii, sharding, token_files, toxicity)
+from lendlake.llm.labels import held_out, train_toxicity
 from lendlake.llm.shared import read, text_of
 
 SHARDS = 16
@@ -22,19 +24,37 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(spark, folder))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0) \
+        .select("query_id", "rank", "vec_id", "score")
+
+
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mixture(read(spark, sf_dir, "documents"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("bigint")
-              .alias(f"n_{k}") for k in pii.KINDS]
+    kinds = F.transform("pii_base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}")
+              for k in pii.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(pii.written(F.col("pii_base")), 256).alias("base_sha256"),
         pii.written(F.col("pii_spans")).alias("spans"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(3, 1)
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs, ~held), reject=False)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred",
+                        F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -55,10 +75,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_files, op4_temperature_mixing, op5_personal_data, op7_best_fit_packing,
-        op8_exact_dedup, op9_sharding)}
+        op1_token_files, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_temperature_mixing,
+        op5_personal_data, op6_language, op7_best_fit_packing, op8_exact_dedup, op9_sharding,
+        op10_toxicity)}
 
 # Rounds of halving, and places a weight's exponent is rounded to, as in mixing.
 _MIX = mixing.Mix()
@@ -81,11 +110,11 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL
             SELECT i + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END
             FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-                  ln(list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2))))
-                  - (lo + hi) / 2 * list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2) * ln(x)))
-                  / list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2)))
+                  ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))))
+                  - (lo + hi) / 2 * list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(x)))
+                  / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))
                   >= {_MIX.target_entropy}::DOUBLE * ln(len(p)) AS good FROM entropy, facts WHERE i < 40)),
-        even AS (SELECT CASE WHEN - list_sum(list_transform(p, x -> x * ln(x)))
+        even AS (SELECT CASE WHEN - list_sum(list_transform(p, lambda x: x * ln(x)))
                         >= {_MIX.target_entropy}::DOUBLE * ln(len(p)) OR p[1] = p[-1] THEN 1.0
                         ELSE (SELECT lo FROM entropy WHERE i = 40) END AS a, p[1] AS least, p[-1] AS most
                  FROM facts),
