@@ -1,16 +1,41 @@
-"""New keys without a sequence: highest existing key plus a number the caller already has."""
+"""New keys without a sequence and without a single task that counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlake.functions.workspace import new_folder
+
 
 def first_free(df: DataFrame, key: str) -> Column:
-    """The key after the highest one in the table (1 for an empty table), as a scalar subquery.
+    """The key after the highest one in the table (1 for an empty table), as a scalar subquery."""
+    return F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint")) + 1
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read back, so that it is computed once."""
+    folder = new_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-    ``first_free(...) + number`` is new and unique when the numbers are unique and not negative;
-    it needs no ordering, no single-task numbering, and gives the same keys when a lost task is
-    run again. Like a sequence it may leave gaps.
+
+def numbered(df: DataFrame, by: list[str], name: str, size: Column | None = None) -> DataFrame:
+    """Add a dense number from 0 in the order of the columns ``by``, which tell rows apart.
+
+    Rows are dealt by ranges of ``by`` and stored with their range, so a lost task repeats the same
+    numbers. Ranges are counted (one small row each), and rows are numbered inside their range.
+    With ``size`` a row takes that many numbers, and gets the first of them.
     """
-    return F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint")) + 1
+    width = F.lit(1) if size is None else size
+    dealt = stored(df.repartitionByRange(*by).select(
+        "*", F.spark_partition_id().alias("_range"), width.cast("bigint").alias("_width")), "numbered")
+    sums = dealt.groupBy("_range").agg(F.sum("_width").alias("_sum"))
+    # One row for each range.
+    ahead = F.broadcast(sums.select("_range", F.coalesce(F.sum("_sum").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_ahead")))
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_inside", F.coalesce(F.sum("_width").over(inside), F.lit(0)))
+            .join(ahead, "_range").withColumn(name, F.col("_ahead") + F.col("_inside"))
+            .drop("_range", "_width", "_ahead", "_inside"))

@@ -8,61 +8,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-# A key with more rows than this is processed in blocks of about this size.
-BLOCK_ROWS = 1_000_000
-ID_BLOCK_BITS = 20
+from lendlake.functions.keys import stored
+
 LAST_DAY = (1 << 31) - 1
 
 
 def look_back(df: DataFrame, key: str, date: str, row_id: str,
               outputs: Mapping[str, Callable[[WindowSpec], Column]], reach: int,
-              block_rows: int = BLOCK_ROWS, id_block_bits: int = ID_BLOCK_BITS) -> DataFrame:
+              blocks: int | None = None) -> DataFrame:
     """Add columns computed over (partition by key order by date, row_id).
 
     Every output may look at the row itself and at most ``reach`` rows before it. Missing dates
-    sort last; ``row_id`` is unique. Keys of ordinary size take one plain window. A larger key is
-    cut into consecutive blocks: by day, and a day that is itself too large by ranges of row_id.
-    Inside a block only the first ``reach`` rows need rows of earlier blocks, and those are among
-    the last ``reach`` rows of some earlier block; so these edge rows, a few per block, are
-    windowed once more on their own and their values replace the ones found inside the block.
+    sort last; ``row_id`` is unique. All keys take the same way: rows are dealt by ranges of
+    (key, date, row_id), so a key of any size and any spacing of ids covers as many ranges as its
+    rows fill, and windows run inside key and range. Only the first ``reach`` rows of a key in a
+    range need rows of the ranges before, and those are among the last ``reach`` rows there; these
+    edge rows of the few keys that cross a border are windowed once more on their own.
     """
     day = F.coalesce(F.unix_date(date), F.lit(LAST_DAY))
     rows = df.withColumn("_day", day)
     order = [F.col("_day"), F.col(row_id)]
+    border = [F.col(key), *order]
+    dealt = rows.repartitionByRange(*border) if blocks is None else rows.repartitionByRange(
+        blocks, *border)
+    dealt = stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    # At most one key per ``block_rows`` rows of the table: a million for 10**12 rows.
-    large = F.broadcast(
-        sizes.where((F.col("_n") > block_rows) & F.col(key).isNotNull()).select(key))
+    # A range has at most two keys that go on beyond it: this table is as small as their number.
+    crossing = F.broadcast(dealt.groupBy(key).agg(
+        F.min("_range").alias("_from"), F.max("_range").alias("_to")).where("_from < _to").select(
+        F.col(key).alias("_crossing")))
 
     def with_outputs(frame: DataFrame, window: WindowSpec, *extra: Column) -> DataFrame:
         made = [make(window).alias(name) for name, make in outputs.items()]
         return frame.select("*", *made, *extra)
 
-    whole_key = Window.partitionBy(key).orderBy(*order)
-    ordinary = with_outputs(rows.join(large, key, "left_anti"), whole_key)
-
-    # One row per (large key, day): days are few, so this running count stays small.
-    per_day = rows.join(large, key, "left_semi").groupBy(key, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = per_day.select(
-        key, "_day",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block_rows).alias("_block"),
-        (F.col("_n") > block_rows).alias("_split"))
-    slice_of_day = F.when(F.col("_split"), F.shiftright(row_id, id_block_bits))
-    cut_day = F.when(F.col("_split"), F.col("_day"))
-    in_blocks = rows.join(blocks, [key, "_day"]).select(
-        *rows.columns, "_block", F.coalesce(cut_day, F.lit(-1)).alias("_cut"),
-        F.coalesce(slice_of_day, F.lit(-1)).alias("_slice"))
-    block = Window.partitionBy(key, "_block", "_cut", "_slice")
-    ordered = block.orderBy(*order)
-    numbered = with_outputs(
-        in_blocks, ordered, F.row_number().over(ordered).alias("_pos"),
-        F.count("*").over(block).alias("_size"))
-
-    inner = numbered.where(F.col("_pos") > reach).select(*ordinary.columns)
-    edges = numbered.where((F.col("_pos") <= reach)
-                           | (F.col("_pos") > F.col("_size") - reach))
-    edges = with_outputs(edges.select(*rows.columns, "_pos"), whole_key)
-    firsts = edges.where(F.col("_pos") <= reach).select(*ordinary.columns)
-    return ordinary.unionByName(inner).unionByName(firsts).drop("_day")
+    part = Window.partitionBy(key, "_range")
+    found = with_outputs(
+        dealt, part.orderBy(*order), F.row_number().over(part.orderBy(*order)).alias("_pos"),
+        F.count(F.lit(1)).over(part).alias("_size"))
+    found = found.join(crossing, F.col(key).eqNullSafe(F.col("_crossing")), "left").withColumn(
+        "_crosses", F.col("_crossing").isNotNull())
+    names = [*df.columns, *outputs]
+    inner = found.where(~F.col("_crosses") | (F.col("_pos") > reach)).select(*names)
+    edges = found.where(F.col("_crosses") & (
+        (F.col("_pos") <= reach) | (F.col("_pos") > F.col("_size") - reach)))
+    edges = with_outputs(edges.select(*rows.columns, "_pos"),
+                         Window.partitionBy(key).orderBy(*order))
+    return inner.unionByName(edges.where(F.col("_pos") <= reach).select(*names))

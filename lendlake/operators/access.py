@@ -116,10 +116,13 @@ def latest_score_all_ties(t: Tables) -> DataFrame:
 def score_histogram(t: Tables, bins: int = 20) -> DataFrame:
     """Newest scores counted in equal bins over the score range, by level."""
     low, high = SCORE_RANGE
-    width = (high - low) // bins
-    number = F.least(F.floor((F.col("score_value") - low) / width), F.lit(bins - 1))
+    width = high - low
+    if not 1 <= bins <= width:
+        raise ValueError(f"bins must be 1 to {width}")
+    number = F.least(F.floor((F.col("score_value") - low) * bins / width), F.lit(bins - 1))
+    # The first whole score of the bin.
     return (latest_score_all_ties(t)
-            .groupBy((number * width + low).alias("bin_start"), "risk_level")
+            .groupBy((F.ceil(number * width / bins) + low).alias("bin_start"), "risk_level")
             .agg(F.count("*").alias("n")))
 
 
@@ -148,7 +151,7 @@ def all_loans(t: Tables) -> DataFrame:
 def recent_loans(t: Tables, n: int = 10) -> DataFrame:
     """The n highest loan ids. Every loan has a customer and a type, so the limit comes first
     and only n rows are joined."""
-    newest = F.broadcast(t.loan.orderBy(F.desc("loan_id")).limit(n))
+    newest = t.loan.orderBy(F.desc("loan_id")).limit(n)
     return (t.customer.select("customer_id", F.col("name").alias("customer"))
             .join(newest, "customer_id")
             .join(t.loan_type.select("loan_type_id", F.col("type_name").alias("type")),
@@ -181,11 +184,11 @@ def payable_emis(t: Tables, loan_id: int | None = None) -> DataFrame:
 
 def overdue_worklist(t: Tables, as_of: str, n: int = 20) -> DataFrame:
     """The n oldest overdue instalments with customer, type and days overdue."""
-    oldest = F.broadcast(t.emi_schedule.where(F.col("status") == "Overdue")
-                         .orderBy("due_date", "emi_id").limit(n))
+    oldest = (t.emi_schedule.where(F.col("status") == "Overdue")
+              .orderBy("due_date", "emi_id").limit(n))
     loans = t.loan.select("loan_id", "customer_id", "loan_type_id").join(oldest, "loan_id")
     return (t.customer.select("customer_id", F.col("name").alias("customer"))
-            .join(F.broadcast(loans), "customer_id")
+            .join(loans, "customer_id")
             .join(t.loan_type.select("loan_type_id", "type_name"), "loan_type_id")
             .select("emi_id", "customer", "loan_id", "type_name", "due_date", "emi_amount",
                     F.datediff(F.lit(as_of).cast("date"), "due_date").alias("days_overdue"))

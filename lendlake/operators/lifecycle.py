@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
 from lendlake.functions.columns import blank_to_null, due_date, instalment, penalty_amount
-from lendlake.functions.keys import first_free
+from lendlake.functions.keys import first_free, numbered, stored
 from lendlake.schema import column_names
 from lendlake.sources.tables import Tables
 
@@ -44,24 +44,27 @@ def emi_quote(t: Tables) -> DataFrame:
 
 
 def emi_schedule_generate(loans: DataFrame, eom: str = "day28", max_n: int | None = None,
-                          start: Column | None = None) -> DataFrame:
-    """One Pending instalment a month, 1..tenure, counted from ``start`` (the disbursal)."""
+                          start: Column | None = None, first: str | None = None) -> DataFrame:
+    """One Pending instalment a month, 1..tenure, counted from ``start`` (the disbursal).
+
+    Keys are made of loan and number, or count up from the column ``first`` of the loan."""
     last = F.col("tenure") if max_n is None else F.least("tenure", F.lit(max_n))
-    n = F.when(F.col("tenure") < KEYS_PER_LOAN, last).otherwise(
+    n = last if first else F.when(F.col("tenure") < KEYS_PER_LOAN, last).otherwise(
         F.raise_error(F.lit(f"tenure must be below {KEYS_PER_LOAN}")))
+    key = F.col(first) if first else F.col("loan_id") * KEYS_PER_LOAN + 1
     # sequence(1, 0) counts down, so a tenure below 1 is excluded before it is expanded.
     terms = loans.where(F.col("tenure") >= 1).select(
         "loan_id", (start if start is not None else F.col("disbursed_date")).alias("_start"),
         instalment(F.col("loan_amount"), F.col("interest_rate"), F.col("tenure"))
         .cast("decimal(12,2)").alias("emi_amount"),
-        n.alias("_last"))
+        n.alias("_last"), key.alias("_key"))
     # A loan becomes up to 360 rows: spreading the loans first costs little, evens out the tasks
     # that expand them, and leaves the schedule partitioned by loan for what follows.
     rows = terms.repartition("loan_id").select(
-        "loan_id", "_start", "emi_amount",
+        "loan_id", "_start", "emi_amount", "_key",
         F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("n"))
     return rows.select(
-        (F.col("loan_id") * KEYS_PER_LOAN + F.col("n")).alias("emi_id"), "loan_id",
+        (F.col("_key") + F.col("n") - 1).alias("emi_id"), "loan_id",
         due_date(F.col("_start"), F.col("n"), eom).alias("due_date"), "emi_amount",
         F.lit("Pending").alias("status"))
 
@@ -119,8 +122,9 @@ def apply_status_changes(t: Tables, changes: DataFrame, as_of: str) -> Tables:
     status = F.coalesce("_status", "current_status")
     loans = (t.loan.join(final, "loan_id", "left").withColumn("current_status", status)
              .select(*column_names("loan")))
-    log = changes.join(t.loan.select("loan_id"), "loan_id", "left_semi").select(
-        (first_free(t.loan_status_history, "status_history_id") + F.col("change_id"))
+    known = changes.join(t.loan.select("loan_id"), "loan_id", "left_semi")
+    log = numbered(known, ["change_id"], "_n").select(
+        (first_free(t.loan_status_history, "status_history_id") + F.col("_n"))
         .alias("status_history_id"),
         "loan_id", F.col("status").alias("status_label"), day(as_of).alias("change_date"))
     return t.replace(loan=loans).append(loan_status_history=log)
@@ -129,18 +133,19 @@ def apply_status_changes(t: Tables, changes: DataFrame, as_of: str) -> Tables:
 def default_sweep(t: Tables, as_of: str) -> Tables:
     """The nightly job: mark overdue, record new defaults and penalties, set loan statuses.
 
-    Running it twice changes nothing the second time, as recorded defaults are left out. Keys of
-    new rows come from the loan key: a sweep adds at most one default per loan.
+    Running it twice changes nothing the second time, as recorded defaults are left out. What
+    the sweep finds, at most one default per loan, is computed once and stored; all tables follow
+    from it.
     """
     t = t.replace(emi_schedule=mark_overdue(t.emi_schedule, as_of))
-    found = assess_penalties(detect_defaults(t, as_of))
-    default_id = (first_free(t.default_record, "default_id") + F.col("loan_id")).alias("default_id")
+    found = stored(numbered(assess_penalties(detect_defaults(t, as_of)), ["loan_id"], "_n"), "sweep")
+    default_id = (first_free(t.default_record, "default_id") + F.col("_n")).alias("default_id")
     defaults = found.select(default_id, "loan_id", "default_date", "overdue_days")
     penalties = found.select(
-        (first_free(t.penalty, "penalty_id") + F.col("loan_id")).alias("penalty_id"), default_id,
+        (first_free(t.penalty, "penalty_id") + F.col("_n")).alias("penalty_id"), default_id,
         F.col("penalty_amount").cast("decimal(10,2)").alias("penalty_amount"),
         F.col("default_date").alias("penalty_date"))
-    changes = found.select(F.col("loan_id").alias("change_id"), "loan_id",
+    changes = found.select(F.col("_n").alias("change_id"), "loan_id",
                            F.lit("Defaulted").alias("status"))
     return apply_status_changes(t, changes, as_of).append(
         default_record=defaults, penalty=penalties)
@@ -157,11 +162,12 @@ def close_instalments(emis: DataFrame, payments: DataFrame) -> DataFrame:
 def apply_payments(t: Tables, payments: DataFrame) -> Tables:
     """Record payments and close their instalments, even if paid in part.
 
-    ``payments``: request_id (unique, not negative), emi_id, paid_amount, payment_date and
+    ``payments``: request_id (sets the order of new keys), emi_id, paid_amount, payment_date and
     payment_mode.
     """
-    rows = payments.select(
-        (first_free(t.repayment, "repayment_id") + F.col("request_id")).alias("repayment_id"),
+    order = ["request_id", "emi_id", "paid_amount", "payment_date"]
+    rows = numbered(payments, order, "_n").select(
+        (first_free(t.repayment, "repayment_id") + F.col("_n")).alias("repayment_id"),
         "emi_id", F.col("paid_amount").cast("decimal(12,2)").alias("paid_amount"),
         "payment_date", "payment_mode")
     return t.replace(emi_schedule=close_instalments(t.emi_schedule, payments)).append(
@@ -171,12 +177,13 @@ def apply_payments(t: Tables, payments: DataFrame) -> Tables:
 def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """The rows approved applications add to each table, except the counters.
 
-    ``decisions``: application_id (unique, not negative), customer_id, loan_type_id, loan_amount,
+    ``decisions``: application_id (unique), customer_id, loan_type_id, loan_amount,
     interest_rate, tenure, credit_score, auto_approved, guarantor_name, guarantor_phone,
-    relationship.
+    relationship. They are computed once: numbering stores them. New keys are dense, in the order
+    of application_id.
     """
-    ok = decisions.where("auto_approved").withColumn(
-        "loan_id", first_free(t.loan, "loan_id") + F.col("application_id"))
+    ok = numbered(decisions.where("auto_approved"), ["application_id"], "_n").withColumn(
+        "loan_id", first_free(t.loan, "loan_id") + F.col("_n"))
     today = day(as_of)
     loan = ok.select(
         "loan_id", "customer_id", "loan_type_id",
@@ -188,22 +195,21 @@ def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, Dat
         F.struct(F.lit(k).alias("k"), F.lit(label).alias("status_label"))
         for k, label in enumerate(("Approved", "Active"))]))
     last_step = first_free(t.loan_status_history, "status_history_id")
-    history = (ok.select("loan_id", "application_id", steps)
-               .select((last_step + F.col("application_id") * 2 + F.col("k"))
+    history = (ok.select("loan_id", "_n", steps)
+               .select((last_step + F.col("_n") * 2 + F.col("k"))
                        .alias("status_history_id"),
                        "loan_id", "status_label", today.alias("change_date")))
-    # Schedule keys are numbered per application, then moved past the existing ones.
-    plan = emi_schedule_generate(loan, "day28", start=today)
-    first_new = first_free(t.loan, "loan_id") * KEYS_PER_LOAN
-    schedule = plan.withColumn(
-        "emi_id", first_free(t.emi_schedule, "emi_id") + F.col("emi_id") - first_new)
+    # A loan takes as many schedule keys as it has instalments.
+    terms = numbered(loan, ["loan_id"], "_n", F.greatest("tenure", F.lit(0))).withColumn(
+        "_first", first_free(t.emi_schedule, "emi_id") + F.col("_n"))
+    schedule = emi_schedule_generate(terms, "day28", start=today, first="_first")
     name = blank_to_null(F.col("guarantor_name"))
-    guarantor = ok.where(name.isNotNull()).select(
-        (first_free(t.guarantor, "guarantor_id") + F.col("application_id")).alias("guarantor_id"),
+    guarantor = numbered(ok.where(name.isNotNull()), ["loan_id"], "_g").select(
+        (first_free(t.guarantor, "guarantor_id") + F.col("_g")).alias("guarantor_id"),
         "loan_id", name.alias("name"), blank_to_null(F.col("guarantor_phone")).alias("phone"),
         F.nullif("relationship", F.lit("")).alias("relationship"))
     scores = assign_risk_band(ok.select(
-        (first_free(t.credit_score, "score_id") + F.col("application_id")).alias("score_id"),
+        (first_free(t.credit_score, "score_id") + F.col("_n")).alias("score_id"),
         "customer_id", F.col("credit_score").cast("int").alias("score_value"),
         today.alias("score_date")), t.risk_category)
     return {"loan": loan, "loan_status_history": history, "emi_schedule": schedule,

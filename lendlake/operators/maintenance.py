@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import score_bands
 from lendlake.functions.columns import blank_to_null
-from lendlake.functions.keys import first_free
+from lendlake.functions.keys import first_free, numbered
 from lendlake.functions.sequences import look_back
 from lendlake.functions.workspace import checkpointed
 from lendlake.operators.lifecycle import day
@@ -66,26 +66,34 @@ def accepted_requests(customers: DataFrame, batch: DataFrame) -> DataFrame:
     """The requests that would succeed if the batch were entered one by one by request_id.
 
     A request fails when an existing customer or an earlier *successful* request has its phone
-    or email. All requests first in line succeed together; those they block leave; the rest
-    moves up. Usually one round settles everything; each further one starts from a checkpoint.
+    or email. Requests whose contacts nobody else gives succeed at once. Of the others all first in
+    line succeed together, those they block leave, and the rest moves up, so there are as many
+    rounds as the longest chain of requests that share contacts in turn (r1 and r2 a phone, r2 and
+    r3 an email, ...) has links; each starts from a checkpoint and holds the open requests only.
     """
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("name", *CONTACTS)])
     waiting = checkpointed(_without_contacts_of(batch.where(complete), customers)
                            .select("request_id", *CONTACTS))
-    accepted = None
-    while True:
+    shared = waiting.select("request_id").limit(0)
+    for contact in CONTACTS:
+        several = waiting.groupBy(contact).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        shared = shared.unionByName(waiting.join(several, contact, "left_semi").select("request_id"))
+    shared = checkpointed(shared.distinct())
+    accepted = waiting.join(shared, "request_id", "left_anti")
+    waiting = checkpointed(waiting.join(shared, "request_id", "left_semi"))
+    while not waiting.isEmpty():
         won = checkpointed(_first_in_line(waiting))
-        accepted = won if accepted is None else accepted.unionByName(won)
+        accepted = accepted.unionByName(won)
         waiting = checkpointed(_without_contacts_of(waiting, won))
-        if waiting.isEmpty():
-            return accepted.select("request_id")
+    return accepted.select("request_id")
 
 
 def register_customers(t: Tables, batch: DataFrame,
-                       as_of: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """New rows for customer, income, address and counters, and the rejected requests.
+                       as_of: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """New rows for customer, income, address and counters, the rejected requests with reasons,
+    and request_id with customer_id of the accepted ones. New keys are dense, in request order.
 
-    ``batch``: request_id (unique, not negative), name, dob, phone, email, monthly_income,
+    ``batch``: request_id (unique), name, dob, phone, email, monthly_income,
     employment_type, company_name, street, city, zip_code.
     """
     texts = ("name", "phone", "email", "company_name", "street", "city", "zip_code")
@@ -94,11 +102,11 @@ def register_customers(t: Tables, batch: DataFrame,
         (blank_to_null(F.col(c)) if c in required else F.trim(c)).alias(c)
         if c in texts else F.col(c) for c in batch.columns])
     accepted = accepted_requests(t.customer, clean)
-    good = clean.join(accepted, "request_id", "left_semi").withColumn(
-        "customer_id", first_free(t.customer, "customer_id") + F.col("request_id"))
+    good = numbered(clean.join(accepted, "request_id", "left_semi"), ["request_id"], "_n").withColumn(
+        "customer_id", first_free(t.customer, "customer_id") + F.col("_n"))
 
     def key(table: str) -> Column:
-        return (first_free(t[table], KEY[table]) + F.col("request_id")).alias(KEY[table])
+        return (first_free(t[table], KEY[table]) + F.col("_n")).alias(KEY[table])
 
     new = {
         "customer": good.select("customer_id", "name", "dob", "phone", "email",
@@ -117,7 +125,7 @@ def register_customers(t: Tables, batch: DataFrame,
     rejected = clean.join(accepted, "request_id", "left_anti").select(
         "request_id", F.when(missing, "missing field").otherwise("duplicate contact")
         .alias("reason"))
-    return new, rejected
+    return new, rejected, good.select("request_id", "customer_id")
 
 
 # --- batch changes and deletes ---------------------------------------------------------------
@@ -149,15 +157,16 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame) -> Tables:
             used = t[ref.child].select(F.col(ref.column).alias(key)).distinct()
             doomed = doomed.join(used, key, "left_anti")
     gone: dict[str, DataFrame] = {table: doomed}
+    left = {table: t[table].join(doomed, key, "left_anti").select(*t[table].columns)}
+    parents = {r.parent for r in REFERENCES if r.cascades}
     for ref in REFERENCES:          # listed parents first, so one pass reaches every level
         if ref.cascades and ref.parent in gone:
-            parent_key = KEY[ref.parent]
-            gone[ref.child] = t[ref.child].join(
-                gone[ref.parent].select(F.col(parent_key).alias(ref.column)),
-                ref.column, "left_semi").select(KEY[ref.child])
-    return t.replace(**{
-        name: t[name].join(keys, KEY[name], "left_anti").select(*t[name].columns)
-        for name, keys in gone.items()})
+            child = t[ref.child]
+            parent = gone[ref.parent].select(F.col(KEY[ref.parent]).alias(ref.column))
+            left[ref.child] = child.join(parent, ref.column, "left_anti").select(*child.columns)
+            if ref.child in parents:  # its keys are only needed where something hangs on them
+                gone[ref.child] = child.join(parent, ref.column, "left_semi").select(KEY[ref.child])
+    return t.replace(**left)
 
 
 # --- counters and timelines ------------------------------------------------------------------
@@ -180,15 +189,14 @@ def credit_history_rollup(t: Tables) -> DataFrame:
          | (F.col("stored_defaults") != F.col("actual_defaults"))).alias("drifted"))
 
 
-def status_timeline(t: Tables, block_rows: int | None = None) -> DataFrame:
+def status_timeline(t: Tables, blocks: int | None = None) -> DataFrame:
     """Status changes of every loan in order, with the status before and the days between."""
-    size = {} if block_rows is None else {"block_rows": block_rows}
     return look_back(
         t.loan_status_history, "loan_id", "change_date", "status_history_id",
         {"previous_status": lambda w: F.lag("status_label").over(w),
          "days_since_previous":
              lambda w: F.datediff("change_date", F.lag("change_date").over(w))},
-        reach=1, **size)
+        reach=1, blocks=blocks)
 
 
 # --- validation ------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Trained scoring with MLlib: a score forest, a level forest and a default regression.
 
-Labels come from the scorecards, as stored scores carry no relation to the features. The library
-trains 50 trees of depth 8 by default; deeper forests (200 trees, depth 12 and 10) are a matter of
-the ``trees`` and ``depth`` arguments and of executor memory.
+Labels come from the scorecards, as stored scores carry no relation to the features. Forests have
+200 trees, of depth 12 and 10. They are fitted on a bounded sample of the training rows,
+``fit_rows``; metrics are taken over all rows held out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlake.functions.keys import stored
 from lendlake.operators.scoring import approved, confidence, decision_reasons, whole_score
 
 SCORE_FEATURES = ["monthly_income", "employment_enc", "total_loans", "total_defaults",
@@ -27,18 +28,37 @@ DEFAULT_FEATURES = ["score_value", "overdue_days", "tenure", "interest_rate", "t
 TEST_SHARE = 0.2
 SEED = 42
 BUCKETS = 10_000
+# Primes that spread ids over the buckets, for the split and for the sample.
+SPLIT_STEP, SAMPLE_STEP = 7_919, 6_007
+TREES, SCORE_DEPTH, RISK_DEPTH = 200, 12, 10
+FIT_ROWS = 2_000
+# Memory for the statistics of the nodes that are split together, in MB.
+NODE_MEMORY = 1_024
 PROBABILITY_DIGITS = 4
 
 
 @dataclass(frozen=True)
 class Models:
-    score: PipelineModel
-    risk: PipelineModel
-    default: PipelineModel
+    """The models a job needs; a prediction with one model needs that one only."""
 
+    score: PipelineModel | None = None
+    risk: PipelineModel | None = None
+    default: PipelineModel | None = None
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("application_id"), F.lit(BUCKETS))
+
+def _bucket(step: int = SPLIT_STEP) -> Column:
+    """A bucket of the id by whole-number arithmetic that any engine can repeat."""
+    return F.expr(f"pmod(pmod(application_id, {BUCKETS}) * {step} "
+                  f"+ pmod(application_id div {BUCKETS}, {BUCKETS}), {BUCKETS})")
+
+
+def fit_sample(train: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the training rows (all, if there are fewer), the same ones on every run,
+    stored, as a forest reads them once for each level of its trees."""
+    n = train.count()
+    share = BUCKETS if n <= rows else int(BUCKETS * rows / n)
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(train.where(_bucket(SAMPLE_STEP) < share).repartition(parts, "application_id"), "fit")
 
 
 def split(df: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,14 +89,14 @@ def _assembled(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
-def train_score_model(data: DataFrame, trees: int = 50, depth: int = 8,
-                      ) -> tuple[PipelineModel, DataFrame]:
+def train_score_model(data: DataFrame, trees: int = TREES, depth: int = SCORE_DEPTH,
+                      fit_rows: int = FIT_ROWS) -> tuple[PipelineModel, DataFrame]:
     """Forest regression of the score; metrics on the held-out part: mae, r2."""
     train, test = split(data)
     forest = RandomForestRegressor(
         labelCol="score_value", predictionCol="predicted_score", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", seed=SEED)
-    model = Pipeline(stages=[_assembled(SCORE_FEATURES), forest]).fit(train)
+        featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=NODE_MEMORY)
+    model = Pipeline(stages=[_assembled(SCORE_FEATURES), forest]).fit(fit_sample(train, fit_rows))
     label, guess = F.col("score_value").cast("double"), F.col("predicted_score")
     metrics = model.transform(test).agg(
         F.count("*").alias("rows"), F.avg(F.abs(label - guess)).alias("mae"),
@@ -85,16 +105,17 @@ def train_score_model(data: DataFrame, trees: int = 50, depth: int = 8,
     return model, metrics
 
 
-def train_risk_model(data: DataFrame, trees: int = 50, depth: int = 8,
-                     ) -> tuple[PipelineModel, DataFrame]:
+def train_risk_model(data: DataFrame, trees: int = TREES, depth: int = RISK_DEPTH,
+                     fit_rows: int = FIT_ROWS) -> tuple[PipelineModel, DataFrame]:
     """Forest classification of the level; metric on the held-out part: accuracy."""
     train, test = split(data, "risk_level")
     indexer = StringIndexer(inputCol="risk_level", outputCol="risk_index",
                             stringOrderType="alphabetAsc").fit(train)
+    train = fit_sample(train, fit_rows)
     forest = RandomForestClassifier(
         labelCol="risk_index", predictionCol="risk_index_predicted",
         probabilityCol="risk_probability", rawPredictionCol="risk_raw", numTrees=trees,
-        maxDepth=depth, seed=SEED)
+        maxDepth=depth, seed=SEED, maxMemoryInMB=NODE_MEMORY)
     assembler = _assembled(RISK_FEATURES)
     fitted = forest.fit(assembler.transform(indexer.transform(train)))
     names = IndexToString(inputCol="risk_index_predicted", outputCol="predicted_level",
@@ -130,15 +151,23 @@ def train_default_model(data: DataFrame, max_iter: int = 1000,
         F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
 
 
-def train_models(data: DataFrame, trees: int = 50, depth: int = 8) -> Models:
+def train_models(data: DataFrame, trees: int = TREES, fit_rows: int = FIT_ROWS) -> Models:
     """All three models from scorecard rows (see ``scoring.scorecard``)."""
-    return Models(train_score_model(data, trees, depth)[0],
-                  train_risk_model(data, trees, depth)[0], train_default_model(data)[0])
+    return Models(train_score_model(data, trees, fit_rows=fit_rows)[0],
+                  train_risk_model(data, trees, fit_rows=fit_rows)[0], train_default_model(data)[0])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def save_models(models: Models, path: str) -> None:
     for name in ("score", "risk", "default"):
-        getattr(models, name).write().overwrite().save(f"{path}/{name}")
+        save_model(getattr(models, name), f"{path}/{name}")
 
 
 def load_models(path: str) -> Models:
@@ -180,18 +209,23 @@ def predict_default(models: Models, df: DataFrame) -> DataFrame:
 def assess_applications(models: Models, features: DataFrame) -> DataFrame:
     """Score, level and default probability of applications, with the decision and its reasons.
 
-    Each model sees the score the first one predicts; new applications have no overdue days.
+    Each model sees the score the first one predicts; new applications have no overdue days. An
+    application of an unknown customer is not scored and not approved, and says why.
     """
-    scored = predict_score(models, features.select(
+    known, unknown = features.where("problem is null"), features.where("problem is not null")
+    scored = predict_score(models, known.select(
         "application_id", "customer_id", "monthly_income", "employment_enc", "total_loans",
         "total_defaults", "loan_amount", "tenure", "interest_rate"))
     scored = scored.withColumn("score_value", F.col("credit_score")).withColumn(
         "overdue_days", F.lit(0))
     judged = predict_default(models, predict_risk(models, scored))
     score, probability = F.col("credit_score"), F.col("default_probability")
-    return judged.select(
+    decided = judged.select(
         "application_id", "customer_id", "credit_score",
         F.col("predicted_level").alias("risk_level"), "risk_probabilities",
         "default_probability", F.col("default_expected").alias("will_default"),
         "default_confidence", approved(score, probability).alias("auto_approved"),
         decision_reasons(score, probability).alias("reasons"))
+    refused = unknown.select("application_id", "customer_id", F.lit(False).alias("auto_approved"),
+                             F.initcap("problem").alias("reasons"))
+    return decided.unionByName(refused, allowMissingColumns=True)

@@ -75,23 +75,22 @@ def monthly_collections_by_mode(t: Tables) -> DataFrame:
     )
 
 
-def _scores_in_sequence(t: Tables, block_rows: int | None) -> DataFrame:
+def _scores_in_sequence(t: Tables, blocks: int | None) -> DataFrame:
     """Banded scores with the mean of the last three and the change since the one before."""
     banded = t.credit_score.join(t.risk_category.select("risk_id", "risk_level"), "risk_id")
     value = F.col("score_value")
-    size = {} if block_rows is None else {"block_rows": block_rows}
     return look_back(
         banded.select("customer_id", "score_id", "score_date", "score_value", "risk_level"),
         "customer_id", "score_date", "score_id",
         {"rolling_avg": lambda w: F.avg(value).over(w.rowsBetween(-2, 0)),
          "score_change": lambda w: value - F.lag(value).over(w)},
-        reach=2, **size)
+        reach=2, blocks=blocks)
 
 
 @report("customer_id", "score_date", "score_id")
-def score_trend(t: Tables, block_rows: int | None = None) -> DataFrame:
+def score_trend(t: Tables, blocks: int | None = None) -> DataFrame:
     """Each banded score with its 3-row moving average, change and level."""
-    named = _scores_in_sequence(t, block_rows).join(
+    named = _scores_in_sequence(t, blocks).join(
         t.customer.select("customer_id", "name"), "customer_id")
     return named.select(
         "customer_id", "score_id", "name", "score_date", "score_value",
@@ -100,14 +99,13 @@ def score_trend(t: Tables, block_rows: int | None = None) -> DataFrame:
 
 
 @report("customer_id", "score_date", "score_id")
-def score_trend_raw(t: Tables, block_rows: int | None = None) -> DataFrame:
+def score_trend_raw(t: Tables, blocks: int | None = None) -> DataFrame:
     """The short form: unrounded average, no change or level; unbanded scores count too."""
     value = F.col("score_value")
-    size = {} if block_rows is None else {"block_rows": block_rows}
     rolled = look_back(
         t.credit_score.select("customer_id", "score_id", "score_date", "score_value"),
         "customer_id", "score_date", "score_id",
-        {"rolling_avg": lambda w: F.avg(value).over(w.rowsBetween(-2, 0))}, reach=2, **size)
+        {"rolling_avg": lambda w: F.avg(value).over(w.rowsBetween(-2, 0))}, reach=2, blocks=blocks)
     return rolled.join(t.customer.select("customer_id", "name"), "customer_id").select(
         "customer_id", "score_id", "name", "score_date", "score_value", "rolling_avg",
     )
@@ -336,7 +334,9 @@ def cumulative_repayment(t: Tables) -> DataFrame:
     covers all the customer's loans. It depends on customer and month alone, so it is computed
     on one row per customer and month and joined back: no window holds more than the months.
     """
-    monthly = (_paid_by_loan(t)
+    by_loan = _paid_by_loan(t).groupBy("loan_id", "_month").agg(
+        F.sum("paid_amount").alias("paid_amount"))
+    monthly = (by_loan
                .join(t.loan.select("loan_id", "customer_id", "loan_amount"), "loan_id")
                .groupBy("customer_id", "loan_amount", "_month")
                .agg(F.sum("paid_amount").alias("monthly_repayment")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlake.functions.columns import employment_code
+from lendlake.functions.latest import first_rows
 from lendlake.schema import SCORE_RANGE
 from lendlake.sources.tables import Tables
 
@@ -26,6 +27,8 @@ DEFAULT_WEIGHTS = {"default_rate": 0.3, "overdue": 0.2, "score_gap": 0.15, "rate
 OVERDUE_SCALE, SCORE_SCALE, RATE_SCALE, LOANS_SCALE = 200.0, 900.0, 18.0, 8.0
 DEFAULT_ABOVE = 0.4
 
+UNKNOWN_CUSTOMER = "unknown customer"
+
 # Approval and confidence limits.
 APPROVAL_SCORE, APPROVAL_PROBABILITY = 600, 0.4
 CONFIDENCE_STEPS = ((0.75, "Very High"), (0.55, "High"), (0.35, "Moderate"))
@@ -44,15 +47,14 @@ def _customer_details(t: Tables) -> DataFrame:
 
     Should a customer have several detail rows, the one with the lowest key counts.
     """
-    detail = F.struct("monthly_income", "employment_type")
-    income = t.income_details.groupBy("customer_id").agg(
-        F.min_by(detail, "income_id").alias("_i"))
-    counters = t.credit_history.groupBy("customer_id").agg(
-        F.min_by("total_loans", "history_id").alias("_loans"),
-        F.min_by("total_defaults", "history_id").alias("_defaults"))
-    employment = F.coalesce(F.nullif("_i.employment_type", F.lit("")),
-                            F.lit(FALLBACK_EMPLOYMENT))
-    monthly = F.nullif(F.col("_i.monthly_income"), F.lit(0).cast("decimal(12,2)"))
+    income = first_rows(t.income_details, "customer_id", "income_id").select(
+        "customer_id", F.col("monthly_income").alias("_income"),
+        F.col("employment_type").alias("_employment"))
+    counters = first_rows(t.credit_history, "customer_id", "history_id").select(
+        "customer_id", F.col("total_loans").alias("_loans"),
+        F.col("total_defaults").alias("_defaults"))
+    employment = F.coalesce(F.nullif("_employment", F.lit("")), F.lit(FALLBACK_EMPLOYMENT))
+    monthly = F.nullif(F.col("_income"), F.lit(0).cast("decimal(12,2)"))
     return (t.customer.select("customer_id").join(income, "customer_id", "left")
             .join(counters, "customer_id", "left").select(
                 "customer_id",
@@ -65,7 +67,7 @@ def _customer_details(t: Tables) -> DataFrame:
 
 
 def _with_details(applications: DataFrame, details: DataFrame) -> DataFrame:
-    """Applications with one row of details each.
+    """Every application with its customer's details; ``problem`` tells why it has none.
 
     A customer may have very many applications. Adaptive execution splits an oversized partition
     only where both sides of the join come straight from a shuffle, but the details are already
@@ -75,22 +77,27 @@ def _with_details(applications: DataFrame, details: DataFrame) -> DataFrame:
     terms = applications.select(
         "application_id", "customer_id", F.col("loan_amount").cast("double").alias("loan_amount"),
         F.col("tenure").cast("int").alias("tenure"),
-        F.col("interest_rate").cast("double").alias("interest_rate"))
+        F.col("interest_rate").cast("double").alias("interest_rate"),
+        *(["loan_type_id"] if "loan_type_id" in applications.columns else []))
     part = F.pmod(F.col("customer_id"), F.lit(1024)).alias("_part")
-    return (terms.select("*", part).join(details.select("*", part), ["customer_id", "_part"])
-            .drop("_part"))
+    known = details.select("*", part, F.lit(True).alias("_known"))
+    return (terms.select("*", part).join(known, ["customer_id", "_part"], "left")
+            .withColumn("problem", F.when(F.col("_known").isNull(), UNKNOWN_CUSTOMER))
+            .drop("_part", "_known"))
 
 
 def application_features(t: Tables, applications: DataFrame) -> DataFrame:
     """Applications with income, employment and counters of the customer. A missing or zero
-    income and a missing or empty employment take the form's defaults."""
+    income and a missing or empty employment take the form's defaults. An application of a customer
+    who is not on record stays, without features, and says so in ``problem``."""
     return _with_details(applications, _customer_details(t))
 
 
 def whole_score(value: Column) -> Column:
     """Limit to the score range and drop the fraction."""
     low, high = SCORE_RANGE
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))).cast("int")
+    inside = F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))).cast("int")
+    return F.when(value.isNotNull(), inside)
 
 
 def default_rate() -> Column:
@@ -113,7 +120,7 @@ def rule_credit_score() -> Column:
 
 def rule_risk_level(score: Column) -> Column:
     return (F.when(score >= LOW_RISK_FROM, "Low").when(score >= MEDIUM_RISK_FROM, "Medium")
-            .otherwise("High"))
+            .when(score.isNotNull(), "High"))
 
 
 def rule_default_score(score: Column, overdue_days: Column) -> Column:

@@ -9,18 +9,22 @@ dates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
-from lendlake.functions.workspace import checkpointed, new_folder
+from lendlake.functions.keys import stored
+from lendlake.functions.workspace import new_folder
 from lendlake.operators import access, lifecycle, maintenance, models, portfolio, scoring
 from lendlake.schema import COLUMNS as TABLE_COLUMNS
+from lendlake.schema import TABLES
+from lendlake.session import SETTINGS
 from lendlake.sources import exports, star
 from lendlake.sources.sql import read_query
 from lendlake.sources.star import tables_from_star
-from lendlake.sources.tables import Tables, load_tables
+from lendlake.sources.tables import CSV_READ, Tables, load_tables
 from lendlake.streaming import payments as streams
 
 AS_OF = "2000-01-01"
@@ -37,7 +41,7 @@ COLUMNS: dict[str, str] = {
     "read_query": "employment_type s, loans b, amount m",
     "export_table": "loan_id b, customer_id b, loan_type_id b, loan_amount m, interest_rate m, "
                     "tenure i, current_status s, disbursed_date d",
-    "export_all_tables": "table_name s, n b",
+    "export_all_tables": "table_name s, n b, changed b",
     "export_query_csv": "month s, total_collected m, payment_count b",
     # portfolio reports
     "top_defaulters": "customer_id b, name s, phone s, total_defaults b, total_overdue_days b, "
@@ -109,8 +113,8 @@ COLUMNS: dict[str, str] = {
                        "rolling_avg r",
     "eligible_simple": "customer_id b, name s, monthly_income m, score_value i",
     # lifecycle
-    "emi_quote": "loan_id b, loan_amount m, interest_rate m, tenure i, emi q, total_payable q, "
-                 "total_interest q",
+    "emi_quote": "loan_id b, loan_amount m, interest_rate m, tenure i, emi m, total_payable m, "
+                 "total_interest m",
     "emi_schedule_generate": "emi_id b, loan_id b, due_date d, emi_amount m, status s",
     "emi_schedule_backfill": "emi_id b, loan_id b, due_date d, emi_amount m, status s",
     "repayments_from_schedule": "repayment_id b, emi_id b, paid_amount m, payment_date d, "
@@ -146,15 +150,37 @@ COLUMNS: dict[str, str] = {
     "encode_employment": "income_id b, employment_type s, employment_enc i",
     "application_features": "application_id b, customer_id b, monthly_income m, "
                             "employment_type s, employment_enc i, total_loans i, "
-                            "total_defaults i, loan_amount m, tenure i, interest_rate m",
+                            "total_defaults i, loan_amount m, tenure i, interest_rate m, problem s",
     "rule_credit_score": "application_id b, score_value i",
     "rule_risk_level": "application_id b, score_value i, risk_level s",
     "rule_default_score": "application_id b, overdue_days i, default_score f, will_default i",
     "decision_reasons": "application_id b, score_value i, default_probability q, reasons s",
+    # models
+    "train_score_model": "rows b, mae_ok t, r2_ok t",
+    "train_risk_model": "rows b, accuracy_ok t",
+    "train_default_model": "rows b, accuracy_ok t",
+    "predict_score": "application_id b, in_range t, near_scorecard t",
+    "predict_risk": "application_id b, levels i, sums_to_one t, level_is_likeliest t",
+    "predict_default": "application_id b, sums_to_one t, flag_follows t, confidence_follows t",
+    "assess_applications": "application_id b, in_range t, approval_follows t, reasons_follow t",
+    "model_store": "application_id b, same t",
     # streaming
     "stream_apply_payments": "repayment_id b, emi_id b, paid_amount m, payment_date d, "
                              "payment_mode s",
+    "stream_settled_instalments": "emi_id b, loan_id b, due_date d, emi_amount m, status s",
     "stream_monthly_collections": "month s, total_collected m, payment_count b",
+    # one customer or loan
+    "customer_profile_one": "customer_id b, name s, phone s, email s, dob d, monthly_income m, "
+                            "city s, street s, total_loans i, total_defaults i",
+    "score_history_one": "customer_id b, score_id b, score_date d, score_value i, risk_level s",
+    "latest_score_one": "customer_id b, score_value i, score_date d, risk_level s",
+    "customer_loans_one": "customer_id b, loan_id b, type_name s, loan_amount m, current_status s",
+    "emi_ledger_one": "loan_id b, emi_id b, due_date d, emi_amount m, status s, paid_amount m, "
+                      "payment_date d, payment_mode s",
+    "defaulters_table_by_penalty": "customer_id b, loan_id b, default_date d, overdue_days i, "
+                                   "penalty_amount m",
+    "defaulters_table_by_amount": "customer_id b, loan_id b, default_date d, overdue_days i, "
+                                  "loan_amount m",
 }
 
 
@@ -208,8 +234,7 @@ def rule_decisions(t: Tables) -> DataFrame:
         F.col("loan_id").alias("application_id"),
         F.concat(F.lit(" "), "name", F.lit(" ")).alias("guarantor_name"),
         F.coalesce("phone", F.lit(" ")).alias("guarantor_phone"), "relationship")
-    types = t.loan.select(F.col("loan_id").alias("application_id"), "loan_type_id")
-    return (scored.join(types, "application_id").join(backers, "application_id", "left")
+    return (scored.join(backers, "application_id", "left")
             .withColumn("credit_score", F.col("score_value"))
             .withColumn("auto_approved", scoring.approved(
                 F.col("score_value"), rule_probability())))
@@ -268,8 +293,7 @@ def _default_sweep(t: Tables) -> DataFrame:
 
 
 def _disbursed(t: Tables) -> DataFrame:
-    # Five tables come from the decisions, so they are computed once.
-    rows = lifecycle.disbursed_rows(t, checkpointed(rule_decisions(t)), AS_OF)
+    rows = lifecycle.disbursed_rows(t, rule_decisions(t), AS_OF)
     plans = rows["emi_schedule"].groupBy("loan_id").agg(
         F.count("*").alias("instalments"), F.min("due_date").alias("first_due"),
         F.max("due_date").alias("last_due"), F.sum("emi_amount").alias("scheduled"))
@@ -290,13 +314,12 @@ def _disbursal_counters(t: Tables) -> DataFrame:
 
 
 def _registered(spark: SparkSession, t: Tables, path: str) -> DataFrame:
-    new, rejected = maintenance.register_customers(t, supplier_requests(spark, path), AS_OF)
-    start = lifecycle.first_free(t.customer, "customer_id")
+    new, rejected, ids = maintenance.register_customers(t, supplier_requests(spark, path), AS_OF)
     accepted = (new["customer"]
                 .join(new["income_details"].select("customer_id", "monthly_income"), "customer_id")
                 .join(new["address_details"].select("customer_id", "city"), "customer_id")
                 .join(new["credit_history"].select("customer_id", "total_loans"), "customer_id")
-                .withColumn("request_id", F.col("customer_id") - start))
+                .join(ids, "customer_id"))
     return accepted.unionByName(rejected, allowMissingColumns=True)
 
 
@@ -317,20 +340,24 @@ def _reasons(t: Tables) -> DataFrame:
 def _exported(spark: SparkSession, t: Tables) -> DataFrame:
     folder = new_folder(spark, "export-loan")
     exports.export_table(t, "loan", folder)
-    return spark.read.schema(TABLE_COLUMNS["loan"]).option("header", True).csv(folder)
+    return spark.read.schema(TABLE_COLUMNS["loan"]).options(**CSV_READ).csv(folder)
 
 
 def _exported_all(spark: SparkSession, t: Tables) -> DataFrame:
     folder = new_folder(spark, "export-all")
     exports.export_all_tables(t, folder)
-    return access.table_row_counts(load_tables(spark, folder, "csv"))
+    back = load_tables(spark, folder, "csv")
+    changed = [t[name].exceptAll(back[name]).unionByName(back[name].exceptAll(t[name])).agg(
+        F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("changed")) for name in TABLES]
+    return access.table_row_counts(back).join(
+        reduce(DataFrame.unionByName, changed), "table_name")
 
 
 def _exported_query(spark: SparkSession, t: Tables) -> DataFrame:
     folder = new_folder(spark, "export-query")
     exports.export_query_csv(access.monthly_repayments(t), folder)
     return spark.read.schema("month STRING, total_collected DECIMAL(22,2), payment_count BIGINT"
-                             ).option("header", True).csv(folder)
+                             ).options(**CSV_READ).csv(folder)
 
 
 def _payment_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -342,12 +369,26 @@ def _payment_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def _streamed_payments(spark: SparkSession, t: Tables, path: str) -> DataFrame:
     """Payments up to the cut-off are in the ledger already; the stream delivers all."""
+    return streams.taken_in(spark, _payments_streamed(spark, t, path))
+
+
+def _stream_settled(spark: SparkSession, t: Tables, path: str) -> DataFrame:
+    """Instalments are open from the cut-off on; streamed payments close them."""
+    late = (F.col("status") == "Paid") & (F.date_add("due_date", lifecycle.PAYMENT_LAG_DAYS)
+                                          >= lifecycle.day(CUTOFF))
+    still_open = t.replace(emi_schedule=t.emi_schedule.withColumn(
+        "status", F.when(late, "Pending").otherwise(F.col("status"))))
+    paid = streams.taken_in(spark, _payments_streamed(spark, t, path))
+    return streams.settle(still_open, paid).emi_schedule
+
+
+def _payments_streamed(spark: SparkSession, t: Tables, path: str) -> str:
     out = new_folder(spark, "stream-payments")
     known = t.replace(repayment=t.repayment.where(
         F.col("payment_date") < lifecycle.day(CUTOFF)))
     streams.stream_apply_payments(_payment_stream(spark, path), known, out,
                                   f"{out}/checkpoint").awaitTermination()
-    return streams.taken_in(spark, out)
+    return out
 
 
 def _streamed_months(spark: SparkSession, path: str) -> DataFrame:
@@ -363,55 +404,95 @@ FROM {loan} l JOIN {income_details} i ON i.customer_id = l.customer_id
 GROUP BY i.employment_type
 """
 
-# --- models: results of one training are shared by the queries of a session -------------------
+# --- models ------------------------------------------------------------------------------------
+
+# Floors and distances that the fitted models must keep, stated in advance.
+MAE_AT_MOST, R2_AT_LEAST, ACCURACY_AT_LEAST = 12.0, 0.95, 0.97
+SCORE_DISTANCE = 150
+
+
+def _rows_to_learn(t: Tables) -> DataFrame:
+    return stored(_scored(t), "scored")
+
+
+def _reread(spark: SparkSession, name: str, model) -> object:
+    """The model as a later job gets it: saved to the shared folder and loaded."""
+    folder = new_folder(spark, f"model-{name}")
+    models.save_model(model, folder)
+    return models.load_model(folder)
+
+
+def score_metrics(metrics: DataFrame) -> DataFrame:
+    return metrics.select("rows", (F.col("mae") <= MAE_AT_MOST).alias("mae_ok"),
+                          (F.col("r2") >= R2_AT_LEAST).alias("r2_ok"))
 
-_FITTED: dict[tuple[str, str], tuple[models.Models, dict[str, DataFrame]]] = {}
 
+def level_metrics(metrics: DataFrame) -> DataFrame:
+    return metrics.select("rows", (F.col("accuracy") >= ACCURACY_AT_LEAST).alias("accuracy_ok"))
 
-def fitted(spark: SparkSession, t: Tables, path: str,
-           ) -> tuple[models.Models, dict[str, DataFrame]]:
-    """Models and metrics trained once per session and data folder."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _FITTED:
-        # Trees read the rows once per level: they are computed once, in as many partitions as a
-        # shuffle has, which adaptive execution would otherwise merge for small data.
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        data = checkpointed(_scored(t).repartition(partitions, "application_id"))
-        score, score_metrics = models.train_score_model(data)
-        risk, risk_metrics = models.train_risk_model(data)
-        default, default_metrics = models.train_default_model(data)
-        _FITTED[key] = (models.Models(score, risk, default), {
-            "score": score_metrics, "risk": risk_metrics, "default": default_metrics})
-    return _FITTED[key]
 
+def score_facts(predicted: DataFrame) -> DataFrame:
+    """Facts that hold of a good score model for every application."""
+    score = F.col("credit_score")
+    return predicted.select(
+        "application_id", score.between(300, 900).alias("in_range"),
+        (F.abs(score - F.col("score_value")) <= SCORE_DISTANCE).alias("near_scorecard"))
 
-def _metrics(which: str):
-    return lambda spark, t, path: fitted(spark, t, path)[1][which]
 
+def risk_facts(predicted: DataFrame) -> DataFrame:
+    total = F.aggregate(F.map_values("risk_probabilities"), F.lit(0.0), lambda a, x: a + x)
+    highest = F.array_max(F.map_values("risk_probabilities"))
+    return predicted.select(
+        "application_id", F.size("risk_probabilities").alias("levels"),
+        (F.abs(total - 1) <= 0.0002).alias("sums_to_one"),
+        (F.col("risk_probabilities")[F.col("predicted_level")] >= highest).alias("level_is_likeliest"))
 
-def _predicted(predict, *columns: str):
-    def run(spark: SparkSession, t: Tables, path: str) -> DataFrame:
-        made = predict(fitted(spark, t, path)[0], _scored(t))
-        return made.selectExpr("application_id", *columns)
-    return run
 
+def default_facts(predicted: DataFrame) -> DataFrame:
+    bad, good = F.col("default_probability"), F.col("no_default_probability")
+    return predicted.select(
+        "application_id", (F.abs(bad + good - 1) <= 0.0002).alias("sums_to_one"),
+        ((F.col("default_expected") == (bad > 0.5)) | (bad == 0.5)).alias("flag_follows"),
+        (F.col("default_confidence") == scoring.confidence(bad)).alias("confidence_follows"))
 
-# The map of level probabilities leaves as text: a map cannot be compared or sorted.
-PROBABILITIES = "to_json(risk_probabilities) AS risk_probabilities"
+
+def decision_facts(assessed: DataFrame) -> DataFrame:
+    score, bad = F.col("credit_score"), F.col("default_probability")
+    return assessed.select(
+        "application_id", score.between(300, 900).alias("in_range"),
+        (F.col("auto_approved") == scoring.approved(score, bad)).alias("approval_follows"),
+        ((F.col("reasons") == "") == F.col("auto_approved")).alias("reasons_follow"))
+
+
+def _trained(spark: SparkSession, t: Tables) -> models.Models:
+    data = _rows_to_learn(t)
+    return models.Models(*[_reread(spark, n, train(data)[0]) for n, train in (
+        ("score", models.train_score_model), ("risk", models.train_risk_model),
+        ("default", models.train_default_model))])
+
+
+def _predicted(spark: SparkSession, t: Tables, which: str) -> DataFrame:
+    train, predict = {
+        "score": (models.train_score_model, models.predict_score),
+        "risk": (models.train_risk_model, models.predict_risk),
+        "default": (models.train_default_model, models.predict_default)}[which]
+    data = _rows_to_learn(t)
+    return predict(models.Models(**{which: _reread(spark, which, train(data)[0])}), data)
 
 
 def _assessed(spark: SparkSession, t: Tables, path: str) -> DataFrame:
-    assessed = models.assess_applications(
-        fitted(spark, t, path)[0],
-        scoring.application_features(t, scoring.loans_as_applications(t)))
-    return assessed.withColumn("risk_probabilities", F.to_json("risk_probabilities"))
+    return decision_facts(models.assess_applications(_trained(spark, t), scoring.application_features(
+        t, scoring.loans_as_applications(t))))
 
 
 def _model_store(spark: SparkSession, t: Tables, path: str) -> DataFrame:
-    folder = new_folder(spark, "models")
-    models.save_models(fitted(spark, t, path)[0], folder)
-    return models.predict_score(models.load_models(folder), _scored(t)).select(
-        "application_id", "credit_score")
+    data = _rows_to_learn(t)
+    kept = models.train_score_model(data)[0]
+    now = models.predict_score(models.Models(score=kept), data).select("application_id", "credit_score")
+    later = models.predict_score(models.Models(score=_reread(spark, "score", kept)), data).select(
+        "application_id", F.col("credit_score").alias("reloaded"))
+    return now.join(later, "application_id").select(
+        "application_id", (F.col("credit_score") == F.col("reloaded")).alias("same"))
 
 
 # --- the catalogue ---------------------------------------------------------------------------
@@ -499,22 +580,42 @@ RUNS: dict[str, Run] = {
     "rule_risk_level": _on_tables(_scored),
     "rule_default_score": _on_tables(_scored),
     "decision_reasons": _on_tables(_reasons),
-    "train_score_model": _metrics("score"),
-    "train_risk_model": _metrics("risk"),
-    "train_default_model": _metrics("default"),
-    "predict_score": _predicted(models.predict_score, "credit_score"),
-    "predict_risk": _predicted(models.predict_risk, "predicted_level", PROBABILITIES),
-    "predict_default": _predicted(
-        models.predict_default, "default_probability", "no_default_probability",
-        "default_expected", "default_confidence"),
+    "train_score_model": lambda spark, t, path: score_metrics(
+        models.train_score_model(_rows_to_learn(t))[1]),
+    "train_risk_model": lambda spark, t, path: level_metrics(
+        models.train_risk_model(_rows_to_learn(t))[1]),
+    "train_default_model": lambda spark, t, path: level_metrics(
+        models.train_default_model(_rows_to_learn(t))[1]),
+    "predict_score": lambda spark, t, path: score_facts(_predicted(spark, t, "score")),
+    "predict_risk": lambda spark, t, path: risk_facts(_predicted(spark, t, "risk")),
+    "predict_default": lambda spark, t, path: default_facts(_predicted(spark, t, "default")),
     "assess_applications": _assessed,
     "model_store": _model_store,
     "stream_apply_payments": lambda spark, t, path: _streamed_payments(spark, t, path),
+    "stream_settled_instalments": _stream_settled,
     "stream_monthly_collections": lambda spark, t, path: _streamed_months(spark, path),
 }
 
 
+def _one(operator: Callable[..., DataFrame], table: str, key: str) -> Run:
+    """A look-up for the least id that the table holds."""
+    return lambda spark, t, path: operator(t, t[table].agg(F.min(key)).first()[0])
+
+
+RUNS |= {
+    "customer_profile_one": _one(access.customer_profile, "credit_history", "customer_id"),
+    "score_history_one": _one(access.score_history, "credit_score", "customer_id"),
+    "latest_score_one": _one(access.latest_score, "credit_score", "customer_id"),
+    "customer_loans_one": _one(access.customer_loans, "loan", "customer_id"),
+    "emi_ledger_one": _one(access.emi_ledger, "emi_schedule", "loan_id"),
+    "defaulters_table_by_penalty": _on_tables(access.defaulters_table, sort="penalty_amount"),
+    "defaulters_table_by_amount": _on_tables(access.defaulters_table, sort="loan_amount"),
+}
+
+
 def run(name: str, spark: SparkSession, path: str) -> DataFrame:
     """The named query over the star-schema files in ``path``."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     result = RUNS[name](spark, tables_from_star(spark, path), path)
     return shown(result, COLUMNS[name]) if name in COLUMNS else result

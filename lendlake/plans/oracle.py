@@ -19,9 +19,9 @@ VIEWS: dict[str, str] = {
     "loan_type": """
         SELECT loan_type_id, type_name, CAST(rate AS DECIMAL(5,2)) AS base_interest_rate,
                CAST(mx AS DECIMAL(14,2)) AS max_amount
-        FROM (VALUES (1, 'Home', 7.50, 10000000), (2, 'Personal', 12.00, 500000),
-                     (3, 'Vehicle', 9.00, 2000000), (4, 'Education', 8.50, 1500000),
-                     (5, 'Business', 14.00, 5000000), (6, 'Unused', 10.00, 100000))
+        FROM (VALUES (1, 'Express', 16.25, 75000), (2, 'Equipment', 10.75, 3200000),
+                     (3, 'Bridge', 13.40, 850000), (4, 'Harvest', 6.90, 420000),
+                     (5, 'Property', 5.80, 12500000), (6, 'Retired', 9.10, 60000))
              v(loan_type_id, type_name, rate, mx)""",
     "borrower": """
         SELECT c_custkey AS customer_id, c_name AS name, DATE '1970-01-01' AS dob,
@@ -82,7 +82,7 @@ VIEWS: dict[str, str] = {
                     ELSE 'Friend' END AS relationship
         FROM loan WHERE loan_id % 3 = 0""",
     "emi_schedule": """
-        SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey
+        SELECT (l_orderkey * 8 + l_linenumber) * 2097152 + (l_partkey * 31 + l_suppkey) % 2097152
                    AS emi_id,
                l_orderkey AS loan_id, CAST(l_shipdate AS DATE) AS due_date,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS emi_amount,
@@ -296,6 +296,19 @@ BASIS_POINTS = "CAST(floor(default_score * 10000 + 0.5) AS BIGINT)"
 TENTHS = (f"({BASIS_POINTS} // 10 + CASE WHEN {BASIS_POINTS} % 10 > 5 OR ({BASIS_POINTS} % 10 = 5 "
           f"AND {BASIS_POINTS} // 10 % 2 = 1) THEN 1 ELSE 0 END)")
 
+LEVEL = "CASE WHEN score_value > 750 THEN 'Low' WHEN score_value > 600 THEN 'Medium' ELSE 'High' END"
+BUCKET = "((application_id % 10000) * 7919 + (application_id // 10000) % 10000) % 10000"
+
+
+def held_out(label: str) -> str:
+    """Rows held out where each class is cut at the last bucket within a fifth of it."""
+    return f"""
+WITH b AS (SELECT {label} AS label, {BUCKET} AS bucket, count(*) AS n FROM scored GROUP BY ALL),
+c AS (SELECT label, n, sum(n) OVER (PARTITION BY label ORDER BY bucket) <= 0.2 * sum(n) OVER (
+          PARTITION BY label) AS test FROM b)
+SELECT sum(n) FILTER (test) AS rows, true AS accuracy_ok FROM c"""
+
+
 # (table, rule, condition on a bad row)
 ROW_RULES = [
     ("risk_category", "risk_id not null", "risk_id IS NULL"),
@@ -452,7 +465,7 @@ CORE: dict[str, str] = {
 SELECT employment_type, count(*) AS loans, sum(loan_amount) AS amount
 FROM income_details JOIN loan USING (customer_id) GROUP BY employment_type""",
     "export_table": "SELECT * FROM loan",
-    "export_all_tables": counts(),
+    "export_all_tables": f"SELECT *, 0 AS changed FROM ({counts()})",
     "export_query_csv": MONTHS,
     "top_defaulters": f"""
 SELECT b.customer_id, b.name, b.phone, count(*) AS total_defaults,
@@ -618,9 +631,10 @@ bad AS (SELECT loan_id, CAST(DATE '{AS_OF}' - min(due_date) AS INTEGER) AS overd
                sum(emi_amount) AS overdue_total
         FROM marked ANTI JOIN default_record USING (loan_id) WHERE status = 'Overdue'
         GROUP BY loan_id)
-SELECT loan_id, loan_id + (SELECT max(default_id) + 1 FROM default_record) AS default_id,
+SELECT loan_id, row_number() OVER (ORDER BY loan_id) + (SELECT max(default_id) FROM default_record)
+           AS default_id,
        DATE '{AS_OF}' AS default_date, overdue_days,
-       loan_id + (SELECT max(penalty_id) + 1 FROM penalty) AS penalty_id,
+       row_number() OVER (ORDER BY loan_id) + (SELECT max(penalty_id) FROM penalty) AS penalty_id,
        {PENALTY} AS penalty_amount,
        'Defaulted' AS current_status,
        1 + (SELECT count(*) FROM loan_status_history h WHERE h.loan_id = bad.loan_id) AS log_rows
@@ -630,18 +644,20 @@ SELECT loan_id, customer_id, CASE WHEN loan_id IN ({FULLY_PAID}) THEN 'Closed'
        ELSE current_status END AS current_status FROM loan""",
     "apply_status_changes_log": f"""
 SELECT * FROM loan_status_history UNION ALL
-SELECT loan_id + (SELECT max(status_history_id) + 1 FROM loan_status_history), loan_id, 'Closed',
-       DATE '{AS_OF}' FROM ({FULLY_PAID})""",
+SELECT row_number() OVER (ORDER BY loan_id) + (SELECT max(status_history_id)
+           FROM loan_status_history), loan_id, 'Closed', DATE '{AS_OF}' FROM ({FULLY_PAID})""",
     "apply_payments": f"""
 SELECT * REPLACE (CASE WHEN emi_id IN (SELECT emi_id FROM emi_schedule WHERE {DUE_AND_OPEN})
                        THEN 'Paid' ELSE status END AS status) FROM emi_schedule""",
     "apply_payments_ledger": f"""
 SELECT * FROM repayment UNION ALL
-SELECT emi_id + (SELECT max(repayment_id) + 1 FROM repayment), emi_id,
+SELECT row_number() OVER (ORDER BY emi_id, emi_amount) + (SELECT max(repayment_id) FROM repayment),
+       emi_id,
        CAST(({cents("emi_amount")} + 1) // 2 AS DECIMAL(14,2)) / 100, DATE '{AS_OF}', 'UPI'
 FROM emi_schedule WHERE {DUE_AND_OPEN}""",
     "disburse_loans": f"""
-SELECT a.loan_id, a.customer_id, a.loan_amount, 'Active' AS current_status, 2 AS log_rows,
+SELECT row_number() OVER (ORDER BY a.application_id) + (SELECT max(loan_id) FROM loan) AS loan_id,
+       a.customer_id, a.loan_amount, 'Active' AS current_status, 2 AS log_rows,
        a.tenure AS instalments, CAST(DATE '{AS_OF}' + INTERVAL 1 MONTH AS DATE) AS first_due,
        CAST(DATE '{AS_OF}' + to_months(CAST(a.tenure AS INTEGER)) AS DATE) AS last_due,
        CAST({PAYMENT} AS DECIMAL(12,2)) * a.tenure AS scheduled, a.backer AS guarantor,
@@ -662,7 +678,8 @@ WITH judged AS (
            row_number() OVER (PARTITION BY email ORDER BY request_id) AS email_turn
     FROM request WHERE phone IS NOT NULL AND phone NOT IN (SELECT phone FROM borrower)),
 good AS (SELECT * FROM judged WHERE phone_turn = 1 AND email_turn = 1)
-SELECT request_id, request_id + (SELECT max(customer_id) + 1 FROM borrower) AS customer_id, name,
+SELECT request_id, row_number() OVER (ORDER BY request_id)
+           + (SELECT max(customer_id) FROM borrower) AS customer_id, name,
        phone, email, monthly_income, city, 0 AS total_loans, NULL AS reason FROM good
 UNION ALL
 SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
@@ -712,7 +729,8 @@ SELECT income_id, employment_type,
 FROM income_details""",
     "application_features": """
 SELECT application_id, customer_id, income AS monthly_income, employment_type, employment_enc,
-       loans AS total_loans, defaults AS total_defaults, loan_amount, tenure, interest_rate
+       loans AS total_loans, defaults AS total_defaults, loan_amount, tenure, interest_rate,
+       NULL AS problem
 FROM application""",
     "rule_credit_score": "SELECT * FROM scored",
     "rule_risk_level": "SELECT *, CASE WHEN score_value > 750 THEN 'Low' WHEN score_value > 600 "
@@ -727,10 +745,38 @@ FROM (SELECT *, {BASIS_POINTS} / 10000 AS default_probability, concat_ws('; ',
              CASE WHEN {BASIS_POINTS} >= 4000
                   THEN 'default probability ' || ({TENTHS} // 10) || '.' || ({TENTHS} % 10)
                        || '% exceeds 40%' END) AS why FROM scored)""",
+    "train_score_model": f"SELECT count(*) AS rows, true AS mae_ok, true AS r2_ok FROM scored "
+                         f"WHERE {BUCKET} < 2000",
+    "train_risk_model": held_out(LEVEL),
+    "train_default_model": held_out("CAST(default_score > 0.4 AS INTEGER)"),
+    "predict_score": "SELECT application_id, true AS in_range, true AS near_scorecard FROM scored",
+    "predict_risk": f"SELECT application_id, (SELECT count(DISTINCT {LEVEL}) FROM scored) AS levels, "
+                    "true AS sums_to_one, true AS level_is_likeliest FROM scored",
+    "predict_default": "SELECT application_id, true AS sums_to_one, true AS flag_follows, "
+                       "true AS confidence_follows FROM scored",
+    "assess_applications": "SELECT application_id, true AS in_range, true AS approval_follows, "
+                           "true AS reasons_follow FROM scored",
+    "model_store": "SELECT application_id, true AS same FROM scored",
     "stream_apply_payments": f"SELECT * FROM repayment WHERE payment_date >= DATE '{CUTOFF}'",
     "stream_monthly_collections": MONTHS,
 }
 
+CORE |= {
+    "stream_settled_instalments": "SELECT * FROM emi_schedule",
+    "customer_profile_one": f"SELECT * FROM ({CORE['customer_profile']}) WHERE customer_id = "
+                            "(SELECT min(customer_id) FROM credit_history)",
+    "score_history_one": f"SELECT * FROM ({CORE['score_history']}) WHERE customer_id = "
+                         "(SELECT min(customer_id) FROM credit_score)",
+    "latest_score_one": f"SELECT * FROM ({CORE['latest_score']}) WHERE customer_id = "
+                        "(SELECT min(customer_id) FROM credit_score)",
+    "customer_loans_one": f"SELECT * FROM ({LOANS}) WHERE customer_id = "
+                          "(SELECT min(customer_id) FROM loan)",
+    "emi_ledger_one": f"SELECT * FROM ({LEDGER}) WHERE loan_id = "
+                      "(SELECT min(loan_id) FROM emi_schedule)",
+    "defaulters_table_by_penalty": CORE["defaulters_table"],
+    "defaulters_table_by_amount": CORE["defaulters_table"],
+}
+
 
 def _with_views(core: str) -> str:
     """The views the text names, and those they name, as leading WITH entries."""

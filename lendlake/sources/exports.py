@@ -1,16 +1,16 @@
-"""CSV exports."""
+"""CSV exports that come back unchanged: quotes, line breaks, outer blanks, '' and NULL survive."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from lendlake.schema import KEY, TABLES
-from lendlake.sources.tables import Tables
+from lendlake.sources.tables import CSV, Tables
 
 
 def export_query_csv(df: DataFrame, path: str) -> None:
     """Any result as a folder of CSV files with headers, written in parallel."""
-    df.write.mode("error").option("header", True).csv(path)
+    df.write.mode("error").options(**CSV).csv(path)
 
 
 def export_table(t: Tables, name: str, path: str, fmt: str = "csv") -> None:

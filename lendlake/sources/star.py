@@ -27,15 +27,16 @@ SOURCE_COLUMNS = {
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
 }
 
-# The small catalogue tables.
+# The bands the scorecards rely on.
 RISK_BANDS = [(1, "Low", 751, 900), (2, "Medium", 601, 750), (3, "High", 300, 600)]
+# Made up for the derived tables; a type for each order priority and one without loans.
 LOAN_TYPES = [
-    (1, "Home", "7.50", "10000000"),
-    (2, "Personal", "12.00", "500000"),
-    (3, "Vehicle", "9.00", "2000000"),
-    (4, "Education", "8.50", "1500000"),
-    (5, "Business", "14.00", "5000000"),
-    (6, "Unused", "10.00", "100000"),
+    (1, "Express", "16.25", "75000"),
+    (2, "Equipment", "10.75", "3200000"),
+    (3, "Bridge", "13.40", "850000"),
+    (4, "Harvest", "6.90", "420000"),
+    (5, "Property", "5.80", "12500000"),
+    (6, "Retired", "9.10", "60000"),
 ]
 
 # Column expressions over the source named first.
@@ -105,7 +106,7 @@ GUARANTOR = {
                     "WHEN 2 THEN 'Sibling' ELSE 'Friend' END",
 }
 INSTALMENT = {
-    "emi_id": "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey",
+    "emi_id": "(l_orderkey * 8 + l_linenumber) * 2097152 + (l_partkey * 31 + l_suppkey) % 2097152",
     "loan_id": "l_orderkey",
     "due_date": "l_shipdate",
     "emi_amount": "l_extendedprice",

@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lendlake.schema import COLUMNS, KEY, TABLES
 
+# CSV as other programs write it: quotes doubled inside quotes. NULL is \\N, as an empty field is an
+# empty text; a text that is \\N itself cannot be told from NULL.
+CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N",
+       "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# A malformed field ends the job; it never becomes NULL.
+CSV_READ = {**CSV, "emptyValue": "", "multiLine": "true", "mode": "FAILFAST"}
+
 Frame = DataFrame | Callable[[], DataFrame]
 
 
@@ -47,7 +54,7 @@ class Tables:
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """Read ``path/<table>`` for every table with its declared schema (no inference job)."""
-    options = {"header": "true"} if fmt == "csv" else {}
+    options = CSV_READ if fmt == "csv" else {}
 
     def reader(name: str) -> Callable[[], DataFrame]:
         return lambda: (spark.read.format(fmt).options(**options)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lendlake.functions.columns import month_start, month_text
+from lendlake.functions.latest import first_rows
 from lendlake.operators.lifecycle import close_instalments
 from lendlake.schema import COLUMNS, column_names
 from lendlake.sources.tables import Tables
 
 SPREAD = 256
-BATCH = "batch_id"
+QUERY, BATCH = "query_id", "batch_id"
+HORIZON = "7 days"
 
 
 def payment_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -37,39 +39,54 @@ def without_repeats(payments: DataFrame, horizon: str) -> DataFrame:
 
 
 def take_in(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The payments of a batch the ledger does not hold yet, each once. Copies within the batch
-    are combined before the shuffle, however many there are."""
-    return batch.dropDuplicates(["repayment_id"]).join(ledger.select("repayment_id"), "repayment_id", "left_anti")
+    """The payments of a batch the ledger does not hold yet, each once.
+
+    Of deliveries of one id that differ the one with the lowest amount counts, then the earliest
+    date, the lowest instalment and the first mode. Copies are cut to one inside each map task. Of
+    the ledger only files that may hold ids between the batch's lowest and highest are read.
+    """
+    low, high = batch.agg(F.min("repayment_id"), F.max("repayment_id")).first()
+    known = ledger.select("repayment_id").where(F.col("repayment_id").between(low, high))
+    once = first_rows(batch, "repayment_id", "paid_amount", "payment_date", "emi_id", "payment_mode")
+    return once.join(known, "repayment_id", "left_anti")
 
 
 def stream_apply_payments(payments: DataFrame, t: Tables, out: str, checkpoint: str,
-                          horizon: str | None = None) -> StreamingQuery:
+                          horizon: str = HORIZON) -> StreamingQuery:
     """Write each batch of new payments below ``out/repayment``; stop when input is exhausted.
 
-    Repeats are told by the ledger and the batches before, so none gets through and no state is
-    needed. Where senders repeat much, a ``horizon`` such as '7 days' also keeps a state of the
-    payments seen and drops their repeats before they reach a batch.
+    Repeats within the ``horizon`` are dropped in state. Older ones are told by the ledger and by
+    earlier batches, of which only the files that may hold the batch's ids are read.
 
-    A batch writes to a folder named by its id and replaces what a failed attempt left there, so
-    a restart neither loses nor repeats payments. ``payments_taken_in`` reads the result.
+    A batch writes to a folder named by the stream and its number and replaces what a failed
+    attempt left there, so a restart neither loses nor repeats payments, and a stream with a new
+    checkpoint never overwrites what an older one wrote. ``taken_in`` reads the result.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = t.repayment
-        if batch_id > 0:
-            earlier = taken_in(batch.sparkSession, out)
-            known = known.select("repayment_id").unionByName(
-                earlier.where(F.col(BATCH) < batch_id).select("repayment_id"))
-        (take_in(batch, known).write.mode("overwrite")
-         .parquet(f"{out}/repayment/{BATCH}={batch_id}"))
-
-    new = payments if horizon is None else without_repeats(payments, horizon)
-    return (new.writeStream.foreachBatch(write)
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        # The first batch makes the folder, so that the next ones can be read beside it.
+        folder = f"{out}/repayment/{QUERY}={query}/{BATCH}={batch_id}"
+        known = t.repayment.select("repayment_id")
+        if batch_id > 0 or _exists(spark, f"{out}/repayment"):
+            mine = (F.col(QUERY) == query) & (F.col(BATCH) >= batch_id)
+            known = known.unionByName(taken_in(spark, out).where(~mine).select("repayment_id"))
+        take_in(batch, known).write.mode("overwrite").parquet(folder)
+
+    return (without_repeats(payments, horizon).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def taken_in(spark: SparkSession, out: str) -> DataFrame:
-    """The payments the stream has written so far, with the batch they came in."""
-    return spark.read.schema(f"{COLUMNS['repayment']}, {BATCH} BIGINT").parquet(
+    """The payments written so far, with the stream and the batch they came in."""
+    return spark.read.schema(f"{COLUMNS['repayment']}, {QUERY} STRING, {BATCH} BIGINT").parquet(
         f"{out}/repayment")
 
 
@@ -80,12 +97,15 @@ def settle(t: Tables, paid: DataFrame) -> Tables:
         repayment=paid.select(*column_names("repayment")))
 
 
-def stream_monthly_collections(payments: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def stream_monthly_collections(payments: DataFrame, out: str, checkpoint: str,
+                               horizon: str = HORIZON) -> StreamingQuery:
     """Running totals by month; each batch writes the months it changed.
 
-    The key is the calendar month, so state holds one row per month and needs no watermark.
+    A payment delivered again within the horizon counts once; where repeats come later, stream the
+    ledger that ``stream_apply_payments`` writes. The key is the calendar month, so the totals'
+    state holds one row per month and needs no watermark.
     """
-    months = (payments.groupBy(month_start("payment_date").alias("month_start"))
+    months = (without_repeats(payments, horizon).groupBy(month_start("payment_date").alias("month_start"))
               .agg(F.sum("paid_amount").alias("total_collected"),
                    F.count("repayment_id").alias("payment_count")))
 

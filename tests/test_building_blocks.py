@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
+from lendlake.functions.keys import numbered
 from lendlake.functions.latest import newest_scores
 from lendlake.functions.ranking import dense_ranks_of_counts, ranks_descending
 from lendlake.functions.sequences import look_back
@@ -37,9 +38,9 @@ def brute_force(data):
     return expected
 
 
-@pytest.mark.parametrize("block_rows, id_bits", [(1, 0), (2, 1), (5, 2), (20, 3), (10**6, 20)])
-def test_look_back_in_blocks_equals_one_window(spark, block_rows, id_bits):
-    rng = random.Random(block_rows)
+@pytest.mark.parametrize("blocks", [None, 1, 2, 7, 60, 150])
+def test_look_back_in_ranges_equals_one_window(spark, blocks):
+    rng = random.Random(blocks or 0)
     data = []
     for row_id in range(200):
         key = 1 if rng.random() < 0.6 else rng.randrange(2, 12)
@@ -52,13 +53,13 @@ def test_look_back_in_blocks_equals_one_window(spark, block_rows, id_bits):
         df, "k", "day", "id",
         {"mean": lambda w: F.avg(value).over(w.rowsBetween(-2, 0)),
          "change": lambda w: value - F.lag(value).over(w)},
-        reach=2, block_rows=block_rows, id_block_bits=id_bits)
+        reach=2, blocks=blocks)
     found = {r["id"]: (round(r["mean"], 9), r["change"]) for r in result.collect()}
     assert found == brute_force(data) and result.count() == len(data)
 
 
 def test_score_trend_is_the_same_in_blocks(spark, star):
-    assert rows(score_trend(star, block_rows=7)) == rows(score_trend(star))
+    assert rows(score_trend(star, blocks=7)) == rows(score_trend(star))
 
 
 def test_bands_with_gap_and_overlap(spark):
@@ -71,10 +72,47 @@ def test_bands_with_gap_and_overlap(spark):
                      751: 1, 900: 1}
 
 
-def test_score_ids_beyond_the_packed_range_are_refused(spark):
-    scores = frame(spark, "credit_score", [(1 << 47, 1, 500, d("2024-01-01"), 3)])
-    with pytest.raises(Exception, match="outside the supported range"):
-        newest_scores(scores).collect()
+def test_newest_score_takes_any_id_and_date(spark):
+    scores = frame(spark, "credit_score", [
+        ((1 << 62) + 1, 1, 500, d("9999-12-31"), 3), (1 << 62, 1, 501, d("9999-12-31"), 3),
+        (-5, 2, 400, None, 3), (-7, 2, 401, d("0001-01-01"), 3), (3, 3, 402, None, 3),
+        (4, 3, 403, None, None)])
+    assert rows(newest_scores(scores), "customer_id", "score_value") == [(1, 500), (2, 401), (3, 403)]
+
+
+def test_numbers_are_dense_and_ordered(spark):
+    ids = [3, 10**15, 7, 10**12, 9, 10**15 + 1, -4]
+    df = spark.createDataFrame([(i,) for i in ids], "i BIGINT").repartition(3)
+    assert rows(numbered(df, ["i"], "n"), "i", "n") == [(x, n) for n, x in enumerate(sorted(ids))]
+    wide = rows(numbered(df, ["i"], "n", F.lit(3)), "i", "n")
+    assert wide == [(x, 3 * n) for n, x in enumerate(sorted(ids))]
+    assert numbered(df.limit(0), ["i"], "n").count() == 0
+
+
+def test_instalment_keys_stay_in_range():
+    from lendlake.sources.star import INSTALMENT
+    key = eval(INSTALMENT["emi_id"], {"l_orderkey": 10**11, "l_linenumber": 7,  # noqa: S307
+                                      "l_partkey": 10**8, "l_suppkey": 10**7})
+    assert 0 < key < 2**63
+
+
+@pytest.mark.parametrize("bins", [1, 7, 20, 600])
+def test_histogram_bins_are_even(spark, bins):
+    from lendlake.operators.access import score_histogram
+    t = micro(spark, customer=[customer(i) for i in range(601)], credit_score=[
+        (i, i, 300 + i, d("2024-01-01"), 1) for i in range(601)])
+    found = {}
+    for start, _, n in rows(score_histogram(t, bins), "bin_start", "risk_level", "n"):
+        found[start] = found.get(start, 0) + n
+    assert len(found) == bins and sum(found.values()) == 601 and min(found) == 300
+    assert max(found.values()) - min(found.values()) <= (2 if bins > 1 else 601)
+
+
+def test_histogram_refuses_other_bins(spark, star):
+    from lendlake.operators.access import score_histogram
+    for bins in (0, 601):
+        with pytest.raises(ValueError, match="bins"):
+            score_histogram(star, bins)
 
 
 def test_unbanded_scores_do_not_enter_the_moving_average(spark):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendlake.operators import models, scoring
+from lendlake.plans import catalog
 from tests.micro import D, customer, loan, micro, rows
 
 
@@ -19,6 +20,21 @@ def test_features_fall_back_to_the_form_defaults(spark):
                      (50000.0, "Salaried", 3, 0, 0)]
 
 
+def test_applications_of_unknown_customers_stay(spark):
+    t = micro(spark, customer=[customer(1)], loan=[loan(1, 1), loan(2, 99)])
+    found = scoring.application_features(t, scoring.loans_as_applications(t))
+    assert rows(found.orderBy("application_id"), "application_id", "problem") == [
+        (1, None), (2, "unknown customer")]
+    card = rows(scoring.scorecard(t, scoring.loans_as_applications(t)).orderBy("application_id"),
+                "application_id", "score_value")
+    assert card[0][1] is not None and card[1] == (2, None)
+
+
+def test_no_sort_aggregate_in_features(spark, star):
+    plan = scoring.application_features(star, scoring.loans_as_applications(star))
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unknown_employment_codes_as_two(spark):
     df = spark.createDataFrame([("Salaried",), ("Pirate",), (None,)], "e STRING")
     assert rows(df.select(scoring.employment_code(F.col("e")))) == [(3,), (2,), (2,)]
@@ -81,6 +97,11 @@ def test_models(spark, data, star, tmp_path):
     fitted = models.Models(score, risk, default)
 
     features = scoring.application_features(star, scoring.loans_as_applications(star))
+    stranger = features.limit(1).withColumn("application_id", F.lit(-1).cast("bigint")).withColumn(
+        "problem", F.lit("unknown customer"))
+    refused = models.assess_applications(fitted, features.unionByName(stranger)).where(
+        "application_id = -1").first()
+    assert refused["auto_approved"] is False and refused["reasons"] == "Unknown Customer"
     result = models.assess_applications(fitted, features)
     assert result.count() == star.loan.count()
     for row in result.limit(200).collect():
@@ -101,3 +122,30 @@ def test_one_class_only(spark, data):
     none = data.withColumn("will_default", F.lit(0))
     _, metrics = models.train_default_model(none)
     assert metrics.first()["accuracy"] == 1.0
+
+
+def test_flags_of_the_model_queries_can_fail(spark, data):
+    """A model of shuffled labels misses every floor and distance."""
+    noise = data.withColumn("score_value", (300 + F.pmod(F.xxhash64("application_id"), F.lit(601))).cast("int"))
+    model, metrics = models.train_score_model(noise, trees=3, depth=2)
+    assert rows(catalog.score_metrics(metrics), "mae_ok", "r2_ok") == [(False, False)]
+    facts = catalog.score_facts(models.predict_score(models.Models(score=model), noise))
+    assert not facts.where("not near_scorecard").isEmpty()
+    levels = data.withColumn("risk_level", F.element_at(F.array(*map(F.lit, ("Low", "High"))), (
+        F.pmod(F.xxhash64("application_id"), F.lit(2)) + 1).cast("int")))
+    assert rows(catalog.level_metrics(models.train_risk_model(levels, trees=3, depth=2)[1]),
+                "accuracy_ok") == [(False,)]
+    bad = spark.createDataFrame([(1, 0.7, 0.2, False, "Low")], "application_id int, default_probability "
+                                "double, no_default_probability double, default_expected boolean, "
+                                "default_confidence string")
+    assert rows(catalog.default_facts(bad)) == [(1, False, False, False)]
+    bad = spark.createDataFrame([(1, 950, 0.1, False, "")], "application_id int, credit_score int, "
+                                "default_probability double, auto_approved boolean, reasons string")
+    assert rows(catalog.decision_facts(bad)) == [(1, False, False, False)]
+
+
+def test_fit_sample_is_bounded_and_repeatable(spark, data):
+    some = models.fit_sample(data, 300)
+    assert 150 < some.count() < 600
+    assert some.exceptAll(models.fit_sample(data, 300)).isEmpty()
+    assert models.fit_sample(data, 10**9).count() == data.count()

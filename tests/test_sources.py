@@ -84,3 +84,22 @@ def test_scratch_files_go_to_the_folder_the_session_names(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert workspace.new_folder(spark, "x").startswith(folder)
     assert workspace.checkpointed(spark.range(3)).count() == 3
+
+
+def test_csv_keeps_awkward_texts(spark, tmp_path):
+    texts = [" lead ", "", None, 'say "hi", twice', "two\nlines", "a\r\nb", "\\", "tab\t,", "'", '"']
+    t = micro(spark, customer=[(i, x, *customer(i)[2:]) for i, x in enumerate(texts)])
+    exports.export_all_tables(t, str(tmp_path / "all"))
+    again = load_tables(spark, str(tmp_path / "all"), "csv")
+    assert [r[0] for r in rows(again.customer.orderBy("customer_id"), "name")] == texts
+    import csv
+    first = min((tmp_path / "all" / "customer").glob("*.csv"))
+    assert len(list(csv.reader(first.open(newline="")))[0]) == len(COLUMNS["customer"].split(","))
+
+
+def test_malformed_csv_ends_the_job(spark, tmp_path):
+    folder = tmp_path / "bad" / "loan_type"
+    folder.mkdir(parents=True)
+    (folder / "x.csv").write_text("loan_type_id,type_name,base_interest_rate,max_amount\n1,A,12x4,5\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        load_tables(spark, str(tmp_path / "bad"), "csv").loan_type.collect()

@@ -10,7 +10,7 @@ def deliver(spark, folder, number, payments):
     frame(spark, "repayment", payments).coalesce(1).write.parquet(f"{folder}/f{number}")
 
 
-@pytest.mark.parametrize("horizon", [None, "7 days"])
+@pytest.mark.parametrize("horizon", ["1 second", "7 days"])
 def test_payments_are_taken_in_once_across_batches_and_restarts(spark, tmp_path, horizon):
     inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
     t = micro(spark, emi_schedule=[emi(i, 1, "2024-01-01") for i in (1, 2, 3)],
@@ -37,7 +37,7 @@ def test_payments_are_taken_in_once_across_batches_and_restarts(spark, tmp_path,
 def test_a_failed_batch_written_again_changes_nothing(spark, tmp_path):
     known = frame(spark, "repayment", [])
     batch = frame(spark, "repayment", [(1, 1, D("5.00"), d("2024-01-02"), "UPI")])
-    target = str(tmp_path / "repayment" / "batch_id=0")
+    target = str(tmp_path / "repayment" / "query_id=q" / "batch_id=0")
     for _ in range(2):
         streams.take_in(batch, known).write.mode("overwrite").parquet(target)
     assert streams.taken_in(spark, str(tmp_path)).count() == 1
@@ -70,3 +70,30 @@ def test_running_collections_keep_the_newest_total(spark, tmp_path):
         streams.stream_monthly_collections(stream, out, state).awaitTermination()
     assert sorted(rows(streams.collections_so_far(spark, out)), key=str) == sorted([
         ("2024-01", D("6.00"), 2), ("2024-02", D("7.00"), 1), (None, D("2.00"), 1)], key=str)
+
+
+def test_redelivery_counts_once_and_a_new_checkpoint_overwrites_nothing(spark, tmp_path):
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    stream = streams.payment_files(spark, f"{inbox}/*")
+    t = micro(spark)
+    twice = [(1, 1, D("5.00"), d("2024-01-02"), "UPI"), (1, 1, D("4.00"), d("2024-01-03"), "Cash")]
+    for number, payments in enumerate([twice, [*twice[1:], (2, 1, D("7.00"), d("2024-02-02"), "UPI")]]):
+        deliver(spark, inbox, number, payments)
+        streams.stream_monthly_collections(stream, f"{out}/months", str(tmp_path / "m")).awaitTermination()
+        streams.stream_apply_payments(stream, t, out, str(tmp_path / f"s{number}")).awaitTermination()
+    months = {r[0]: r[2] for r in rows(streams.collections_so_far(spark, f"{out}/months"),
+                                       "month", "total_collected", "payment_count")}
+    assert months == {"2024-01": 1, "2024-02": 1}
+    assert sorted(rows(streams.taken_in(spark, out), "repayment_id")) == [(1,), (2,)]
+
+
+def test_of_different_deliveries_the_lowest_amount_counts(spark):
+    batch = frame(spark, "repayment", [(1, 1, D("5.00"), d("2024-01-02"), "UPI"),
+                                       (1, 1, D("4.00"), d("2024-01-03"), "Cash")])
+    assert rows(streams.take_in(batch, frame(spark, "repayment", [])), "paid_amount") == [(D("4.00"),)]
+
+
+def test_only_the_batch_s_part_of_the_ledger_is_read(spark, star):
+    batch = frame(spark, "repayment", [(70, 1, D("5.00"), d("2024-01-02"), "UPI")])
+    text = streams.take_in(batch, star.repayment)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 70" in text and "<= 70" in text
