@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lendlake.llm import toxicity
 from lendlake.llm.shared import prefix
 
+FIT = toxicity.Fit()
 
 def with_labels(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """``docs`` with a column ``name``: the toxic label of the document, null without one. Of labels
@@ -24,6 +25,14 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    """Fitted on labelled documents that are not held out."""
-    name = f"{prefix(docs)}toxic"
-    return toxicity.train(with_labels(docs, labels, name), ~held_out(5, 0), F.col(name))
+    """Fitted on labelled documents that are not held out.
+
+    The sample is drawn from the labels, so its bound is the broadcast's; texts are not shuffled.
+    """
+    p = prefix(docs)
+    by_doc = labels.where(~held_out(5, 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
+        F.max("toxic").cast("int").alias("label"))
+    sample, share = toxicity.drawn(by_doc, "label", FIT, "doc_id")
+    sample = sample.select(F.col("doc_id").alias(f"{p}of"), F.col("label").alias(f"{p}label"))
+    some = docs.join(F.broadcast(sample), F.col("doc_id") == F.col(f"{p}of"))
+    return toxicity.train(some, F.lit(True), F.col(f"{p}label"), FIT, share=share)

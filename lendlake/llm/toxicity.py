@@ -29,6 +29,7 @@ BUCKETS = 1 << 18
 WORDS = re.compile(r"\w+")
 REMEMBERED_WORDS = 400_000
 CHARS_AT_ONCE = 500_000
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,8 @@ class Fit:
     """``sample``: labelled documents of each class, about. ``passages``: passages of one of those
     at most, evenly spread over it. ``words``: words of a passage."""
 
-    sample: int = 5000
-    passages: int = 60
+    sample: int = 4000
+    passages: int = 40
     words: int = 32
     size: int = 8
     rounds: int = 10
@@ -57,6 +58,16 @@ class Model:
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the n-grams of 3 to 5 bytes of each word between marks, and of the word;
     and where each word's begin (one more bound at the end)."""
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        found, n = _subwords(words[at:at + WORDS_AT_ONCE])
+        ids.append(found)
+        sizes.append(n)
+    return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers, and how many each word has."""
     marked = [b"<%b>" % w.encode() for w in words]
     size = np.array([len(x) for x in marked], dtype=np.int64)
     data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
@@ -79,8 +90,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.arange(len(words)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    ids = np.concatenate(ids)[order].astype(np.int64)
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return np.concatenate(ids)[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def _starts(n: int, words: int) -> np.ndarray:
@@ -89,15 +99,18 @@ def _starts(n: int, words: int) -> np.ndarray:
     return starts if n <= words or starts[-1] == n - words else np.append(starts, n - words)
 
 
-def _sampled(rows: DataFrame, fit: Fit) -> tuple[
-        list[list[np.ndarray]], np.ndarray, list[str], float]:
-    """Passages of the sampled documents as word numbers, their labels, the words, and the share of
-    label 1 among all labelled rows."""
-    sizes = dict(rows.groupBy("label").count().collect())
+def drawn(rows: DataFrame, label: str, fit: Fit, *keys: str) -> tuple[DataFrame, float]:
+    """About ``fit.sample`` rows of each label by a hash of ``keys``, and the share of label 1."""
+    sizes = dict(rows.groupBy(label).count().collect())
     share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, F.lit(fit.sample / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(fit.seed)), F.lit(1 << 20)) < share * (1 << 20))
+    for value, n in sizes.items():
+        share = F.when(F.col(label) == value, F.lit(fit.sample / n)).otherwise(share)
+    bucket = F.pmod(F.xxhash64(*keys, F.lit(fit.seed)), F.lit(1 << 20))
+    return rows.where(bucket < share * (1 << 20)), sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+
+def _passages(rows: DataFrame, fit: Fit) -> tuple[list[list[np.ndarray]], np.ndarray, list[str]]:
+    """Passages of each document as word numbers, the labels, and the words."""
     words, most = fit.words, fit.passages
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,30 +121,32 @@ def _sampled(rows: DataFrame, fit: Fit) -> tuple[
                 starts = _starts(len(found), words)
                 if len(starts) > most:
                     starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-                out.append([" ".join(found[a:a + words]) for a in starts if found])
-            yield pd.DataFrame({"label": batch["label"], "passages": out})
+                out.append("\n".join(" ".join(found[a:a + words]) for a in starts))
+            yield pd.DataFrame({"tie": batch["tie"], "label": batch["label"], "passages": out})
 
-    frame = drawn.mapInPandas(cut, "label int, passages array<string>").toPandas()
-    frame = frame[frame["passages"].map(len) > 0]
-    frame = frame.assign(first=frame["passages"].map(" ".join)).sort_values(["label", "first"])
+    frame = rows.withColumn("tie", F.xxhash64("text")).select("tie", "label", "text").mapInPandas(
+        cut, "tie bigint, label int, passages string").where("passages <> ''").toPandas()
+    frame = frame.sort_values(["label", "tie"], ignore_index=True)
     known: dict[str, int] = {}
-    docs = [[np.array([known.setdefault(w, len(known)) for w in p.split(" ")]) for p in passages]
-            for passages in frame["passages"]]
-    share_1 = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return docs, frame["label"].to_numpy(), list(known), share_1
+    docs = [[np.array([known.setdefault(w, len(known)) for w in p.split(" ")], dtype=np.int32)
+             for p in passages.split("\n")] for passages in frame["passages"]]
+    return docs, frame["label"].to_numpy(), list(known)
 
 
 def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
-          text_col: str = "text") -> Model:
+          text_col: str = "text", share: float | None = None) -> Model:
     """A model of the rows for which ``learns`` holds, with label 0 or 1 and a text with words.
 
-    Rows with a null label or text teach nothing. Without rows of both classes every text gets
+    ``share`` is the share of label 1 to expect, that of the labelled rows if it is not given. Rows
+    with a null label or text teach nothing. Without rows of both classes every text gets
     the share of label 1 among those there are, or 0.5. Depends on the rows, not their order.
     """
     rows = docs.where(F.coalesce(learns, F.lit(False)) & label.isin(0, 1)
                       & F.col(text_col).isNotNull()).select(
         label.cast("int").alias("label"), F.lower(F.col(text_col)).alias("text"))
-    texts, labels, words, share = _sampled(rows, fit)
+    rows, seen_share = drawn(rows, "label", fit, "text")
+    share = seen_share if share is None else share
+    texts, labels, words = _passages(rows, fit)
     if len(set(labels)) < 2:
         shift = float(np.where(labels.mean() > 0.5, 5.0, -5.0)) if len(labels) else 0.0
         return Model(np.zeros(BUCKETS), 0.0, 1.0, shift, fit.words)
