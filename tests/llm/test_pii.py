@@ -85,7 +85,7 @@ def test_disclosure_is_the_share_of_information(spark):
     n, pair, entity, term = 49, 5, 5, 6
     assert got["zorblax"] == pytest.approx(
         math.log(n * pair / (entity * term)) / math.log(n / entity))
-    assert "filler" not in got
+    assert "some" not in got and got["today"] == 1.0
 
 
 def test_sanitised_text(spark):
