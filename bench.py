@@ -25,6 +25,7 @@ HEADLINE = [
     "repayment_progress", "latest_score", "status_timeline", "credit_history_rollup",
     "emi_schedule_generate", "emi_schedule_backfill", "mark_overdue", "detect_defaults",
     "default_sweep", "apply_payments", "disburse_loans", "validate_tables", "rule_default_score",
+    "train_score_model", "train_risk_model", "train_default_model", "stream_apply_payments",
 ]
 
 
