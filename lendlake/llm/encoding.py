@@ -11,11 +11,12 @@ the tokenizers do not.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 # Texts are cut into words in parts of about so many characters, to bound memory.
 CHARS_AT_ONCE = 500_000
 # A word of letters that neither case folding nor composing takes apart, and closing marks.
@@ -27,6 +28,8 @@ _BYTES = {b: chr(b) for b in _PRINTED} | {
 # The merges alone must give the library's ids for these, or every word takes the long way.
 _PROBES = ("the", " Then", " which", "Édition", " über", " Straßen", "of", " A", " ÀÑ", "zx")
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85]")
+# Beyond these characters lower-casing may depend on the context or the Unicode version.
+_FOREIGN = re.compile("[^\x00-\u012f\u0132-\u0148]")
 # A blank joins the word that follows it, other white space stands alone: so byte-level
 # vocabularies see words. Lower-casing vocabularies drop white space, so any cut at it is safe.
 _WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -35,7 +38,9 @@ _WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 class WordEncoder:
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Names of special tokens inside a text are ordinary text.
+    Names of special tokens inside a text are ordinary text. Words are kept in two generations:
+    when the younger one is full it becomes the older one, and a word met there again moves back,
+    so frequent words stay.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS) -> None:
@@ -45,7 +50,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._remembered = remembered
-        self._known: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         alike = self._ids([" Aé", "aé"])
         self._folds = alike[0] == alike[1]
         self._direct = self._merged(list(_PROBES)) == self._ids(list(_PROBES))
@@ -63,49 +69,53 @@ class WordEncoder:
             w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
         )]).tobytes() for w in words]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Add words to the memory; a word with closing marks is its bare form and the marks."""
-        known, marked, plain, other = self._known, [], [], []
-        match = _PLAIN.fullmatch if self._direct else lambda w: None
-        for w in words:
-            if found := match(w):
-                bare, marks = found.groups()
-                if marks:
-                    marked.append((w, bare, marks))
-                else:
-                    plain.append(w)
-            else:
-                other.append(w)
-        plain += {bare for _, bare, _ in marked}.difference(plain) - known.keys()
-        other += {marks for _, _, marks in marked}.difference(other) - known.keys()
-        known.update(zip(plain, self._merged(plain), strict=True))
-        known.update(zip(other, self._ids(other), strict=True))
-        for w, bare, marks in marked:
-            known[w] = known[bare] + known[marks]
+        young, old = self._young, self._old
+        back = {w for w in words if w in old}
+        young.update((w, old[w]) for w in back)
+        new = list(words - back)
+        found = [*map(_PLAIN.fullmatch, new)] if self._direct else [None] * len(new)
+        marked = [(w, *m.groups()) for w, m in zip(new, found) if m and m[2]]
+        plain = {w for w, m in zip(new, found) if m and not m[2]}.union(x[1] for x in marked)
+        other = {w for w, m in zip(new, found) if not m}.union(x[2] for x in marked)
+        for some, ids_of in ((plain, self._merged), (other, self._ids)):
+            missing = [w for w in some if w not in young]
+            young.update(zip(missing, ids_of(missing), strict=True))
+        young.update((w, young[bare] + young[marks]) for w, bare, marks in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; nothing for null."""
         out: list[bytes] = []
-        part: list[list[str] | bytes] = []
+        part: list[str] = []
         held = 0
-        for text in texts:
-            if text and _DOUBTFUL.search(text):
-                part.append(self._ids([text])[0])
-            else:
-                part.append(_WORDS.findall(text or ""))
-            held += len(text or "")
-            if held > CHARS_AT_ONCE:
-                out += self._joined(part)
-                part, held = [], 0
-        return out + self._joined(part)
-
-    def _joined(self, texts: list[list[str] | bytes]) -> list[bytes]:
-        if len(self._known) > self._remembered:
-            self._known.clear()
-        met = set().union(*(x for x in texts if isinstance(x, list)))
-        self._learn([w for w in met if w not in self._known])
-        find = self._known.__getitem__
-        return [b"".join(map(find, x)) if isinstance(x, list) else x for x in texts]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and looking for cycles would cost a fifth of the time
+        try:
+            for text in texts:
+                part.append(text or "")
+                held += len(part[-1])
+                if held > CHARS_AT_ONCE:
+                    out += self._encoded(part)
+                    part, held = [], 0
+            return out + self._encoded(part)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _words(self, text: str) -> list[str]:
+        if self._folds:
+            return (text if _FOREIGN.search(text) else text.lower()).split()
+        return _WORDS.findall(text)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        if len(self._young) > self._remembered // 2:
+            self._old, self._young = self._young, {}
+        words = [None if _DOUBTFUL.search(x) else self._words(x) for x in texts]
+        self._learn(set().union(*(x for x in words if x)).difference(self._young))
+        find = self._young.__getitem__
+        return [self._ids([text])[0] if x is None else b"".join(map(find, x))
+                for text, x in zip(texts, words, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
