@@ -142,13 +142,9 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
-def _terms_in(docs: DataFrame, text: Column, keys: list[Column], wanted: DataFrame) -> DataFrame:
-    """Rows (keys, term and the other columns of ``wanted``) for each wanted term of a document."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    rows = docs.select(*keys, F.explode(words).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "term")
+def _words(text: Column) -> Column:
+    """The distinct words of a text that may be terms."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure(),
@@ -166,7 +162,8 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure(),
         "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(
         F.col("n_pair") >= rules.min_support)
     pairs = stored(pairs.join(of_entity, "entity"), "disclosure-pairs")
-    of_term = _terms_in(docs, text, [], pairs.select("term").distinct()).groupBy("term").agg(
+    # Words are counted before they meet the pairs: a word of every document is one row by then.
+    of_term = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(documents))
     told = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
@@ -190,8 +187,9 @@ def find_personal_data(docs: DataFrame, rules: Disclosure = Disclosure(), id_col
     text, tie = text_of(text_col), row_hash(docs)
     terms = stored(disclosing_terms(docs, rules, text_col).select(
         "term", (F.col("disclosure") >= rules.remove_at).alias("removed")), "disclosing")
-    hits = stored(_terms_in(docs, text, [tie.alias(f"{p}tie")], terms)
-                  .groupBy(f"{p}tie").agg(
+    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    hits = stored(docs.select(tie.alias(f"{p}tie"), F.explode(_words(text)).alias("term"))
+                  .join(wanted, "term").groupBy(f"{p}tie").agg(
                       F.collect_set("term").alias(f"{p}terms"),
                       F.collect_set(F.when(F.col("removed"), F.col("term"))).alias(f"{p}gone")),
                   "disclosing-hits")
