@@ -16,7 +16,7 @@ import os
 import re
 from array import array
 
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 900_000
 # Texts are cut into words in parts of about so many characters, to bound memory.
 CHARS_AT_ONCE = 500_000
 # A word of letters that neither case folding nor composing takes apart, and closing marks.
