@@ -1,15 +1,16 @@
 """Personal data: patterns first, then terms that give the protected entities away.
 
-Entities (addresses, numbers) are found by patterns. A term, a word near an entity, discloses it as
-far as it tells which entity is meant: the pointwise mutual information of term and entity, as a
-share of the entity's own information, both from document counts over the whole corpus. 1 means
-that the term occurs only where the entity does. Terms at or above ``generalise_at`` for some
+Entities (addresses, numbers) are found by patterns. A term, a word of a document with the entity,
+discloses it as far as it tells which entity is meant: the pointwise mutual information of term and
+entity, as a share of the entity's own information, both from document counts over the whole corpus.
+1 means that the term occurs only where the entity does. Terms at or above ``generalise_at`` for some
 entity are disclosing wherever they occur; those at or above ``remove_at`` are removed rather than
-replaced by a label. A pair must be seen in ``min_support`` documents, or every rare word would
-count.
+replaced by a label. All counts are of whole documents, and entities of one document count like
+others: a word found nowhere but in that document gives it away.
 
-Pairs of term and entity come from a window of characters beside each mention, so their number
-follows the text, never its square. DataFrame functions only.
+A word can reach the threshold for an entity only if it is rare enough for the entity's count, so
+frequent words meet frequent entities only; no pair that could reach it is left out. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -43,10 +44,8 @@ BROADCAST_TERMS = 200_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``window``: characters on each side of a mention; the thresholds are shares of 1."""
+    """The thresholds are shares of 1."""
 
-    window: int = 64
-    min_support: int = 3
     generalise_at: float = 0.95
     remove_at: float = 0.999
 
@@ -78,44 +77,40 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, pattern: Column, window: int = 0) -> Column:
-    """start, finish, value and the text on both sides of each match, in code points.
+def _spans(text: Column, pattern: Column) -> Column:
+    """start, finish and value of each match, in code points.
 
-    The texts between matches and the matches alternate, so running lengths are the places.
+    The texts between matches and the matches alternate, so running lengths are the places. Both are
+    found once for a text, before the lambda, which would find them again for each match.
     """
-    values = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:bigint,finish:bigint,value:string,"
-                   "left:string,right:string>>)")
-
-    def add(state: Column, i: Column) -> Column:
-        value, gap = F.element_at(values, i), F.element_at(gaps, i)
-        start = state["at"] + F.length(gap)
-        finish = start + F.length(value)
-        span = F.struct(
-            start.alias("start"), finish.alias("finish"), value.alias("value"),
-            F.right(gap, F.lit(window)).alias("left"),
-            F.left(F.element_at(gaps, i + 1), F.lit(window)).alias("right"))
+    parts = F.filter(F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1),
+        lambda value, gap: F.struct(value.alias("value"), gap.alias("gap"))),
+        lambda x: x["value"].isNotNull())
+    empty = F.expr("cast(array() as array<struct<start:bigint,finish:bigint,value:string>>)")
+
+    def add(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part["gap"])
+        finish = start + F.length(part["value"])
+        span = F.struct(start.alias("start"), finish.alias("finish"), part["value"].alias("value"))
         return F.struct(finish.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
     first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    found = F.aggregate(F.sequence(F.lit(1), F.size(values)), first, add, lambda s: s["out"])
-    return F.when(F.size(values) > 0, found).otherwise(empty)
+    return F.coalesce(F.aggregate(parts, first, add, lambda s: s["out"]), empty)
 
 
-def base_spans(text: Column, window: int = 0) -> Column:
-    """Pattern matches of all kinds as (start, rank, finish, kind, value, left, right), by start,
-    then kind. ``rank`` is the place of the kind in KINDS."""
+def base_spans(text: Column) -> Column:
+    """Pattern matches of all kinds as (start, rank, finish, kind, value), by start, then kind.
+    ``rank`` is the place of the kind in KINDS."""
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:int,finish:bigint,kind:string,"
-                   "value:string,left:string,right:string>>)")
+                   "value:string>>)")
     found = []
     for rank, kind in enumerate(KINDS):
         spans = F.transform(
-            F.filter(_spans(text, F.lit(PATTERNS[kind]), window), lambda s: _valid(kind, s["value"])),
+            F.filter(_spans(text, F.lit(PATTERNS[kind])), lambda s: _valid(kind, s["value"])),
             lambda s: F.struct(
                 s["start"].alias("start"), F.lit(rank).alias("rank"), s["finish"].alias("finish"),
-                F.lit(kind).alias("kind"), s["value"].alias("value"), s["left"].alias("left"),
-                s["right"].alias("right")))
+                F.lit(kind).alias("kind"), s["value"].alias("value")))
         found.append(F.when(text.rlike(HINTS[kind]), spans).otherwise(empty))
     return F.array_sort(F.concat(*found))
 
@@ -126,18 +121,6 @@ def written(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))), ",")
 
 
-def _pairs(spans: Column, window: int) -> Column:
-    """Distinct (entity, term) of a document; words cut by the window's edge are left out."""
-    def terms(s: Column) -> Column:
-        left = F.when(F.length(s["left"]) < window, s["left"]).otherwise(
-            F.regexp_replace(s["left"], r"^\p{L}+", ""))
-        right = F.when(F.length(s["right"]) < window, s["right"]).otherwise(
-            F.regexp_replace(s["right"], r"\p{L}+$", ""))
-        words = F.regexp_extract_all(F.lower(F.concat_ws(" | ", left, right)), F.lit(TERM), F.lit(0))
-        return F.transform(words, lambda w: F.struct(entity(s).alias("entity"), w.alias("term")))
-    return F.array_distinct(F.flatten(F.transform(spans, terms)))
-
-
 def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
@@ -151,25 +134,37 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure(),
                      text_col: str = "text") -> DataFrame:
     """Terms at or above ``generalise_at`` for some entity: term, disclosure (the highest)."""
     text = text_of(text_col)
-    spans = docs.select(base_spans(text, rules.window + 1).alias("spans")).where(F.size("spans") > 0)
-    mentions = stored(spans.select(
+    found = docs.select(base_spans(text).alias("spans"), text.alias("text")).where(F.size("spans") > 0)
+    mentions = stored(found.select(
+        F.monotonically_increasing_id().alias("document"),
         F.array_distinct(F.transform("spans", entity)).alias("entities"),
-        _pairs(F.col("spans"), rules.window + 1).alias("pairs")), "mentions")
+        _words(F.col("text")).alias("words")), "mentions")
     documents = docs.count()
-    of_entity = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= rules.min_support)
-    pairs = mentions.select(F.explode("pairs").alias("p")).select("p.*").groupBy(
-        "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(
-        F.col("n_pair") >= rules.min_support)
-    pairs = stored(pairs.join(of_entity, "entity"), "disclosure-pairs")
-    # Words are counted before they meet the pairs: a word of every document is one row by then.
+    n = F.lit(float(documents))
+    of_entity = stored(mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < documents), "entities")
+    most = of_entity.agg(F.max("n_entity")).first()[0]
+
+    def bound(n_entity: Column) -> Column:
+        """The most documents of a term that reaches the threshold: a pair is in no more documents
+        than the entity. The factor is for rounding."""
+        return n * F.pow(n_entity / n, F.lit(rules.generalise_at)) * F.lit(1 + 1e-9)
+
+    # Words are counted before they meet the documents: a word of every document is one row by then.
     of_term = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(documents))
+    of_term = stored(of_term.where(F.col("n_term") <= bound(F.lit(most))), "terms")
+    # Both sides of each join come straight from a shuffle, so hot words and documents are split.
+    words = mentions.select("document", F.explode("words").alias("term")).join(of_term, "term")
+    entities = mentions.select("document", F.explode("entities").alias("entity")).join(
+        of_entity, "entity").withColumnRenamed("document", "of")
+    pairs = words.join(entities, (F.col("document") == F.col("of"))
+                       & (F.col("n_term") <= bound(F.col("n_entity")))).groupBy(
+        "entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_pair"))
     told = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
     own = F.log(n / F.col("n_entity"))
-    return pairs.join(of_term, "term").where(own > 0).groupBy("term").agg(
-        F.max(told / own).alias("disclosure")).where(F.col("disclosure") >= rules.generalise_at)
+    return pairs.groupBy("term").agg(F.max(told / own).alias("disclosure")).where(
+        F.col("disclosure") >= rules.generalise_at)
 
 
 def find_personal_data(docs: DataFrame, rules: Disclosure = Disclosure(), id_col: str = "doc_id",

@@ -100,6 +100,32 @@ def test_sanitised_text(spark):
     assert {r.doc_id: r.text for r in gone.collect()}[60] == "a note on , and ."
 
 
+def test_far_words_of_an_entity_of_one_document(spark):
+    """Counts are of whole documents, and an entity needs no second one; against plain Python."""
+    import math
+    far = "quixotry " + "common filler words " * 200
+    rows = [(1, far + "mail a@b.example, +49 30 1234567 or 10.1.2.3"), (2, "a@b.example common twice"),
+            (3, "10.9.9.9 twice common"), *((i, f"common words, filler {i}") for i in range(4, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rules = pii.Disclosure(generalise_at=0.6)
+    words = {i: set(re.findall("[a-z]{3,}", t)) for i, t in rows}
+    found = {1: {"a@b.example", "+49 30 1234567", "10.1.2.3"}, 2: {"a@b.example"}, 3: {"10.9.9.9"}}
+    want = {}
+    for e in set().union(*found.values()):
+        own = math.log(len(rows) / sum(e in x for x in found.values()))
+        for w in set().union(*words.values()):
+            both = sum(e in x and w in words[i] for i, x in found.items())
+            if both:
+                told = math.log(len(rows) * both / sum(e in x for x in found.values())
+                                / sum(w in x for x in words.values()))
+                want[w] = max(want.get(w, -9), told / own)
+    want = {w: x for w, x in want.items() if x >= rules.generalise_at}
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(docs, rules).collect()}
+    assert got == pytest.approx(want) and got["quixotry"] == 1.0 and "common" not in got
+    spans = {r.doc_id: r.pii_spans for r in pii.find_personal_data(docs, pii.Disclosure()).collect()}
+    assert (0, 8, "term") in {(s.start, s.finish, s.kind) for s in spans[1]}
+
+
 def test_query_over_awkward_rows(spark, tmp_path):
     from lendlake.llm import queries
     rows = [(*r[:1], t or r[1], *r[2:]) for r, t in zip(cases.rows(), HARD)]
