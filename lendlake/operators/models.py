@@ -28,8 +28,10 @@ DEFAULT_FEATURES = ["score_value", "overdue_days", "tenure", "interest_rate", "t
 TEST_SHARE = 0.2
 SEED = 42
 BUCKETS = 10_000
-# Primes that spread ids over the buckets, for the split and for the sample.
-SPLIT_STEP, SAMPLE_STEP = 7_919, 6_007
+# A prime that spreads ids over the buckets.
+SPLIT_STEP = 7_919
+# The sample needs finer buckets, so that its share is above 0 for any number of rows.
+SAMPLE_BUCKETS = 1 << 40
 TREES, SCORE_DEPTH, RISK_DEPTH = 200, 12, 10
 FIT_ROWS = 2_000
 # Memory for the statistics of the nodes that are split together, in MB.
@@ -46,9 +48,9 @@ class Models:
     default: PipelineModel | None = None
 
 
-def _bucket(step: int = SPLIT_STEP) -> Column:
+def _bucket() -> Column:
     """A bucket of the id by whole-number arithmetic that any engine can repeat."""
-    return F.expr(f"pmod(pmod(application_id, {BUCKETS}) * {step} "
+    return F.expr(f"pmod(pmod(application_id, {BUCKETS}) * {SPLIT_STEP} "
                   f"+ pmod(application_id div {BUCKETS}, {BUCKETS}), {BUCKETS})")
 
 
@@ -56,9 +58,10 @@ def fit_sample(train: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` of the training rows (all, if there are fewer), the same ones on every run,
     stored, as a forest reads them once for each level of its trees."""
     n = train.count()
-    share = BUCKETS if n <= rows else int(BUCKETS * rows / n)
+    share = SAMPLE_BUCKETS * min(1.0, rows / max(1, n))
+    bucket = F.pmod(F.xxhash64("application_id"), F.lit(SAMPLE_BUCKETS))
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(train.where(_bucket(SAMPLE_STEP) < share).repartition(parts, "application_id"), "fit")
+    return stored(train.where(bucket < F.lit(share)).repartition(parts, "application_id"), "fit")
 
 
 def split(df: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame]:

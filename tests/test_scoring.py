@@ -149,3 +149,10 @@ def test_fit_sample_is_bounded_and_repeatable(spark, data):
     assert 150 < some.count() < 600
     assert some.exceptAll(models.fit_sample(data, 300)).isEmpty()
     assert models.fit_sample(data, 10**9).count() == data.count()
+
+
+def test_fit_sample_of_many_rows(spark):
+    """Tens of millions of rows give as many rows as fewer do, not none."""
+    for n in (15_000_000, 30_000_000):
+        many = spark.range(n).withColumnRenamed("id", "application_id")
+        assert 1_700 < models.fit_sample(many, 2_000).count() < 2_300
