@@ -7,7 +7,8 @@ stochastic gradients with a step for each row. Labels are for documents, so a do
 toxic as its most toxic passage: after a first round on passages of all kinds, each round trains
 on the passage of a document that scores highest, and on others of clean documents.
 
-The model is fitted on a bounded sample of labelled rows. As it is linear, a trained model is one
+The model is fitted on a bounded sample of labelled rows, of whose texts every passage is read: tasks
+choose the passages of a round, so the driver holds two of a document. As the model is linear, a trained one is one
 number for each bucket; a worker remembers the numbers of a bounded count of words.
 """
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlake.llm.shared import text_of
+from lendlake.llm.shared import stored, text_of
 
 # The top 18 bits of a hash.
 BUCKETS = 1 << 18
@@ -34,11 +35,9 @@ WORDS_AT_ONCE = 20_000
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample``: labelled documents of each class, about. ``passages``: passages of one of those
-    at most, evenly spread over it. ``words``: words of a passage."""
+    """``sample``: labelled documents of each class, about. ``words``: words of a passage."""
 
     sample: int = 4000
-    passages: int = 40
     words: int = 32
     size: int = 8
     rounds: int = 10
@@ -109,28 +108,28 @@ def drawn(rows: DataFrame, label: str, fit: Fit, *keys: str) -> tuple[DataFrame,
     return rows.where(bucket < share * (1 << 20)), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
-def _passages(rows: DataFrame, fit: Fit) -> tuple[list[list[np.ndarray]], np.ndarray, list[str]]:
-    """Passages of each document as word numbers, the labels, and the words."""
-    words, most = fit.words, fit.passages
+def _chosen(rows: DataFrame, model: Model, round_: int, seed: int) -> pd.DataFrame:
+    """tie, label, top, other and logit of each of ``rows`` with a word: its highest passage, a
+    random one, and the logit of the highest. All passages are read, in the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader(shared.value)
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                found = WORDS.findall(text)
-                starts = _starts(len(found), words)
-                if len(starts) > most:
-                    starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-                out.append("\n".join(" ".join(found[a:a + words]) for a in starts))
-            yield pd.DataFrame({"tie": batch["tie"], "label": batch["label"], "passages": out})
-
-    frame = rows.withColumn("tie", F.xxhash64("text")).select("tie", "label", "text").mapInPandas(
-        cut, "tie bigint, label int, passages string").where("passages <> ''").toPandas()
-    frame = frame.sort_values(["label", "tie"], ignore_index=True)
-    known: dict[str, int] = {}
-    docs = [[np.array([known.setdefault(w, len(known)) for w in p.split(" ")], dtype=np.int32)
-             for p in passages.split("\n")] for passages in frame["passages"]]
-    return docs, frame["label"].to_numpy(), list(known)
+            for tie, label, text in zip(batch["tie"], batch["label"], batch["text"]):
+                [(words, starts, means)] = reader.passages([text])
+                if words:
+                    random = np.random.default_rng([seed, round_, tie % (1 << 63)])
+                    places = int(starts[means.argmax()]), int(starts[random.integers(len(starts))])
+                    out.append((tie, label, *(" ".join(words[i:i + reader.words]) for i in places),
+                                float(means.max()) + shared.value.bias))
+            yield pd.DataFrame(out, columns=["tie", "label", "top", "other", "logit"])
+
+    found = rows.select("tie", "label", "text").mapInPandas(
+        choose, "tie bigint, label int, top string, other string, logit double").toPandas()
+    shared.unpersist()
+    return found.sort_values(["label", "tie"], ignore_index=True)
 
 
 def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
@@ -146,20 +145,25 @@ def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
         label.cast("int").alias("label"), F.lower(F.col(text_col)).alias("text"))
     rows, seen_share = drawn(rows, "label", fit, "text")
     share = seen_share if share is None else share
-    texts, labels, words = _passages(rows, fit)
-    if len(set(labels)) < 2:
-        shift = float(np.where(labels.mean() > 0.5, 5.0, -5.0)) if len(labels) else 0.0
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, shift, fit.words)
+    rows = stored(rows.withColumn("tie", F.xxhash64("text")), "toxicity-sample")
     random = np.random.default_rng(fit.seed)
-    ids, bounds = subwords(words)
-    lengths = np.diff(bounds)
     vectors = random.uniform(-0.1, 0.1, (BUCKETS, fit.size)).astype(np.float32) / fit.size
     softmax = np.zeros((fit.size + 1, 2), dtype=np.float32)  # the last row is the bias
     seen, seen_softmax = np.full(BUCKETS, 1e-6, dtype=np.float32), np.full_like(softmax, 1e-6)
 
-    def spelled(passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def current() -> Model:
+        direction = softmax[:-1, 1] - softmax[:-1, 0]
+        return Model((vectors @ direction).astype(np.float64),
+                     float(softmax[-1, 1] - softmax[-1, 0]), 1.0, 0.0, fit.words)
+
+    chosen = _chosen(rows, current(), 0, fit.seed)
+    labels = chosen["label"].to_numpy()
+    if len(set(labels)) < 2:
+        shift = float(np.where(labels.mean() > 0.5, 5.0, -5.0)) if len(labels) else 0.0
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, shift, fit.words)
+    def spelled(ids: np.ndarray, bounds: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets of the passages, the passage each belongs to, and its weight there."""
-        flat = np.concatenate(passages)
+        flat, lengths = np.concatenate(passages), np.diff(bounds)
         sizes = np.array([len(p) for p in passages])
         n = lengths[flat]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -167,8 +171,9 @@ def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
                 np.repeat(np.repeat(np.arange(len(passages)), sizes), n),
                 np.repeat(1.0 / (np.repeat(sizes, sizes) * n), n).astype(np.float32))
 
-    def step(passages: list[np.ndarray], y: np.ndarray, rate: float) -> None:
-        bucket, owner, weight = spelled(passages)
+    def step(ids: np.ndarray, bounds: np.ndarray, passages: list[np.ndarray], y: np.ndarray,
+             rate: float) -> None:
+        bucket, owner, weight = spelled(ids, bounds, passages)
         rows_, inverse = np.unique(bucket, return_inverse=True)
         bag = np.zeros((len(passages), len(rows_)), dtype=np.float32)
         np.add.at(bag, (owner, inverse), weight)
@@ -186,33 +191,29 @@ def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
         seen_softmax[:] += up * up
         softmax[:] -= rate * up / np.sqrt(seen_softmax)
 
-    def word_scores() -> tuple[np.ndarray, np.ndarray, float]:
-        direction = softmax[:-1, 1] - softmax[:-1, 0]
-        buckets = (vectors @ direction).astype(np.float64)
-        return buckets, np.add.reduceat(buckets[ids], bounds[:-1]) / lengths, float(
-            softmax[-1, 1] - softmax[-1, 0])
-
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     for round_ in range(fit.rounds):
-        _, score, _ = word_scores()
+        if round_:
+            chosen = _chosen(rows, current(), round_, fit.seed)
+        known: dict[str, int] = {}
+        tops, others = ([np.array([known.setdefault(w, len(known)) for w in p.split(" ")], np.int32)
+                         for p in chosen[side]] for side in ("top", "other"))
+        ids, bounds = subwords(list(known))
         pool: list[tuple[np.ndarray, int]] = []
         for c, members in enumerate(classes):
-            for i in random.permutation(members)[:max(map(len, classes))]:
-                passages = texts[i]
-                top = max(passages, key=lambda p: score[p].mean())
-                other = passages[random.integers(len(passages))]
-                pool.append((top if round_ else other, c))
+            for i in random.permutation(members):
+                pool.append((tops[i] if round_ else others[i], c))
                 if not c:
-                    pool.append((other, 0))
+                    pool.append((others[i], 0))
         order = random.permutation(len(pool))
         for at in range(0, len(order), 32):
             part = [pool[k] for k in order[at:at + 32]]
-            step([p for p, _ in part], np.array([y for _, y in part]), fit.rate * (1 - round_ / fit.rounds))
+            step(ids, bounds, [p for p, _ in part], np.array([y for _, y in part]),
+                 fit.rate * (1 - round_ / fit.rounds))
     vectors[seen <= 1e-6] = 0  # what training never met says nothing
-    buckets, score, bias = word_scores()
-    top = np.array([max(score[p].mean() for p in passages) for passages in texts]) + bias
-    slope, shift = _scaled(top, labels, share)
-    return Model(buckets, bias, slope, shift, fit.words)
+    model = current()
+    slope, shift = _scaled(_chosen(rows, model, fit.rounds, fit.seed)["logit"].to_numpy(), labels, share)
+    return Model(model.buckets, model.bias, slope, shift, fit.words)
 
 
 def _scaled(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -238,7 +239,12 @@ class _Reader:
         self._model = model
         self._known: dict[str, float] = {}
 
-    def logits(self, texts: list[str]) -> list[float]:
+    @property
+    def words(self) -> int:
+        return self._model.words
+
+    def passages(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The words of each text, where its passages start, and the mean of each passage."""
         model, known = self._model, self._known
         found = [WORDS.findall(t) for t in texts]
         if len(known) > REMEMBERED_WORDS:
@@ -251,16 +257,16 @@ class _Reader:
         out = []
         for words in found:
             n = len(words)
-            if not n:
-                out.append(model.bias)
-                continue
             sums = np.concatenate([[0.0], np.cumsum(np.fromiter(
                 map(known.__getitem__, words), dtype=np.float64, count=n))])
             starts = _starts(n, model.words)
             ends = np.minimum(starts + model.words, n)
-            out.append(float(((sums[ends] - sums[starts]) / (ends - starts)).max()) + model.bias)
+            out.append((words, starts, (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)))
         return out
 
+    def logits(self, texts: list[str]) -> list[float]:
+        return [float(means.max()) + self._model.bias for _, _, means in self.passages(texts)]
+
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with toxicity (0 to 1, higher: label 1 likelier).

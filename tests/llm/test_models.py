@@ -152,6 +152,24 @@ def test_misspellings_score_like_the_word(spark):
     assert got[3] == got[4] == got[5] < 0.5 and all(0 <= x <= 1 for x in got.values())
 
 
+def test_every_passage_of_a_long_text_is_read(spark):
+    """The toxic words are in one of 100 passages, at any place; each is met in training."""
+    def text(i):
+        words = cases.prose(i, 3200).split(" ")
+        if i % 2:
+            at = i * 53 % 3190
+            words[at:at + 8] = ["abominable", "fool"] * 4
+        return " ".join(words)
+    df = spark.createDataFrame([(i, text(i), i % 2) for i in range(40)], "doc_id bigint, text string, toxic int")
+    rows = df.selectExpr("xxhash64(text) tie", "toxic label", "text")
+    told = np.zeros(toxicity.BUCKETS)
+    told[toxicity.subwords(["abominable", "fool"])[0]] = 1.0
+    found = toxicity._chosen(rows, toxicity.Model(told, 0.5, 1.0, 0.0, 32), 1, 3)
+    assert all(("abominable" in x.top) == (x.label == 1) for x in found.itertuples()) and len(found) == 40
+    reader = toxicity._Reader(toxicity.Model(told, 0.5, 1.0, 0.0, 32))
+    assert sorted(found["logit"]) == pytest.approx(sorted(reader.logits([r.text for r in df.collect()])))
+
+
 def test_toxicity_without_both_classes(spark):
     df = spark.createDataFrame([(1, "some words", 0), (2, None, 1), (3, "others", None)],
                                "doc_id bigint, text string, toxic int")
