@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlake.llm.shared import stored
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each member's component, of n members and links from i to j."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node's neighbours (the smaller ones, or all) joined to the least of them and itself."""
     both = edges if small else edges.unionByName(

@@ -6,7 +6,7 @@ remembers its ids; the memory holds a bounded number of words and is emptied whe
 
 Where the cut between two words could differ from the tokenizer's own, the text goes to the
 library whole: it then holds one of the control characters that Python counts as white space and
-the tokenizers do not.
+the tokenizers do not, or the name of a special token.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ CHARS_AT_ONCE = 500_000
 _PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148]+)([.,;:!?]*)")
 # How byte-level vocabularies write each byte: printable ones as themselves, the rest from U+0100.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: chr(b) for b in _PRINTED} | {
+BYTES_OF = {b: chr(b) for b in _PRINTED} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 # The merges alone must give the library's ids for these, or every word takes the long way.
 _PROBES = ("the", " Then", " which", "Édition", " über", " Straßen", "of", " A", " ÀÑ", "zx")
-_DOUBTFUL = re.compile("[\x1c-\x1f\x85]")
+_DOUBTFUL = "[\x1c-\x1f\x85]"
 # Beyond these characters lower-casing may depend on the context or the Unicode version.
 _FOREIGN = re.compile("[^\x00-\u012f\u0132-\u0148]")
 # A blank joins the word that follows it, other white space stands alone: so byte-level
@@ -38,17 +38,22 @@ _WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 class WordEncoder:
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Names of special tokens inside a text are ordinary text. Words are kept in two generations:
-    when the younger one is full it becomes the older one, and a word met there again moves back,
-    so frequent words stay.
+    As in the library, the name of a special token inside a text is that token, unless ``plain``
+    makes it ordinary text; a text that holds such a name goes to the library whole. Words are kept
+    in two generations: when the younger one is full it becomes the older one, and a word met there
+    again moves back, so frequent words stay.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = plain
+        # Names are matched before or after lower-casing; either way the text is doubtful.
+        names = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._doubtful = re.compile("|".join([_DOUBTFUL, *([] if plain else map(re.escape, names))]),
+                                    re.IGNORECASE)
         self._remembered = remembered
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -66,7 +71,7 @@ class WordEncoder:
             words = [w.strip(" ").lower() for w in words]
         tokenize = self._tokenizer.model.tokenize
         return [array("I", [t.id for t in tokenize(
-            w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+            w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(BYTES_OF)
         )]).tobytes() for w in words]
 
     def _learn(self, words: set[str]) -> None:
@@ -111,18 +116,19 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         if len(self._young) > self._remembered // 2:
             self._old, self._young = self._young, {}
-        words = [None if _DOUBTFUL.search(x) else self._words(x) for x in texts]
+        words = [None if self._doubtful.search(x) else self._words(x) for x in texts]
         self._learn(set().union(*(x for x in words if x)).difference(self._young))
         find = self._young.__getitem__
         return [self._ids([text])[0] if x is None else b"".join(map(find, x))
                 for text, x in zip(texts, words, strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, plain: bool = False, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
     """The worker's encoder for a vocabulary file, made once for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    key = (path, plain, remembered)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, remembered, plain)
+    return _ENCODERS[key]

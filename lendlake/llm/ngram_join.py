@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlake.llm.components import connected
+from lendlake.llm.components import connected, roots
 from lendlake.llm.shared import prefix, spread, stored, text_of
 
 COORDINATES = 128
@@ -376,7 +376,7 @@ def _verified(rows: DataFrame, join: Join) -> DataFrame:
             links = np.zeros(b - a, dtype=np.int64)
             np.add.at(links, i, copies[a + j])
             np.add.at(links, j, copies[a + i])
-            root = _roots(b - a, i, j)
+            root = roots(b - a, i, j)
             out += [(nodes[a + k], int(links[k]), int(leaf[a] >> 48), nodes[a + root[k]])
                     for k in np.flatnonzero(links)]
         if not out:
@@ -390,19 +390,6 @@ def _verified(rows: DataFrame, join: Join) -> DataFrame:
                     work, "node binary, links bigint, run int, root binary", 2_000)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each member's component."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """node and set (shingle hashes) of rows (text)."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

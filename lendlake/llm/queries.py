@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.workspace import new_folder
 from lendlake.llm import (
-    exact_dedup, language, mixing, nearest, ngram_join, packing, pii, sharding, token_files, toxicity)
+    alignment, exact_dedup, language, mixing, nearest, ngram_join, packing, pii, sharding, simhash,
+    token_files, toxicity)
 from lendlake.llm.labels import held_out, train_toxicity
 from lendlake.llm.shared import read, text_of
 
@@ -83,11 +84,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents"), alignment.Vocabularies(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+    return alignment.digests(aligned, alignment.link_counts(aligned))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_temperature_mixing,
         op5_personal_data, op6_language, op7_best_fit_packing, op8_exact_dedup, op9_sharding,
-        op10_toxicity)}
+        op10_toxicity, op11_token_alignment, op12_simhash_near_dedup)}
 
 # Rounds of halving, and places a weight's exponent is rounded to, as in mixing.
 _MIX = mixing.Mix()

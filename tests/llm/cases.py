@@ -44,5 +44,5 @@ def clashing(df):
     from pyspark.sql import functions as F
     names = ["keep_id", "group_size", "kept", "shard", "slot", "rank", "node", "tie", "x_tie",
              "x_text", "part", "epoch", "block", "position", "toxicity", "lang_pred", "pii_spans",
-             "text_sha256", "n", "run", "label", "quota", "at", "of", "start", "length"]
+             "text_sha256", "n", "run", "fp", "fingerprint", "component_id", "a_ids", "terms", "label", "quota", "at", "of", "start", "length"]
     return df.withColumns({n: F.lit(n) for n in names})

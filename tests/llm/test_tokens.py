@@ -16,9 +16,10 @@ from tests.llm import cases
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
-def library(path):
+def library(path, plain=False):
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    if plain:
+        found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,6 +27,7 @@ LIBRARY = {p: library(p) for p in (WORD, BYTE)}
 ENCODERS = {p: WordEncoder(p, remembered=50) for p in (WORD, BYTE)}
 PIECES = st.sampled_from(["the", "The", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "é", "é",
                           "İ", "ß", "ǅ", "'s", "'", ".", "...", "?!", "42", "٥", "<|endoftext|>",
+                          "<|startoftext|>", "<|ENDOFTEXT|>",
                           "\U0001f600", "Σ", "straße", "-", "_", "x" * 80])
 
 
@@ -37,6 +39,15 @@ def test_ids_are_the_library_s(path, texts):
     assert got == [*map(LIBRARY[path], texts), []]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_names_of_special_tokens(path):
+    """By default a name is the token, as in the library; ``plain`` makes it ordinary text."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "A <|EndOfText|> b", "plain"]
+    for plain in (False, True):
+        got = WordEncoder(path, plain=plain).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [*map(library(path, plain), texts)]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
