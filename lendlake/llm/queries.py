@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.workspace import new_folder
 from lendlake.llm import (
-    alignment, exact_dedup, language, mixing, nearest, ngram_join, packing, pii, sharding, simhash,
+    alignment, exact_dedup, language, lexical, mixing, nearest, ngram_join, packing, pii, sharding, simhash,
     token_files, toxicity)
 from lendlake.llm.labels import held_out, train_toxicity
 from lendlake.llm.shared import read, text_of
@@ -94,11 +94,16 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_temperature_mixing,
         op5_personal_data, op6_language, op7_best_fit_packing, op8_exact_dedup, op9_sharding,
-        op10_toxicity, op11_token_alignment, op12_simhash_near_dedup)}
+        op10_toxicity, op11_token_alignment, op12_simhash_near_dedup,
+        op13_lexical_search)}
 
 # Rounds of halving, and places a weight's exponent is rounded to, as in mixing.
 _MIX = mixing.Mix()
@@ -156,4 +161,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, n_tokens, epoch, block, row_number() OVER (PARTITION BY block
                    ORDER BY md5(concat_ws(':', '{_MIX.seed}', block, epoch, doc_id)), doc_id, epoch)
                    AS position FROM dealt""",
+    "op13_lexical_search": r"""
+        WITH terms AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        wanted AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL),
+        sums AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms
+                 FROM terms WHERE len(terms) > 0),
+        held AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM terms),
+        counts AS (SELECT doc_id, n, term, count(*) AS tf FROM held
+                   WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+                    FROM counts, sums GROUP BY term, n_docs),
+        scores AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) //
+                       (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM wanted JOIN counts USING (term) JOIN weights USING (term), sums
+            GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))
+                       ::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
