@@ -67,10 +67,11 @@ class PieceEncoder:
         self._old: dict[str, bytes] = {}
         self._changed: set[str] = set()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, met: set[str]) -> None:
         if len(self._young) > self._half:
             self._old, self._young = self._young, {}
-            self._changed &= self._old.keys() | new
+            self._changed &= self._old.keys()
+        new = met.difference(self._young)
         known = {x for x in new if x in self._old}
         self._young.update((x, self._old[x]) for x in known)
         missing = list(new - known)
@@ -84,7 +85,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text (as it reads after a blank), as 32-bit integers."""
         cut = [[f" {x}"] if self._whole else _SEGMENT.findall(f" {x}") for x in texts]
-        self._learn(set().union(*cut).difference(self._young) if cut else set())
+        self._learn(set().union(*cut))
         find = self._young.__getitem__
         return [None if self._changed and not self._changed.isdisjoint(x) else b"".join(map(find, x))
                 for x in cut]

@@ -137,3 +137,14 @@ def test_segments_equal_the_library(text):
     ids = encoder.encode([text])[0]
     if text and ids is not None:
         assert np.frombuffer(ids, "<i4").tolist() == model.encode(text)
+
+
+def test_remembered_segments_are_renewed():
+    model = sentencepiece.SentencePieceProcessor(model_file=FILES.b)
+    encoder = alignment.PieceEncoder(FILES.b, remembered=20)
+    for seed in range(30):
+        text = cases.prose(seed % 7, 25) + ("▁" if seed % 5 == 0 else "")
+        ids = encoder.encode([text, "the same"])
+        assert (ids[0] is None) == (seed % 5 == 0)
+        assert ids[0] is None or np.frombuffer(ids[0], "<i4").tolist() == model.encode(text)
+        assert np.frombuffer(ids[1], "<i4").tolist() == model.encode("the same")
