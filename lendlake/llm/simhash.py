@@ -229,5 +229,5 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     # Both sides come from a shuffle, so a fingerprint of very many documents can be split.
     classes = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(classes.repartition("fp"), "fp").select(
+    return rows.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
