@@ -1,23 +1,34 @@
-"""Trained scoring with MLlib: a score forest, a level forest and a default regression.
+"""Trained scoring: a score forest and a level forest of MLlib, and a default regression.
 
 Labels come from the scorecards, as stored scores carry no relation to the features. Forests have
-200 trees, of depth 12 and 10. They are fitted on a bounded sample of the training rows,
-``fit_rows``; metrics are taken over all rows held out.
+200 trees, of depth 12 and 10.
+
+The score forest sees every training row: rows are dealt into slices by a hash of their id, each
+slice grows its share of the trees on its own rows, and the forest is all of them. There are as many
+slices as ``slice_rows`` asks for, and as trees at most; beyond that slices grow with the table. The
+level forest, a classifier, is fitted on a bounded sample of the training rows, ``fit_rows``. The
+default regression is solved by Newton steps, each one sum over all training rows. Metrics are taken
+over all rows held out.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendlake.functions.keys import stored
+from lendlake.functions.workspace import new_folder
 from lendlake.operators.scoring import approved, confidence, decision_reasons, whole_score
 
 SCORE_FEATURES = ["monthly_income", "employment_enc", "total_loans", "total_defaults",
@@ -34,9 +45,14 @@ SPLIT_STEP = 7_919
 SAMPLE_BUCKETS = 1 << 40
 TREES, SCORE_DEPTH, RISK_DEPTH = 200, 12, 10
 FIT_ROWS = 2_000
+SLICE_ROWS = 6_000
+# Slices that are fitted at a time; each fit is a row of small jobs.
+FITS_AT_ONCE = 8
 # Memory for the statistics of the nodes that are split together, in MB.
 NODE_MEMORY = 1_024
 PROBABILITY_DIGITS = 4
+# Newton steps end when no part of the gradient, of a mean loss, is larger.
+GRADIENT_AT_MOST, STEPS_AT_MOST = 1e-13, 60
 
 
 @dataclass(frozen=True)
@@ -92,14 +108,48 @@ def _assembled(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
+def _slices(train: DataFrame, trees: int, slice_rows: int) -> tuple[str, dict[int, int]]:
+    """The training rows written by slice, and the rows of each slice (as many as trees at most)."""
+    n = max(1, min(trees, math.ceil(train.count() / slice_rows)))
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(train.sparkSession, "slices")
+    dealt = train.withColumn("_slice", F.pmod(F.xxhash64("application_id"), F.lit(n)).cast("int"))
+    # A slice is dealt to as many tasks as its share of them, at least one.
+    salt = F.pmod(F.xxhash64("application_id", F.lit("salt")), F.lit(max(1, parts // n)))
+    dealt.repartition(max(parts, n), "_slice", salt).write.partitionBy("_slice").parquet(folder)
+    written = train.sparkSession.read.parquet(folder)
+    return folder, {r["_slice"]: r["count"] for r in written.groupBy("_slice").count().collect()}
+
+
 def train_score_model(data: DataFrame, trees: int = TREES, depth: int = SCORE_DEPTH,
-                      fit_rows: int = FIT_ROWS) -> tuple[PipelineModel, DataFrame]:
-    """Forest regression of the score; metrics on the held-out part: mae, r2."""
+                      slice_rows: int = SLICE_ROWS) -> tuple[PipelineModel, DataFrame]:
+    """Forest regression of the score on all training rows; metrics on the held-out part: mae, r2.
+
+    The model's prediction is the mean over the trees of all slices.
+    """
     train, test = split(data)
-    forest = RandomForestRegressor(
-        labelCol="score_value", predictionCol="predicted_score", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=NODE_MEMORY)
-    model = Pipeline(stages=[_assembled(SCORE_FEATURES), forest]).fit(fit_sample(train, fit_rows))
+    folder, rows = _slices(train.select("application_id", "score_value", *SCORE_FEATURES), trees,
+                           slice_rows)
+    spark = data.sparkSession
+    numbers = sorted(rows)
+    shares = {k: trees // len(numbers) + (i < trees % len(numbers)) for i, k in enumerate(numbers)}
+    assembler = _assembled(SCORE_FEATURES)
+
+    def fit(number: int):
+        forest = RandomForestRegressor(
+            labelCol="score_value", predictionCol=f"score_{number}", numTrees=shares[number],
+            maxDepth=depth, featureSubsetStrategy="all", seed=SEED + number, maxMemoryInMB=NODE_MEMORY)
+        return forest.fit(assembler.transform(
+            spark.read.parquet(folder).where(F.col("_slice") == number)))
+
+    pool = ThreadPool(min(FITS_AT_ONCE, max(1, len(numbers))))
+    try:
+        forests = pool.map(inheritable_thread_target(spark)(fit), numbers)
+    finally:
+        pool.close()
+    total = " + ".join(f"score_{k} * {shares[k]}" for k in numbers)
+    mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS predicted_score FROM __THIS__")
+    model = PipelineModel(stages=[assembler, *forests, mean])
     label, guess = F.col("score_value").cast("double"), F.col("predicted_score")
     metrics = model.transform(test).agg(
         F.count("*").alias("rows"), F.avg(F.abs(label - guess)).alias("mae"),
@@ -129,34 +179,93 @@ def train_risk_model(data: DataFrame, trees: int = TREES, depth: int = RISK_DEPT
         F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
 
 
-def train_default_model(data: DataFrame, max_iter: int = 1000,
-                        ) -> tuple[PipelineModel, DataFrame]:
-    """Regularised logistic regression with balanced classes; the scaler sees training rows
-    only. Metric on the held-out part: accuracy."""
+def _balanced(rows: DataFrame) -> tuple[int, int]:
+    size = rows.agg(F.count("*").alias("n"), F.sum("will_default").alias("bad")).first()
+    return size["n"], size["bad"] or 0
+
+
+def _newton(rows: DataFrame, n: int, bad: int) -> np.ndarray:
+    """Intercept and coefficients that minimise the mean weighted log-loss over the scaled columns
+    x1, x2, ... plus sum(coefficient**2) / 2n. Classes weigh the same in total.
+
+    Each step is one row of sums: loss, gradient and curvature. A step that does not lower the loss
+    is halved, so the loss falls until the gradient is zero to double precision.
+    """
+    names = [F.lit(1.0), *(F.col(f"x{i + 1}") for i in range(len(DEFAULT_FEATURES)))]
+    k = len(names)
+    weight = F.when(F.col("y") == 1, n / (2.0 * bad)).otherwise(n / (2.0 * (n - bad)))
+    penalty = np.array([0.0] + [1.0 / n] * (k - 1))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def summed(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((c * float(b) for c, b in zip(names[1:], beta[1:])), F.lit(float(beta[0])))
+        p = 1 / (1 + F.exp(-z))
+        loss = F.greatest(z, F.lit(0.0)) - F.col("y") * z + F.log1p(F.exp(-F.abs(z)))
+        some = rows.select(weight.alias("w"), p.alias("p"), loss.alias("loss"), "y",
+                           *[c.alias(f"c{i}") for i, c in enumerate(names)])
+        error, bend = F.expr("w * (p - y)"), F.expr("w * p * (1 - p)")
+        row = some.agg(F.sum(F.expr("w * loss")), *[F.sum(error * F.col(f"c{i}")) for i in range(k)],
+                       *[F.sum(bend * F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs]).first()
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[1 + k:]):
+            curve[i, j] = curve[j, i] = x / n
+        return (row[0] / n + penalty @ beta**2 / 2, np.array(row[1:1 + k]) / n + penalty * beta,
+                curve + np.diag(penalty))
+
+    beta = np.zeros(k)
+    loss, gradient, curve = summed(beta)
+    for _ in range(STEPS_AT_MOST):
+        if np.abs(gradient).max() <= GRADIENT_AT_MOST:
+            break
+        step = np.linalg.lstsq(curve, gradient, rcond=None)[0]
+        new = summed(beta - step)
+        while new[0] > loss + 1e-15 * abs(loss) and np.abs(step).max() > 1e-12:
+            step = step / 2
+            new = summed(beta - step)
+        if not np.abs(new[1]).max() < np.abs(gradient).max() and new[0] >= loss:
+            break
+        beta, (loss, gradient, curve) = beta - step, new
+    return beta
+
+
+def train_default_model(data: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """Regularised logistic regression with balanced classes; scaling sees training rows only.
+
+    The optimum is unique, so any solver that reaches it gives these numbers. Metrics on the
+    held-out part: rows, hits (right flags), caught (defaults flagged), missed, false_alarms; beside
+    them the fitted intercept and coefficients, of features scaled to mean 0 and deviation 1. With
+    one class only the probability is that class's, 0 or 1.
+    """
     train, test = split(data, "will_default")
-    size = train.agg(F.count("*").alias("n"), F.sum("will_default").alias("bad")).first()
-    n, bad = size["n"], size["bad"] or 0
-    good = n - bad
-    balanced = bad > 0 and good > 0
-    weight = (F.when(F.col("will_default") == 1, n / (2.0 * bad)).otherwise(n / (2.0 * good))
-              if balanced else F.lit(1.0))
-    stages = [
-        VectorAssembler(inputCols=DEFAULT_FEATURES, outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
-        LogisticRegression(labelCol="will_default", weightCol="class_weight", maxIter=max_iter,
-                           regParam=1.0 / max(n, 1), standardization=False,
-                           predictionCol="default_predicted", rawPredictionCol="default_raw",
-                           probabilityCol="default_probability_vector"),
-    ]
-    model = Pipeline(stages=stages).fit(train.withColumn("class_weight", weight))
-    hit = (F.col("default_predicted") == F.col("will_default")).cast("double")
-    return model, model.transform(test).agg(
-        F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+    n, bad = _balanced(train)
+    facts = train.agg(*[x for f in DEFAULT_FEATURES for x in (
+        F.avg(f), F.stddev_pop(f))]).first()
+    means, scales = facts[::2], facts[1::2]
+    scaled = [(F.col(f).cast("double") - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+              for f, m, s in zip(DEFAULT_FEATURES, means, scales)]
+    if 0 < bad < n:
+        rows = stored(train.select(F.col("will_default").cast("double").alias("y"), *[
+            c.alias(f"x{i + 1}") for i, c in enumerate(scaled)]), "scaled")
+        beta = _newton(rows, n, bad).tolist()
+        terms = "".join(f" + {b!r}D * ((CAST({f} AS DOUBLE) - {m!r}D) / {s!r}D)" for f, m, s, b in zip(
+            DEFAULT_FEATURES, means, scales, beta[1:]) if s)
+        chance = f"1 / (1 + exp(-({beta[0]!r}D{terms})))"
+    else:
+        beta, chance = [0.0] * (len(DEFAULT_FEATURES) + 1), f"{float(bad > 0)!r}D"
+    model = PipelineModel(stages=[SQLTransformer(
+        statement=f"SELECT *, {chance} AS default_chance FROM __THIS__")])
+    flag, label = F.col("default_chance") > 0.5, F.col("will_default") == 1
+    metrics = model.transform(test).agg(
+        F.count("*").alias("rows"), F.count_if(flag == label).alias("hits"),
+        F.count_if(flag & label).alias("caught"), F.count_if(~flag & label).alias("missed"),
+        F.count_if(flag & ~label).alias("false_alarms"))
+    return model, metrics.select("*", F.lit(beta[0]).alias("intercept"), *[
+        F.lit(b).alias(f"on_{f}") for f, b in zip(DEFAULT_FEATURES, beta[1:])])
 
 
 def train_models(data: DataFrame, trees: int = TREES, fit_rows: int = FIT_ROWS) -> Models:
     """All three models from scorecard rows (see ``scoring.scorecard``)."""
-    return Models(train_score_model(data, trees, fit_rows=fit_rows)[0],
+    return Models(train_score_model(data, trees)[0],
                   train_risk_model(data, trees, fit_rows=fit_rows)[0], train_default_model(data)[0])
 
 
@@ -177,6 +286,29 @@ def load_models(path: str) -> Models:
     return Models(*[PipelineModel.load(f"{path}/{name}") for name in ("score", "risk", "default")])
 
 
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The trees of the model saved in ``path`` as a table: forest (which of the model's forests),
+    tree, node, and for inner nodes feature (its number), threshold (a value at most as large goes to
+    ``left``, others to ``right``), for all nodes value (the prediction) and counts (rows of each
+    class, for a classifier). Categorical splits, which no model here has, are left out."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    stages = DefaultParamsReader.loadMetadata(path, spark)["paramMap"]["stageUids"]
+    found = None
+    for number, uid in enumerate(u for u in stages if u.startswith("RandomForest")):
+        at = stages.index(uid)
+        width = len(str(len(stages)))
+        nodes = spark.read.parquet(f"{path}/stages/{at:0{width}d}_{uid}/data").select(
+            F.lit(number).alias("forest"), F.col("treeID").alias("tree"),
+            F.col("nodeData.id").alias("node"),
+            F.when(F.col("nodeData.leftChild") >= 0, F.col("nodeData.split.featureIndex")).alias("feature"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+            F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+            F.col("nodeData.prediction").alias("value"), F.col("nodeData.impurityStats").alias("counts"))
+        found = nodes if found is None else found.unionByName(nodes)
+    return found
+
+
 def _added(result: DataFrame, before: DataFrame, *columns: Column) -> DataFrame:
     """Only the input columns and the named ones; the models' working columns go."""
     return result.select(*before.columns, *columns)
@@ -199,13 +331,11 @@ def predict_risk(models: Models, df: DataFrame) -> DataFrame:
 
 def predict_default(models: Models, df: DataFrame) -> DataFrame:
     """Add both probabilities, the flag and how sure the model is."""
-    both = vector_to_array("default_probability_vector")
-    bad, good = F.element_at(both, 2), F.element_at(both, 1)
+    bad = F.col("default_chance")
     return _added(
-        models.default.transform(df), df,
-        (F.col("default_predicted") == 1).alias("default_expected"),
+        models.default.transform(df), df, (bad > 0.5).alias("default_expected"),
         F.round(bad, PROBABILITY_DIGITS).alias("default_probability"),
-        F.round(good, PROBABILITY_DIGITS).alias("no_default_probability"),
+        F.round(1 - bad, PROBABILITY_DIGITS).alias("no_default_probability"),
         confidence(bad).alias("default_confidence"))
 
 

@@ -158,10 +158,13 @@ COLUMNS: dict[str, str] = {
     # models
     "train_score_model": "rows b, mae_ok t, r2_ok t",
     "train_risk_model": "rows b, accuracy_ok t",
-    "train_default_model": "rows b, accuracy_ok t",
+    "train_default_model": "rows b, hits b, caught b, missed b, false_alarms b, intercept q, "
+                           "on_score_value q, on_overdue_days q, on_tenure q, on_interest_rate q, "
+                           "on_total_defaults q",
     "predict_score": "application_id b, in_range t, near_scorecard t",
     "predict_risk": "application_id b, levels i, sums_to_one t, level_is_likeliest t",
-    "predict_default": "application_id b, sums_to_one t, flag_follows t, confidence_follows t",
+    "predict_default": "application_id b, default_probability q, no_default_probability q, "
+                       "default_expected t, default_confidence s",
     "assess_applications": "application_id b, in_range t, approval_follows t, reasons_follow t",
     "model_store": "application_id b, same t",
     # streaming
@@ -448,14 +451,6 @@ def risk_facts(predicted: DataFrame) -> DataFrame:
         (F.col("risk_probabilities")[F.col("predicted_level")] >= highest).alias("level_is_likeliest"))
 
 
-def default_facts(predicted: DataFrame) -> DataFrame:
-    bad, good = F.col("default_probability"), F.col("no_default_probability")
-    return predicted.select(
-        "application_id", (F.abs(bad + good - 1) <= 0.0002).alias("sums_to_one"),
-        ((F.col("default_expected") == (bad > 0.5)) | (bad == 0.5)).alias("flag_follows"),
-        (F.col("default_confidence") == scoring.confidence(bad)).alias("confidence_follows"))
-
-
 def decision_facts(assessed: DataFrame) -> DataFrame:
     score, bad = F.col("credit_score"), F.col("default_probability")
     return assessed.select(
@@ -584,11 +579,10 @@ RUNS: dict[str, Run] = {
         models.train_score_model(_rows_to_learn(t))[1]),
     "train_risk_model": lambda spark, t, path: level_metrics(
         models.train_risk_model(_rows_to_learn(t))[1]),
-    "train_default_model": lambda spark, t, path: level_metrics(
-        models.train_default_model(_rows_to_learn(t))[1]),
+    "train_default_model": lambda spark, t, path: models.train_default_model(_rows_to_learn(t))[1],
     "predict_score": lambda spark, t, path: score_facts(_predicted(spark, t, "score")),
     "predict_risk": lambda spark, t, path: risk_facts(_predicted(spark, t, "risk")),
-    "predict_default": lambda spark, t, path: default_facts(_predicted(spark, t, "default")),
+    "predict_default": lambda spark, t, path: _predicted(spark, t, "default"),
     "assess_applications": _assessed,
     "model_store": _model_store,
     "stream_apply_payments": lambda spark, t, path: _streamed_payments(spark, t, path),

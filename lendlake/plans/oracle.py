@@ -309,6 +309,56 @@ c AS (SELECT label, n, sum(n) OVER (PARTITION BY label ORDER BY bucket) <= 0.2 *
 SELECT sum(n) FILTER (test) AS rows, true AS accuracy_ok FROM c"""
 
 
+FITTED_ON = ("score_value", "overdue_days", "tenure", "interest_rate", "total_defaults")
+NEWTON_STEPS = 25
+
+
+def newton() -> str:
+    """Views for the default regression, solved here once more: ``parted`` (every application with
+    its label y and whether it is held out), ``scale`` (of the training rows) and ``fit`` (b0 to b5).
+
+    Each step of the recursion sums gradient and curvature over the training rows and solves the
+    six equations by elimination; every line of the elimination is one nested SELECT.
+    """
+    size = range(len(FITTED_ON) + 1)
+    betas = ", ".join(f"b{i}" for i in size)
+    step = ", ".join(["i", betas, *[f"sum(w * (p - y) * x{i}) / any_value(n) + "
+                                    f"{'0' if i == 0 else f'b{i} / any_value(n)'} AS g{i}" for i in size],
+                      *[f"sum(w * p * (1 - p) * x{i} * x{j}) / any_value(n)"
+                        f"{' + 1.0 / any_value(n)' if 0 < i == j else ''} AS h{i}{j}"
+                        for i in size for j in size if i <= j]])
+    margin = " + ".join(f"b{i} * x{i}" for i in size)
+    inner = (f"SELECT {step} FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM newton, points "
+             f"WHERE i < {NEWTON_STEPS}) GROUP BY i, {betas}")
+    for k in list(size)[:-1]:
+        lines = [f"g{i} - h{k}{i} / h{k}{k} * g{k} AS g{i}" for i in size if i > k]
+        lines += [f"h{i}{j} - h{k}{i} / h{k}{k} * h{k}{j} AS h{i}{j}" for i in size for j in size
+                  if k < i <= j]
+        inner = f"SELECT * REPLACE ({', '.join(lines)}) FROM ({inner})"
+    for k in reversed(size):
+        known = "".join(f" - h{k}{j} * d{j}" for j in size if j > k)
+        inner = f"SELECT *, (g{k}{known}) / h{k}{k} AS d{k} FROM ({inner})"
+    scaled = ", ".join(f"({f} - m{i + 1}) / s{i + 1} AS x{i + 1}" for i, f in enumerate(FITTED_ON))
+    return f"""
+labelled AS (SELECT application_id, score_value, overdue_days, tenure,
+                    CAST(interest_rate AS DOUBLE) AS interest_rate, defaults AS total_defaults,
+                    CAST(default_score > 0.4 AS INTEGER) AS y, {BUCKET} AS bucket FROM scored),
+shares AS (SELECT y, bucket, sum(count(*)) OVER (PARTITION BY y ORDER BY bucket)
+                  <= 0.2 * sum(count(*)) OVER (PARTITION BY y) AS inside FROM labelled GROUP BY y, bucket),
+parted AS (SELECT labelled.*, inside AS test FROM labelled JOIN shares USING (y, bucket)),
+scale AS (SELECT count(*)::DOUBLE AS n, sum(y)::DOUBLE AS bad,
+                 {', '.join(f'avg({f}) AS m{i + 1}, stddev_pop({f}) AS s{i + 1}' for i, f in enumerate(FITTED_ON))}
+          FROM parted WHERE NOT test),
+points AS MATERIALIZED (SELECT y, n, CASE WHEN y = 1 THEN n / (2 * bad) ELSE n / (2 * (n - bad)) END AS w,
+                  1.0 AS x0, {scaled} FROM parted, scale WHERE NOT test),
+newton AS (SELECT 0 AS i, {', '.join(f'0.0::DOUBLE AS b{i}' for i in size)}
+           UNION ALL
+           SELECT i + 1, {', '.join(f'b{i} - d{i}' for i in size)} FROM ({inner})),
+fit AS (SELECT {betas} FROM newton WHERE i = {NEWTON_STEPS}),
+judged AS (SELECT *, 1 / (1 + exp(-(b0 + {' + '.join(f'b{i + 1} * ({f} - m{i + 1}) / s{i + 1}' for i, f in enumerate(FITTED_ON))})))
+                  AS chance FROM parted, scale, fit)"""
+
+
 # (table, rule, condition on a bad row)
 ROW_RULES = [
     ("risk_category", "risk_id not null", "risk_id IS NULL"),
@@ -748,12 +798,24 @@ FROM (SELECT *, {BASIS_POINTS} / 10000 AS default_probability, concat_ws('; ',
     "train_score_model": f"SELECT count(*) AS rows, true AS mae_ok, true AS r2_ok FROM scored "
                          f"WHERE {BUCKET} < 2000",
     "train_risk_model": held_out(LEVEL),
-    "train_default_model": held_out("CAST(default_score > 0.4 AS INTEGER)"),
+    "train_default_model": f"""
+WITH RECURSIVE {newton()}
+SELECT count(*) AS rows, count(*) FILTER ((chance > 0.5) = (y = 1)) AS hits,
+       count(*) FILTER (chance > 0.5 AND y = 1) AS caught,
+       count(*) FILTER (chance <= 0.5 AND y = 1) AS missed,
+       count(*) FILTER (chance > 0.5 AND y = 0) AS false_alarms, any_value(b0) AS intercept,
+       {', '.join(f'any_value(b{i + 1}) AS on_{f}' for i, f in enumerate(FITTED_ON))}
+FROM judged WHERE test""",
     "predict_score": "SELECT application_id, true AS in_range, true AS near_scorecard FROM scored",
     "predict_risk": f"SELECT application_id, (SELECT count(DISTINCT {LEVEL}) FROM scored) AS levels, "
                     "true AS sums_to_one, true AS level_is_likeliest FROM scored",
-    "predict_default": "SELECT application_id, true AS sums_to_one, true AS flag_follows, "
-                       "true AS confidence_follows FROM scored",
+    "predict_default": f"""
+WITH RECURSIVE {newton()}
+SELECT application_id, chance AS default_probability, 1 - chance AS no_default_probability,
+       chance > 0.5 AS default_expected,
+       CASE WHEN chance > 0.75 THEN 'Very High' WHEN chance > 0.55 THEN 'High'
+            WHEN chance > 0.35 THEN 'Moderate' ELSE 'Low' END AS default_confidence
+FROM judged""",
     "assess_applications": "SELECT application_id, true AS in_range, true AS approval_follows, "
                            "true AS reasons_follow FROM scored",
     "model_store": "SELECT application_id, true AS same FROM scored",

@@ -93,8 +93,8 @@ def test_types_without_loans_are_kept_with_null_first(spark):
     t = micro(spark, loan=[loan(1, 1, kind=2), loan(2, 1, kind=2, status="Defaulted")])
     performance = rows(portfolio.loan_type_performance(t), "type_name", "total_loans",
                        "success_rate_pct", "total_disbursed")
-    assert performance[0] == ("Business", 0, None, None)
-    assert performance[-1] == ("Personal", 2, D("50.00"), D("2000.00"))
+    assert performance[0] == ("Bridge", 0, None, None)
+    assert performance[-1] == ("Equipment", 2, D("50.00"), D("2000.00"))
     assert rows(access.loans_by_risk(t)) == [("Unknown", 2, D("2000.00"))]
 
 
