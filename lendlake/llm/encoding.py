@@ -16,18 +16,19 @@ import os
 import re
 from array import array
 
-REMEMBERED_WORDS = 900_000
+REMEMBERED_WORDS = 1_500_000
 # Texts are cut into words in parts of about so many characters, to bound memory.
 CHARS_AT_ONCE = 500_000
-# A word of letters that neither case folding nor composing takes apart, and closing marks.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148]+)([.,;:!?]*)")
+# A word of letters that neither case folding nor composing takes apart, and closing marks: any
+# ASCII ones but the apostrophe, which may begin a word's ending.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148]+)([!-&(-/:-@\\[-`{-~]*)")
 # How byte-level vocabularies write each byte: printable ones as themselves, the rest from U+0100.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES_OF = {b: chr(b) for b in _PRINTED} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 # The merges alone must give the library's ids for these, or every word takes the long way.
 _PROBES = ("the", " Then", " which", "Édition", " über", " Straßen", "of", " A", " ÀÑ", "zx")
-_DOUBTFUL = "[\x1c-\x1f\x85]"
+_DOUBTFUL = "\x1c\x1d\x1e\x1f\x85"
 # Beyond these characters lower-casing may depend on the context or the Unicode version.
 _FOREIGN = re.compile("[^\x00-\u012f\u0132-\u0148]")
 # A blank joins the word that follows it, other white space stands alone: so byte-level
@@ -50,10 +51,8 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = plain
-        # Names are matched before or after lower-casing; either way the text is doubtful.
         names = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._doubtful = re.compile("|".join([_DOUBTFUL, *([] if plain else map(re.escape, names))]),
-                                    re.IGNORECASE)
+        self._doubtful = [*_DOUBTFUL, *([] if plain else names)]
         self._remembered = remembered
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -109,18 +108,31 @@ class WordEncoder:
                 gc.enable()
 
     def _words(self, text: str) -> list[str]:
-        if self._folds:
-            return (text if _FOREIGN.search(text) else text.lower()).split()
-        return _WORDS.findall(text)
+        if not self._folds:
+            return _WORDS.findall(text)
+        return (text.lower() if text.isascii() or not _FOREIGN.search(text) else text).split()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         if len(self._young) > self._remembered // 2:
             self._old, self._young = self._young, {}
-        words = [None if self._doubtful.search(x) else self._words(x) for x in texts]
-        self._learn(set().union(*(x for x in words if x)).difference(self._young))
+        get, missing, out = self._young.get, set(), []
+        waiting: list[tuple[int, list[str]]] = []
+        for text in texts:
+            if any(x in text for x in self._doubtful):
+                out += self._ids([text])
+                continue
+            words = self._words(text)
+            found = list(map(get, words))
+            if None in found:
+                missing.update([w for w, x in zip(words, found) if x is None])
+                waiting.append((len(out), words))
+                found = ()
+            out.append(b"".join(found))
+        self._learn(missing)
         find = self._young.__getitem__
-        return [self._ids([text])[0] if x is None else b"".join(map(find, x))
-                for text, x in zip(texts, words, strict=True)]
+        for at, words in waiting:
+            out[at] = b"".join(map(find, words))
+        return out
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
