@@ -24,7 +24,7 @@ from lendlake.session import SETTINGS
 from lendlake.sources import exports, star
 from lendlake.sources.sql import read_query
 from lendlake.sources.star import tables_from_star
-from lendlake.sources.tables import CSV_READ, Tables, load_tables
+from lendlake.sources.tables import CSV_READ, Tables, load_published, load_tables, publish_tables
 from lendlake.streaming import payments as streams
 
 AS_OF = "2000-01-01"
@@ -36,6 +36,7 @@ SEARCH_PATTERN = "nation_1[0-9]|customer#0+7"
 COLUMNS: dict[str, str] = {
     # catalogue and look-ups
     "table_row_counts": "table_name s, n b",
+    "load_tables": "table_name s, version b, n b, digest b",
     "preview_table": "loan_id b, customer_id b, loan_type_id b, loan_amount m, interest_rate m, "
                      "tenure i, current_status s, disbursed_date d",
     "read_query": "employment_type s, loans b, amount m",
@@ -326,6 +327,19 @@ def _registered(spark: SparkSession, t: Tables, path: str) -> DataFrame:
     return accepted.unionByName(rejected, allowMissingColumns=True)
 
 
+def _published(spark: SparkSession, t: Tables) -> DataFrame:
+    """Every table as the newest published version holds it: rows, and a sum over their digests."""
+    root = new_folder(spark, "published")
+    publish_tables(t.replace(loan=t.loan.limit(0)), root)
+    version = publish_tables(t, root)
+    loaded = load_published(spark, root)
+    return reduce(DataFrame.unionByName, [loaded[name].select(F.conv(F.substring(F.md5(F.concat_ws(
+        "|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in loaded[name].columns])),
+        1, 8), 16, 10).cast("bigint").alias("word")).agg(
+            F.lit(name).alias("table_name"), F.lit(version).alias("version"), F.count("*").alias("n"),
+            F.coalesce(F.sum("word"), F.lit(0)).alias("digest")) for name in TABLES])
+
+
 def _defaulted(t: Tables) -> DataFrame:
     return t.loan.where(F.col("current_status") == "Defaulted").select("loan_id")
 
@@ -515,6 +529,7 @@ def _encoded(t: Tables) -> DataFrame:
 
 RUNS: dict[str, Run] = {
     "table_row_counts": _on_tables(access.table_row_counts),
+    "load_tables": lambda spark, t, path: _published(spark, t),
     "preview_table": _on_tables(access.preview_table, name="loan"),
     "read_query": lambda spark, t, path: read_query(spark, t, READ_QUERY),
     "export_table": lambda spark, t, path: _exported(spark, t),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from lendlake.plans.catalog import AS_OF, COLUMNS, CUTOFF, SEARCH_PATTERN, parsed
+from lendlake.schema import TABLES, column_types
 
 # The loan tables as views over the star schema, in order of dependence.
 VIEWS: dict[str, str] = {
@@ -510,6 +511,10 @@ WHERE d.charges > 0 GROUP BY {group}"""
 
 CORE: dict[str, str] = {
     "table_row_counts": counts(),
+    "load_tables": "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, 2 AS version, count(*) AS n, coalesce(sum(('0x' || md5(concat_ws("
+        f"'|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in column_types(name))}))[1:8])::BIGINT), 0)"
+        f" AS digest FROM {'borrower' if name == 'customer' else name}" for name in TABLES),
     "preview_table": "SELECT * FROM loan ORDER BY loan_id LIMIT 20",
     "read_query": """
 SELECT employment_type, count(*) AS loans, sum(loan_amount) AS amount

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lendlake.schema import COLUMNS, KEY, TABLES
 
@@ -83,9 +86,55 @@ LAYOUT: dict[str, tuple[str, ...]] = {
 def save_tables(t: Tables, path: str) -> None:
     """Write a snapshot as Parquet, one folder per table, for ``load_tables`` to read.
 
-    ``path`` must be new: a snapshot is never written over the files it is read from.
+    ``path`` must be new: a snapshot is never written over the files it is read from. A job that
+    ends early leaves part of a snapshot; use ``publish_tables`` where readers must not see that.
     """
     for name in TABLES:
         order = LAYOUT.get(name, (KEY[name],))
         (t[name].repartitionByRange(*order).sortWithinPartitions(*order)
          .write.mode("error").parquet(f"{path}/{name}"))
+
+
+MANIFEST = "version BIGINT, folder STRING"
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
+    """What has been published in ``root``; None if nothing has."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{root}/manifests/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish_tables(t: Tables, root: str) -> int:
+    """Write a snapshot into ``root`` and publish it whole; returns its version, from 1.
+
+    The 14 tables go to a new folder that no reader knows. Only when all are written a manifest of
+    one row names it, in a folder of the new version: one file, which appears at once or not at all.
+    So a crash at any time leaves the newest published version in force. Of two jobs that publish at
+    the same time one fails, as the version's folder is there already, and may try again. Folders
+    that no manifest names are left-overs of such jobs; their owner may remove them.
+    """
+    spark = t[TABLES[0]].sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    save_tables(t, f"{root}/{folder}")
+    before = _manifests(spark, root)
+    newest = before.agg(F.max("version")).first()[0] if before is not None else None
+    version = (newest or 0) + 1
+    spark.createDataFrame([(version, folder)], MANIFEST).coalesce(1).write.mode("error").json(
+        f"{root}/manifests/{version}")
+    return version
+
+
+def load_published(spark: SparkSession, root: str, version: int | None = None) -> Tables:
+    """The tables of a published version, by default the newest."""
+    known = _manifests(spark, root)
+    row = None if known is None else (
+        known if version is None else known.where(F.col("version") == version)
+    ).orderBy(F.desc("version")).first()
+    if row is None:
+        raise ValueError(f"nothing is published in {root}" if version is None
+                         else f"version {version} is not published in {root}")
+    return load_tables(spark, f"{root}/{row['folder']}")

@@ -183,6 +183,41 @@ def test_a_rejected_request_does_not_block_later_ones(spark):
     assert sorted(rows(maintenance.accepted_requests(t.customer, df))) == [(1,), (3,)]
 
 
+def test_a_long_chain_takes_few_jobs(spark):
+    """Each request shares a contact with the next: every second one is accepted."""
+    n = 10_000
+    chain = spark.range(n).select(
+        F.col("id").alias("request_id"), F.lit("A").alias("name"),
+        F.concat(F.lit("p"), F.floor(F.col("id") / 2)).alias("phone"),
+        F.concat(F.lit("e"), F.floor((F.col("id") + 1) / 2)).alias("email"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "a long chain")
+    try:
+        found = sorted(r[0] for r in maintenance.accepted_requests(micro(spark).customer, chain).collect())
+        actions = len(tracker.getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert found == list(range(0, n, 2))
+    assert actions <= 30
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_and_stars_equal_one_by_one(spark, seed):
+    draw = random.Random(seed)
+    batch = [(i, "A", f"p{draw.randrange(60)}", f"e{draw.randrange(60)}") for i in range(150)]
+    batch += [(1000 + i, "A", "hot", f"x{i // 2}") for i in range(40)]
+    batch += [(2000 + i, "A", f"q{(i * 37 % 100) // 2}", f"f{(i * 37 % 100 + 1) // 2}") for i in range(100)]
+    taken, expected = set(), []
+    for i, _, phone, email in batch:
+        if phone not in taken and email not in taken:
+            taken |= {phone, email}
+            expected.append(i)
+    df = spark.createDataFrame(batch, "request_id BIGINT, name STRING, phone STRING, email STRING")
+    for in_order in (10**6, 40):
+        found = maintenance.accepted_requests(micro(spark).customer, df, in_order)
+        assert sorted(r[0] for r in found.collect()) == expected
+
+
 def test_changes_last_one_wins_and_delete_undoes_upsert(spark):
     base = frame(spark, "loan_type", [(1, "Home", D("7.50"), D("100.00")),
                                       (2, "Car", D("9.00"), D("50.00"))])

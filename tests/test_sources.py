@@ -4,7 +4,7 @@ import pytest
 from lendlake.functions import workspace
 from lendlake.operators import access
 from lendlake.schema import COLUMNS, KEY, REFERENCES, TABLES, column_names
-from lendlake.sources import exports
+from lendlake.sources import exports, tables
 from lendlake.sources.sql import read_query, register_views
 from lendlake.sources.tables import Tables, load_tables, save_tables
 from tests.micro import D, customer, loan, micro, rows
@@ -103,3 +103,28 @@ def test_malformed_csv_ends_the_job(spark, tmp_path):
     (folder / "x.csv").write_text("loan_type_id,type_name,base_interest_rate,max_amount\n1,A,12x4,5\n")
     with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
         load_tables(spark, str(tmp_path / "bad"), "csv").loan_type.collect()
+
+
+def test_a_crash_while_publishing_leaves_the_last_version(spark, star, tmp_path, monkeypatch):
+    root = str(tmp_path / "lake")
+    with pytest.raises(ValueError):
+        tables.load_published(spark, root)
+    small = Tables({n: star[n].limit(5) for n in TABLES})
+    assert tables.publish_tables(small, root) == 1
+
+    def torn(t, path):  # half of the tables are written, then the job ends
+        for name in TABLES[:7]:
+            star[name].limit(3).write.parquet(f"{path}/{name}")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "save_tables", torn)
+        with pytest.raises(RuntimeError):
+            tables.publish_tables(star, root)
+    assert tables.load_published(spark, root).loan.count() == 5
+    bigger = small.replace(loan=star.loan.limit(9))
+    assert tables.publish_tables(bigger, root) == 2
+    assert tables.load_published(spark, root).loan.count() == 9
+    assert tables.load_published(spark, root, 1).loan.count() == 5
+    with pytest.raises(ValueError):
+        tables.load_published(spark, root, 3)
