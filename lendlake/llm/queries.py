@@ -68,11 +68,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_of("text")
-    docs = read(spark, sf_dir, "documents").select(
+    return sharding.shuffle_to_shards(read(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"))
-    return sharding.shuffle_to_shards(docs, SHARDS).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 

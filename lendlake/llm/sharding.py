@@ -12,6 +12,8 @@ permutation works in hash ranges, so a shard is never one task's work.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,15 +58,20 @@ def _drawn(random: np.random.Generator, left: np.ndarray, places: int) -> np.nda
 
 
 def _large(random: np.random.Generator, good: int, bad: int, places: int) -> int:
-    """A hypergeometric draw of any size: a normal one with the same mean and variance, which at
-    such counts differs from it by less than rounding does, kept in the possible range."""
+    """A hypergeometric draw of any size, by inversion: probabilities follow from their ratios to
+    the most likely count, over all counts within 12 deviations of it; what lies beyond is less
+    than doubles tell apart."""
     if good + bad < 10**9:
         return int(random.hypergeometric(good, bad, places))
     n = good + bad
-    mean = places * (good / n)
-    spread_ = (mean * (bad / n) * ((n - places) / max(1, n - 1))) ** 0.5
-    drawn = round(mean + spread_ * random.standard_normal())
-    return max(0, places - bad, min(good, places, drawn))
+    mode = (places + 1) * (good + 1) // (n + 2)
+    reach = 50 + math.ceil(12 * math.sqrt(places * (good / n) * (bad / n) * ((n - places) / (n - 1))))
+    k = np.arange(max(0, places - bad, mode - reach), min(good, places, mode + reach) + 1)
+    x = k[:-1].astype(np.float64)
+    ratios = np.log(good - x) + np.log(places - x) - np.log(x + 1) - np.log(bad - places + x + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    shares = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(np.searchsorted(shares, random.random() * shares[-1], side="right"), len(k) - 1)])
 
 
 def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 0,

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lendlake.llm import exact_dedup, sharding
+from lendlake.llm import queries, exact_dedup, sharding
 from tests.llm import cases
 
 
@@ -119,3 +119,32 @@ def test_queries_derive_sizes(spark, tmp_path):
                   for r in queries.op9_sharding(spark, str(tmp_path)).collect())
     assert got == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None)
                           for i, t, *_ in cases.rows())
+
+
+def test_large_draws_have_the_distribution():
+    """Beyond numpy's limit: mean, deviation and range; below it the same formula agrees with numpy."""
+    random = np.random.default_rng(4)
+    good, bad, places = 3 * 10**9, 10**9, 10**6
+    drawn = np.array([sharding._large(random, good, bad, places) for _ in range(1500)])
+    deviation = (places * 0.75 * 0.25) ** 0.5
+    assert abs(drawn.mean() - 750_000) < 5 * deviation / 1500**0.5
+    assert abs(drawn.std() / deviation - 1) < 0.1
+    for good, bad, places in ((10**9, 3, 10**9), (5, 2 * 10**9, 10**9), (2 * 10**9, 0, 7)):
+        x = sharding._large(random, good, bad, places)
+        assert max(0, places - bad) <= x <= min(good, places)
+
+
+def test_sharding_query_derives_from_whole_documents(spark):
+    """Size and checksum of every text, gapless slots and even shards, by hand."""
+    import zlib
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = queries.op9_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {
+        i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()} and len(rows) == len(texts)
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert sorted(shards) == list(range(16))
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
