@@ -12,8 +12,10 @@ tasks by text and number, merged there, and brought together again in their orde
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from lendlake.llm.encoding import BYTES_OF, encoder
 from lendlake.llm.shared import spread, stored
 
-STEPS = 1 << 14
+STEPS = 1 << 16
 ROWS_AT_ONCE = 200
 REMEMBERED_WORDS = 400_000
 TOKENS_AT_ONCE = 500_000
@@ -67,28 +69,32 @@ class PieceEncoder:
         self._old: dict[str, bytes] = {}
         self._changed: set[str] = set()
 
-    def _learn(self, met: set[str]) -> None:
-        if len(self._young) > self._half:
-            self._old, self._young = self._young, {}
-            self._changed &= self._old.keys()
-        new = met.difference(self._young)
-        known = {x for x in new if x in self._old}
-        self._young.update((x, self._old[x]) for x in known)
-        missing = list(new - known)
+    def _learn(self, new: set[str]) -> None:
+        back = {x for x in new if x in self._old}
+        self._young.update((x, self._old[x]) for x in back)
+        missing = list(new - back)
         # The library puts a blank of its own before a text.
-        plain = [x for x in missing if x[0] == " "]
-        for x, ids in zip(plain, self._model.encode([x[1:] for x in plain], num_threads=1)):
-            self._young[x] = np.array(ids, dtype="<i4").tobytes()
+        for x, ids in zip(missing, self._model.encode([x[1:] for x in missing], num_threads=1)):
+            self._young[x] = array("I", ids).tobytes()
             if b"".join([self.bytes_of[i] for i in ids]) != x.encode():
                 self._changed.add(x)
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text (as it reads after a blank), as 32-bit integers."""
-        cut = [[f" {x}"] if self._whole else _SEGMENT.findall(f" {x}") for x in texts]
-        self._learn(set().union(*cut))
+        if len(self._young) > self._half:
+            self._old, self._young = self._young, {}
+            self._changed &= self._old.keys()
+        get, missing, out = self._young.get, set(), []
+        for text in texts:
+            cut = [f" {text}"] if self._whole else _SEGMENT.findall(f" {text}")
+            found = list(map(get, cut))
+            if None in found:
+                missing.update([x for x, ids in zip(cut, found) if ids is None])
+            out.append((cut, found))
+        self._learn(missing)
         find = self._young.__getitem__
-        return [None if self._changed and not self._changed.isdisjoint(x) else b"".join(map(find, x))
-                for x in cut]
+        return [None if self._changed and not self._changed.isdisjoint(cut) else
+                b"".join(map(find, cut) if None in found else found) for cut, found in out]
 
 
 _PIECE_ENCODERS: dict[str, PieceEncoder] = {}
@@ -169,6 +175,7 @@ def _encoded(docs: DataFrame, files: Vocabularies, steps: int) -> DataFrame:
         side_b = _piece_encoder(files.b)
         a_size = np.array([len(x) for x in byte_level_tokens(files.a)], dtype=np.int32)
         b_size = np.array([len(x) for x in side_b.bytes_of], dtype=np.int32)
+        gc.freeze()  # the memories are large, and nothing in them is cyclic
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 part = whole.slice(at, ROWS_AT_ONCE)
