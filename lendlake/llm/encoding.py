@@ -16,7 +16,7 @@ import os
 import re
 from array import array
 
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 2_000_000
 # Texts are cut into words in parts of about so many characters, to bound memory.
 CHARS_AT_ONCE = 500_000
 # A word of letters that neither case folding nor composing takes apart, and closing marks: any
@@ -52,7 +52,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = plain
         names = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._doubtful = [*_DOUBTFUL, *([] if plain else names)]
+        # How names begin, as a name may come about by lower-casing.
+        self._doubtful = [*_DOUBTFUL, *([] if plain else {n[:2] for n in names})]
         self._remembered = remembered
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -69,9 +70,9 @@ class WordEncoder:
         if self._folds:
             words = [w.strip(" ").lower() for w in words]
         tokenize = self._tokenizer.model.tokenize
-        return [array("I", [t.id for t in tokenize(
-            w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(BYTES_OF)
-        )]).tobytes() for w in words]
+        spelt = [w if w.isalpha() and w.isascii() else
+                 w.encode().decode("latin-1").translate(BYTES_OF) for w in words]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
 
     def _learn(self, words: set[str]) -> None:
         """Add words to the memory; a word with closing marks is its bare form and the marks."""
@@ -79,9 +80,13 @@ class WordEncoder:
         back = {w for w in words if w in old}
         young.update((w, old[w]) for w in back)
         new = list(words - back)
+        plain: set[str] = set()
+        if self._direct:  # most words are ASCII letters alone
+            plain = {w for w in new if w.isascii() and w[w[0] == " ":].isalpha()}
+            new = [w for w in new if w not in plain]
         found = [*map(_PLAIN.fullmatch, new)] if self._direct else [None] * len(new)
         marked = [(w, *m.groups()) for w, m in zip(new, found) if m and m[2]]
-        plain = {w for w, m in zip(new, found) if m and not m[2]}.union(x[1] for x in marked)
+        plain.update([w for w, m in zip(new, found) if m and not m[2]], [x[1] for x in marked])
         other = {w for w, m in zip(new, found) if not m}.union(x[2] for x in marked)
         for some, ids_of in ((plain, self._merged), (other, self._ids)):
             missing = [w for w in some if w not in young]

@@ -89,7 +89,7 @@ def checksums(rows: DataFrame) -> DataFrame:
             ids = batch.column(3)
             ends = ids.offsets.to_numpy()
             values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(crc, type=pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"])
