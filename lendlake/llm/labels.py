@@ -32,7 +32,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     p = prefix(docs)
     by_doc = labels.where(~held_out(5, 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label"))
-    sample, share = toxicity.drawn(by_doc, "label", FIT, "doc_id")
+    sample, share = toxicity.drawn(by_doc, "label", FIT)
     sample = sample.select(F.col("doc_id").alias(f"{p}of"), F.col("label").alias(f"{p}label"))
     some = docs.join(F.broadcast(sample), F.col("doc_id") == F.col(f"{p}of"))
     return toxicity.train(some, F.lit(True), F.col(f"{p}label"), FIT, share=share)

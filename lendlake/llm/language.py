@@ -8,7 +8,7 @@ of the centroid with the highest cosine. A text farther from its centroid than n
 texts of that language are from theirs is rejected.
 
 Document frequencies are counted over all training rows. Centroids are fitted on a bounded sample of
-vectors: about ``sample`` texts a language, so the number of languages alone sets the driver's share.
+vectors: ``sample`` texts a language, so the number of languages alone sets the driver's share.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlake.llm.shared import prefix, text_of
+from lendlake.llm.shared import prefix, some_of_each, text_of
 
 FEATURES = 1 << 14
 ROWS_AT_ONCE = 256
@@ -33,7 +33,7 @@ _KEPT[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample``: training texts a language, about, that centroids are fitted on. ``rejected``:
+    """``sample``: training texts a language that centroids are fitted on. ``rejected``:
     share of those that the bound on distance leaves out."""
 
     sample: int = 600
@@ -128,10 +128,6 @@ def train(docs: DataFrame, learns: Column, fit: Fit = Fit(), text_col: str = "te
                      np.zeros(0, np.int64), np.zeros(0))
     frequency, total = _document_frequencies(rows.select("text"))
     weights = np.log((1 + total) / (1 + frequency)).astype(np.float32) + np.float32(1)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(fit.sample / n)).otherwise(share)
-
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -143,8 +139,8 @@ def train(docs: DataFrame, learns: Column, fit: Fit = Fit(), text_col: str = "te
                      pa.array([x.astype(np.float32).tobytes() for x in value])],
                     ["lang", "at", "value"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(fit.seed)), F.lit(1 << 20)) < share * (1 << 20))
-    drawn = drawn.mapInArrow(sampled, "lang string, at binary, value binary").toPandas()
+    drawn = some_of_each(rows.select("text", "lang"), "lang", fit.sample, fit.seed).mapInArrow(
+        sampled, "lang string, at binary, value binary").toPandas()
     drawn = drawn.sort_values(["lang", "at", "value"])
     languages, centroids, owner, farthest = sorted(sizes), [], [], []
     for number, lang in enumerate(languages):

@@ -193,7 +193,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, search: Search = Se
     directions = np.random.default_rng(search.seed).standard_normal((size, search.axes))
 
     share = min(1.0, search.sample_rows / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(share * (1 << 40))).select(
         "vector").toPandas()["vector"]
     points = np.array(sample.to_list(), dtype=np.float64).reshape(-1, size) @ directions
     cells = Cells(points, max(1, min(-(-total // search.part_rows), len(points) // 16)))

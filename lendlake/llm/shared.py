@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendlake.functions.workspace import new_folder
@@ -46,3 +46,21 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[
         F.col(f"`{n}`") if t in ("string", "bigint", "int", "double", "boolean", "float", "date")
         else F.to_json(F.struct(F.col(f"`{n}`"))) for n, t in df.dtypes])
+
+
+def some_of_each(rows: DataFrame, label: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows of each label (all, if there are fewer), by a hash of all columns: the same ones on
+    every run, whatever the order of rows.
+
+    A label never comes out empty or above ``n``, copies or not: of identical rows as many stay as
+    there is room for. Hashes alone are ranked first, cut to ``n`` a label in each map task; labels
+    are few, as a model holds each.
+    """
+    p = prefix(rows)
+    key, place, cut = f"{p}key", f"{p}place", f"{p}cut"
+    keyed = rows.withColumn(key, F.xxhash64(row_hash(rows), F.lit(seed)))
+    order = Window.partitionBy(label).orderBy(key)
+    cuts = keyed.select(label, key).withColumn(place, F.row_number().over(order)).where(
+        F.col(place) <= n).groupBy(label).agg(F.max(key).alias(cut))
+    return keyed.join(F.broadcast(cuts), label).where(F.col(key) <= F.col(cut)).withColumn(
+        place, F.row_number().over(order)).where(F.col(place) <= n).select(*rows.columns)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlake.llm.shared import stored, text_of
+from lendlake.llm.shared import some_of_each, stored, text_of
 
 # The top 18 bits of a hash.
 BUCKETS = 1 << 18
@@ -35,7 +35,7 @@ WORDS_AT_ONCE = 20_000
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample``: labelled documents of each class, about. ``words``: words of a passage."""
+    """``sample``: labelled documents of each class. ``words``: words of a passage."""
 
     sample: int = 4000
     words: int = 32
@@ -98,14 +98,10 @@ def _starts(n: int, words: int) -> np.ndarray:
     return starts if n <= words or starts[-1] == n - words else np.append(starts, n - words)
 
 
-def drawn(rows: DataFrame, label: str, fit: Fit, *keys: str) -> tuple[DataFrame, float]:
-    """About ``fit.sample`` rows of each label by a hash of ``keys``, and the share of label 1."""
+def drawn(rows: DataFrame, label: str, fit: Fit) -> tuple[DataFrame, float]:
+    """``fit.sample`` rows of each label (all, if fewer), and the share of label 1."""
     sizes = dict(rows.groupBy(label).count().collect())
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        share = F.when(F.col(label) == value, F.lit(fit.sample / n)).otherwise(share)
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(fit.seed)), F.lit(1 << 20))
-    return rows.where(bucket < share * (1 << 20)), sizes.get(1, 0) / max(1, sum(sizes.values()))
+    return some_of_each(rows, label, fit.sample, fit.seed), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
 def _chosen(rows: DataFrame, model: Model, round_: int, seed: int) -> pd.DataFrame:
@@ -143,7 +139,7 @@ def train(docs: DataFrame, learns: Column, label: Column, fit: Fit = Fit(),
     rows = docs.where(F.coalesce(learns, F.lit(False)) & label.isin(0, 1)
                       & F.col(text_col).isNotNull()).select(
         label.cast("int").alias("label"), F.lower(F.col(text_col)).alias("text"))
-    rows, seen_share = drawn(rows, "label", fit, "text")
+    rows, seen_share = drawn(rows, "label", fit)
     share = seen_share if share is None else share
     rows = stored(rows.withColumn("tie", F.xxhash64("text")), "toxicity-sample")
     random = np.random.default_rng(fit.seed)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lendlake.llm import language, labels, nearest, toxicity
+from lendlake.llm import labels, language, nearest, shared, toxicity
 from lendlake.llm.nearest import Search
 from lendlake.llm.shared import read
 from tests.llm import cases
@@ -111,6 +111,24 @@ def test_language_rejects_what_is_far(spark, documents):
     assert kept <= 30
 
 
+def test_samples_of_copies(spark):
+    """30,000 copies of one text neither leave a class without a sample nor fill the driver."""
+    german = "der wald und die heide liegen still im nebel über dem tal"
+    english = [f"the {w} and the {v} were in the house of the king" for w in ("cat", "dog", "owl")
+               for v in ("hen", "ram", "elk")]
+    df = spark.range(30_000).select(F.lit(german).alias("text"), F.lit("de").alias("lang")).unionByName(
+        spark.createDataFrame([(x, "en") for x in english * 300], "text string, lang string"))
+    drawn = shared.some_of_each(df, "lang", 600, 1)
+    assert dict(drawn.groupBy("lang").count().collect()) == {"de": 600, "en": 600}
+    assert drawn.exceptAll(shared.some_of_each(df.repartition(5), "lang", 600, 1)).isEmpty()
+    model = language.train(df, F.lit(True))
+    got = language.identify(spark.createDataFrame([(german,), (english[0],)], "text string"), model,
+                            reject=False).collect()
+    assert {r.text: r.lang_pred for r in got} == {german: "de", english[0]: "en"}
+    few = shared.some_of_each(df.limit(7), "lang", 600, 1)
+    assert few.count() == 7
+
+
 def test_language_without_anything(spark):
     model = language.train(cases.empty(spark), F.lit(True))
     assert {r.lang_pred for r in language.identify(cases.docs(spark), model).collect()} == {"und"}
