@@ -21,18 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlake.llm.encoding import BYTES_OF, encoder
+from lendlake.llm.encoding import BYTES_OF, ENCODERS, encoder
 from lendlake.llm.shared import spread, stored
 
 STEPS = 1 << 16
 ROWS_AT_ONCE = 200
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 300_000
 TOKENS_AT_ONCE = 500_000
 _SEGMENT = re.compile(" *[^ ]+| +")
+# Token lists are wide; small row groups keep what a writer holds in memory small.
+_ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 _SIDES = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 ALIGNED = "doc_id bigint, " + ", ".join(f"{x} array<int>" for x in _SIDES)
 
@@ -118,6 +121,21 @@ def byte_level_tokens(path: str) -> list[bytes]:
     return out
 
 
+_SIZES: dict[str, np.ndarray] = {}
+
+
+def _byte_level_sizes(path: str) -> np.ndarray:
+    if path not in _SIZES:
+        _SIZES[path] = np.array([len(x) for x in byte_level_tokens(path)], dtype=np.int32)
+    return _SIZES[path]
+
+
+def _forget() -> None:
+    """Give back the memory of a worker's encoders, which the steps after encoding do not need."""
+    ENCODERS.clear()
+    _PIECE_ENCODERS.clear()
+
+
 def diagonal_cuts(a: np.ndarray, b: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the merge of two ascending lists is cut every ``steps`` steps: how many members of
     ``a`` and of ``b`` come before each cut, the beginning and the end included.
@@ -173,7 +191,7 @@ def _encoded(docs: DataFrame, files: Vocabularies, steps: int) -> DataFrame:
         task, row = TaskContext.get().partitionId(), 0
         side_a = encoder(files.a, plain=True, remembered=REMEMBERED_WORDS)
         side_b = _piece_encoder(files.b)
-        a_size = np.array([len(x) for x in byte_level_tokens(files.a)], dtype=np.int32)
+        a_size = _byte_level_sizes(files.a)
         b_size = np.array([len(x) for x in side_b.bytes_of], dtype=np.int32)
         gc.freeze()  # the memories are large, and nothing in them is cyclic
         for whole in batches:
@@ -270,17 +288,27 @@ def align(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col
     The result is stored in the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(_encoded(rows, files, steps), "token-pieces")
+    pieces = stored(_encoded(rows, files, steps), "token-pieces", **_ROW_GROUP)
     whole = pieces.where("pieces = 1").select("doc_id", *_SIDES)
     cut = pieces.where("pieces > 1")
     dealt = cut.repartition(spread(cut), "task", "row", "piece")
     return whole.unionByName(stored(_stitched(_piecewise(dealt)), "stitched-texts"))
 
 
+def _lengths(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.list_value_length(batch.column(name)).to_numpy()
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _flat(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The columns of aligned rows one after the other, and where each row's groups end."""
     out = {x: np.asarray(batch.column(x).flatten(), dtype=np.int64) for x in _SIDES}
-    out["ends"] = np.cumsum(np.diff(batch.column("a_sizes").offsets.to_numpy()))
+    out["ends"] = np.cumsum(_lengths(batch, "a_sizes"))
     return out
 
 
@@ -299,8 +327,9 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     exchanged.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in _small(batches):
             some, k = np.unique(_linked(_flat(batch)), return_counts=True)
             keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
             n = np.bincount(back, np.concatenate([n, k]), len(keys)).astype(np.int64)
@@ -360,8 +389,9 @@ def digests(aligned: DataFrame, counts: DataFrame) -> DataFrame:
         "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")) + ", groups_sha256 string"
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         keys, n, best = known.value
-        for batch in batches:
+        for batch in _small(batches):
             flat = _flat(batch)
             at = np.searchsorted(keys, _linked(flat))
             ends = flat["ends"]
@@ -383,7 +413,7 @@ def digests(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                     hashes[row].update(
                         data[stops[at_group - first]:stops[stop - first] - (stop == ends[row])])
                     at_group = stop
-            lengths = [np.diff(batch.column(x).offsets.to_numpy()) for x in ("a_ids", "b_ids")]
+            lengths = [_lengths(batch, x) for x in ("a_ids", "b_ids")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (
                     *lengths, groups, groups, total(best[at].astype(np.int64)), total(n[at]))),

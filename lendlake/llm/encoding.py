@@ -140,12 +140,12 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
+ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 def encoder(path: str, plain: bool = False, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
     """The worker's encoder for a vocabulary file, made once for each worker process."""
     key = (path, plain, remembered)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, remembered, plain)
-    return _ENCODERS[key]
+    if key not in ENCODERS:
+        ENCODERS[key] = WordEncoder(path, remembered, plain)
+    return ENCODERS[key]

@@ -26,6 +26,8 @@ from lendlake.llm.shared import spread, stored
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 ROWS_AT_ONCE = 500
+# Fewer than token files take: packing may follow other stages in the same workers.
+REMEMBERED_WORDS = 900_000
 
 
 def fullest(counts: dict[int, int], seed: int, capacity: int) -> dict[int, int]:
@@ -80,7 +82,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 204
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 rows = []
-                texts = encoder(vocabulary).encode(batch.column(1).to_pylist())
+                texts = encoder(vocabulary, remembered=REMEMBERED_WORDS).encode(batch.column(1).to_pylist())
                 for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                     ids += end
                     n = len(ids) // 4

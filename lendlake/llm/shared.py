@@ -27,11 +27,11 @@ def prefix(df: DataFrame) -> str:
     return found
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """The frame written to the shared folder and read back: its lineage ends there, so a lost
     executor costs no second computation. The folder stays; its owner removes it after the job."""
     folder = new_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
