@@ -35,9 +35,10 @@ REMEMBERED_WORDS = 300_000
 TOKENS_AT_ONCE = 500_000
 _SEGMENT = re.compile(" *[^ ]+| +")
 # Token lists are wide; small row groups keep what a writer holds in memory small.
-_ROW_GROUP = {"parquet.block.size": str(16 << 20)}
+_ROW_GROUP = {"parquet.block.size": str(16 << 20), "compression": "zstd"}
 _SIDES = ("a_ids", "b_ids", "a_sizes", "b_sizes")
-ALIGNED = "doc_id bigint, " + ", ".join(f"{x} array<int>" for x in _SIDES)
+# Lists are packed, as little-endian 32-bit integers: the JVM moves them as one value each.
+ALIGNED = "doc_id bigint, " + ", ".join(f"{x} binary" for x in _SIDES)
 
 
 @dataclass(frozen=True)
@@ -168,10 +169,8 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return met + 1, at[met] + 1
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<i4").tobytes() for x in parts], type=pa.binary())
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +181,7 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _NONE = np.zeros(0, dtype=np.int32)
 _PIECES = "doc_id bigint, task int, row bigint, piece int, pieces int, " + ", ".join(
-    f"{x} array<int>" for x in (*_SIDES, "a_ends", "b_ends"))
+    f"{x} binary" for x in (*_SIDES, "a_ends", "b_ends"))
 
 
 def _encoded(docs: DataFrame, files: Vocabularies, steps: int) -> DataFrame:
@@ -231,9 +230,7 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _values(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    column = batch.column(name)
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return [values[x:y] for x, y in zip(ends, ends[1:])]
+    return [np.frombuffer(x, dtype="<i4") for x in batch.column(name).to_pylist()]
 
 
 def _piecewise(pieces: DataFrame) -> DataFrame:
@@ -279,7 +276,8 @@ def _stitched(pieces: DataFrame) -> DataFrame:
 def align(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col: str = "text",
           steps: int = STEPS) -> DataFrame:
     """Both token sequences of every text and their groups: doc_id, a_ids, b_ids (token ids),
-    a_sizes and b_sizes (tokens of either side in each group, in order).
+    a_sizes and b_sizes (tokens of either side in each group, in order), each packed as
+    little-endian 32-bit integers; ``unpacked`` makes arrays of them.
 
     Texts are read after a blank: A gets it in the text, B adds it. Names of special tokens inside a
     text are ordinary text. A text that is null or empty, or that one side does not spell byte for
@@ -295,8 +293,19 @@ def align(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col
     return whole.unionByName(stored(_stitched(_piecewise(dealt)), "stitched-texts"))
 
 
+def unpacked(aligned: DataFrame) -> DataFrame:
+    """Aligned rows with arrays in place of packed lists."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(_values(batch, x), type=pa.list_(pa.int32()))
+                                           for x in _SIDES)], batch.schema.names)
+
+    return aligned.select("doc_id", *_SIDES).mapInArrow(made, ALIGNED.replace("binary", "array<int>"))
+
+
 def _lengths(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return pc.list_value_length(batch.column(name)).to_numpy()
+    return pc.binary_length(batch.column(name)).to_numpy().astype(np.int64) // 4
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +316,8 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _flat(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The columns of aligned rows one after the other, and where each row's groups end."""
-    out = {x: np.asarray(batch.column(x).flatten(), dtype=np.int64) for x in _SIDES}
+    out = {x: np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype="<i4").astype(np.int64)
+           for x in _SIDES}
     out["ends"] = np.cumsum(_lengths(batch, "a_sizes"))
     return out
 

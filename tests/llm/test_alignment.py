@@ -107,7 +107,7 @@ def test_empty_table_and_texts(spark):
 
 
 def test_groups_cover_all_tokens(spark):
-    for r in alignment.align(cases.docs(spark), FILES, steps=500).collect():
+    for r in alignment.unpacked(alignment.align(cases.docs(spark), FILES, steps=500)).collect():
         assert sum(r.a_sizes) == len(r.a_ids) and sum(r.b_sizes) == len(r.b_ids)
         assert len(r.a_sizes) == len(r.b_sizes) and all(r.a_sizes) and all(r.b_sizes)
 
