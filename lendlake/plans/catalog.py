@@ -403,8 +403,9 @@ def _payments_streamed(spark: SparkSession, t: Tables, path: str) -> str:
     out = new_folder(spark, "stream-payments")
     known = t.replace(repayment=t.repayment.where(
         F.col("payment_date") < lifecycle.day(CUTOFF)))
+    index = streams.index_ledger(known.repayment, f"{out}/known")
     streams.stream_apply_payments(_payment_stream(spark, path), known, out,
-                                  f"{out}/checkpoint").awaitTermination()
+                                  f"{out}/checkpoint", index=index).awaitTermination()
     return out
 
 

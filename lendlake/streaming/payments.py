@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +16,14 @@ from lendlake.sources.tables import Tables
 SPREAD = 256
 QUERY, BATCH = "query_id", "batch_id"
 HORIZON = "7 days"
+# Ids are dealt to buckets in blocks: payments numbered in a row share few buckets, and ids of any
+# kind fill at most so many. Ids an equality filter may name to the files' Bloom filters: Spark's limit.
+BUCKET, BUCKETS, BLOCK = "id_bucket", 1024, 1 << 20
+NAMED_IDS = 10
+BLOOM = {"parquet.bloom.filter.enabled#repayment_id": "true",
+         "parquet.bloom.filter.adaptive.enabled": "true"}
+# Snapshots of the running totals that are kept; a reader may be so many batches late, less one.
+SLOTS = 8
 
 
 def payment_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -38,56 +47,113 @@ def without_repeats(payments: DataFrame, horizon: str) -> DataFrame:
             .dropDuplicatesWithinWatermark(["repayment_id"]).drop("_arrived", "_part"))
 
 
-def take_in(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The payments of a batch the ledger does not hold yet, each once.
+def id_bucket(block: int = BLOCK) -> Column:
+    """The bucket of a payment's id."""
+    return F.expr(f"CAST(pmod(repayment_id div {block}, {BUCKETS}) AS INT)")
+
+
+def _write_by_bucket(payments: DataFrame, folder: str, block: int) -> None:
+    """Payments in one folder a bucket, in order of ids inside it; a full bucket spans several files."""
+    (payments.withColumn(BUCKET, id_bucket(block)).repartitionByRange(BUCKET, "repayment_id")
+     .sortWithinPartitions(BUCKET, "repayment_id")
+     .write.mode("overwrite").options(**BLOOM).partitionBy(BUCKET).parquet(folder))
+
+
+def index_ledger(ledger: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
+    """The ids of a ledger, written to ``folder`` by bucket, for ``take_in`` to look ids up in."""
+    _write_by_bucket(ledger.select("repayment_id"), folder, block)
+    return read_index(ledger.sparkSession, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index that ``index_ledger`` wrote before."""
+    return spark.read.schema(f"repayment_id BIGINT, {BUCKET} INT").parquet(folder)
+
+
+def _may_hold(batch: DataFrame, block: int) -> tuple[Column, Column]:
+    """Conditions on the id and on the bucket of ledger rows, so that files without any id of the
+    batch can be skipped.
+
+    A batch of few rows names its ids, which row statistics and Bloom filters understand. Any batch
+    names its lowest and highest id and its buckets, at most ``BUCKETS``.
+    """
+    n, low, high, buckets = batch.agg(
+        F.count("repayment_id"), F.min("repayment_id"), F.max("repayment_id"),
+        F.collect_set(id_bucket(block))).first()
+    ids = F.col("repayment_id").between(low, high)
+    if n <= NAMED_IDS:
+        named = batch.select("repayment_id").where("repayment_id IS NOT NULL").collect()
+        ids &= F.col("repayment_id").isin(sorted({r[0] for r in named}))
+    return ids, F.col(BUCKET).isin(sorted(buckets))
+
+
+def take_in(batch: DataFrame, *ledgers: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The payments of a batch no ledger holds yet, each once.
 
     Of deliveries of one id that differ the one with the lowest amount counts, then the earliest
     date, the lowest instalment and the first mode. Copies are cut to one inside each map task. Of
-    the ledger only files that may hold ids between the batch's lowest and highest are read.
+    a ledger only files that may hold the batch's ids are read: of one in buckets (``index_ledger``,
+    with the same ``block``) those of the batch's buckets, so that an old and a new id in one batch
+    do not cost the years between them.
     """
-    low, high = batch.agg(F.min("repayment_id"), F.max("repayment_id")).first()
-    known = ledger.select("repayment_id").where(F.col("repayment_id").between(low, high))
     once = first_rows(batch, "repayment_id", "paid_amount", "payment_date", "emi_id", "payment_mode")
-    return once.join(known, "repayment_id", "left_anti")
+    ids, buckets = _may_hold(batch, block)
+    for ledger in ledgers:
+        known = ledger.where(ids & buckets if BUCKET in ledger.columns else ids)
+        once = once.join(known.select("repayment_id"), "repayment_id", "left_anti")
+    return once
 
 
 def stream_apply_payments(payments: DataFrame, t: Tables, out: str, checkpoint: str,
-                          horizon: str = HORIZON) -> StreamingQuery:
+                          horizon: str = HORIZON, index: DataFrame | None = None) -> StreamingQuery:
     """Write each batch of new payments below ``out/repayment``; stop when input is exhausted.
 
     Repeats within the ``horizon`` are dropped in state. Older ones are told by the ledger and by
-    earlier batches, of which only the files that may hold the batch's ids are read.
+    earlier batches, of which only the files that may hold the batch's ids are read. Batches are
+    written in buckets of ids. The ledger is ``index`` where one is given (the ids of ``t.repayment``
+    by ``index_ledger``, made once and read by every run), else ``t.repayment`` as it lies.
 
     A batch writes to a folder named by the stream and its number and replaces what a failed
     attempt left there, so a restart neither loses nor repeats payments, and a stream with a new
     checkpoint never overwrites what an older one wrote. ``taken_in`` reads the result.
     """
+    known = t.repayment.select("repayment_id") if index is None else index
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        # The first batch makes the folder, so that the next ones can be read beside it.
-        folder = f"{out}/repayment/{QUERY}={query}/{BATCH}={batch_id}"
-        known = t.repayment.select("repayment_id")
-        if batch_id > 0 or _exists(spark, f"{out}/repayment"):
+        earlier = _in_buckets(spark, out)
+        ledgers = [known]
+        if earlier is not None:
             mine = (F.col(QUERY) == query) & (F.col(BATCH) >= batch_id)
-            known = known.unionByName(taken_in(spark, out).where(~mine).select("repayment_id"))
-        take_in(batch, known).write.mode("overwrite").parquet(folder)
+            ledgers.append(earlier.where(~mine))
+        _write_by_bucket(take_in(batch, *ledgers),
+                         f"{out}/repayment/{QUERY}={query}/{BATCH}={batch_id}", BLOCK)
 
     return (without_repeats(payments, horizon).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _in_buckets(spark: SparkSession, out: str) -> DataFrame | None:
+    """The payments written so far with their buckets; None before the first batch."""
+    columns = f"{COLUMNS['repayment']}, {QUERY} STRING, {BATCH} BIGINT, {BUCKET} INT"
+    try:
+        return spark.read.schema(columns).parquet(f"{out}/repayment")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def taken_in(spark: SparkSession, out: str) -> DataFrame:
     """The payments written so far, with the stream and the batch they came in."""
-    return spark.read.schema(f"{COLUMNS['repayment']}, {QUERY} STRING, {BATCH} BIGINT").parquet(
-        f"{out}/repayment")
+    written = _in_buckets(spark, out)
+    if written is None:
+        columns = f"{COLUMNS['repayment']}, {QUERY} STRING, {BATCH} BIGINT"
+        return spark.createDataFrame([], columns)
+    return written.drop(BUCKET)
 
 
 def settle(t: Tables, paid: DataFrame) -> Tables:
@@ -99,25 +165,32 @@ def settle(t: Tables, paid: DataFrame) -> Tables:
 
 def stream_monthly_collections(payments: DataFrame, out: str, checkpoint: str,
                                horizon: str = HORIZON) -> StreamingQuery:
-    """Running totals by month; each batch writes the months it changed.
+    """Running totals by month, all of them written after each batch.
 
     A payment delivered again within the horizon counts once; where repeats come later, stream the
     ledger that ``stream_apply_payments`` writes. The key is the calendar month, so the totals'
-    state holds one row per month and needs no watermark.
+    state, and each snapshot of it, holds one row per month and needs no watermark. The last
+    ``SLOTS`` snapshots are kept, each in a folder that a later batch writes over, so the folder
+    never grows with the number of batches. ``out`` belongs to one checkpoint.
     """
     months = (without_repeats(payments, horizon).groupBy(month_start("payment_date").alias("month_start"))
               .agg(F.sum("paid_amount").alias("total_collected"),
                    F.count("repayment_id").alias("payment_count")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        (batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")).coalesce(1)
+         .write.mode("overwrite").parquet(f"{out}/slot={batch_id % SLOTS}"))
 
-    return (months.writeStream.outputMode("update").foreachBatch(write)
+    return (months.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def collections_so_far(spark: SparkSession, out: str) -> DataFrame:
-    """The newest totals of every month written by ``stream_monthly_collections``."""
+    """The totals of every month in the newest snapshot of ``stream_monthly_collections``.
+
+    A month never leaves the totals, so its row of the highest batch is the newest, also while the
+    next snapshot is being written.
+    """
     newest = F.struct(BATCH, "total_collected", "payment_count")
     return (spark.read.parquet(out)
             .groupBy("month_start").agg(F.max(newest).alias("_last"))

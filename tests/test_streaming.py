@@ -97,3 +97,73 @@ def test_only_the_batch_s_part_of_the_ledger_is_read(spark, star):
     batch = frame(spark, "repayment", [(70, 1, D("5.00"), d("2024-01-02"), "UPI")])
     text = streams.take_in(batch, star.repayment)._jdf.queryExecution().optimizedPlan().toString()
     assert ">= 70" in text and "<= 70" in text
+
+
+def bought(spark, *ids):
+    return frame(spark, "repayment", [(i, 1, D("5.00"), d("2024-01-02"), "UPI") for i in ids])
+
+
+def partition_scans(df):
+    """The lines of a plan's scans that prune partitions."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in text.split("\n") if "PartitionFilters" in x and "id_bucket" in x]
+
+
+def test_an_old_and_a_new_id_read_their_buckets_only(spark, tmp_path):
+    # One bucket a block of 10 ids: 100 buckets, of which the two extremes are looked up.
+    ledger = bought(spark, *range(0, 1000, 2))
+    index = streams.index_ledger(ledger, str(tmp_path / "ids"), block=10)
+    batch = bought(spark, 0, 1, 998, 999, *range(991, 998))
+    taken = streams.take_in(batch, index, block=10)
+    assert sorted(rows(taken, "repayment_id")) == [(1,), (991,), (993,), (995,), (997,), (999,)]
+    scans = partition_scans(taken)
+    assert scans and all(" IN (0,99)" in x for x in scans)
+    pruned = index.where(F.col("id_bucket").isin(0, 99))
+    assert len({r[0] for r in pruned.select(F.input_file_name()).distinct().collect()}) <= 4
+    assert index.select("id_bucket").distinct().count() == 100
+
+
+def test_a_batch_of_few_ids_names_them(spark, tmp_path):
+    index = streams.index_ledger(bought(spark, *range(100)), str(tmp_path / "ids"))
+    taken = streams.take_in(bought(spark, 7, 7, 5_000_000_000_000_000_001), index)
+    assert rows(taken, "repayment_id") == [(5_000_000_000_000_000_001,)]
+    assert "IN (7,5000000000000000001)" in taken._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_of_extreme_and_missing_ids(spark, tmp_path):
+    ids = [-(2**63), -1, 0, 2**20 - 1, 2**20, 2**63 - 1, None]
+    index = streams.index_ledger(bought(spark, *ids), str(tmp_path / "ids"))
+    assert sorted(r[0] for r in index.collect() if r[0] is not None) == sorted(ids[:-1])
+    left = streams.take_in(bought(spark, *ids, 1), index)
+    assert sorted(rows(left, "repayment_id"), key=str) == [(1,), (None,)]
+    empty = streams.index_ledger(bought(spark), str(tmp_path / "none"))
+    assert streams.take_in(bought(spark, 3), empty).count() == 1
+    assert streams.take_in(bought(spark), index).count() == 0
+
+
+def test_a_stream_with_an_index_takes_in_what_one_without_does(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    t = micro(spark, repayment=[(i, 1, D("5.00"), d("2024-01-02"), "UPI") for i in (1, 3)])
+    index = streams.index_ledger(t.repayment, str(tmp_path / "ids"))
+    # All known at first; then a stranger far off.
+    for number, payments in enumerate([(1, 3), (3, 4, 10**17)]):
+        bought(spark, *payments).write.parquet(f"{inbox}/f{number}")
+        for name, known in (("with", index), ("without", None)):
+            stream = streams.payment_files(spark, f"{inbox}/*")
+            streams.stream_apply_payments(stream, t, str(tmp_path / name),
+                                          str(tmp_path / f"{name}-{number}"), index=known).awaitTermination()
+            paid = streams.taken_in(spark, str(tmp_path / name))
+            assert sorted(rows(paid, "repayment_id")) == ([(4,), (10**17,)] if number else [])
+
+
+def test_totals_keep_few_snapshots_and_survive_a_restart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "SLOTS", 3)
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    stream = streams.payment_files(spark, f"{inbox}/*")
+    for number in range(5):         # each run is a restart from the checkpoint
+        deliver(spark, inbox, number, [(number, 1, D("2.00"), d("2024-01-02"), "UPI")])
+        streams.stream_monthly_collections(stream, out, state).awaitTermination()
+        assert rows(streams.collections_so_far(spark, out)) == [("2024-01", D("2.00") * (number + 1),
+                                                                 number + 1)]
+    assert len([x for x in (tmp_path / "out").iterdir() if x.name.startswith("slot=")]) == 3
+    assert spark.read.parquet(out).count() == 3
