@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
 from lendlake.functions.columns import blank_to_null, due_date, instalment, penalty_amount
-from lendlake.functions.keys import first_free, numbered, stored
+from lendlake.functions.keys import first_free, numbered, numbered_at_once, stored
 from lendlake.schema import column_names
 from lendlake.sources.tables import Tables
 
@@ -180,17 +180,23 @@ def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, Dat
     ``decisions``: application_id (unique), customer_id, loan_type_id, loan_amount,
     interest_rate, tenure, credit_score, auto_approved, guarantor_name, guarantor_phone,
     relationship. They are computed once: numbering stores them. New keys are dense, in the order
-    of application_id.
+    of application_id. One pass numbers all: a loan takes as many schedule keys as it has
+    instalments, and one guarantor key if a guarantor is named.
     """
-    ok = numbered(decisions.where("auto_approved"), ["application_id"], "_n").withColumn(
+    name = blank_to_null(F.col("guarantor_name"))
+    ok = numbered_at_once(decisions.where("auto_approved"), ["application_id"], {
+        "_n": F.lit(1), "_emi": F.greatest(F.col("tenure").cast("int"), F.lit(0)),
+        "_g": F.when(name.isNotNull(), 1).otherwise(0)}).withColumn(
         "loan_id", first_free(t.loan, "loan_id") + F.col("_n"))
     today = day(as_of)
-    loan = ok.select(
+    terms = ok.select(
         "loan_id", "customer_id", "loan_type_id",
         F.col("loan_amount").cast("decimal(14,2)").alias("loan_amount"),
         F.col("interest_rate").cast("decimal(5,2)").alias("interest_rate"),
         F.col("tenure").cast("int").alias("tenure"), F.lit("Active").alias("current_status"),
-        today.alias("disbursed_date"))
+        today.alias("disbursed_date"),
+        (first_free(t.emi_schedule, "emi_id") + F.col("_emi")).alias("_first"))
+    loan = terms.drop("_first")
     steps = F.inline(F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(label).alias("status_label"))
         for k, label in enumerate(("Approved", "Active"))]))
@@ -199,12 +205,8 @@ def disbursed_rows(t: Tables, decisions: DataFrame, as_of: str) -> dict[str, Dat
                .select((last_step + F.col("_n") * 2 + F.col("k"))
                        .alias("status_history_id"),
                        "loan_id", "status_label", today.alias("change_date")))
-    # A loan takes as many schedule keys as it has instalments.
-    terms = numbered(loan, ["loan_id"], "_n", F.greatest("tenure", F.lit(0))).withColumn(
-        "_first", first_free(t.emi_schedule, "emi_id") + F.col("_n"))
     schedule = emi_schedule_generate(terms, "day28", start=today, first="_first")
-    name = blank_to_null(F.col("guarantor_name"))
-    guarantor = numbered(ok.where(name.isNotNull()), ["loan_id"], "_g").select(
+    guarantor = ok.where(name.isNotNull()).select(
         (first_free(t.guarantor, "guarantor_id") + F.col("_g")).alias("guarantor_id"),
         "loan_id", name.alias("name"), blank_to_null(F.col("guarantor_phone")).alias("phone"),
         F.nullif("relationship", F.lit("")).alias("relationship"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
-from lendlake.functions.keys import numbered
+from lendlake.functions.keys import numbered, numbered_at_once
 from lendlake.functions.latest import newest_scores
 from lendlake.functions.ranking import dense_ranks_of_counts, ranks_descending
 from lendlake.functions.sequences import look_back
@@ -89,6 +89,14 @@ def test_numbers_are_dense_and_ordered(spark):
     assert numbered(df.limit(0), ["i"], "n").count() == 0
 
 
+def test_several_numbers_of_one_pass_are_prefix_sums(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("i"), F.lit(-1).alias("g"))
+    got = rows(numbered_at_once(df, ["i"], {"n": F.lit(1), "w": F.col("i") % 5,
+                                            "g": F.when(F.col("i") % 3 == 0, 1).otherwise(0)}),
+               "i", "n", "w", "g")
+    assert got == [(i, i, sum(x % 5 for x in range(i)), (i + 2) // 3) for i in range(1000)]
+
+
 def test_instalment_keys_stay_in_range():
     from lendlake.sources.star import INSTALMENT
     key = eval(INSTALMENT["emi_id"], {"l_orderkey": 10**11, "l_linenumber": 7,  # noqa: S307
