@@ -167,6 +167,164 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return kept.select(*base.columns).unionByName(upserts)
 
 
+def _rule_reasons(t: Tables, table: str, changes: DataFrame) -> DataFrame:
+    """``changes`` with ``reason``: the first rule of rows, references or uses that a change breaks.
+
+    These rules look at other tables or at the change alone, so the order of the batch is of no
+    matter. Every join has a shuffle straight below both sides: a parent that a third of the changes
+    name is split by adaptive execution.
+    """
+    key, upsert = KEY[table], F.col("op") == "upsert"
+    reasons = [F.when(~F.col("op").isin("upsert", "delete") | F.col("op").isNull(), "unknown op"),
+               F.when(F.col(key).isNull(), f"{key} not null")]
+    reasons += [F.when(upsert & F.expr(bad), rule) for rule, bad in _row_rules(table).items()]
+    found = changes
+    for i, ref in enumerate(r for r in REFERENCES if r.child == table):
+        parents = t[ref.parent].select(F.col(KEY[ref.parent]).alias(f"_parent{i}"))
+        found = found.join(parents, F.col(ref.column) == F.col(f"_parent{i}"), "left")
+        reasons.append(F.when(upsert & F.col(ref.column).isNotNull()
+                              & F.col(f"_parent{i}").isNull(), f"no {ref.parent}"))
+    deleted = changes.where("op = 'delete'").select(key).distinct()
+    for i, ref in enumerate(r for r in REFERENCES if r.parent == table and not r.cascades):
+        used = checkpointed(deleted.join(
+            t[ref.child].select(F.col(ref.column).alias(key)), key, "left_semi").select(
+            F.col(key).alias(f"_used{i}")))
+        found = found.join(used, F.col(key) == F.col(f"_used{i}"), "left")
+        reasons.append(F.when((F.col("op") == "delete") & F.col(f"_used{i}").isNotNull(),
+                              f"used by {ref.child}"))
+    return found.select(*changes.columns, F.coalesce(*reasons).alias("reason"))
+
+
+def _line_of(waiting: DataFrame, held: DataFrame, key: str, unique: tuple[str, ...]) -> DataFrame:
+    """seq and all that a change may take or set free: its key, the values it asks for, and the
+    values its key holds."""
+    own = held.select(F.col(key).alias("_own"), *[F.col(u).alias(f"_old_{u}") for u in unique])
+    marked = [F.concat(F.lit("key:"), F.col(key).cast("string"))]
+    for u in unique:
+        marked += [F.when(F.col("op") == "upsert", F.concat(F.lit(f"{u}:"), u)),
+                   F.concat(F.lit(f"{u}:"), f"_old_{u}")]
+    return waiting.join(own, F.col(key) == F.col("_own"), "left").select(
+        "seq", F.array_compact(F.array_distinct(F.array(*marked))).alias("_what"))
+
+
+def _holders(changes: DataFrame, held: DataFrame, key: str, unique: tuple[str, ...]) -> DataFrame:
+    """``changes`` with ``_by_<u>``: the other key that holds the asked value now, if any."""
+    for u in unique:
+        by = held.select(F.col(u).alias("_value"), F.col(key).alias(f"_by_{u}"))
+        changes = changes.join(
+            by, (F.col("op") == "upsert") & (F.col(u) == F.col("_value"))
+            & (F.col(key) != F.col(f"_by_{u}")), "left").drop("_value")
+    return changes
+
+
+def _one_round(waiting: DataFrame, held: DataFrame, key: str,
+               unique: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changes still waiting, values held and changes refused after one round.
+
+    A change that is first in line for its key and all its values cannot be touched by an earlier
+    one, so all such changes are decided at once. Then those are refused that ask for a value whose
+    holder has no earlier change waiting: a value that very many ask for takes a round for each
+    change of its holder, not for each who asks.
+    """
+    line = _line_of(waiting, held, key, unique)
+    won = (line.select("seq", F.explode("_what").alias("_one")).groupBy("_one")
+           .agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("_won")))
+    ready = checkpointed(line.join(won, "seq").where(F.size("_what") == F.col("_won")).select("seq"))
+    taken = reduce(lambda a, b: a | b, [F.col(f"_by_{u}").isNotNull() for u in unique])
+    judged = checkpointed(_holders(waiting.join(ready, "seq", "left_semi"), held, key, unique)
+                          .withColumn("_refused", taken))
+    accepted = judged.where(~F.col("_refused"))
+    held = checkpointed(held.join(accepted.select(key), key, "left_anti").unionByName(
+        accepted.where("op = 'upsert'").select(*held.columns)))
+    waiting = checkpointed(waiting.join(ready, "seq", "left_anti"))
+
+    first = checkpointed(waiting.groupBy(F.col(key).alias("_key")).agg(F.min("seq").alias("_first")))
+    asked = _holders(waiting, held, key, unique)
+    for u in unique:
+        asked = asked.join(first.select(F.col("_key").alias(f"_by_{u}"),
+                                        F.col("_first").alias(f"_next_{u}")), f"_by_{u}", "left")
+    stuck = reduce(lambda a, b: a | b, [
+        F.col(f"_by_{u}").isNotNull() & (F.coalesce(f"_next_{u}", F.col("seq")) >= F.col("seq"))
+        for u in unique])
+    hopeless = checkpointed(asked.where(stuck).select("seq"))
+    return (checkpointed(waiting.join(hopeless, "seq", "left_anti")), held,
+            judged.where("_refused").select("seq").unionByName(hopeless))
+
+
+def _refused_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seq of the changes refused among rows (seq, op, key, values) in order, after the rows held."""
+    holder: list[dict] = []
+    values: dict[object, tuple] = {}
+    for batch in batches:
+        refused = []
+        for seq, op, key, *asked in zip(*(x.to_pylist() for x in batch.columns)):
+            holder = holder or [{} for _ in asked]
+            if op == "upsert" and any(h.get(v, key) != key for h, v in zip(holder, asked)):
+                refused.append(seq)
+                continue
+            for h, v in zip(holder, values.pop(key, ())):
+                del h[v]
+            if op != "delete":
+                values[key] = tuple(asked)
+                for h, v in zip(holder, asked):
+                    h[v] = key
+        yield pa.RecordBatch.from_arrays([pa.array(refused, type=pa.int64())], ["seq"])
+
+
+def _doubles(base: DataFrame, changes: DataFrame, key: str, unique: tuple[str, ...],
+             in_order: int) -> DataFrame:
+    """seq of the changes that ask for a value another row holds when it is their turn."""
+    waiting = checkpointed(changes.select("seq", "op", key, *unique))
+    columns = [key, *unique]
+    held = base.select(*columns)
+    touched = [held.join(waiting.select(c).distinct(), c, "left_semi").select(*columns)
+               for c in columns]
+    held = checkpointed(reduce(DataFrame.unionByName, touched).distinct())
+    refused = waiting.select("seq").limit(0)
+    while True:
+        waiting, held, lost = _one_round(waiting, held, key, unique)
+        refused = refused.unionByName(lost)
+        if waiting.count() <= in_order:
+            break
+    wanted = [held.join(waiting.select(c).distinct(), c, "left_semi").select(*columns)
+              for c in columns]
+    rows = reduce(DataFrame.unionByName, wanted).distinct().select(
+        F.lit(None).cast("bigint").alias("seq"), F.lit("held").alias("op"), *columns)
+    return refused.unionByName(
+        rows.unionByName(waiting).coalesce(1).sortWithinPartitions(F.asc_nulls_first("seq"))
+        .mapInArrow(_refused_in_order, "seq bigint"))
+
+
+def apply_checked_changes(t: Tables, table: str, changes: DataFrame,
+                          in_order: int = IN_ORDER) -> tuple[Tables, DataFrame]:
+    """Upserts and deletes as a database that keeps the declared rules takes them one by one.
+
+    ``changes``: the columns of the table plus ``op`` ('upsert' or 'delete') and ``seq`` (bigint,
+    unique, not null). Gives the snapshot after the batch and the refused changes (seq, key, op,
+    reason). A change is refused when it breaks a rule of its row, names a parent that is not there,
+    deletes a row that a reference without cascade uses, or asks for a unique value that another row
+    holds at its turn; a value that an earlier accepted change set free may be taken. A refused
+    change has no effect. A delete takes the rows that depend on it along; deleting a key that is not
+    there does nothing. References are judged against the snapshot before the batch.
+
+    Changes that share no key and no unique value with a waiting earlier one are decided together; at
+    most ``in_order`` that are left after a round are read in order by one task, with the rows whose
+    values they touch.
+    """
+    key, unique = KEY[table], UNIQUE.get(table, ())
+    judged = checkpointed(_rule_reasons(t, table, changes))
+    fair = judged.where("reason IS NULL").drop("reason")
+    refused = judged.where("reason IS NOT NULL").select("seq", key, "op", "reason")
+    if unique:
+        doubles = checkpointed(_doubles(t[table], fair, key, unique, in_order))
+        refused = refused.unionByName(fair.join(doubles, "seq", "left_semi").select(
+            "seq", key, "op", F.lit(f"duplicate {' or '.join(unique)}").alias("reason")))
+        fair = fair.join(doubles, "seq", "left_anti")
+    deleted = fair.where("op = 'delete'").select(key)
+    after = cascade_delete(t, table, deleted)
+    return after.replace(**{table: apply_changes(t[table], fair, key)}), refused
+
+
 def cascade_delete(t: Tables, table: str, ids: DataFrame) -> Tables:
     """Delete parents by key together with everything that depends on them.
 

@@ -139,6 +139,7 @@ COLUMNS: dict[str, str] = {
     "register_customers": "request_id b, customer_id b, name s, phone s, email s, "
                           "monthly_income m, city s, total_loans i, reason s",
     "apply_changes": "customer_id b, name s, dob d, phone s, email s",
+    "apply_checked_changes": "customer_id b, name s, phone s, email s, incomes b, seq b, op s, reason s",
     "cascade_delete": "table_name s, n b",
     "credit_history_rollup": "customer_id b, stored_loans b, actual_loans b, stored_defaults b, "
                              "actual_defaults b, drifted t",
@@ -283,8 +284,40 @@ def customer_changes(t: Tables, spark: SparkSession, path: str) -> DataFrame:
             .unionByName(change(joined, "upsert", 0)))
 
 
+def contested_changes(t: Tables) -> DataFrame:
+    """Changes that hand phones and emails on, break rules, or delete customers, in six steps: the
+    steps of all customers come one after the other."""
+    number, turn = F.col("customer_id"), F.col("customer_id") % 4
+
+    def first_phone(key: Column) -> Column:
+        return F.concat(F.lit("98"), F.lpad(key.cast("string"), 8, "0"))
+
+    def change(step: int, who: int, op: str = "upsert", **columns: Column) -> DataFrame:
+        own = {"seq": F.lit(step * 10**12) + number, **columns}
+        return t.customer.where(turn == who).withColumns(own).withColumn("op", F.lit(op))
+
+    steps = [
+        change(1, 1, phone=F.concat(F.lit("97"), F.substring("phone", 3, 8))),
+        change(2, 2, phone=first_phone(number - 1)),
+        change(3, 3, phone=first_phone(number - 2)),
+        change(4, 0, "delete"),
+        change(5, 0, customer_id=number + 2 * 10**12, phone=F.concat(F.lit("96"), F.substring("phone", 3, 8)),
+               name=F.when(number % 8 != 0, F.col("name"))),
+        change(6, 1, phone=first_phone(number + 2))]
+    return reduce(DataFrame.unionByName, steps)
+
+
 # --- composed results ------------------------------------------------------------------------
 
+def _checked_changes(t: Tables) -> DataFrame:
+    """Customers after the contested changes with their incomes, and the refused changes."""
+    after, refused = maintenance.apply_checked_changes(t, "customer", contested_changes(t))
+    incomes = after.income_details.groupBy("customer_id").agg(F.count("*").alias("incomes"))
+    kept = after.customer.join(incomes, "customer_id", "left").select(
+        "customer_id", "name", "phone", "email", F.coalesce("incomes", F.lit(0)).alias("incomes"))
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
 def _default_sweep(t: Tables) -> DataFrame:
     after = lifecycle.default_sweep(t, AS_OF)
     new = after.default_record.join(t.default_record.select("default_id"), "default_id",
@@ -580,6 +613,7 @@ RUNS: dict[str, Run] = {
     "register_customers": lambda spark, t, path: _registered(spark, t, path),
     "apply_changes": lambda spark, t, path: maintenance.apply_changes(
         t.customer, customer_changes(t, spark, path), "customer_id"),
+    "apply_checked_changes": _on_tables(_checked_changes),
     "cascade_delete": _on_tables(lambda t: access.table_row_counts(
         maintenance.cascade_delete(t, "loan", _defaulted(t)))),
     "application_input_checks": _on_tables(_loans_as_applications_checked),

@@ -500,6 +500,45 @@ def counts(deleted: str | None = None) -> str:
     return " UNION ALL ".join(parts)
 
 
+def checked_changes() -> str:
+    """The contested changes step by step: each step's changes are judged against the customers
+    after the step before, as those of one step do not touch each other."""
+    def phone(key: str) -> str:
+        return f"concat('98', lpad(CAST({key} AS VARCHAR), 8, '0'))"
+
+    steps = [  # whose turn, op, new key, name, phone
+        (1, "upsert", "customer_id", "name", "concat('97', substr(phone, 3, 8))"),
+        (2, "upsert", "customer_id", "name", phone("customer_id - 1")),
+        (3, "upsert", "customer_id", "name", phone("customer_id - 2")),
+        (0, "delete", "customer_id", "name", "phone"),
+        (0, "upsert", "customer_id + 2000000000000",
+         "CASE WHEN customer_id % 8 <> 0 THEN name END", "concat('96', substr(phone, 3, 8))"),
+        (1, "upsert", "customer_id", "name", phone("customer_id + 2"))]
+    parts = ["s0 AS (SELECT customer_id, name, phone, email FROM borrower)"]
+    for i, (turn, op, key, name, number) in enumerate(steps, 1):
+        fault = ("CASE WHEN w.customer_id IN (SELECT customer_id FROM loan) THEN 'used by loan' END"
+                 if op == "delete" else
+                 f"""CASE WHEN w.name IS NULL THEN 'name not null'
+                     WHEN EXISTS (SELECT 1 FROM s{i - 1} h WHERE h.phone = w.phone AND h.customer_id <> w.customer_id)
+                       OR EXISTS (SELECT 1 FROM s{i - 1} h WHERE h.email = w.email AND h.customer_id <> w.customer_id)
+                     THEN 'duplicate phone or email' END""")
+        parts.append(f"""r{i} AS (SELECT *, {fault} AS reason FROM (
+            SELECT {i * 10**12} + customer_id AS seq, '{op}' AS op, {key} AS customer_id, {name} AS name,
+                   {number} AS phone, email FROM borrower WHERE borrower.customer_id % 4 = {turn}) w)""")
+        after = (f"SELECT * FROM s{i - 1} WHERE customer_id NOT IN "
+                 f"(SELECT customer_id FROM r{i} WHERE reason IS NULL)")
+        if op == "upsert":
+            after += f" UNION ALL SELECT customer_id, name, phone, email FROM r{i} WHERE reason IS NULL"
+        parts.append(f"s{i} AS ({after})")
+    refused = "\n".join(f"UNION ALL SELECT customer_id, NULL, NULL, NULL, NULL, seq, op, reason "
+                        f"FROM r{i} WHERE reason IS NOT NULL" for i in range(1, 7))
+    return f"""WITH {", ".join(parts)}
+SELECT customer_id, name, phone, email,
+       (SELECT count(*) FROM income_details i WHERE i.customer_id = s6.customer_id) AS incomes,
+       NULL AS seq, NULL AS op, NULL AS reason FROM s6
+{refused}"""
+
+
 def ranked_penalties(group: str) -> str:
     return f"""
 SELECT {group}, sum(d.charged) AS total_penalty, count(*) AS default_count,
@@ -747,6 +786,7 @@ FROM borrower JOIN income_details USING (customer_id) SEMI JOIN loan USING (cust
 UNION ALL
 SELECT 1000000000000 + request_id, name, DATE '1980-01-01', CAST(request_id AS VARCHAR), email
 FROM request""",
+    "apply_checked_changes": checked_changes(),
     "cascade_delete": counts("current_status = 'Defaulted'"),
     "credit_history_rollup": """
 SELECT *, stored_loans <> actual_loans OR stored_defaults <> actual_defaults AS drifted FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lendlake.functions.columns import due_date
 from lendlake.functions.keys import stored
 from lendlake.operators import lifecycle, maintenance
-from lendlake.schema import KEY, TABLES
+from lendlake.schema import COLUMNS, KEY, TABLES
 from lendlake.sources.tables import Tables
 from tests.micro import D, customer, d, emi, frame, loan, micro, rows
 
@@ -233,6 +233,62 @@ def test_changes_last_one_wins_and_delete_undoes_upsert(spark):
     assert sorted(rows(after, "loan_type_id", "type_name")) == [(1, "Flat"), (3, "Boat")]
 
 
+def one_by_one(base, changes):
+    """Plain counterpart of ``apply_checked_changes`` for unique phones and emails."""
+    state, refused = {k: (p, e) for k, p, e in base}, []
+    for seq, op, key, phone, email in sorted(changes):
+        if op == "delete":
+            state.pop(key, None)
+        elif any(k != key and (p == phone or e == email) for k, (p, e) in state.items()):
+            refused.append(seq)
+        else:
+            state[key] = (phone, email)
+    return state, refused
+
+
+@pytest.mark.parametrize("in_order", [10**6, 6])
+def test_checked_changes_equal_entry_one_by_one(spark, in_order):
+    """Values wander between few keys; a phone that a third of the changes ask for is one of them."""
+    deal = random.Random(5)
+    base = [(k, f"p{k}", f"e{k}@x") for k in range(1, 9)]
+    changes = [(seq, "delete" if deal.random() < 0.15 else "upsert", deal.randrange(1, 13),
+                "p1" if deal.random() < 0.33 else f"p{deal.randrange(1, 16)}",
+                f"e{deal.randrange(1, 30)}@x") for seq in range(60)]
+    state, refused = one_by_one(base, changes)
+    assert 5 < len(refused) < 55
+    t = micro(spark, customer=[customer(k) for k, _, _ in base])
+    feed = spark.createDataFrame(
+        [(k, f"C{k}", d("1980-01-01"), p, e, None, op, seq) for seq, op, k, p, e in changes],
+        COLUMNS["customer"] + ", op STRING, seq BIGINT")
+    after, found = maintenance.apply_checked_changes(t, "customer", feed, in_order)
+    assert sorted(rows(found, "seq", "reason")) == [(s, "duplicate phone or email") for s in refused]
+    assert {r[0]: r[1:] for r in rows(after.customer, "customer_id", "phone", "email")} == state
+
+
+def test_checked_changes_refuse_what_breaks_rules_and_cascade(spark):
+    t = micro(spark, customer=[customer(1), customer(2)], loan=[loan(1, 1)],
+              income_details=[(1, 1, D("1.00"), "Salaried", None), (2, 2, D("1.00"), "Salaried", None)])
+    people = COLUMNS["customer"] + ", op STRING, seq BIGINT"
+    feed = spark.createDataFrame(
+        [(*customer(1), "delete", 1), (*customer(2), "delete", 2), (*customer(2), "upsert", 3),
+         (None, "X", d("1980-01-01"), "p9", "e9@x", None, "upsert", 4),
+         (*customer(9)[:3], None, "e9@x", None, "upsert", 5), (*customer(7), "swap", 6),
+         (*customer(77), "delete", 7)], people)
+    after, found = maintenance.apply_checked_changes(t, "customer", feed)
+    assert sorted(rows(found, "seq", "reason")) == [
+        (1, "used by loan"), (4, "customer_id not null"), (5, "phone not null"), (6, "unknown op")]
+    assert sorted(rows(after.customer, "customer_id")) == [(1,), (2,)]
+    assert rows(after.income_details, "customer_id") == [(1,)]     # went with the deleted row
+    payments = spark.createDataFrame(
+        [(1, 5, D("1.00"), None, "UPI", "upsert", 1), (2, None, D("1.00"), None, "UPI", "upsert", 2),
+         (3, 5, D("1.00"), None, "Shells", "upsert", 3)], COLUMNS["repayment"] + ", op STRING, seq BIGINT")
+    after, found = maintenance.apply_checked_changes(t, "repayment", payments)
+    assert sorted(rows(found, "seq", "reason")) == [
+        (1, "no emi_schedule"), (2, "emi_id not null"), (3, "payment_mode in domain")]
+    nothing, found = maintenance.apply_checked_changes(t, "customer", feed.limit(0))
+    assert found.isEmpty() and nothing.customer.count() == 2
+
+
 def test_cascade(spark):
     t = micro(spark, customer=[customer(1), customer(2)], loan=[loan(1, 1)],
               income_details=[(1, 1, D("1.00"), "Salaried", None),
