@@ -118,18 +118,19 @@ def quotas(shares: DataFrame, mix: Mix) -> DataFrame:
 
 def plan_mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id",
                  text_col: str = "text", source_col: str = "source",
-                 carried: tuple[str, ...] = ()) -> DataFrame:
+                 carried: tuple[str, ...] = (), tokens: Column | None = None) -> DataFrame:
     """One row for each use of a document: id, source, ``carried``, n_tokens, epoch (from 1),
     block (from 0) and position in the block (from 1).
 
     A document is used in an epoch if its place in the source's running token count lies below the
     quota. A null source is a source of its own. Null and empty texts have no tokens: they are
-    used once, in the first epoch, whatever their source's quota. Rows that repeat an id are
+    used once, in the first epoch, whatever their source's quota. ``tokens`` is the token count, if it
+    is not to be counted from the text. Rows that repeat an id are
     documents like any other; identical rows are interchangeable. An empty table gives no rows.
     """
     thin = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(text_of(text_col)).alias("n_tokens"), *carried)
+        (word_count(text_of(text_col)) if tokens is None else tokens).alias("n_tokens"), *carried)
     by_source = quotas(source_shares(thin, "source", "n_tokens"), mix)
     blocks = by_source.agg(F.sum("quota")).first()[0] or 0
     blocks = max(1, -(-int(blocks) // mix.block_tokens))
@@ -169,16 +170,28 @@ def plan_mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id",
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id",
                   text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as planned, all columns kept.
+    """The mixture itself: the rows of ``docs``, each as often as planned, all columns kept, dealt by
+    ranges of blocks and sorted by block and position, so files written from it are read in the order
+    of the mixture.
 
-    Rows meet their plan by id, a hash of the row, and a number among identical rows. Columns of
-    ``docs`` may have any name.
+    Rows meet their plan by id, a hash of the row, and a number among identical rows, which are
+    interchangeable. Null and empty texts are kept once; null ids and sources are values of their
+    own. An empty table gives an empty one. Columns of ``docs`` may have any name.
     """
     p = prefix(docs)
-    tie, copy = f"{p}tie", f"{p}copy"
-    keyed = docs.withColumn(tie, row_hash(docs)).withColumn(copy, F.row_number().over(
-        Window.partitionBy(id_col, tie).orderBy(F.lit(1))))
-    plan = plan_mixture(keyed, mix, id_col, text_col, source_col, (tie, copy)).select(
-        F.col("doc_id").alias(f"{p}id"), F.col(tie).alias(f"{p}t"), F.col(copy).alias(f"{p}c"))
-    return keyed.join(plan, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (
-        F.col(tie) == F.col(f"{p}t")) & (F.col(copy) == F.col(f"{p}c"))).select(*docs.columns)
+    tie, copy, tokens, block, position = (f"{p}{x}" for x in ("tie", "copy", "n", "block", "position"))
+
+    def told_apart(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(copy, F.row_number().over(
+            Window.partitionBy(id_col, tie).orderBy(F.lit(1))))
+
+    # The plan needs no text: words are counted before the rows are dealt.
+    thin = told_apart(docs.select(id_col, source_col, row_hash(docs).alias(tie),
+                                  word_count(text_of(text_col)).alias(tokens)))
+    plan = plan_mixture(thin, mix, id_col, text_col, source_col, (tie, copy), F.col(tokens)).select(
+        F.col("doc_id").alias(f"{p}id"), F.col(tie).alias(f"{p}t"), F.col(copy).alias(f"{p}c"),
+        F.col("block").alias(block), F.col("position").alias(position))
+    used = told_apart(docs.withColumn(tie, row_hash(docs))).join(
+        plan, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(tie) == F.col(f"{p}t"))
+        & (F.col(copy) == F.col(f"{p}c")))
+    return used.repartitionByRange(block).sortWithinPartitions(block, position).select(*docs.columns)

@@ -86,6 +86,14 @@ def test_epochs_are_permuted_differently(spark):
     assert sorted(order[1]) == sorted(order[2]) and order[1] != order[2]
 
 
+def test_rows_come_in_the_order_of_the_plan(spark):
+    """Blocks one after the other, rows by position: the partitions read in order are the mixture."""
+    docs, mix = skewed(spark), Mix(target_entropy=0.9, block_tokens=500)
+    plan = sorted(mixing.plan_mixture(docs, mix).collect(), key=lambda r: (r.block, r.position))
+    assert len({r.block for r in plan}) > 3
+    assert [r.doc_id for r in mixing.mix_documents(docs, mix).collect()] == [r.doc_id for r in plan]
+
+
 def test_awkward_rows_and_columns(spark):
     docs = cases.clashing(cases.docs(spark))
     out = mixing.mix_documents(docs, Mix(target_entropy=0.5))
