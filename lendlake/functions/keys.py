@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlake.functions.workspace import new_folder
+from lendlake.functions.workspace import stored
 
 
 def first_free(df: DataFrame, key: str) -> Column:
@@ -13,13 +13,6 @@ def first_free(df: DataFrame, key: str) -> Column:
     return F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint")) + 1
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written to the shared folder and read back, so that it is computed once."""
-    folder = new_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def numbered(df: DataFrame, by: list[str], name: str, size: Column | None = None) -> DataFrame:
     """Add a dense number from 0 in the order of the columns ``by``, which tell rows apart.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from lendlake.functions.keys import stored
+from lendlake.functions.workspace import stored
 
 LAST_DAY = (1 << 31) - 1
 

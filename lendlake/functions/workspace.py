@@ -1,13 +1,19 @@
-"""Shared scratch space: reliable checkpoints and folders for intermediate files."""
+"""Shared scratch space: reliable checkpoints, folders for intermediate files, and who removes them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder all nodes can reach")
         folder = tempfile.mkdtemp(prefix="lendlake-")
+        warnings.warn(f"{SETTING} is not set: scratch tables go to {folder}", stacklevel=2)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -32,6 +39,49 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, folder: str) -> tuple[JavaObject, JavaObject]:
+    """The file system that holds a folder, and the folder's path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+@contextmanager
+def lease(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables written inside the block are removed when it ends, also by an error.
+
+    Frames made inside read those tables, so their results are written or collected before the end.
+    Blocks may be nested: each removes what was written while it was the innermost of its thread.
+    Yields the folders held so far.
+    """
+    held: list[str] = []
+    token = _HELD.set(held)
+    try:
+        yield held
+    finally:
+        _HELD.reset(token)
+        for folder in held:
+            system, path = _path(spark, folder)
+            system.delete(path, True)
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read back, so that it is computed once.
+
+    The folder goes with the innermost ``lease`` of this thread, and without one when the driver's
+    process ends. A driver that is killed leaves it.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, purpose)
+    held = _HELD.get()
+    if held is not None:
+        held.append(folder)  # before it is written: a failed write leaves files too
+    df.write.parquet(folder)
+    if held is None:
+        system, path = _path(spark, folder)
+        system.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the reliable checkpoint folder, with its lineage cut."""
     shared_folder(df.sparkSession)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
 from lendlake.functions.columns import blank_to_null, due_date, instalment, penalty_amount
-from lendlake.functions.keys import first_free, numbered, numbered_at_once, stored
+from lendlake.functions.keys import first_free, numbered, numbered_at_once
+from lendlake.functions.workspace import stored
 from lendlake.schema import column_names
 from lendlake.sources.tables import Tables
 

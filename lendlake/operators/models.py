@@ -27,8 +27,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lendlake.functions.keys import stored
-from lendlake.functions.workspace import new_folder
+from lendlake.functions.workspace import new_folder, stored
 from lendlake.operators.scoring import approved, confidence, decision_reasons, whole_score
 
 SCORE_FEATURES = ["monthly_income", "employment_enc", "total_loans", "total_defaults",

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlake.functions.bands import assign_risk_band
-from lendlake.functions.keys import stored
-from lendlake.functions.workspace import new_folder
+from lendlake.functions.workspace import new_folder, stored
 from lendlake.operators import access, lifecycle, maintenance, models, portfolio, scoring
 from lendlake.schema import COLUMNS as TABLE_COLUMNS
 from lendlake.schema import TABLES

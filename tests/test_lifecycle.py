@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendlake.functions.columns import due_date
-from lendlake.functions.keys import stored
+from lendlake.functions.workspace import stored
 from lendlake.operators import lifecycle, maintenance
 from lendlake.schema import COLUMNS, KEY, TABLES
 from lendlake.sources.tables import Tables
