@@ -55,7 +55,8 @@ class PieceEncoder:
     A segment is a run of blanks and what follows it up to the next blank. If no piece holds a blank
     after another character, no merge crosses a border between segments, and a text's ids are its
     segments' ids in a row; otherwise texts are encoded whole. Segments are remembered in two
-    generations. Ids are None where the pieces' bytes are not the text's own.
+    generations. Ids are None where the pieces' bytes are not the text's own. A blank that ends a
+    text is a segment of its own, for which the library has no text: it gives an empty one no ids.
     """
 
     def __init__(self, path: str, remembered: int) -> None:
@@ -68,6 +69,7 @@ class PieceEncoder:
             b"" if self._model.is_control(i) or self._model.is_unknown(i) else
             x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
         self._whole = any("▁" in x.lstrip("▁") for x in pieces)
+        self._last_blank = self._model.encode("a ")[len(self._model.encode("a")):]
         self._half = remembered // 2
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -79,6 +81,7 @@ class PieceEncoder:
         missing = list(new - back)
         # The library puts a blank of its own before a text.
         for x, ids in zip(missing, self._model.encode([x[1:] for x in missing], num_threads=1)):
+            ids = ids or self._last_blank
             self._young[x] = array("I", ids).tobytes()
             if b"".join([self.bytes_of[i] for i in ids]) != x.encode():
                 self._changed.add(x)

@@ -94,6 +94,13 @@ def test_equals_token_by_token(spark, libraries, steps):
     assert found(cases.clashing(df), steps=steps) == by_hand(libraries, rows)
 
 
+def test_texts_that_end_in_one_blank(spark, libraries):
+    rows = list(enumerate(["a ", "two words ", " ", "  ", "漢 ", "line\n ", "no end", "two  ", "a▁ "]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(tokens(libraries, x)[1] for _, x in rows if "▁" not in x)
+    assert found(df) == found(df, steps=3) == by_hand(libraries, rows)
+
+
 def test_given_documents(spark, libraries):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert found(df, steps=1000) == by_hand(
