@@ -5,7 +5,8 @@ Labels come from the scorecards, as stored scores carry no relation to the featu
 
 The score forest sees every training row: rows are dealt into slices by a hash of their id, each
 slice grows its share of the trees on its own rows, and the forest is all of them. There are as many
-slices as ``slice_rows`` asks for, and as trees at most; beyond that slices grow with the table. The
+slices as ``slice_rows`` asks for, and 16 at most; beyond that slices grow with the table, as each
+one takes a row of jobs to fit, a stage of the model, and files of its own where that is saved. The
 level forest, a classifier, is fitted on a bounded sample of the training rows, ``fit_rows``. The
 default regression is solved by Newton steps, each one sum over all training rows. Metrics are taken
 over all rows held out.
@@ -44,7 +45,9 @@ SPLIT_STEP = 7_919
 SAMPLE_BUCKETS = 1 << 40
 TREES, SCORE_DEPTH, RISK_DEPTH = 200, 12, 10
 FIT_ROWS = 2_000
-SLICE_ROWS = 6_000
+SLICE_ROWS, SLICES_AT_MOST = 6_000, 16
+# Rows a task of a fit holds. Every task sends the statistics of all nodes that are split together.
+ROWS_OF_TASK = 250_000
 # Slices that are fitted at a time; each fit is a row of small jobs.
 FITS_AT_ONCE = 8
 # Memory for the statistics of the nodes that are split together, in MB.
@@ -108,8 +111,8 @@ def _assembled(features: list[str]) -> VectorAssembler:
 
 
 def _slices(train: DataFrame, trees: int, slice_rows: int) -> tuple[str, dict[int, int]]:
-    """The training rows written by slice, and the rows of each slice (as many as trees at most)."""
-    n = max(1, min(trees, math.ceil(train.count() / slice_rows)))
+    """The training rows written by slice, and the rows of each slice."""
+    n = max(1, min(trees, SLICES_AT_MOST, math.ceil(train.count() / slice_rows)))
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(train.sparkSession, "slices")
     dealt = train.withColumn("_slice", F.pmod(F.xxhash64("application_id"), F.lit(n)).cast("int"))
@@ -127,8 +130,8 @@ def train_score_model(data: DataFrame, trees: int = TREES, depth: int = SCORE_DE
     The model's prediction is the mean over the trees of all slices.
     """
     train, test = split(data)
-    folder, rows = _slices(train.select("application_id", "score_value", *SCORE_FEATURES), trees,
-                           slice_rows)
+    train = train.select("application_id", "score_value", *SCORE_FEATURES)
+    folder, rows = _slices(train, trees, slice_rows)
     spark = data.sparkSession
     numbers = sorted(rows)
     shares = {k: trees // len(numbers) + (i < trees % len(numbers)) for i, k in enumerate(numbers)}
@@ -138,8 +141,8 @@ def train_score_model(data: DataFrame, trees: int = TREES, depth: int = SCORE_DE
         forest = RandomForestRegressor(
             labelCol="score_value", predictionCol=f"score_{number}", numTrees=shares[number],
             maxDepth=depth, featureSubsetStrategy="all", seed=SEED + number, maxMemoryInMB=NODE_MEMORY)
-        return forest.fit(assembler.transform(
-            spark.read.parquet(folder).where(F.col("_slice") == number)))
+        part = spark.read.schema(train.schema).parquet(f"{folder}/_slice={number}")
+        return forest.fit(assembler.transform(part.coalesce(math.ceil(rows[number] / ROWS_OF_TASK))))
 
     pool = ThreadPool(min(FITS_AT_ONCE, max(1, len(numbers))))
     try:

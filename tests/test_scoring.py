@@ -160,6 +160,12 @@ def test_score_forest_sees_every_row(spark, data):
     assert metrics.first()["mae"] < 30
 
 
+def test_slices_are_bounded_and_hold_every_row(spark, data):
+    train, _ = models.split(data)
+    _, found = models._slices(train, 200, 10)
+    assert len(found) == models.SLICES_AT_MOST and sum(found.values()) == train.count()
+
+
 def test_saved_forests_walked_by_duckdb(spark, data, tmp_path):
     """Predictions of every application by a recursive query over the table of tree nodes."""
     import duckdb
