@@ -56,6 +56,10 @@ PROBABILITY_DIGITS = 4
 # Newton steps end when no part of the gradient, of a mean loss, is larger.
 GRADIENT_AT_MOST, STEPS_AT_MOST = 1e-13, 60
 
+# Rows that are alike take the same ways down the trees, whose nodes then are in the core's cache:
+# features of few values come first.
+ALIKE = ["total_defaults", "employment_enc", "total_loans", "monthly_income", "loan_amount"]
+
 
 @dataclass(frozen=True)
 class Models:
@@ -106,6 +110,11 @@ def split(df: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame
     return rows.where(~test).drop(*helpers), rows.where(test).drop(*helpers)
 
 
+def alike_together(df: DataFrame) -> DataFrame:
+    """The rows of each partition in an order that puts like applications side by side."""
+    return df.sortWithinPartitions(*ALIKE)
+
+
 def _assembled(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
@@ -153,7 +162,7 @@ def train_score_model(data: DataFrame, trees: int = TREES, depth: int = SCORE_DE
     mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS predicted_score FROM __THIS__")
     model = PipelineModel(stages=[assembler, *forests, mean])
     label, guess = F.col("score_value").cast("double"), F.col("predicted_score")
-    metrics = model.transform(test).agg(
+    metrics = model.transform(alike_together(test)).agg(
         F.count("*").alias("rows"), F.avg(F.abs(label - guess)).alias("mae"),
         (F.lit(1.0) - F.sum(F.pow(label - guess, 2)) / (F.var_pop(label) * F.count("*")))
         .alias("r2"))
@@ -319,7 +328,7 @@ def _added(result: DataFrame, before: DataFrame, *columns: Column) -> DataFrame:
 def predict_score(models: Models, df: DataFrame) -> DataFrame:
     """Add credit_score, limited to 300..900 and cut to a whole number."""
     score = whole_score(F.col("predicted_score")).alias("credit_score")
-    return _added(models.score.transform(df), df, score)
+    return _added(models.score.transform(alike_together(df)), df, score)
 
 
 def predict_risk(models: Models, df: DataFrame) -> DataFrame:

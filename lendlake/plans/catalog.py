@@ -462,7 +462,7 @@ SCORE_DISTANCE = 150
 
 
 def _rows_to_learn(t: Tables) -> DataFrame:
-    return stored(_scored(t), "scored")
+    return stored(models.alike_together(_scored(t)), "scored")
 
 
 def _reread(spark: SparkSession, name: str, model) -> object:

@@ -166,6 +166,15 @@ def test_slices_are_bounded_and_hold_every_row(spark, data):
     assert len(found) == models.SLICES_AT_MOST and sum(found.values()) == train.count()
 
 
+def test_like_applications_are_scored_one_after_the_other(spark, data):
+    models_ = models.Models(score=models.train_score_model(data, trees=2, depth=4)[0])
+    scored = models.predict_score(models_, data.repartition(2)).select(
+        F.spark_partition_id().alias("part"), F.struct(*models.ALIKE).alias("x")).collect()
+    for part in {r["part"] for r in scored}:
+        found = [tuple(r["x"]) for r in scored if r["part"] == part]
+        assert found == sorted(found)
+
+
 def test_saved_forests_walked_by_duckdb(spark, data, tmp_path):
     """Predictions of every application by a recursive query over the table of tree nodes."""
     import duckdb
