@@ -175,6 +175,14 @@ def test_like_applications_are_scored_one_after_the_other(spark, data):
         assert found == sorted(found)
 
 
+def test_applications_are_assessed_in_many_tasks(spark, data):
+    """All cores have some, however few bytes they are."""
+    models_ = models.train_models(data, trees=2, fit_rows=200)
+    known = data.withColumn("problem", F.lit(None).cast("string"))
+    parts = models.assess_applications(models_, known).select(F.spark_partition_id()).distinct()
+    assert parts.count() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_saved_forests_walked_by_duckdb(spark, data, tmp_path):
     """Predictions of every application by a recursive query over the table of tree nodes."""
     import duckdb
