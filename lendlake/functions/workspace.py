@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from multiprocessing.pool import ThreadPool
 
 from py4j.java_gateway import JavaObject
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WRITES_AT_ONCE = 4
 _HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
@@ -86,3 +89,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the reliable checkpoint folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def side_by_side(spark: SparkSession, write: Callable[[str], None], names: Iterable[str]) -> None:
+    """Writes that do not depend on each other, a few at a time: the last tasks of one leave cores to
+    the next. Ends when all have ended; an error of one is raised."""
+    with ThreadPool(WRITES_AT_ONCE) as pool:
+        pool.map(inheritable_thread_target(spark)(write), names, chunksize=1)

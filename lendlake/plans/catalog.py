@@ -360,9 +360,10 @@ def _registered(spark: SparkSession, t: Tables, path: str) -> DataFrame:
 
 
 def _published(spark: SparkSession, t: Tables) -> DataFrame:
-    """Every table as the newest published version holds it: rows, and a sum over their digests."""
+    """Every table as the newest published version holds it: rows, and a sum over their digests. The
+    version before it has no rows."""
     root = new_folder(spark, "published")
-    publish_tables(t.replace(loan=t.loan.limit(0)), root)
+    publish_tables(t.replace(**{name: t[name].limit(0) for name in TABLES}), root)
     version = publish_tables(t, root)
     loaded = load_published(spark, root)
     return reduce(DataFrame.unionByName, [loaded[name].select(F.conv(F.substring(F.md5(F.concat_ws(

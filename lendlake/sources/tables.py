@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendlake.functions.workspace import side_by_side
 from lendlake.schema import COLUMNS, KEY, TABLES
 
 # CSV as other programs write it: quotes doubled inside quotes. NULL is \\N, as an empty field is an
@@ -89,11 +90,15 @@ def save_tables(t: Tables, path: str) -> None:
     ``path`` must be new: a snapshot is never written over the files it is read from. A job that
     ends early leaves part of a snapshot; use ``publish_tables`` where readers must not see that.
     """
-    for name in TABLES:
+    frames = {name: t[name] for name in TABLES}
+
+    def write(name: str) -> None:
         order = LAYOUT.get(name, (KEY[name],))
-        (t[name].repartitionByRange(*order).sortWithinPartitions(*order)
+        (frames[name].repartitionByRange(*order).sortWithinPartitions(*order)
          .write.mode("error").parquet(f"{path}/{name}"))
 
+    side_by_side(frames[TABLES[0]].sparkSession, write, TABLES)
+
 
 MANIFEST = "version BIGINT, folder STRING"
 

@@ -3,6 +3,7 @@ import pytest
 
 from lendlake.functions import workspace
 from lendlake.operators import access
+from lendlake.plans import catalog
 from lendlake.schema import COLUMNS, KEY, REFERENCES, TABLES, column_names
 from lendlake.sources import exports, tables
 from lendlake.sources.sql import read_query, register_views
@@ -128,3 +129,24 @@ def test_a_crash_while_publishing_leaves_the_last_version(spark, star, tmp_path,
     assert tables.load_published(spark, root, 1).loan.count() == 5
     with pytest.raises(ValueError):
         tables.load_published(spark, root, 3)
+
+
+def test_the_older_version_takes_no_second_write_of_the_rows(spark, star, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, purpose: str(tmp_path / purpose))
+    found = {r["table_name"]: (r["version"], r["n"]) for r in catalog._published(spark, star).collect()}
+    assert found == {name: (2, star[name].count()) for name in TABLES}
+    older = tables.load_published(spark, str(tmp_path / "published"), 1)
+    assert all(older[name].isEmpty() for name in TABLES)
+
+
+def test_writes_side_by_side_end_together_and_report_errors(spark):
+    done = []
+
+    def write(name):
+        if name == "b":
+            raise OSError(name)
+        done.append(name)
+
+    with pytest.raises(OSError):
+        workspace.side_by_side(spark, write, "abcdefgh")
+    assert sorted(done) == list("acdefgh")
