@@ -397,10 +397,17 @@ def _exported_all(spark: SparkSession, t: Tables) -> DataFrame:
     folder = new_folder(spark, "export-all")
     exports.export_all_tables(t, folder)
     back = load_tables(spark, folder, "csv")
-    changed = [t[name].exceptAll(back[name]).unionByName(back[name].exceptAll(t[name])).agg(
-        F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("changed")) for name in TABLES]
-    return access.table_row_counts(back).join(
-        reduce(DataFrame.unionByName, changed), "table_name")
+    return reduce(DataFrame.unionByName, [_compared(name, t[name], back[name]) for name in TABLES])
+
+
+def _compared(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of ``after``, and how many rows, repeated ones too, only one of both holds."""
+    sides = before.select("*", F.lit(0).alias("_after")).unionByName(
+        after.select("*", F.lit(1).alias("_after")))
+    more = F.abs(F.sum(F.col("_after") * 2 - 1))
+    rows = sides.groupBy(*before.columns).agg(F.sum("_after").alias("_n"), more.alias("_more"))
+    total = [F.coalesce(F.sum(c), F.lit(0)) for c in ("_n", "_more")]
+    return rows.agg(F.lit(name).alias("table_name"), total[0].alias("n"), total[1].alias("changed"))
 
 
 def _exported_query(spark: SparkSession, t: Tables) -> DataFrame:

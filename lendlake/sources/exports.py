@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from lendlake.functions.workspace import side_by_side
 from lendlake.schema import KEY, TABLES
 from lendlake.sources.tables import CSV, Tables
 
@@ -24,5 +25,6 @@ def export_table(t: Tables, name: str, path: str, fmt: str = "csv") -> None:
 
 def export_all_tables(t: Tables, path: str) -> None:
     """All 14 tables as CSV, one folder per table."""
-    for name in TABLES:
-        export_table(t, name, f"{path}/{name}")
+    frames = {name: t[name] for name in TABLES}  # built here, in the caller's thread
+    side_by_side(frames[TABLES[0]].sparkSession,
+                 lambda name: export_table(t, name, f"{path}/{name}"), TABLES)

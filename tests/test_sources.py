@@ -139,6 +139,20 @@ def test_the_older_version_takes_no_second_write_of_the_rows(spark, star, tmp_pa
     assert all(older[name].isEmpty() for name in TABLES)
 
 
+def test_export_is_compared_in_one_pass(spark):
+    """Both ways, by whole rows, repeated and missing values too, as ``exceptAll`` counts them."""
+    def frame(values):
+        return spark.createDataFrame([(v, "x") for v in values], "a int, b string")
+
+    for left, right in (([1, 1, None, 2], [1, None, None, 3, 3]), ([1, None], [1, None]), ([], []),
+                        ([5, 5], []), ([], [None])):
+        before, after = frame(left), frame(right)
+        changed = before.exceptAll(after).count() + after.exceptAll(before).count()
+        row = catalog._compared("t", before, after)
+        assert rows(row) == [("t", len(right), changed)]
+        assert dict(row.dtypes)["n"] == dict(row.dtypes)["changed"] == "bigint"
+
+
 def test_writes_side_by_side_end_together_and_report_errors(spark):
     done = []
 
