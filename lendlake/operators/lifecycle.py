@@ -60,8 +60,10 @@ def emi_schedule_generate(loans: DataFrame, eom: str = "day28", max_n: int | Non
         .cast("decimal(12,2)").alias("emi_amount"),
         n.alias("_last"), key.alias("_key"))
     # A loan becomes up to 360 rows: spreading the loans first costs little, evens out the tasks
-    # that expand them, and leaves the schedule partitioned by loan for what follows.
-    rows = terms.repartition("loan_id").select(
+    # that expand them, and leaves the schedule partitioned by loan for what follows. Their number is
+    # given, as adaptive execution would merge tasks by the bytes of loans, not of instalments.
+    parts = int(loans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = terms.repartition(parts, "loan_id").select(
         "loan_id", "_start", "emi_amount", "_key",
         F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("n"))
     return rows.select(

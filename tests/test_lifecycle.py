@@ -372,3 +372,9 @@ def test_input_checks(spark):
     assert dict(rows(maintenance.registration_input_checks(people))) == {
         1: "", 2: "name required; birth date out of range; income out of range; "
                   "unknown employment"}
+
+
+def test_few_bytes_of_loans_are_expanded_in_all_tasks(spark, star):
+    made = lifecycle.emi_schedule_generate(star.loan)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.select(F.spark_partition_id()).distinct().count() == parts
