@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lendlake.llm.encoding import encoder
+from lendlake.llm.encoding import ENCODERS, encoder
 from lendlake.llm.shared import spread
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 ROWS_AT_ONCE = 500
+# What a worker holds must not grow with the corpus up to what the encoder would remember by itself.
+REMEMBERED_WORDS = 900_000
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
@@ -51,7 +53,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                found = [x + end for x in encoder(vocabulary).encode(batch.column(1).to_pylist())]
+                found = [x + end for x in encoder(vocabulary, remembered=REMEMBERED_WORDS).encode(
+                    batch.column(1).to_pylist())]
                 counts = np.array([len(x) // 4 for x in found], dtype=np.int64)
                 starts = start + np.cumsum(counts) - counts
                 start += int(counts.sum())
@@ -85,6 +88,7 @@ def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (unsigned, over the ids as little-endian unsigned
     32-bit integers) of rows with ids."""
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ENCODERS.clear()  # the worker that encoded is used again, and needs its memory no more
         for batch in batches:
             ids = batch.column(3)
             ends = ids.offsets.to_numpy()

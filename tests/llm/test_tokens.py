@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lendlake.llm import packing, token_files
-from lendlake.llm.encoding import WordEncoder
+from lendlake.llm.encoding import REMEMBERED_WORDS, WordEncoder
 from tests.llm import cases
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -52,6 +52,21 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+def test_checksums_give_back_the_encoders_memory(monkeypatch):
+    """A worker that encoded and then sums holds no remembered words any more."""
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, step, _):
+            return list(step(iter(())))
+
+    held = {"vocabulary": object()}
+    monkeypatch.setattr(token_files, "ENCODERS", held)
+    assert token_files.checksums(Rows()) == [] and not held
+    assert token_files.REMEMBERED_WORDS < REMEMBERED_WORDS
+
+
 def test_token_files_round_trip(spark, tmp_path):
     folder = f"{tmp_path}/ids"
     token_files.write_token_files(cases.clashing(cases.docs(spark)), folder, WORD, 1, files=3)
