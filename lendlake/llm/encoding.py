@@ -70,7 +70,7 @@ class WordEncoder:
         if self._folds:
             words = [w.strip(" ").lower() for w in words]
         tokenize = self._tokenizer.model.tokenize
-        spelt = [w if w.isalpha() and w.isascii() else
+        spelt = [w.replace(" ", BYTES_OF[32]) if w.isascii() else  # letters, a blank before them
                  w.encode().decode("latin-1").translate(BYTES_OF) for w in words]
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
 
