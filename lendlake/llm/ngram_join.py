@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlake.llm.components import connected, roots
-from lendlake.llm.shared import prefix, spread, stored, text_of
+from lendlake.llm.shared import prefix, small_batches, spread, stored, text_of
 
 COORDINATES = 128
 ROWS_AT_ONCE = 400
@@ -232,11 +232,12 @@ def _leaves(nodes: DataFrame, runs: range, join: Join) -> DataFrame:
         here = met.where("ends").select("leaf", "node", F.ceil(
             F.col("size") / join.brute_force).cast("int").alias("blocks"))
         found = here if found is None else found.unionByName(here)
-        goes_on = met.where("not ends")
-        if goes_on.isEmpty():
+        goes_on = met.where("not ends").select("run", "path", F.col("size").alias("parent"), "node")
+        n = goes_on.count()
+        if not n:
             break
-        level = _continued(goes_on.select("run", "path", F.col("size").alias("parent"), "node")
-                           .join(nodes.select("node", "sig"), "node"))
+        goes_on = F.broadcast(goes_on) if n <= BROADCAST_NODES else goes_on
+        level = _continued(nodes.select("node", "sig").join(goes_on, "node"))
     return found
 
 
@@ -252,7 +253,7 @@ def _cells(leaves: DataFrame) -> DataFrame:
 
 
 def _by_cell(rows: DataFrame, work: Callable[[pa.Table], list[pa.RecordBatch]], schema: str,
-             rows_at_once: int) -> DataFrame:
+             rows_at_once: int, tasks: int) -> DataFrame:
     """``work`` on tables of whole cells; column 0 is the cell. A cell is bounded, so is a table."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,7 +273,7 @@ def _by_cell(rows: DataFrame, work: Callable[[pa.Table], list[pa.RecordBatch]],
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition(spread(rows), "cell").sortWithinPartitions("cell").mapInArrow(whole, schema)
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(whole, schema)
 
 
 def _pairs(cells: np.ndarray, block: np.ndarray, other: np.ndarray
@@ -319,7 +320,7 @@ def _first_meeting(lists: np.ndarray, leaf: np.ndarray, i: np.ndarray, j: np.nda
     return out
 
 
-def _candidates(rows: DataFrame, join: Join) -> DataFrame:
+def _candidates(rows: DataFrame, join: Join, tasks: int) -> DataFrame:
     """Rows (cell, leaf, block, other, node, sig, leaves) that may have a link in their cell."""
     def work(table: pa.Table) -> list[pa.RecordBatch]:
         cells, leaf, block, other = (table.column(i).to_numpy() for i in range(4))
@@ -334,7 +335,7 @@ def _candidates(rows: DataFrame, join: Join) -> DataFrame:
         return table.select([0, 1, 2, 3, 4]).filter(pa.array(hit)).to_batches()
 
     return _by_cell(rows.select("cell", "leaf", "block", "other", "node", "sig", "leaves"), work,
-                    "cell bigint, leaf bigint, block bigint, other bigint, node binary", 20_000)
+                    "cell bigint, leaf bigint, block bigint, other bigint, node binary", 20_000, tasks)
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -354,7 +355,7 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(rows: DataFrame, join: Join) -> DataFrame:
+def _verified(rows: DataFrame, join: Join, tasks: int) -> DataFrame:
     """Links that first meet here: node, links (documents linked), run, root (of its component in
     this cell). Rows: cell, leaf, block, other, node, leaves, copies, set."""
     def work(table: pa.Table) -> list[pa.RecordBatch]:
@@ -387,7 +388,7 @@ def _verified(rows: DataFrame, join: Join) -> DataFrame:
                 strict=True)], ["node", "links", "run", "root"])]
 
     return _by_cell(rows.select("cell", "leaf", "block", "other", "node", "leaves", "copies", "set"),
-                    work, "node binary, links bigint, run int, root binary", 2_000)
+                    work, "node binary, links bigint, run int, root binary", 2_000, tasks)
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -404,6 +405,26 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(made, "node binary, set array<bigint>")
 
 
+def _joined(rows: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored features of rows (doc_id, tie, text), their nodes, and links found in enough runs."""
+    featured = stored(_featured(rows, join.words), "features")
+    nodes = stored(featured.where("n > 0").groupBy("node", "n", "sig").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"),
+        F.min("tie").alias("tie")), "nodes")
+    leaves, found = None, None
+    for batch in range(1 << 12):
+        runs = range(batch * join.runs, (batch + 1) * join.runs)
+        new = _leaves(nodes, runs, join)
+        leaves = new if leaves is None else leaves.unionByName(new)
+        links = stored(_links(rows, nodes, leaves, new, join), "links")
+        found = links if found is None else found.unionByName(links)
+        late = (batch + 1) * join.runs - max(1, join.runs // 4)
+        every, last = found.agg(F.sum("links"), F.sum(F.when(F.col("run") >= late, F.col("links")))).first()
+        if (last or 0) <= (1 - join.recall) * (every or 0):
+            break
+    return featured, nodes, found
+
+
 def similar_documents(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id and n_links.
@@ -420,21 +441,8 @@ def similar_documents(docs: DataFrame, join: Join = Join(), id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.xxhash64(id_col, text_col).alias("tie"),
                        F.lower(text_of(text_col)).alias("text"))
-    featured = stored(_featured(rows, join.words), "features")
-    nodes = stored(featured.where("n > 0").groupBy("node", "n", "sig").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"),
-        F.min("tie").alias("tie")), "nodes")
-    leaves, found = None, None
-    for batch in range(1 << 12):
-        runs = range(batch * join.runs, (batch + 1) * join.runs)
-        new = _leaves(nodes, runs, join)
-        leaves = new if leaves is None else leaves.unionByName(new)
-        links = stored(_links(rows, nodes, leaves, new, join), "links")
-        found = links if found is None else found.unionByName(links)
-        late = (batch + 1) * join.runs - max(1, join.runs // 4)
-        every, last = found.agg(F.sum("links"), F.sum(F.when(F.col("run") >= late, F.col("links")))).first()
-        if (last or 0) <= (1 - join.recall) * (every or 0):
-            break
+    with small_batches(docs.sparkSession):
+        featured, nodes, found = _joined(rows, join)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found.where("node <> root").select("node", F.col("root").alias("to")).distinct())
     classes = nodes.select("node", "copies", "least").join(counts, "node", "left").join(
@@ -453,9 +461,9 @@ def _links(rows: DataFrame, nodes: DataFrame, leaves: DataFrame, new: DataFrame,
            join: Join) -> DataFrame:
     """Links found in the ``new`` ones of ``leaves``."""
     lists = leaves.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    short = _short(nodes)
+    short, tasks = _short(nodes), spread(nodes)
     cells = _cells(new).join(short.join(lists, "node"), "node")
-    hits = stored(_candidates(cells, join), "candidates")
+    hits = stored(_candidates(cells, join, tasks), "candidates")
     wanted = stored(hits.select("node").distinct().join(nodes.select("node", "tie", "copies"), "node")
                     .join(lists, "node"), "wanted")
     ties = wanted.select("tie").distinct()
@@ -463,9 +471,10 @@ def _links(rows: DataFrame, nodes: DataFrame, leaves: DataFrame, new: DataFrame,
     sets = _sets(rows.join(ties, "tie", "left_semi").select("text"), join.words)
     # Rows that share a hash or an id may repeat a node: one of its equal sets is enough.
     one = Window.partitionBy("node").orderBy(F.size("set"))
-    sets = stored(sets.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i")
-                  .join(wanted.drop("tie"), "node"), "sets")
-    return _verified(hits.join(sets, "node"), join)
+    # One exchange by node serves the window and both joins; sets are wide, so they are not stored.
+    sets = sets.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i").join(
+        wanted.drop("tie"), "node")
+    return _verified(sets.join(hits, "node"), join, tasks)
 
 
 def _short(nodes: DataFrame) -> DataFrame:

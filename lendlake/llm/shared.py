@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendlake.functions.workspace import new_folder
 
+# Rows of texts or token lists that are read, or sent to Python, at once.
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+          "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -14,7 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def spread(df: DataFrame) -> int:
     """Partitions for work on all of a frame: its own, or the session's shuffle partitions if
-    those are more; so it follows the input."""
+    those are more; so it follows the input. To be asked of frames read from files: one behind an
+    exchange runs it to tell, and once more when it is used."""
     return max(df.rdd.getNumPartitions(),
                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -35,6 +43,20 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside the block read and pass wide rows in small batches, of which the JVM and Python
+    each hold copies; the session's own settings come back when it ends."""
+    before = {key: spark.conf.get(key) for key in _SMALL}
+    for key, value in _SMALL.items():
+        spark.conf.set(key, min(before[key], value, key=lambda x: (int(x) <= 0, int(x))))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def text_of(column: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -121,3 +121,25 @@ def test_components_of_chains_stars_and_random_links(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
     assert components.connected(df.limit(0)).count() == 0
+
+
+def test_exchanges_run_once(spark, monkeypatch):
+    """Partition counts are asked of files, not of frames behind an exchange, which would run it;
+    sets are not stored beside their exchange."""
+    plans, purposes = [], []
+
+    def asked(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return 4
+
+    def kept(df, purpose, **options):
+        purposes.append(purpose)
+        return stored(df, purpose, **options)
+
+    stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "spread", asked)
+    monkeypatch.setattr(ngram_join, "stored", kept)
+    rows = corpus()[:30]
+    assert found(spark, rows) == by_hand(rows)
+    assert plans and not any("Exchange" in plan for plan in plans)
+    assert "sets" not in purposes
