@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlake.llm.encoding import BYTES_OF, ENCODERS, encoder
-from lendlake.llm.shared import spread, stored
+from lendlake.llm.shared import small_batches, spread, stored
 
 STEPS = 1 << 16
 ROWS_AT_ONCE = 200
@@ -248,7 +248,7 @@ def _piecewise(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(merged, _PIECES.partition(", a_ends")[0])
 
 
-def _stitched(pieces: DataFrame) -> DataFrame:
+def _stitched(pieces: DataFrame, tasks: int) -> DataFrame:
     """Texts of several merged pieces: what a piece leaves open begins the next piece's first group."""
     def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -272,7 +272,7 @@ def _stitched(pieces: DataFrame) -> DataFrame:
                             sides[x][:-1] if x.endswith("sizes") else sides[x]]) for x in _SIDES)],
                         ["doc_id", *_SIDES])
 
-    return (pieces.repartition(spread(pieces), "task", "row")
+    return (pieces.repartition(tasks, "task", "row")
             .sortWithinPartitions("task", "row", "piece").mapInArrow(stitched, ALIGNED))
 
 
@@ -289,11 +289,12 @@ def align(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id", text_col
     The result is stored in the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(_encoded(rows, files, steps), "token-pieces", **_ROW_GROUP)
-    whole = pieces.where("pieces = 1").select("doc_id", *_SIDES)
-    cut = pieces.where("pieces > 1")
-    dealt = cut.repartition(spread(cut), "task", "row", "piece")
-    return whole.unionByName(stored(_stitched(_piecewise(dealt)), "stitched-texts"))
+    with small_batches(docs.sparkSession):
+        pieces = stored(_encoded(rows, files, steps), "token-pieces", **_ROW_GROUP)
+        tasks = spread(pieces)
+        whole = pieces.where("pieces = 1").select("doc_id", *_SIDES)
+        dealt = pieces.where("pieces > 1").repartition(tasks, "task", "row", "piece")
+        return whole.unionByName(stored(_stitched(_piecewise(dealt), tasks), "stitched-texts"))
 
 
 def unpacked(aligned: DataFrame) -> DataFrame:
@@ -389,10 +390,12 @@ def digests(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     groups_sha256, the SHA-256 of its groups as text (empty without tokens).
 
     Two tokens of one side never end at the same byte, so each group holds one link, its last pair.
-    ``counts`` is bounded by the vocabularies (see ``link_counts``) and goes to every task.
+    ``counts`` is bounded by the vocabularies (see ``link_counts``) and goes to every task. The
+    result is stored in the shared folder.
     """
     spark = aligned.sparkSession
-    table = counts.select("a_id", "b_id", "n", "best").toArrow()
+    with small_batches(spark):
+        table = counts.select("a_id", "b_id", "n", "best").toArrow()
     key, n, best = ((table["a_id"].to_numpy() << 32) | table["b_id"].to_numpy(),
                     table["n"].to_numpy(), table["best"].to_numpy(zero_copy_only=False))
     order = np.argsort(key)
@@ -433,4 +436,5 @@ def digests(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                  pa.array([x.hexdigest() if x else "" for x in hashes])],
                 [x.split()[0] for x in schema.split(", ")])
 
-    return aligned.mapInArrow(digested, schema)
+    with small_batches(spark):
+        return stored(aligned.mapInArrow(digested, schema), "alignment-digests")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lendlake.llm import alignment
+from lendlake.llm.shared import small_batches
 from tests.llm import cases
 
 FILES = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"),
@@ -155,3 +157,32 @@ def test_remembered_segments_are_renewed():
         assert (ids[0] is None) == (seed % 5 == 0)
         assert ids[0] is None or np.frombuffer(ids[0], "<i4").tolist() == model.encode(text)
         assert np.frombuffer(ids[1], "<i4").tolist() == model.encode("the same")
+
+
+def test_wide_rows_pass_in_small_batches(spark, monkeypatch):
+    """All jobs read and pass token lists in small batches, and the session's settings come back."""
+    key, sizes, plans = "spark.sql.execution.arrow.maxRecordsPerBatch", [], []
+
+    def kept(df, purpose, **options):
+        sizes.append((purpose, int(spark.conf.get(key))))
+        return stored(df, purpose, **options)
+
+    def asked(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return 4
+
+    stored, before = alignment.stored, spark.conf.get(key)
+    monkeypatch.setattr(alignment, "stored", kept)
+    monkeypatch.setattr(alignment, "spread", asked)
+    found(cases.docs(spark), steps=500)
+    assert {x for x, _ in sizes} == {"token-pieces", "stitched-texts", "alignment-digests"}
+    assert all(n <= 500 for _, n in sizes) and spark.conf.get(key) == before
+    assert plans and not any("Exchange" in plan for plan in plans)
+    rows = spark.range(0, 1200, 1, 1)
+    with small_batches(spark):
+        counted = rows.mapInArrow(lambda batches: (
+            pa.RecordBatch.from_arrays([pa.array([x.num_rows])], ["n"]) for x in batches), "n bigint")
+        assert max(r.n for r in counted.collect()) == 500
+    with pytest.raises(ValueError), small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(key) == before
