@@ -15,6 +15,8 @@ from lendlake.llm.shared import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 CAPACITY, END_ID = 2048, 0
+# Words a worker keeps for packing, beside executors whose heap earlier stages have filled.
+REMEMBERED_WORDS = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and where each is in the packed sequences."""
     return packing.pack_documents(
-        docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY)
+        docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY,
+        remembered=REMEMBERED_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlake.llm.encoding import encoder
-from lendlake.llm.shared import spread, stored
+from lendlake.llm.encoding import ENCODERS, encoder
+from lendlake.llm.shared import small_batches, spread, stored
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 ROWS_AT_ONCE = 500
-# Fewer than token files take: packing may follow other stages in the same workers.
 REMEMBERED_WORDS = 900_000
 
 
@@ -71,10 +70,11 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, dic
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text",
+              remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """Encoded documents, cut where longer than ``capacity``: doc_id, piece, start, length and
     ids_crc32. All pieces of a document but the first are full. A null or empty text is the end id
-    alone."""
+    alone. ``remembered`` bounds the words a worker keeps with their ids; it changes no result."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 204
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 rows = []
-                texts = encoder(vocabulary, remembered=REMEMBERED_WORDS).encode(batch.column(1).to_pylist())
+                texts = encoder(vocabulary, remembered=remembered).encode(batch.column(1).to_pylist())
                 for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                     ids += end
                     n = len(ids) // 4
@@ -129,6 +129,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         *names, (F.col("_before") + F.col("_in") - 1).alias("_number"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ENCODERS.clear()  # the words are not needed again, and the worker outlives this step
         for batch in batches:
             lengths = batch.column(names.index("length")).to_numpy()
             numbers = batch.column(len(names)).to_numpy()
@@ -149,11 +150,14 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text",
+                   remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """Every document's pieces with the sequence and offset each got.
 
     Texts are encoded once; the table of pieces is written to the shared folder before it is
     counted. Rows that repeat an id are packed each. An empty table gives no pieces.
     """
-    pieces = stored(pieces_of(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(pieces_of(docs, vocabulary, end_id, capacity, id_col, text_col, remembered),
+                        "pieces")
     return place_pieces(pieces, capacity)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lendlake.llm.encoding import ENCODERS
 from lendlake.llm.shared import some_of_each, stored, text_of
 
 # The top 18 bits of a hash.
@@ -232,6 +233,7 @@ class _Reader:
     """Scores texts in a worker."""
 
     def __init__(self, model: Model) -> None:
+        ENCODERS.clear()  # the worker may have kept them since an earlier job
         self._model = model
         self._known: dict[str, float] = {}
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
@@ -61,3 +62,25 @@ def test_every_operator_is_registered():
     names = contract.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert "pipeline" in names and [len(x) for x in corpus_pipeline.STAGES] == [2] * 5
+
+
+def test_workers_give_back_what_earlier_stages_kept(monkeypatch):
+    """Scoring drops encoders that packing left in a worker; packing here keeps few words."""
+    from lendlake.llm import encoding, toxicity
+
+    monkeypatch.setitem(encoding.ENCODERS, ("left",), None)
+    toxicity._Reader(toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0, 1.0, 0.0, 32))
+    assert not encoding.ENCODERS
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda *a, **k: asked.update(k))
+    corpus_pipeline.pack(None, None, "")
+    assert asked["remembered"] <= 300_000
+
+
+def test_remembered_words_change_no_pieces(spark):
+    from lendlake.llm import packing
+
+    path = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")
+    few, many = (sorted(map(tuple, packing.pieces_of(
+        cases.docs(spark), path, 0, **options).collect()), key=str) for options in ({"remembered": 20}, {}))
+    assert few == many
