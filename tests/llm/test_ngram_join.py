@@ -143,3 +143,9 @@ def test_exchanges_run_once(spark, monkeypatch):
     assert found(spark, rows) == by_hand(rows)
     assert plans and not any("Exchange" in plan for plan in plans)
     assert "sets" not in purposes
+
+
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
+    rows = corpus()
+    assert found(spark, rows, Join(brute_force=8)) == by_hand(rows)
