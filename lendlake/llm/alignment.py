@@ -15,9 +15,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlake.llm.encoding import BYTES_OF, ENCODERS, encoder
+from lendlake.llm.encoding import BYTES_OF, ENCODERS, encoder, packed
 from lendlake.llm.shared import small_batches, spread, stored
 
 STEPS = 1 << 16
 ROWS_AT_ONCE = 200
-REMEMBERED_WORDS = 300_000
+# Words of A, and segments of B, that a worker keeps with their ids (about 150 bytes each): most words
+# of a corpus are rare, and each that is met again after it was dropped is encoded again.
+REMEMBERED_WORDS = 900_000
 TOKENS_AT_ONCE = 500_000
 _SEGMENT = re.compile(" *[^ ]+| +")
 # Token lists are wide; small row groups keep what a writer holds in memory small.
@@ -69,39 +72,68 @@ class PieceEncoder:
             b"" if self._model.is_control(i) or self._model.is_unknown(i) else
             x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
         self._whole = any("▁" in x.lstrip("▁") for x in pieces)
+        self._bytes_of = self.bytes_of.__getitem__
+        self._sizes = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
         self._last_blank = self._model.encode("a ")[len(self._model.encode("a")):]
         self._half = remembered // 2
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._changed: set[str] = set()
 
-    def _learn(self, new: set[str]) -> None:
-        back = {x for x in new if x in self._old}
-        self._young.update((x, self._old[x]) for x in back)
-        missing = list(new - back)
+    def _learn(self, new: Iterable[str]) -> None:
+        missing = []
+        for x in new:
+            if x in self._old:
+                self._young[x] = self._old[x]
+            else:
+                missing.append(x)
+        if not missing:
+            return
         # The library puts a blank of its own before a text.
-        for x, ids in zip(missing, self._model.encode([x[1:] for x in missing], num_threads=1)):
-            ids = ids or self._last_blank
-            self._young[x] = array("I", ids).tobytes()
-            if b"".join([self.bytes_of[i] for i in ids]) != x.encode():
-                self._changed.add(x)
+        found = [x or self._last_blank for x in self._model.encode(missing, num_threads=1)]
+        self._young.update(zip(missing, packed(found), strict=True))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        spelt = b"".join(map(self._bytes_of, ids.tolist()))
+        stops = np.cumsum(self._sizes[ids], dtype=np.int64)
+        stops = np.concatenate([[0], stops])[np.cumsum([0, *map(len, found)])].tolist()
+        self._changed.update([x for x, (i, j) in zip(missing, pairwise(stops), strict=True)
+                              if spelt[i:j] != f" {x}".encode()])
+
+    def _segments(self, text: str) -> list[str]:
+        """The segments of a text, as it reads after a blank, without the blank each begins with."""
+        if self._whole:
+            return [text]
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [x[1:] for x in _SEGMENT.findall(f" {text}")]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text (as it reads after a blank), as 32-bit integers."""
         if len(self._young) > self._half:
             self._old, self._young = self._young, {}
             self._changed &= self._old.keys()
-        get, missing, out = self._young.get, set(), []
-        for text in texts:
-            cut = [f" {text}"] if self._whole else _SEGMENT.findall(f" {text}")
-            found = list(map(get, cut))
-            if None in found:
-                missing.update([x for x, ids in zip(cut, found) if ids is None])
-            out.append((cut, found))
-        self._learn(missing)
-        find = self._young.__getitem__
-        return [None if self._changed and not self._changed.isdisjoint(cut) else
-                b"".join(map(find, cut) if None in found else found) for cut, found in out]
+        get, missing, out = self._young.get, {}, []
+        collects = gc.isenabled()
+        gc.disable()  # as in WordEncoder: nothing here is cyclic
+        try:
+            for text in texts:
+                cut = self._segments(text)
+                found = list(map(get, cut))
+                lost = [x for x, ids in zip(cut, found) if ids is None] if None in found else []
+                missing.update(dict.fromkeys(lost))
+                out.append((cut, found, lost))
+            self._learn(missing)
+            find = self._young.__getitem__
+            ids_of = []
+            for cut, found, lost in out:
+                learnt = map(find, lost)
+                changed = self._changed and not self._changed.isdisjoint(cut)
+                ids_of.append(None if changed else b"".join(
+                    [next(learnt) if x is None else x for x in found] if lost else found))
+            return ids_of
+        finally:
+            if collects:
+                gc.enable()
 
 
 _PIECE_ENCODERS: dict[str, PieceEncoder] = {}
@@ -179,7 +211,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes, in tokens of either side, of the groups that end in a piece, then of the open rest."""
     i, j = common_ends(a, b)
-    return np.diff(i, prepend=0, append=len(a)), np.diff(j, prepend=0, append=len(b))
+    return (np.diff(np.concatenate([[0], i, [len(a)]])), np.diff(np.concatenate([[0], j, [len(b)]])))
 
 
 _NONE = np.zeros(0, dtype=np.int32)
@@ -355,16 +387,19 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b_id")))
 
 
-def _names(size: int, mark: str) -> np.ndarray:
-    """Each id below ``size`` in decimal, followed by a mark, as rows of bytes ending in zeros."""
-    names = np.array([f"{i}{mark}" for i in range(size)], dtype=f"S{len(str(size)) + 1}")
-    return names.view(np.uint8).reshape(size, -1)
+@lru_cache(maxsize=1)
+def _names(size: int) -> np.ndarray:
+    """Each id below ``size`` in decimal, followed by a mark, as rows of bytes ending in zeros: all
+    with a comma, then all with a bar, then all with a semicolon. Made once for a worker, as making
+    it takes as long as writing the groups of many rows."""
+    names = np.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], dtype=f"S{len(str(size)) + 1}")
+    return names.view(np.uint8).reshape(3 * size, -1)
 
 
 def written_groups(flat: dict[str, np.ndarray], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Groups as text (``a1,a2|b1;``), some at a time: first and last group, bytes, and how many
     bytes each of these groups takes."""
-    table = np.concatenate([_names(size, x) for x in ",|;"])
+    table = _names(size)
     a_ends, b_ends = np.cumsum(flat["a_sizes"]), np.cumsum(flat["b_sizes"])
     first = 0
     while first < len(a_ends):
@@ -412,6 +447,7 @@ def digests(aligned: DataFrame, counts: DataFrame) -> DataFrame:
             at = np.searchsorted(keys, _linked(flat))
             ends = flat["ends"]
             width = max(size, *(int(flat[x].max(initial=0)) + 1 for x in ("a_ids", "b_ids")))
+            width += -width % 4096  # so that batches share a table of names
 
             def total(values: np.ndarray) -> np.ndarray:
                 sums = np.concatenate([[0], np.cumsum(values)])

@@ -15,17 +15,23 @@ import gc
 import os
 import re
 from array import array
+from collections.abc import Iterable
+from itertools import accumulate, chain, pairwise
+
+import numpy as np
 
 REMEMBERED_WORDS = 2_000_000
 # Texts are cut into words in parts of about so many characters, to bound memory.
 CHARS_AT_ONCE = 500_000
-# A word of letters that neither case folding nor composing takes apart, and closing marks: any
-# ASCII ones but the apostrophe, which may begin a word's ending.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148]+)([!-&(-/:-@\\[-`{-~]*)")
+# A word of letters that neither case folding nor composing takes apart, and the marks that may
+# close it: any ASCII ones but the apostrophe, which may begin a word's ending.
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # How byte-level vocabularies write each byte: printable ones as themselves, the rest from U+0100.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES_OF = {b: chr(b) for b in _PRINTED} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SPELLING = np.array([ord(BYTES_OF[b]) for b in range(256)], dtype="<u2")
 # The merges alone must give the library's ids for these, or every word takes the long way.
 _PROBES = ("the", " Then", " which", "Édition", " über", " Straßen", "of", " A", " ÀÑ", "zx")
 _DOUBTFUL = "\x1c\x1d\x1e\x1f\x85"
@@ -36,6 +42,13 @@ _FOREIGN = re.compile("[^\x00-\u012f\u0132-\u0148]")
 _WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+def packed(lists: list[list[int]]) -> list[bytes]:
+    """Each list of ids as 32-bit integers, made in one piece and cut."""
+    data = array("I", chain.from_iterable(lists)).tobytes()
+    ends = accumulate(map(len, lists), initial=0)
+    return [data[4 * a:4 * b] for a, b in pairwise(ends)]
+
+
 class WordEncoder:
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -63,35 +76,47 @@ class WordEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        return packed([x.ids for x in found])
 
     def _merged(self, words: list[str]) -> list[bytes]:
         """The ids of plain words: the library's merges without its search for words."""
+        if not words:
+            return []
+        joined = "\n".join(words)  # letters, and blanks before them
         if self._folds:
-            words = [w.strip(" ").lower() for w in words]
+            joined = joined.replace(" ", "").lower()
+        spelt = _SPELLING[np.frombuffer(joined.encode(), dtype=np.uint8)].tobytes().decode("utf-16-le")
         tokenize = self._tokenizer.model.tokenize
-        spelt = [w.replace(" ", BYTES_OF[32]) if w.isascii() else  # letters, a blank before them
-                 w.encode().decode("latin-1").translate(BYTES_OF) for w in words]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+        return packed([[t.id for t in tokenize(w)] for w in spelt.split(BYTES_OF[10])])
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         """Add words to the memory; a word with closing marks is its bare form and the marks."""
         young, old = self._young, self._old
-        back = {w for w in words if w in old}
-        young.update((w, old[w]) for w in back)
-        new = list(words - back)
-        plain: set[str] = set()
-        if self._direct:  # most words are ASCII letters alone
-            plain = {w for w in new if w.isascii() and w[w[0] == " ":].isalpha()}
-            new = [w for w in new if w not in plain]
-        found = [*map(_PLAIN.fullmatch, new)] if self._direct else [None] * len(new)
-        marked = [(w, *m.groups()) for w, m in zip(new, found) if m and m[2]]
-        plain.update([w for w, m in zip(new, found) if m and not m[2]], [x[1] for x in marked])
-        other = {w for w, m in zip(new, found) if not m}.union(x[2] for x in marked)
-        for some, ids_of in ((plain, self._merged), (other, self._ids)):
+        new: list[str] = []
+        marked: list[tuple[str, str, str]] = []
+        bares: dict[str, None] = {}
+        other: dict[str, None] = {}
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+                continue
+            bare = w.rstrip(_MARKS)
+            # Most words are ASCII letters alone.
+            if not self._direct or not (
+                    bare.lstrip(" ").isalpha() if bare.isascii() else _PLAIN.fullmatch(bare)):
+                other[w] = None
+            elif len(bare) == len(w):
+                new.append(w)
+            else:
+                marked.append((w, bare, w[len(bare):]))
+                bares[bare] = None
+        young.update(zip(new, self._merged(new), strict=True))
+        young.update((w, old[w]) for w in bares if w in old)
+        other.update(dict.fromkeys([x[2] for x in marked]))
+        for some, ids_of in ((bares, self._merged), (other, self._ids)):
             missing = [w for w in some if w not in young]
             young.update(zip(missing, ids_of(missing), strict=True))
-        young.update((w, young[bare] + young[marks]) for w, bare, marks in marked)
+        young.update([(w, young[bare] + young[marks]) for w, bare, marks in marked])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; nothing for null."""
@@ -120,8 +145,9 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         if len(self._young) > self._remembered // 2:
             self._old, self._young = self._young, {}
-        get, missing, out = self._young.get, set(), []
-        waiting: list[tuple[int, list[str]]] = []
+        get, out = self._young.get, []
+        missing: dict[str, None] = {}  # in the order they are met, as they lie in memory
+        waiting: list[tuple[int, list[bytes | None], list[str]]] = []
         for text in texts:
             if any(x in text for x in self._doubtful):
                 out += self._ids([text])
@@ -129,14 +155,16 @@ class WordEncoder:
             words = self._words(text)
             found = list(map(get, words))
             if None in found:
-                missing.update([w for w, x in zip(words, found) if x is None])
-                waiting.append((len(out), words))
+                lost = [w for w, x in zip(words, found) if x is None]
+                missing.update(dict.fromkeys(lost))
+                waiting.append((len(out), found, lost))
                 found = ()
             out.append(b"".join(found))
         self._learn(missing)
         find = self._young.__getitem__
-        for at, words in waiting:
-            out[at] = b"".join(map(find, words))
+        for at, found, lost in waiting:
+            learnt = map(find, lost)
+            out[at] = b"".join([next(learnt) if x is None else x for x in found])
         return out
 
 

@@ -186,3 +186,26 @@ def test_wide_rows_pass_in_small_batches(spark, monkeypatch):
     with pytest.raises(ValueError), small_batches(spark):
         raise ValueError
     assert spark.conf.get(key) == before
+
+
+def test_names_of_ids_are_made_once():
+    """Batches share the table of written ids, which takes longer to make than a batch to write."""
+    flat = {x: np.array(v, dtype=np.int64) for x, v in
+            {"a_ids": [7, 12, 3], "b_ids": [5, 40], "a_sizes": [2, 1], "b_sizes": [1, 1]}.items()}
+    alignment._names.cache_clear()
+    for _ in range(3):
+        (first, last, text, taken), = alignment.written_groups(flat, 50)
+        assert (first, last, text.tobytes(), taken.tolist()) == (0, 2, b"7,12|5;3|40;", [7, 5])
+    assert alignment._names.cache_info().misses == 1
+
+
+def test_segments_are_spelt_together(monkeypatch):
+    """One call spells all new segments; only those whose bytes differ from the text's have no ids."""
+    encoder = alignment.PieceEncoder(FILES.b, remembered=100)
+    assert encoder._segments("a bc d") == ["a", "bc", "d"] and encoder._segments(" a  b ") == [" a", " b", ""]
+    texts = ["a\u2581b cd", "cd  ef", "", " x ", "cd gh", "\u2581"]
+    model = sentencepiece.SentencePieceProcessor(model_file=FILES.b)
+    got = encoder.encode(texts)
+    assert [x is None for x in got] == [True, False, False, False, False, True]
+    assert [np.frombuffer(got[i], "<i4").tolist() for i in (1, 3, 4)] == [model.encode(texts[i]) for i in (1, 3, 4)]
+    assert encoder.encode(texts[::-1]) == got[::-1]
