@@ -27,7 +27,7 @@ from lendlake.llm.shared import spread
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 ROWS_AT_ONCE = 500
 # What a worker holds must not grow with the corpus up to what the encoder would remember by itself.
-REMEMBERED_WORDS = 900_000
+REMEMBERED_WORDS = 700_000
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

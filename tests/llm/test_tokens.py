@@ -48,6 +48,33 @@ def test_names_of_special_tokens(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [*map(library(path, plain), texts)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_word_is_merged_and_looked_up_once(path, monkeypatch):
+    """A bare form in the older memory is not merged again for its closing marks, and only the words
+    of a text that were missing are looked up after they are learnt."""
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, word):
+            Counted.looked_up += 1
+            return super().__getitem__(word)
+
+    encoder = WordEncoder(path, remembered=6)
+    encoder.encode(["one two three four"])
+    assert len(encoder._young) > 3
+    merged, words = encoder._merged, []
+    monkeypatch.setattr(encoder, "_merged", lambda some: words.extend(some) or merged(some))
+    texts = ["one, two", "one two; five"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [*map(LIBRARY[path], texts)]
+    assert [w.strip() for w in words].count("two") == 0 and [w.strip() for w in words].count("five") == 1
+    encoder = WordEncoder(path, remembered=100)
+    encoder.encode(["one two three"])
+    encoder._young = Counted(encoder._young)
+    text = "one two three two six"
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == LIBRARY[path](text)
+    assert Counted.looked_up == 1
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
