@@ -48,6 +48,12 @@ def _path(spark: SparkSession, folder: str) -> tuple[JavaObject, JavaObject]:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all it holds; nothing happens if there is none."""
+    system, path = _path(spark, folder)
+    system.delete(path, True)
+
+
 @contextmanager
 def lease(spark: SparkSession) -> Iterator[list[str]]:
     """Scratch tables written inside the block are removed when it ends, also by an error.
@@ -63,8 +69,7 @@ def lease(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _HELD.reset(token)
         for folder in held:
-            system, path = _path(spark, folder)
-            system.delete(path, True)
+            remove_folder(spark, folder)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,12 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lendlake.functions.columns import month_start, month_text
 from lendlake.functions.latest import first_rows
+from lendlake.functions.workspace import remove_folder
 from lendlake.operators.lifecycle import close_instalments
 from lendlake.schema import COLUMNS, column_names
 from lendlake.sources.tables import Tables
 
 SPREAD = 256
-QUERY, BATCH = "query_id", "batch_id"
+QUERY, BATCH, ARRIVED = "query_id", "batch_id", "arrived"
 HORIZON = "7 days"
 # Ids are dealt to buckets in blocks: payments numbered in a row share few buckets, and ids of any
 # kind fill at most so many. Ids an equality filter may name to the files' Bloom filters: Spark's limit.
@@ -163,25 +167,91 @@ def settle(t: Tables, paid: DataFrame) -> Tables:
         repayment=paid.select(*column_names("repayment")))
 
 
+def _micros(spark: SparkSession, horizon: str) -> int:
+    """An interval's text in microseconds, as a watermark reads it: a month has 31 days."""
+    jvm = spark._jvm
+    intervals = jvm.org.apache.spark.sql.catalyst.util.IntervalUtils
+    text = jvm.org.apache.spark.unsafe.types.UTF8String.fromString(horizon)
+    micros = intervals.getDuration(intervals.stringToInterval(text),
+                                   jvm.java.util.concurrent.TimeUnit.MICROSECONDS, 31)
+    if micros < 0:
+        raise ValueError(f"the horizon {horizon!r} is negative")
+    return micros
+
+
+def _remembered(spark: SparkSession, counted: str) -> tuple[DataFrame | None, dict[int, int]]:
+    """The ids counted so far, and the arrival of each batch of them."""
+    try:
+        ids = spark.read.schema(f"repayment_id BIGINT, {BATCH} BIGINT, {ARRIVED} BIGINT").parquet(counted)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, {}
+    found = [re.search(rf"/{BATCH}=(\d+)/{ARRIVED}=(\d+)/[^/]+$", f) for f in ids.inputFiles()]
+    return ids, {int(m[1]): int(m[2]) for m in found if m}
+
+
+def not_counted(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The first delivery in a batch of every payment whose id is not among the known ones.
+
+    Batch and known ids meet in one grouping, so copies are cut to one inside each map task, a
+    missing id is an id like any other, and what does not fit into memory is sorted on disk.
+    """
+    rows = batch.withColumn("_known", F.lit(False))
+    if known is not None:
+        rows = rows.unionByName(known.select("repayment_id", F.lit(True).alias("_known")),
+                                allowMissingColumns=True)
+    others = [c for c in batch.columns if c != "repayment_id"]
+    return (rows.groupBy("repayment_id")
+            .agg(*[F.first(c).alias(c) for c in others], F.max("_known").alias("_known"))
+            .where("NOT _known").select(*batch.columns))
+
+
 def stream_monthly_collections(payments: DataFrame, out: str, checkpoint: str,
                                horizon: str = HORIZON) -> StreamingQuery:
     """Running totals by month, all of them written after each batch.
 
     A payment delivered again within the horizon counts once; where repeats come later, stream the
-    ledger that ``stream_apply_payments`` writes. The key is the calendar month, so the totals'
-    state, and each snapshot of it, holds one row per month and needs no watermark. The last
-    ``SLOTS`` snapshots are kept, each in a folder that a later batch writes over, so the folder
-    never grows with the number of batches. ``out`` belongs to one checkpoint.
+    ledger that ``stream_apply_payments`` writes. What the stream remembers lies in files beside its
+    checkpoint, so memory does not bound it: the payments each batch counted, until a later batch
+    has arrived two horizons after them, and the totals, one row a month. A batch that failed is
+    counted again from what the batches before it left, so a restart neither loses nor repeats
+    payments. The last ``SLOTS`` snapshots are kept, each in a folder that a later batch writes
+    over, so the folder never grows with the number of batches. ``out`` belongs to one checkpoint.
     """
-    months = (without_repeats(payments, horizon).groupBy(month_start("payment_date").alias("month_start"))
-              .agg(F.sum("paid_amount").alias("total_collected"),
-                   F.count("repayment_id").alias("payment_count")))
+    counted, totals = f"{checkpoint}/counted", f"{checkpoint}/totals"
+    kept = 2 * _micros(payments.sparkSession, horizon)
+    amounts = payments.select("repayment_id", "paid_amount", month_start("payment_date").alias("month_start"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")).coalesce(1)
-         .write.mode("overwrite").parquet(f"{out}/slot={batch_id % SLOTS}"))
-
-    return (months.writeStream.outputMode("complete").foreachBatch(write)
+        spark = batch.sparkSession
+        ids, arrivals = _remembered(spark, counted)
+        for late in {batch_id, *(n for n in arrivals if n > batch_id)}:  # of a failed attempt
+            remove_folder(spark, f"{counted}/{BATCH}={late}")
+        earlier = {n: at for n, at in arrivals.items() if n < batch_id}
+        newest = max(earlier.values(), default=0)
+        if ids is not None:
+            ids = ids.where((F.col(BATCH) < batch_id) & (F.col(ARRIVED) > newest - kept))
+        folder = f"{counted}/{BATCH}={batch_id}/{ARRIVED}={max(newest, time.time_ns() // 1000)}"
+        fresh = not_counted(batch, ids)
+        fresh.write.mode("overwrite").parquet(folder)
+        months = (spark.read.schema(fresh.schema).parquet(folder).groupBy("month_start")
+                  .agg(F.sum("paid_amount").alias("total_collected"),
+                       F.count("repayment_id").alias("payment_count")))
+        if batch_id:
+            before = spark.read.schema(months.schema).parquet(f"{totals}/{BATCH}={batch_id - 1}")
+            kinds = dict(months.dtypes)
+            months = months.unionByName(before).groupBy("month_start").agg(
+                *[F.sum(c).cast(kinds[c]).alias(c) for c in ("total_collected", "payment_count")])
+        now = f"{totals}/{BATCH}={batch_id}"
+        months.coalesce(1).write.mode("overwrite").parquet(now)
+        (spark.read.schema(months.schema).parquet(now).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{out}/slot={batch_id % SLOTS}"))
+        for old in [n for n, at in earlier.items() if at <= newest - kept]:
+            remove_folder(spark, f"{counted}/{BATCH}={old}")
+        remove_folder(spark, f"{totals}/{BATCH}={batch_id - 2}")
+
+    return (amounts.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -167,3 +167,84 @@ def test_totals_keep_few_snapshots_and_survive_a_restart(spark, tmp_path, monkey
                                                                  number + 1)]
     assert len([x for x in (tmp_path / "out").iterdir() if x.name.startswith("slot=")]) == 3
     assert spark.read.parquet(out).count() == 3
+
+
+def months_of(spark, out):
+    return sorted(rows(streams.collections_so_far(spark, out), "month", "total_collected", "payment_count"), key=str)
+
+
+def test_months_keep_no_payment_in_a_state_store(spark, tmp_path):
+    # A state store holds every id twice in an executor's memory: 12 million payments did not end.
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    for number in range(2):
+        deliver(spark, inbox, number, [(7, 1, D("2.00"), d("2024-01-02"), "UPI")] * 3)
+        query = streams.stream_monthly_collections(streams.payment_files(spark, f"{inbox}/*"), out, state)
+        query.awaitTermination()
+        assert query.recentProgress and not any(p.stateOperators for p in query.recentProgress)
+    assert not (tmp_path / "state" / "state").exists()
+    assert months_of(spark, out) == [("2024-01", D("2.00"), 1)]
+
+
+def test_months_cut_copies_before_the_exchange(spark):
+    batch = bought(spark, *[1] * 50, 2, 3, None, None).select("repayment_id", "paid_amount")
+    fresh = streams.not_counted(batch, bought(spark, 2, 4).select("repayment_id"))
+    text = fresh._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text and "SortAggregate" not in text
+    assert "partial_first" in text[text.index("Exchange"):]
+    assert sorted(rows(fresh), key=str) == [(1, D("5.00")), (3, D("5.00")), (None, D("5.00"))]
+    assert streams.not_counted(batch, bought(spark, None, 1, 3).select("repayment_id")).collect() == [
+        (2, D("5.00"))]
+
+
+def test_a_payment_without_id_counts_by_its_amount_once(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    for number in range(2):
+        deliver(spark, inbox, number, [(None, 1, D("2.00"), d("2024-01-02"), "UPI"),
+                                       (number, 1, None, d("2024-02-02"), "UPI")])
+        streams.stream_monthly_collections(streams.payment_files(spark, f"{inbox}/*"), out,
+                                           state).awaitTermination()
+    assert months_of(spark, out) == [("2024-01", D("2.00"), 0), ("2024-02", None, 2)]
+
+
+def test_a_failed_batch_of_months_is_counted_again(spark, tmp_path, monkeypatch):
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    stream = streams.payment_files(spark, f"{inbox}/*")
+    remove = streams.remove_folder
+
+    def fails_at_last(spark, folder):
+        if "/totals/" in folder:
+            raise OSError("lost")
+        remove(spark, folder)
+
+    for number in range(3):
+        deliver(spark, inbox, number, [(n, 1, D("2.00"), d("2024-01-02"), "UPI") for n in range(number + 1)])
+        monkeypatch.setattr(streams, "remove_folder", fails_at_last)
+        with pytest.raises(Exception, match="lost"):
+            streams.stream_monthly_collections(stream, out, state).awaitTermination()
+        monkeypatch.setattr(streams, "remove_folder", remove)
+        streams.stream_monthly_collections(stream, out, state).awaitTermination()
+        assert months_of(spark, out) == [("2024-01", D("2.00") * (number + 1), number + 1)]
+
+
+def test_months_forget_payments_after_two_horizons(spark, tmp_path, monkeypatch):
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    seconds = 1_000_000_000
+    # The id 1 comes again within the horizon, at its end and, as a later batch came meanwhile, after it.
+    for number, (now, ids, count) in enumerate([(100, [1], 1), (109, [1, 2], 2), (119, [1, 3], 3),
+                                                (121, [1, 4], 4), (122, [1, 2], 5)]):
+        deliver(spark, inbox, number, [(n, 1, D("2.00"), d("2024-01-02"), "UPI") for n in ids])
+        monkeypatch.setattr(streams, "time", type("Clock", (), {"time_ns": lambda at=now: at * seconds}))
+        streams.stream_monthly_collections(streams.payment_files(spark, f"{inbox}/*"), out, state,
+                                           "10 seconds").awaitTermination()
+        assert months_of(spark, out) == [("2024-01", D("2.00") * count, count)]
+    assert sorted(x.name for x in (tmp_path / "state" / "counted").iterdir()) == [
+        f"batch_id={n}" for n in range(1, 5)]
+    assert sorted(x.name for x in (tmp_path / "state" / "totals").iterdir()) == ["batch_id=3", "batch_id=4"]
+
+
+@pytest.mark.parametrize("horizon", ["-1 days", "soon"])
+def test_months_refuse_a_wrong_horizon(spark, tmp_path, horizon):
+    (tmp_path / "inbox").mkdir()
+    stream = streams.payment_files(spark, str(tmp_path / "inbox"))
+    with pytest.raises(Exception, match=horizon):
+        streams.stream_monthly_collections(stream, str(tmp_path / "out"), str(tmp_path / "s"), horizon)
